@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.common import BY_OWNER, BY_OWNER_ARROW, PACKED, PACKED_ARROW, Packer, WordHash, batches, bucket_links, components, fragments, joined, owner_rows, same, saved, shared_tokens, shingle_set, texts
@@ -110,7 +110,11 @@ def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) those with 100 * intersection >= percent * union: partial overlaps for each vertical fragment, summed per pair."""
     size = {s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}")) for s in "ab"}
     near = pairs.join(size["a"], "a").join(size["b"], "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    cut = [F.filter("toks", lambda t, i=i: F.shiftrightunsigned(t, 64 - VERTICAL_BITS) == i) for i in range(1 << VERTICAL_BITS)]
+
+    def fragment(i: int) -> Column:
+        return F.filter("toks", lambda t: F.shiftrightunsigned(t, 64 - VERTICAL_BITS) == i)
+
+    cut = [fragment(i) for i in range(1 << VERTICAL_BITS)]
     vertical = sets.select("id", F.posexplode(F.array(*cut)).alias("part", "seg")).where("size(seg) > 0")
     x, y = (vertical.select(F.col("id").alias(s), "part", F.col("seg").alias(f"seg_{s}")) for s in "ab")
     both = near.join(x, "a").join(y, ["b", "part"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("seg_a", "seg_b")).alias("o"))
