@@ -99,6 +99,12 @@ def same(a: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)
 
 
+def spans(a: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of equal values in a sorted array."""
+    s = same(a).tolist()
+    return list(zip(s, [*s[1:], len(a)], strict=True)) if s else []
+
+
 PACKED = "frag int, hot boolean, owners binary, idx binary, tok binary, pos binary, n long"
 BY_OWNER = "frag int, owners binary, tok binary, pos binary, mark binary"
 
@@ -159,8 +165,7 @@ class Packer:
 
     def _cuts(self, tok: np.ndarray) -> list[tuple[int, int, int]]:
         f = (tok >> self.shift).astype(np.int64)
-        starts = same(f)
-        return [(int(f[a]), int(a), int(b)) for a, b in zip(starts, np.r_[starts[1:], len(tok)], strict=True)]
+        return [(int(f[a]), a, b) for a, b in spans(f)]
 
     def _lane(self, own: np.ndarray, tok: np.ndarray, pos: np.ndarray | None) -> Iterator[dict]:
         """Entries of hot tokens, on their way to their owners; frag is -1 less the owner's bucket."""
@@ -178,8 +183,7 @@ def owner_rows(own: np.ndarray, tok: np.ndarray, pos: np.ndarray | None, mark: n
     order = np.lexsort((tok, own, b))
     b, own, tok, mark = b[order], own[order], tok[order], mark[order]
     pos = pos[order] if pos is not None else None
-    starts = same(b)
-    for a, z in zip(starts, np.r_[starts[1:], len(b)], strict=True):
+    for a, z in spans(b):
         yield {"frag": int(b[a]), "owners": own[a:z].tobytes(), "tok": tok[a:z].tobytes(), "pos": pos[a:z].tobytes() if pos is not None else b"", "mark": mark[a:z].tobytes()}
 
 
