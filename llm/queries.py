@@ -10,7 +10,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import licenses, mixing, packing, quality, topk, urls
+from llm import jaccard, licenses, lines, mixing, packing, quality, repeats, topk, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,7 +42,10 @@ def _ready(f: Query) -> Query:
 QUERIES: dict[str, Query] = {
     name: _ready(f)
     for name, f in {
+        "op1_ngram_jaccard": jaccard.op1,
+        "op2_line_dedup": lines.op2,
         "op3_quality_rules": quality.op3,
+        "op5_suffix_dedup": repeats.op5,
         "op6_source_mixing": mixing.op6,
         "op7_exact_topk": topk.op7,
         "op8_url_filters": urls.op8,
@@ -52,6 +55,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": jaccard.ORACLE,
     "op6_source_mixing": mixing.ORACLE,
     "op7_exact_topk": topk.ORACLE,
     "op8_url_filters": urls.ORACLE,

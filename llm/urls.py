@@ -46,11 +46,14 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return F.coalesce(*fits)
 
 
-def bloom(listed: DataFrame, column: str = "canon", max_blocks: int = 1 << 20) -> tuple[int, np.ndarray]:
-    """The number of blocks and an array of blocks x 8 words: 16 bits a URL, a power of two, at most max_blocks."""
+def hash_of(column: str) -> Column:
+    return F.xxhash64(F.col(column).cast("binary"))
+
+
+def bloom(listed: DataFrame, h: Column, max_blocks: int = 1 << 20) -> np.ndarray:
+    """An array of blocks x 8 words: 16 bits a row and its 64-bit hash h; blocks are a power of two, at most max_blocks."""
     n = listed.count()
     blocks = 1 << min(max(int(n * 16 / 256), 1).bit_length(), max_blocks.bit_length() - 1)
-    h = F.xxhash64(F.col(column).cast("binary"))
     low = h.bitwiseAND(F.lit(0xFFFFFFFF))
     bits = [F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(low * F.lit(s) % F.lit(1 << 32), 27).cast("int"))).alias(f"w{i}") for i, s in enumerate(SALTS)]
     rows = listed.groupBy(F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(blocks - 1)).cast("int").alias("block")).agg(*bits).toArrow()
@@ -58,25 +61,29 @@ def bloom(listed: DataFrame, column: str = "canon", max_blocks: int = 1 << 20) -
     at = rows.column("block").to_numpy()
     for i in range(8):
         words[at, i] = rows.column(f"w{i}").to_numpy() & 0xFFFFFFFF
-    return blocks, words
+    return words
+
+
+def probed(words: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each hash (uint64)."""
+    block, low = ((u >> np.uint64(40)) & np.uint64(len(words) - 1)).astype(np.int64), u & np.uint64(0xFFFFFFFF)
+    hit = np.ones(len(u), bool)
+    for i, s in enumerate(SALTS):
+        bit = ((low * np.uint64(s)) & np.uint64(0xFFFFFFFF)) >> np.uint64(27)
+        hit &= (words[block, i] >> bit.astype(np.uint32)) & 1 > 0
+    return hit
 
 
-def may_hold(spark: SparkSession, urls: DataFrame, column: str, blocks: int, words: np.ndarray) -> DataFrame:
-    """urls with a boolean column hit: whether the filter may hold the column's value."""
+def may_hold(spark: SparkSession, urls: DataFrame, h: Column, words: np.ndarray) -> DataFrame:
+    """urls with a boolean column hit: whether the filter may hold the hash h."""
     sent = spark.sparkContext.broadcast(words)
 
     def probe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = sent.value
         for b in it:
-            u = b.column("hash").to_numpy().view(np.uint64)
-            block, low = ((u >> np.uint64(40)) & np.uint64(blocks - 1)).astype(np.int64), u & np.uint64(0xFFFFFFFF)
-            hit = np.ones(len(u), bool)
-            for i, s in enumerate(SALTS):
-                bit = ((low * np.uint64(s)) & np.uint64(0xFFFFFFFF)) >> np.uint64(27)
-                hit &= (w[block, i] >> bit.astype(np.uint32)) & 1 > 0
+            hit = probed(sent.value, b.column("hash").to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "hash"), pa.array(hit)], [*(c for c in b.schema.names if c != "hash"), "hit"])
 
-    hashed = urls.withColumn("hash", F.xxhash64(F.col(column).cast("binary")))
+    hashed = urls.withColumn("hash", h)
     kinds = ", ".join(f"`{n}` {t}" for n, t in urls.dtypes)
     return hashed.mapInArrow(probe, f"{kinds}, hit boolean")
 
@@ -88,8 +95,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, s
     p = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     p = p.withColumn("canon", canonical(F.col("host"), F.col("path"))).withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     p = p.select("page_id", "host", "path", "canon", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("verdict"))
-    blocks, words = bloom(listed)
-    p = may_hold(spark, p, "canon", blocks, words)
+    p = may_hold(spark, p, hash_of("canon"), bloom(listed, hash_of("canon")))
     hits = p.where("hit and canon is not null and verdict is null")
     # distinct possible hits meet the list; what is confirmed meets the hits again, salted
     salts = 16
