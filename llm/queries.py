@@ -10,7 +10,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import jaccard, licenses, lines, mixing, packing, quality, repeats, topk, urls
+from llm import jaccard, licenses, lines, mixing, packing, quality, repeats, topk, urls, weaklabels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,7 @@ QUERIES: dict[str, Query] = {
         "op1_ngram_jaccard": jaccard.op1,
         "op2_line_dedup": lines.op2,
         "op3_quality_rules": quality.op3,
+        "op4_weak_label_classifier": weaklabels.op4,
         "op5_suffix_dedup": repeats.op5,
         "op6_source_mixing": mixing.op6,
         "op7_exact_topk": topk.op7,
