@@ -1,8 +1,70 @@
-"""Documents to packed training sequences, stage by stage."""
+"""Documents to packed training sequences: quality rules, line dedup, near duplicates, source mix, packing.
 
-ORACLE_SQL = None
-STAGES = []
+Every stage works on all rows that the one before kept, written as Parquet and read again. Columns are those of
+documents until the last stage; n_chars follows the text. No stage can be put in SQL as a whole (language model,
+SimHash lines, tokenizer), so ORACLE_SQL is None and tests hold run() against a plain version.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):  # noqa: ANN001, ANN201
-    raise NotImplementedError
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from llm import jaccard, lines, mixing, packing, quality
+from llm.common import saved, shipped
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the plain rules and the perplexity bands accept."""
+    shipped(spark)
+    return quality.filtered(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that occur earlier; one that loses all its lines goes."""
+    shipped(spark)
+    left = lines.deduplicated(docs).where("n_lines = 0 or n_removed < n_lines")
+    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near duplicates."""
+    shipped(spark)
+    return jaccard.first_of_each(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    shipped(spark)
+    taken = mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("_doc")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    both = docs.join(taken, docs.doc_id.eqNullSafe(taken["_doc"]))
+    return both.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences."""
+    shipped(spark)
+    return packing.pack(docs, public_tokenizers.path(VOCABULARY))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("source_mix", source_mix),
+    ("pack", pack),
+]
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A packed row holds at most so many tokens; a chunk that reaches it is sent on.
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 #: A token of so many owners in one chunk travels as one marker, its owners stay out of the token's group.
 LOCAL_HOT = 16
 
@@ -48,6 +50,21 @@ def dropped(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def shipped(spark: SparkSession) -> None:
+    """Sends this subpackage to the Python workers, once a context: they need not find it on their own path."""
+    context = spark.sparkContext
+    if getattr(context, "_llm_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(), "llm_modules.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for name in sorted(os.listdir(here)):
+            if name.endswith(".py"):
+                z.write(os.path.join(here, name), f"llm/{name}")
+    context.addPyFile(path)
+    context._llm_shipped = True
+
+
 def fragments(spark: SparkSession) -> int:
     """Fragments of the token order: a power of two, some for each shuffle partition, so they grow with the cluster's setting."""
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.common import BY_OWNER, BY_OWNER_ARROW, PACKED, PACKED_ARROW, Packer, WordHash, batches, bucket_links, components, fragments, joined, owner_rows, same, saved, shared_tokens, shingle_set, texts
+from llm.urls import bloom, may_hold
 
 #: Overlaps of a pair are counted in so many vertical fragments.
 VERTICAL_BITS = 2
@@ -142,6 +143,22 @@ def groups(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
     return per_doc.where("class is not null").join(tops, "class").select("doc_id", "n_shingles", "component_id").union(empty)
 
 
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """docs without those whose group has a smaller doc_id; of repeated rows of a doc_id one stays, rows with a null doc_id all do.
+
+    Only rows that a bounded filter takes for members of groups are shuffled with their text.
+    """
+    spark = docs.sparkSession
+    found = saved(groups(docs).where("doc_id is not null"), "groups")
+    several = found.groupBy("component_id").agg(F.count("*").alias("k")).where("k > 1").select("component_id")
+    members = saved(found.join(several, "component_id").groupBy(F.col("doc_id").alias("_doc")).agg((F.min("component_id") == F.col("_doc")).alias("_first")), "members")
+    named = F.xxhash64(F.col("doc_id").cast("long"))
+    marked = may_hold(spark, docs, named, bloom(members, F.xxhash64("_doc")))
+    hits = marked.where("hit and doc_id is not null").join(members, F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    lead = hits.where("_first").dropDuplicates(["doc_id"])
+    return marked.where("not (hit and doc_id is not null)").select(docs.columns).union(hits.where("_first is null").select(docs.columns)).union(lead.select(docs.columns))
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from llm import jaccard, licenses, lines, mixing, packing, quality, repeats, topk, urls, weaklabels
+from llm.common import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def shipped(spark: SparkSession) -> None:
-    """Sends this subpackage to the Python workers, once a context: they need not find it on their own path."""
-    context = spark.sparkContext
-    if getattr(context, "_llm_shipped", False):
-        return
-    here = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(), "llm_modules.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for name in sorted(os.listdir(here)):
-            if name.endswith(".py"):
-                z.write(os.path.join(here, name), f"llm/{name}")
-    context.addPyFile(path)
-    context._llm_shipped = True
-
-
 def _ready(f: Query) -> Query:
     @wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:

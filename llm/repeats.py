@@ -223,7 +223,7 @@ def regions(flagged: DataFrame, parts: int) -> DataFrame:
                     if len(hot):
                         hot_held.append((full[hot], own[hot], hot - starts[hot]))
                         hot_size += len(hot)
-                        if hot_size >= 2_000_000:
+                        if hot_size >= 600_000:
                             yield from hot_rows(hot_held)
                             hot_held, hot_size = [], 0
                     w = np.flatnonzero(kind == 1)
@@ -236,7 +236,7 @@ def regions(flagged: DataFrame, parts: int) -> DataFrame:
                         for f, o, s, p, e in zip(frag, own[first].tolist(), first.tolist(), (first - starts[first]).tolist(), stop.tolist(), strict=True):
                             held.setdefault(f, []).append((o, p, e - s, raw[s : e - 1 + LENGTH]))
                             size += e - s + LENGTH
-                        if size >= 48 << 20:
+                        if size >= 8 << 20:
                             yield from region_rows(held)
                             held, size = {}, 0
             if hot_held:
