@@ -95,7 +95,7 @@ def _documents(it: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]
 
 
 def anchored(docs: DataFrame, parts: int) -> DataFrame:
-    """Every text's anchors, packed by fragment."""
+    """Every text's anchors, packed by fragment; mixed anew, as anchors are small by choice."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(parts, positions=True)
@@ -111,7 +111,7 @@ def anchored(docs: DataFrame, parts: int) -> DataFrame:
                     first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1])]) if len(at) else at
                     at, num, st = at[first], number[ok[first]], starts[ok[first]]
                     for a, z in spans(num):
-                        if packer.add(docs[num[a]][0], gram[at[a:z]], at[a:z] - st[a]):
+                        if packer.add(docs[num[a]][0], mixed(gram[at[a:z]]), at[a:z] - st[a]):
                             yield from packer.rows()
             yield from packer.rows()
 
@@ -231,7 +231,7 @@ def regions(flagged: DataFrame, parts: int) -> DataFrame:
                         cut = np.flatnonzero(np.r_[True, (at[w[1:]] != at[w[:-1]]) | (w[1:] != w[:-1] + 1)])
                         stop = w[np.r_[cut[1:], len(w)] - 1] + 1
                         first = w[cut]
-                        frag = (gram[at[first]] >> shift).astype(np.int64).tolist()
+                        frag = (mixed(gram[at[first]]) >> shift).astype(np.int64).tolist()
                         raw = b.tobytes()
                         for f, o, s, p, e in zip(frag, own[first].tolist(), first.tolist(), (first - starts[first]).tolist(), stop.tolist(), strict=True):
                             held.setdefault(f, []).append((o, p, e - s, raw[s : e - 1 + LENGTH]))
