@@ -67,7 +67,7 @@ def shipped(spark: SparkSession) -> None:
 
 def fragments(spark: SparkSession) -> int:
     """Fragments of the token order: a power of two, some for each shuffle partition, so they grow with the cluster's setting."""
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return 1 << max(6, min(16, n.bit_length()))
 
 
@@ -75,7 +75,7 @@ class WordHash(dict):
     """Word (bytes) to its 64-bit hash; emptied when large, so that memory stays bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -126,6 +126,18 @@ PACKED = "frag int, hot boolean, owners binary, idx binary, tok binary, pos bina
 BY_OWNER = "frag int, owners binary, tok binary, pos binary, mark binary"
 
 
+def coded(tok: np.ndarray) -> bytes:
+    """Sorted tokens in bytes that compress: differences of the upper halves, byte by byte in planes, then the lower halves."""
+    high = np.diff((tok >> np.uint64(32)).astype(np.uint32), prepend=np.uint32(0)).astype("<u4")
+    return np.ascontiguousarray(high.view(np.uint8).reshape(-1, 4).T).tobytes() + (tok & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+
+
+def decoded(raw: bytes) -> np.ndarray:
+    n = len(raw) // 8
+    high = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n).reshape(4, n).T).view("<u4").ravel()
+    return np.cumsum(high, dtype=np.uint64) << np.uint64(32) | np.frombuffer(raw, "<u4", n, 4 * n).astype(np.uint64)
+
+
 class Packer:
     """Collects (owner, token, position) and gives rows packed by fragment.
 
@@ -173,12 +185,12 @@ class Packer:
             marks = tok[runs[size >= LOCAL_HOT]]
             yield from self._lane(owners[own[hot]], tok[hot], pos[hot] if pos is not None else None)
             for f, a, b in self._cuts(marks):
-                yield {"frag": f, "hot": True, "owners": b"", "idx": b"", "tok": marks[a:b].tobytes(), "pos": b"", "n": b - a}
+                yield {"frag": f, "hot": True, "owners": b"", "idx": b"", "tok": coded(marks[a:b]), "pos": b"", "n": b - a}
             tok, own = tok[~hot], own[~hot]
             pos = pos[~hot] if pos is not None else None
         for f, a, b in self._cuts(tok):
             used, idx = np.unique(own[a:b], return_inverse=True)
-            yield {"frag": f, "hot": False, "owners": owners[used].tobytes(), "idx": idx.astype(np.uint16).tobytes(), "tok": tok[a:b].tobytes(), "pos": pos[a:b].tobytes() if pos is not None else b"", "n": b - a}
+            yield {"frag": f, "hot": False, "owners": owners[used].tobytes(), "idx": idx.astype(np.uint16).tobytes(), "tok": coded(tok[a:b]), "pos": pos[a:b].tobytes() if pos is not None else b"", "n": b - a}
 
     def _cuts(self, tok: np.ndarray) -> list[tuple[int, int, int]]:
         f = (tok >> self.shift).astype(np.int64)
@@ -238,8 +250,9 @@ def shared_tokens(packed: DataFrame, parts: int, positions: bool = False) -> Dat
             out = table.select(["owners", "tok", "pos", "idx"]).rename_columns(["owners", "tok", "pos", "mark"])
             return out.add_column(0, "frag", pa.array([-1 - f for f in table.column("frag").to_pylist()], pa.int32())).cast(BY_OWNER_ARROW)
         plain = table.filter(pa.compute.invert(table.column("hot")))
-        marks = np.unique(joined(table.filter(table.column("hot")).column("tok"), np.uint64))
-        tok = joined(plain.column("tok"), np.uint64)
+        none = [np.zeros(0, np.uint64)]
+        marks = np.unique(np.concatenate(none + [decoded(x) for x in table.filter(table.column("hot")).column("tok").to_pylist()]))
+        tok = np.concatenate(none + [decoded(x) for x in plain.column("tok").to_pylist()])
         own = [np.frombuffer(o, np.int64)[np.frombuffer(i, np.uint16)] for o, i in zip(plain.column("owners").to_pylist(), plain.column("idx").to_pylist(), strict=True)]
         own = np.concatenate(own) if own else np.zeros(0, np.int64)
         pos = joined(plain.column("pos"), np.uint32) if positions else np.zeros(len(tok), np.uint32)
@@ -289,32 +302,41 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
             return labels
 
 
-def bucket_links(members: DataFrame, linked: Callable[[DataFrame], DataFrame], name: str, stars: int = 2) -> DataFrame:
+def with_neighbours(members: DataFrame, near: str, name: str) -> DataFrame:
+    """Of members (bucket, id, others) those with another one near in their bucket."""
+    condition = F.expr(f"x.bucket = y.bucket and x.id <> y.id and {near.format(a='x', b='y')}")
+    return saved(members.alias("x").join(members.alias("y"), condition, "left_semi"), f"{name}-members")
+
+
+def bucket_links(members: DataFrame, near: str, linked: Callable[[DataFrame], DataFrame], name: str, stars: int = 2, trim: bool = True, sharp: tuple[DataFrame, str] | None = None) -> DataFrame:
     """Links that join whatever any two linked members of one bucket would join: (a, b).
 
-    members: (bucket, id long, first double); linked: of candidate pairs (a, b), a <> b, those that are linked.
-    In some rounds every bucket's first member (by first, id) of those not yet with its leaders is held against the
-    others, which settles groups of copies with one pair a member. What is then left in one bucket but apart is held
-    against each other, pair by pair: no link between different components is lost.
+    members: (bucket, id long, first double, others); near: SQL over members {a} and {b}, which linked ones fulfil;
+    linked: of candidate pairs (a, b), a <> b, those that are linked. Members without anyone near in their bucket go
+    first (trim). Then, in some rounds, every bucket's first member (by first, id) is held against the others, which settles
+    groups of copies with one pair a member. What is then left in one bucket but apart is held against each other,
+    if near: no link between different components is lost. sharp: a table by id and a condition over its columns that
+    linked members fulfil too; it is too wide for all members and narrows the last step.
     """
-    spark = members.sparkSession
-    members = saved(members, f"{name}-members")
+    more = [c for c in members.columns if c not in ("bucket", "id", "first")]
+    both = near.format(a="x", b="y")
+    if trim:
+        members = with_neighbours(saved(members, f"{name}-members"), near, name)
+    left = members.withColumn("comp", F.col("id"))
     links: DataFrame | None = None
-    left = members.select("bucket", "id", "first", F.col("id").alias("comp"))
-    for _ in range(stars):
-        lead = left.groupBy("bucket").agg(F.min(F.struct("first", "id", "comp")).alias("l"), F.max("comp").alias("hi"), F.min("comp").alias("lo"))
-        lead = lead.where("lo <> hi").select("bucket", F.col("l.id").alias("a"), F.col("l.comp").alias("lcomp"))
-        pairs = left.join(lead, "bucket").where("comp <> lcomp and id <> a").select("a", F.col("id").alias("b")).distinct()
-        new = saved(linked(pairs), f"{name}-links")
-        links = new if links is None else saved(links.union(new), f"{name}-links")
+    for turn in range(stars):
+        lead = left.groupBy("bucket").agg(F.min(F.struct("first", "id", "comp", *more)).alias("l")).select("bucket", "l.*")
+        pairs = left.alias("x").join(lead.alias("y"), F.expr(f"x.bucket = y.bucket and x.id <> y.id and x.comp <> y.comp and {both}"))
+        new = saved(linked(pairs.selectExpr("y.id as a", "x.id as b").distinct()), f"{name}-links")
+        links = new if links is None else links.union(new)
         comps = components(links, name)
-        # a member with the leader of its bucket stays for the last step only where the bucket has others
-        placed = members.join(comps, "id", "left").select("bucket", "id", "first", F.coalesce("comp", "id").alias("comp"))
+        placed = members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         spread = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        left = saved(placed.join(spread, "bucket"), f"{name}-left")
+        left = placed.join(spread, "bucket").withColumn("first", F.col("first") * (-1) ** (turn + 1))  # another leader than before
+        left = saved(left.select("bucket", "id", "first", *more, "comp"), f"{name}-left")
         if left.isEmpty():
             return links
-        left = left.withColumn("first", -F.col("first"))  # another leader than before
-    x, y = (left.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "comp"))) for s in "ab")
-    pairs = x.join(y, "bucket").where("comp_a < comp_b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-    return saved(links.union(linked(pairs)), f"{name}-links")
+    if sharp:
+        left, both = left.join(sharp[0], "id"), f"{both} and {sharp[1].format(a='x', b='y')}"
+    pairs = left.alias("x").join(left.alias("y"), F.expr(f"x.bucket = y.bucket and x.comp < y.comp and {both}"))
+    return links.union(saved(linked(pairs.selectExpr("x.id as a", "y.id as b").distinct()), f"{name}-links"))

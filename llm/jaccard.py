@@ -8,7 +8,8 @@ fragment on its own and summed per pair, which gives the exact intersection.
 
 Texts with equal sets are one class from the start. Within a prefix n-gram the class with the fewest n-grams of its
 own is held against the others, so a group of near copies costs one pair a member; only classes that stay apart in
-the same n-gram are then held against each other (bucket_links). N-grams that many texts of one chunk share don't
+the same n-gram are then held against each other (bucket_links), and of these only pairs whose bitmaps don't already
+differ in more places than the sets may. N-grams that many texts of one chunk share don't
 gather in their fragment: a marker goes there, the entries return to their texts.
 
 n-grams are 64-bit hashes. A null or empty text, or one without words, has an empty set and links with nothing. A null
@@ -31,6 +32,8 @@ from llm.urls import bloom, may_hold
 
 #: Overlaps of a pair are counted in so many vertical fragments.
 VERTICAL_BITS = 2
+#: Words of 64 bits in a set's bitmap.
+BITMAP = 32
 
 
 def _sets(b: pa.RecordBatch, words: WordHash, size: int) -> Iterator[tuple[np.ndarray, int | None]]:
@@ -101,16 +104,21 @@ def survivors(shared: DataFrame, sizes: DataFrame, parts: int, percent: int) ->
         place = np.arange(len(own)) - np.repeat(starts, count + 1) - 1
         first = at & (place < np.repeat(prefix, count + 1))
         lists = [pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(k)], pa.int64()), pa.array(tok[m].view(np.int64))).cast(pa.list_(pa.int64())) for m, k in ((first, np.minimum(prefix, count)[live]), (at, count[live]))]
-        return pa.table({"id": own[starts][live], "n": n[live], "own": alone[live], "prefix": lists[0], "toks": lists[1]})
+        # bit h of a set's bitmap: an odd number of its shared n-grams have the hash h
+        bit = np.zeros((int(live.sum()), 64 * BITMAP), np.uint8)
+        np.bitwise_xor.at(bit, ((np.cumsum(live) - 1).repeat(count + 1)[at], (tok[at] >> np.uint64(7)).astype(np.int64) % (64 * BITMAP)), 1)
+        bits = np.packbits(bit, axis=1, bitorder="little").view(np.int64).ravel()
+        lists.append(pa.LargeListArray.from_arrays(pa.array(np.arange(len(bit) + 1) * BITMAP), pa.array(bits)).cast(pa.list_(pa.int64())))
+        return pa.table({"id": own[starts][live], "n": n[live], "own": alone[live], "prefix": lists[0], "toks": lists[1], "bits": lists[2]})
 
     sized = sizes.mapInArrow(size_rows, BY_OWNER)
-    return shared.union(sized).groupBy("frag").applyInArrow(assemble, "id long, n long, own long, prefix array<long>, toks array<long>")
+    return shared.union(sized).groupBy("frag").applyInArrow(assemble, "id long, n long, own long, prefix array<long>, toks array<long>, bits array<long>")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) those with 100 * intersection >= percent * union: partial overlaps for each vertical fragment, summed per pair."""
     size = {s: sets.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}")) for s in "ab"}
-    near = pairs.join(size["a"], "a").join(size["b"], "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    near = pairs.join(size["a"], "a").join(size["b"], "b")
 
     def fragment(i: int) -> Column:
         return F.filter("toks", lambda t: F.shiftrightunsigned(t, 64 - VERTICAL_BITS) == i)
@@ -132,8 +140,14 @@ def groups(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
     sizes = per_doc.where("class is not null").groupBy("class").agg(F.max("n_shingles").alias("n"), F.min("doc_id").alias("least"))
     shared = shared_tokens(packed(docs, parts, size), parts)
     live = saved(survivors(shared, sizes.select("class", "n"), parts, percent), "survivors")
-    members = live.select(F.explode("prefix").alias("bucket"), "id", (F.col("own") / F.col("n")).alias("first"))
-    links = bucket_links(members, lambda p: overlaps(p, live, percent), "jaccard")
+    # 100 * (n - own) >= percent * (n + m - (n - own)) bounds a partner's size m
+    most = F.floor((F.col("n") - F.col("own")) * (100 + percent) / percent).cast("long") - F.col("n")
+    members = live.select(F.explode("prefix").alias("bucket"), "id", (F.col("own") / F.col("n")).alias("first"), "n", F.ceil(F.col("n") * percent / 100).cast("long").alias("lo"), most.alias("hi"))
+    # sets differ at least where their bitmaps do, and by their own n-grams: size of the difference <= share of both sizes
+    apart = " + ".join(f"bit_count({{a}}.b{i} ^ {{b}}.b{i})" for i in range(BITMAP))
+    bitmaps = live.select("id", "own", *(F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITMAP)))
+    sharp = f"({apart} + {{a}}.own + {{b}}.own) * {100 + percent} <= ({{a}}.n + {{b}}.n) * {100 - percent}"
+    links = bucket_links(members, "{a}.n between {b}.lo and {b}.hi and {b}.n between {a}.lo and {a}.hi", lambda p: overlaps(p, live, percent), "jaccard", sharp=(bitmaps, sharp))
     comps = components(links, "jaccard")
     named = comps.join(sizes.select(F.col("class").alias("id"), "least"), "id")
     least = named.groupBy("comp").agg(F.min("least").alias("top"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import PACKED, PACKED_ARROW, Packer, WordHash, batches, bucket_links, components, fragments, mixed, saved, shared_tokens, texts
+from llm.common import PACKED, PACKED_ARROW, Packer, WordHash, batches, bucket_links, components, fragments, mixed, saved, shared_tokens, texts, with_neighbours
 from llm.urls import bloom, probed
 
 MIN_WORDS, BITS_APART, NOT_ALIKE = 3, 3, 10  # distance * NOT_ALIKE <= longer length
@@ -56,8 +56,8 @@ def simhashes(lines: list[list[bytes]], words: WordHash) -> np.ndarray:
     return out
 
 
-LINES = "line long, sim long, n long, doc long, no int, docs binary, nos binary, body string"
-LINES_ARROW = pa.schema([("line", pa.int64()), ("sim", pa.int64()), ("n", pa.int64()), ("doc", pa.int64()), ("no", pa.int32()), ("docs", pa.binary()), ("nos", pa.binary()), ("body", pa.string())])
+LINES = "line long, sim long, size int, n long, doc long, no int, docs binary, nos binary, body string"
+LINES_ARROW = pa.schema([("line", pa.int64()), ("sim", pa.int64()), ("size", pa.int32()), ("n", pa.int64()), ("doc", pa.int64()), ("no", pa.int32()), ("docs", pa.binary()), ("nos", pa.binary()), ("body", pa.string())])
 
 
 def lines(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
@@ -71,19 +71,19 @@ def lines(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
         words, passed = WordHash(), sent.value
 
         def rows(found: dict[bytes, list[tuple[int, int]]]) -> Iterator[dict]:
-            if not found:
-                return
-            bodies = list(found)
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, bodies), np.uint64, len(bodies))
-            if passed is not None:
-                keep = np.flatnonzero(probed(passed, h))
-                bodies, h = [bodies[i] for i in keep], h[keep]
-            sims = simhashes([b.split() for b in bodies], words).view(np.int64).tolist()
-            for b, line, sim in zip(bodies, h.view(np.int64).tolist(), sims, strict=True):
-                places = found[b]
-                doc, no = min(places)
+            every = list(found)
+            for at in range(0, len(every), 2000):
+                bodies = every[at : at + 2000]
+                h = np.fromiter(map(xxhash.xxh3_64_intdigest, bodies), np.uint64, len(bodies))
                 full = passed is not None
-                yield {"line": line, "sim": sim, "n": len(places), "doc": doc, "no": no, "docs": np.array([p[0] for p in places], np.int64).tobytes() if full else b"", "nos": np.array([p[1] for p in places], np.int32).tobytes() if full else b"", "body": b.decode("utf-8", "replace") if full else ""}
+                if full:
+                    keep = np.flatnonzero(probed(passed, h))
+                    bodies, h = [bodies[i] for i in keep], h[keep]
+                sims = simhashes([b.split() for b in bodies], words).view(np.int64).tolist()
+                for b, line, sim in zip(bodies, h.view(np.int64).tolist(), sims, strict=True):
+                    places, text = found[b], b.decode("utf-8", "replace")
+                    doc, no = min(places)
+                    yield {"line": line, "sim": sim, "size": len(text), "n": len(places), "doc": doc, "no": no, "docs": np.array([p[0] for p in places], np.int64).tobytes() if full else b"", "nos": np.array([p[1] for p in places], np.int32).tobytes() if full else b"", "body": text if full else ""}
 
         found: dict[bytes, list[tuple[int, int]]] = {}
         for b in it:
@@ -92,7 +92,7 @@ def lines(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
                     w = normal(line)
                     if len(w) >= MIN_WORDS:
                         found.setdefault(b" ".join(w), []).append((LAST if doc is None else doc, no))
-                if len(found) > 100_000:
+                if len(found) > 50_000:
                     yield from batches(rows(found), LINES_ARROW)
                     found = {}
         yield from batches(rows(found), LINES_ARROW)
@@ -142,12 +142,15 @@ def meetings(distinct: DataFrame, n: int, parts: int) -> DataFrame:
     return shared_tokens(distinct.select("line", "sim").mapInArrow(run, PACKED), parts).mapInArrow(unpack, "bucket long, id long, first double").distinct()
 
 
+#: What linked lines fulfil; the rest is up to the distance.
+NEAR = f"bit_count({{a}}.sim ^ {{b}}.sim) <= {BITS_APART} and abs({{a}}.size - {{b}}.size) * {NOT_ALIKE} <= greatest({{a}}.size, {{b}}.size)"
+
+
 def alike(pairs: DataFrame, forms: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of lines those that link. forms: (line, sim, body)."""
-    x, y = (forms.select(F.col("line").alias(s), F.col("sim").alias(f"sim_{s}"), F.col("body").alias(f"body_{s}")) for s in "ab")
-    near = pairs.join(x.select("a", "sim_a"), "a").join(y.select("b", "sim_b"), "b").where(F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= BITS_APART).select("a", "b")
-    both = near.join(x, "a").join(y, "b").withColumn("most", F.expr(f"cast(floor(greatest(length(body_a), length(body_b)) / {NOT_ALIKE}) as int)"))
-    return both.where("abs(length(body_a) - length(body_b)) <= most").where("levenshtein(body_a, body_b, most) >= 0").select("a", "b")
+    """Of near pairs (a, b) of lines those that link. forms: (line, body)."""
+    x, y = (forms.select(F.col("line").alias(s), F.col("body").alias(f"body_{s}")) for s in "ab")
+    both = pairs.join(x, "a").join(y, "b").withColumn("most", F.expr(f"cast(floor(greatest(length(body_a), length(body_b)) / {NOT_ALIKE}) as int)"))
+    return both.where("levenshtein(body_a, body_b, most) >= 0").select("a", "b")
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -155,13 +158,15 @@ def removals(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = fragments(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    distinct = saved(lines(docs).groupBy("line", "sim").agg(F.sum("n").alias("n")), "lines")
-    met = saved(meetings(distinct, distinct.count(), parts), "meetings")
-    wanted = distinct.where("n > 1").select("line").union(met.select(F.col("id").alias("line"))).distinct()
+    distinct = saved(lines(docs).groupBy("line", "sim", "size").agg(F.sum("n").alias("n")), "lines")
+    met = meetings(distinct, distinct.count(), parts).join(distinct.select(F.col("line").alias("id"), "sim", "size"), "id")
+    met = saved(met, "meetings")
+    met = with_neighbours(met, NEAR, "lines")
+    lone = met.select(F.col("id").alias("line")).distinct()
+    wanted = distinct.where("n > 1").select("line").union(lone).distinct()
     held = saved(lines(docs, bloom(wanted, F.col("line"))), "held")
-    forms = held.groupBy("line", "sim").agg(F.min("body").alias("body"))
-    met_forms = saved(forms.join(met.select(F.col("id").alias("line")).distinct(), "line"), "forms")
-    links = bucket_links(met, lambda p: alike(p, met_forms), "lines")
+    forms = saved(held.groupBy("line").agg(F.min("body").alias("body")).join(lone, "line"), "forms")
+    links = bucket_links(met, NEAR, lambda p: alike(p, forms), "lines", 1, trim=False)
     comps = components(links, "lines")
     first = held.groupBy("line").agg(F.min(F.struct("doc", "no")).alias("f"), F.sum("n").alias("n")).join(comps.withColumnRenamed("id", "line"), "line", "left").withColumn("comp", F.coalesce("comp", "line"))
     top = first.groupBy("comp").agg(F.min("f").alias("keep"), F.sum("n").alias("total")).where("total > 1")

@@ -120,7 +120,7 @@ class Features(dict):
     """Word (bytes) to its two hashed features: itself, folded, and its shape."""
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         shape = word.translate(_SHAPE)
         short = bytes(c for i, c in enumerate(shape) if not i or shape[i - 1] != c)
