@@ -75,7 +75,7 @@ class WordHash(dict):
     """Word (bytes) to its 64-bit hash; emptied when large, so that memory stays bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -111,6 +111,13 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None]:
     return batch.column(column).cast(pa.large_binary()).to_pylist()
 
 
+def small(it: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few texts are Python objects at a time."""
+    for b in it:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def same(a: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal values in a sorted array."""
     return np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, np.int64)

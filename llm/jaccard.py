@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import BY_OWNER, BY_OWNER_ARROW, PACKED, PACKED_ARROW, Packer, WordHash, batches, bucket_links, components, fragments, joined, owner_rows, same, saved, shared_tokens, shingle_set, texts
+from llm.common import BY_OWNER, BY_OWNER_ARROW, PACKED, PACKED_ARROW, Packer, WordHash, batches, bucket_links, components, fragments, joined, owner_rows, same, saved, shared_tokens, shingle_set, small, texts
 from llm.urls import bloom, may_hold
 
 #: Overlaps of a pair are counted in so many vertical fragments.
@@ -48,7 +48,7 @@ def classes(docs: DataFrame, size: int = 5) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
-        for b in it:
+        for b in small(it):
             n, c = [], []
             for s, k in _sets(b, words, size):
                 n.append(len(s))
@@ -64,7 +64,7 @@ def packed(docs: DataFrame, parts: int, size: int = 5) -> DataFrame:
 
         def rows() -> Iterator[dict]:
             seen: set[int] = set()
-            for b in it:
+            for b in small(it):
                 for s, k in _sets(b, words, size):
                     if k is None or k in seen:
                         continue

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import PACKED, PACKED_ARROW, Packer, WordHash, batches, bucket_links, components, fragments, mixed, saved, shared_tokens, texts, with_neighbours
+from llm.common import PACKED, PACKED_ARROW, Packer, WordHash, batches, bucket_links, components, fragments, mixed, saved, shared_tokens, small, texts, with_neighbours
 from llm.urls import bloom, probed
 
 MIN_WORDS, BITS_APART, NOT_ALIKE = 3, 3, 10  # distance * NOT_ALIKE <= longer length
@@ -38,24 +38,67 @@ def normal(line: bytes) -> list[bytes]:
     return line.translate(_NORMAL).split()
 
 
+#: A byte's bits as bytes of a word of 64 bits.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def features(words: list[bytes]) -> list[bytes]:
+    """The distinct words of more than three bytes, which very common words would else outweigh; all words if none is."""
+    return [*({w for w in words if len(w) > 3} or set(words))]
+
+
 def simhashes(lines: list[list[bytes]], words: WordHash) -> np.ndarray:
-    """64-bit SimHash of each list of words: bit by bit what most words' hashes have."""
-    out, at = np.zeros(len(lines), np.uint64), 0
-    while at < len(lines):
-        end, n = at, 0
-        while end < len(lines) and (n < 100_000 or end == at):
-            n += len(lines[end])
-            end += 1
-        part = lines[at:end]
-        size = np.array([len(x) for x in part])
-        h = mixed(words.of([w for x in part for w in x]))
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, np.cumsum(size) - size, axis=0, dtype=np.int32)
-        out[at:end] = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-        at = end
+    """64-bit SimHash of each list of words: bit by bit what most features' hashes have."""
+    out = np.zeros(len(lines), np.uint64)
+    found = [features(x) for x in lines]
+    long = {i for i, x in enumerate(found) if len(x) > 255}
+    at = [i for i in range(len(lines)) if i not in long]
+    if at:
+        size = np.array([len(found[i]) for i in at])
+        h = mixed(words.of([w for i in at for w in found[i]]))
+        # eight counters in each word of 64 bits
+        ones = np.add.reduceat(_SPREAD[h.view(np.uint8).reshape(-1, 8)], np.cumsum(size) - size, axis=0).view(np.uint8).reshape(len(at), 64)
+        out[at] = np.packbits(2 * ones.astype(np.int32) > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    for i in long:
+        ones = np.unpackbits(mixed(words.of(found[i])).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[i] = np.packbits(2 * ones > len(found[i]), bitorder="little").view(np.uint64)[0]
     return out
 
 
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is most or less: what both begin and end with goes, Myers' bit vectors tell the rest."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    n, lo, hi = min(len(a), len(b)), 0, min(len(a), len(b))
+    while lo < hi:  # the longest common start
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[:mid] == b[:mid] else (lo, mid - 1)
+    a, b, n = a[lo:], b[lo:], n - lo
+    lo, hi = 0, n
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[len(a) - mid :] == b[len(b) - mid :] else (lo, mid - 1)
+    a, b = a[: len(a) - lo], b[: len(b) - lo]
+    if not a or not b:
+        return len(a) + len(b) <= most
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full, last, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = full, 0
+    for j, c in enumerate(b):
+        eq = where.get(c, 0)
+        x = eq | down
+        d = (((eq & up) + up) ^ up) | eq
+        h_up, h_down = down | (full & ~(d | up)), up & d
+        score += bool(h_up & last) - bool(h_down & last)
+        if score - (len(b) - 1 - j) > most:
+            return False
+        h_up, h_down = (h_up << 1 | 1) & full, h_down << 1 & full
+        up, down = h_down | (full & ~(x | h_up)), h_up & x
+    return score <= most
+
+
 LINES = "line long, sim long, size int, n long, doc long, no int, docs binary, nos binary, body string"
 LINES_ARROW = pa.schema([("line", pa.int64()), ("sim", pa.int64()), ("size", pa.int32()), ("n", pa.int64()), ("doc", pa.int64()), ("no", pa.int32()), ("docs", pa.binary()), ("nos", pa.binary()), ("body", pa.string())])
 
@@ -86,13 +129,13 @@ def lines(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
                     yield {"line": line, "sim": sim, "size": len(text), "n": len(places), "doc": doc, "no": no, "docs": np.array([p[0] for p in places], np.int64).tobytes() if full else b"", "nos": np.array([p[1] for p in places], np.int32).tobytes() if full else b"", "body": text if full else ""}
 
         found: dict[bytes, list[tuple[int, int]]] = {}
-        for b in it:
+        for b in small(it):
             for doc, text in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
                 for no, line in enumerate((text or b"").split(b"\n")):
                     w = normal(line)
                     if len(w) >= MIN_WORDS:
                         found.setdefault(b" ".join(w), []).append((LAST if doc is None else doc, no))
-                if len(found) > 50_000:
+                if len(found) > 20_000:
                     yield from batches(rows(found), LINES_ARROW)
                     found = {}
         yield from batches(rows(found), LINES_ARROW)
@@ -149,8 +192,13 @@ NEAR = f"bit_count({{a}}.sim ^ {{b}}.sim) <= {BITS_APART} and abs({{a}}.size - {
 def alike(pairs: DataFrame, forms: DataFrame) -> DataFrame:
     """Of near pairs (a, b) of lines those that link. forms: (line, body)."""
     x, y = (forms.select(F.col("line").alias(s), F.col("body").alias(f"body_{s}")) for s in "ab")
-    both = pairs.join(x, "a").join(y, "b").withColumn("most", F.expr(f"cast(floor(greatest(length(body_a), length(body_b)) / {NOT_ALIKE}) as int)"))
-    return both.where("levenshtein(body_a, body_b, most) >= 0").select("a", "b")
+
+    def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ok = [within(s, t, max(len(s), len(t)) // NOT_ALIKE) for s, t in zip(b.column("body_a").to_pylist(), b.column("body_b").to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "body_a", "body_b").mapInArrow(check, "a long, b long")
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -193,7 +241,7 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     both = keyed.join(gone.select(F.col("doc").alias("_doc"), F.col("nos").alias("_nos")), "_doc", "left").select(*names, "_nos")
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in small(it):
             body, sizes, drops = [], [], []
             for t, nos in zip(texts(b, text), b.column("_nos").to_pylist(), strict=True):
                 all_ = [] if t is None else t.split(b"\n")

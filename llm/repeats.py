@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import PACKED, PACKED_ARROW, Packer, batches, bucket_of, fragments, joined, mixed, same, saved, shared_tokens, spans, texts
+from llm.common import PACKED, PACKED_ARROW, Packer, batches, bucket_of, fragments, joined, mixed, same, saved, shared_tokens, small, spans, texts
 from llm.urls import bloom, may_hold
 
 LENGTH, GRAM = 100, 32
@@ -90,7 +90,7 @@ def stretches(rows: list[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def _documents(it: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, bytes]]]:
-    for b in it:
+    for b in small(it):
         yield [(d, t) for d, t in zip(b.column("doc_id").to_pylist(), texts(b), strict=True) if t and len(t) >= LENGTH]
 
 
@@ -202,7 +202,7 @@ def regions(flagged: DataFrame, parts: int) -> DataFrame:
 
         def rows() -> Iterator[dict]:
             hot_held, hot_size, held, size = [], 0, {}, 0
-            for batch in it:
+            for batch in small(it):
                 docs = list(zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True))
                 marks = [(np.frombuffer(p, np.uint32).astype(np.int64), np.frombuffer(h, np.uint8)) for p, h in zip(batch.column("pos").to_pylist(), batch.column("hot").to_pylist(), strict=True)]
                 for b, whole, number, starts in stretches(docs):
@@ -289,7 +289,7 @@ def gathered(table: pa.Table) -> pa.Table:
 
 def cut_out(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, digest, n_removed, n_spans, kept) of texts and their runs: a run covers from its start to LENGTH - 1 beyond its last window's."""
-    for b in it:
+    for b in small(it):
         out = []
         for d, g, t, s, e in zip(b.column("doc_id").to_pylist(), b.column("digest").to_pylist(), texts(b), b.column("start").to_pylist(), b.column("stop").to_pylist(), strict=True):
             start, stop = np.frombuffer(s, np.uint32).astype(np.int64), np.frombuffer(e, np.uint32).astype(np.int64) + LENGTH - 1
