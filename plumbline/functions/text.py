@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.numbers import Name, col
 
@@ -181,7 +182,7 @@ def code_block(text: Name) -> Column:
     return F.trim(F.when(x.rlike(r"(?s)```.*?```"), fence).when(start != "", start).otherwise(x), F.lit(" \n\t\r"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def parseable(code: pd.Series) -> pd.Series:
     """Code without the trailing lines that keep it from parsing; unchanged if nothing parses."""
     import ast

@@ -26,7 +26,7 @@ def joined(verifier: DataFrame, exploit: DataFrame, hybrid: DataFrame, difficult
 
 def dimensions() -> dict[str, Column]:
     """Each dimension of a row of joined(), null where its source has no such task."""
-    return {"verifier": F.col("v_score"), "exploit": F.lit(1.0) - F.col("exploit_rate"), "hybrid": F.col("h_f1"), "difficulty": F.least(F.col("gradient_signal") / F.lit(0.25), F.lit(1.0))}
+    return {"verifier": F.col("v_score"), "exploit": F.lit(1.0) - F.col("exploit_rate"), "hybrid": F.col("h_f1"), "difficulty": F.when(F.col("gradient_signal").isNotNull(), F.least(F.col("gradient_signal") / F.lit(0.25), F.lit(1.0)))}
 
 
 def eqs(values: Mapping[str, Column], weights: Mapping[str, float] = WEIGHTS) -> Column:

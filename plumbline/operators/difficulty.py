@@ -40,7 +40,7 @@ def from_lists(submissions: DataFrame, targets: DataFrame | None = None) -> Data
 
 
 def clamped(rate: Column) -> Column:
-    return F.least(F.greatest(rate, F.lit(0.0)), F.lit(1.0))
+    return F.when(rate.isNotNull(), F.least(F.greatest(rate, F.lit(0.0)), F.lit(1.0)))
 
 
 def tier(rate: Column) -> Column:

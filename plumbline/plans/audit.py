@@ -239,7 +239,7 @@ se AS (SELECT l_partkey AS instance_id, avg(verifier_pass::INT) AS exploit_rate
 {confusion_sql('l_partkey')}, rates AS (SELECT k, {RATES_SQL} FROM conf WHERE k % 5 <> 0), sh AS (SELECT k AS instance_id, f1 AS h_f1, fpr AS h_fpr, fnr AS h_fnr FROM rates),
 {SPREAD}, sd AS (SELECT instance_id, round(solve_rate * (1 - solve_rate) + 1e-9::DOUBLE, 4) AS gradient_signal, {TIER} AS difficulty_tier FROM rate WHERE instance_id % 7 <> 0),
 src AS (SELECT * FROM sv FULL JOIN se USING (instance_id) FULL JOIN sh USING (instance_id) FULL JOIN sd USING (instance_id)),
-dims AS (SELECT *, v_score AS dv, 1 - exploit_rate AS de, h_f1 AS dh, least(gradient_signal / 0.25::DOUBLE, 1) AS dd FROM src),
+dims AS (SELECT *, v_score AS dv, 1 - exploit_rate AS de, h_f1 AS dh, CASE WHEN gradient_signal IS NOT NULL THEN least(gradient_signal / 0.25::DOUBLE, 1) END AS dd FROM src),
 eq AS (SELECT *, round(coalesce((coalesce(dv * 0.35::DOUBLE, 0) + coalesce(de * 0.30::DOUBLE, 0) + coalesce(dh * 0.20::DOUBLE, 0) + coalesce(dd * 0.15::DOUBLE, 0))
   / nullif(CASE WHEN dv IS NULL THEN 0 ELSE 0.35::DOUBLE END + CASE WHEN de IS NULL THEN 0 ELSE 0.30::DOUBLE END + CASE WHEN dh IS NULL THEN 0 ELSE 0.20::DOUBLE END + CASE WHEN dd IS NULL THEN 0 ELSE 0.15::DOUBLE END, 0), 0) + 1e-9::DOUBLE, 4) AS eqs FROM dims),
 weak AS (
