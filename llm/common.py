@@ -245,11 +245,12 @@ def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def shared_tokens(packed: DataFrame, parts: int, positions: bool = False) -> DataFrame:
+def shared_tokens(packed: DataFrame, parts: int, positions: bool = False, apart: int | None = None) -> DataFrame:
     """Of packed (owner, token, position): the entries of tokens with two entries of different owners or positions.
 
     One group is one fragment of the token order. The rows that come back are packed by the owners' buckets; mark is
     the token's number of entries, 255 at most, and 255 for tokens that were hot in some chunk, wherever they are.
+    apart: positions are bits; a token's only two entries go if theirs differ in more.
     """
 
     def fragment(table: pa.Table) -> pa.Table:
@@ -279,6 +280,9 @@ def shared_tokens(packed: DataFrame, parts: int, positions: bool = False) -> Dat
         size = np.diff(np.r_[runs, len(tok)])
         hot = np.isin(tok[runs], marks)
         keep = (size > 1) | hot
+        if apart is not None:
+            two = np.flatnonzero((size == 2) & ~hot)
+            keep[two] = np.bitwise_count(pos[runs[two]] ^ pos[runs[two] + 1]) <= apart
         mark = np.repeat(np.where(hot, 255, np.minimum(size, 254)).astype(np.uint8), size)
         few = np.repeat(keep, size)
         rows = owner_rows(own[few], tok[few], pos[few] if positions else None, mark[few], parts)

@@ -168,9 +168,9 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     members = saved(found.join(several, "component_id").groupBy(F.col("doc_id").alias("_doc")).agg((F.min("component_id") == F.col("_doc")).alias("_first")), "members")
     named = F.xxhash64(F.col("doc_id").cast("long"))
     marked = may_hold(spark, docs, named, bloom(members, F.xxhash64("_doc")))
-    hits = marked.where("hit and doc_id is not null").join(members, F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    hits = marked.where("_hit and doc_id is not null").join(members, F.col("doc_id").cast("long") == F.col("_doc"), "left")
     lead = hits.where("_first").dropDuplicates(["doc_id"])
-    return marked.where("not (hit and doc_id is not null)").select(docs.columns).union(hits.where("_first is null").select(docs.columns)).union(lead.select(docs.columns))
+    return marked.where("not (_hit and doc_id is not null)").select(docs.columns).union(hits.where("_first is null").select(docs.columns)).union(lead.select(docs.columns))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

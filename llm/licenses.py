@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import texts
+from llm.common import small, texts
 
 #: phrase and label
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -56,7 +56,7 @@ def frequencies(docs: DataFrame, tokens: set[tuple[bytes, bytes]]) -> dict[tuple
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = [0] * len(names)
-        for b in it:
+        for b in small(it):
             for text in texts(b):
                 clean = (text or b"").translate(_CLEAN)
                 if firsts.isdisjoint(clean.split()):
@@ -123,7 +123,7 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, template
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
         starts = {p[0] for p, _ in wanted} | index.firsts
-        for b in it:
+        for b in small(it):
             out = []
             for text in texts(b):
                 clean = (text or b"").translate(_CLEAN)

@@ -1,7 +1,7 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence a connected group.
 
 A line's normal form has lower-case ASCII letters, 0 for digits and single spaces for all other ASCII. Two normal
-forms link when they are equal, or when their 64-bit SimHashes (over words) differ in at most BITS_APART bits and their
+forms link when they are equal, or when their 64-bit SimHashes (over words of more than three bytes) differ in at most BITS_APART bits and their
 edit similarity (1 - distance / longer length) is 0.9 or more. SimHashes that close agree in m - BITS_APART of m blocks,
 so lines meet by every choice of so many blocks; m grows with the number of lines so that keys stay rare, which changes
 the cost but never a result. Of each connected group the occurrence with the smallest (doc_id, line number) stays.
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import PACKED, PACKED_ARROW, Packer, WordHash, batches, bucket_links, components, fragments, mixed, saved, shared_tokens, small, texts, with_neighbours
+from llm.common import PACKED, PACKED_ARROW, Packer, batches, bucket_links, components, fragments, mixed, saved, shared_tokens, small, texts, with_neighbours
 from llm.urls import bloom, probed
 
 MIN_WORDS, BITS_APART, NOT_ALIKE = 3, 3, 10  # distance * NOT_ALIKE <= longer length
@@ -42,29 +42,63 @@ def normal(line: bytes) -> list[bytes]:
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def features(words: list[bytes]) -> list[bytes]:
-    """The distinct words of more than three bytes, which very common words would else outweigh; all words if none is."""
-    return [*({w for w in words if len(w) > 3} or set(words))]
-
-
-def simhashes(lines: list[list[bytes]], words: WordHash) -> np.ndarray:
-    """64-bit SimHash of each list of words: bit by bit what most features' hashes have."""
-    out = np.zeros(len(lines), np.uint64)
-    found = [features(x) for x in lines]
-    long = {i for i, x in enumerate(found) if len(x) > 255}
-    at = [i for i in range(len(lines)) if i not in long]
-    if at:
-        size = np.array([len(found[i]) for i in at])
-        h = mixed(words.of([w for i in at for w in found[i]]))
-        # eight counters in each word of 64 bits
-        ones = np.add.reduceat(_SPREAD[h.view(np.uint8).reshape(-1, 8)], np.cumsum(size) - size, axis=0).view(np.uint8).reshape(len(at), 64)
-        out[at] = np.packbits(2 * ones.astype(np.int32) > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    for i in long:
-        ones = np.unpackbits(mixed(words.of(found[i])).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out[i] = np.packbits(2 * ones > len(found[i]), bitorder="little").view(np.uint64)[0]
+#: Powers of an odd number and of its inverse, modulo 2 ** 64.
+_STRETCH, _ODD = 1 << 19, 0x9E3779B97F4A7C15
+_POWER = np.multiply.accumulate(np.r_[np.uint64(1), np.full(_STRETCH, _ODD, np.uint64)])
+_INVERSE = np.multiply.accumulate(np.r_[np.uint64(1), np.full(_STRETCH, pow(_ODD, -1, 1 << 64), np.uint64)])
+_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def word_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each word b[start:end], of at most _STRETCH bytes in all: what a polynomial adds up to between its ends."""
+    total = np.r_[np.uint64(0), np.cumsum(_VALUE[b] * _POWER[: len(b)], dtype=np.uint64)]
+    return mixed((total[end] - total[start]) * _INVERSE[start])
+
+
+def simhashes(bodies: list[bytes]) -> np.ndarray:
+    """64-bit SimHash of each normal form: bit by bit what most words of more than three bytes have, which very common
+    words would else outweigh; of all words where there is none."""
+    out, at = np.zeros(len(bodies), np.uint64), 0
+    while at < len(bodies):
+        end, n = at, 0
+        while end < len(bodies) and (n + len(bodies[end]) < _STRETCH - 1 or end == at):
+            n += len(bodies[end]) + 1
+            end += 1
+        out[at:end] = _simhash(bodies[at:end]) if n < _STRETCH else _long(bodies[at])
+        at = end
     return out
 
 
+def _simhash(bodies: list[bytes]) -> np.ndarray:
+    b = np.frombuffer(b"\n".join(bodies) + b"\n", np.uint8)
+    stop = np.flatnonzero((b == 32) | (b == 10))
+    start = np.r_[0, stop[:-1] + 1]
+    line = np.r_[0, np.cumsum(b[stop[:-1]] == 10)]
+    use = stop - start > 3
+    bare = np.bincount(line[use], minlength=len(bodies)) == 0
+    use |= bare[line]
+    start, stop, line = start[use], stop[use], line[use]
+    bits = _SPREAD[word_hashes(b, start, stop).view(np.uint8).reshape(-1, 8)]
+    cut = np.searchsorted(line, np.arange(len(bodies)))
+    size = np.diff(np.r_[cut, len(line)])
+    ones = np.add.reduceat(bits, cut, axis=0).view(np.uint8).reshape(-1, 64).astype(np.int32)  # eight counters in each 64 bits
+    for i in np.flatnonzero(size > 255):
+        ones[i] = bits[cut[i] : cut[i] + size[i]].view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def _long(body: bytes) -> np.ndarray:
+    """The same of one very long line, stretch by stretch; a word that is longer than a stretch counts by its start."""
+    words = body.split(b" ")
+    words, ones = [w for w in words if len(w) > 3] or words, np.zeros(64, np.int64)
+    for i in range(0, len(words), 1000):
+        part = [w[: _STRETCH // 1001] for w in words[i : i + 1000]]
+        b = np.frombuffer(b" ".join(part) + b" ", np.uint8)
+        stop = np.cumsum([len(w) + 1 for w in part]) - 1
+        ones += _SPREAD[word_hashes(b, np.r_[0, stop[:-1] + 1], stop).view(np.uint8).reshape(-1, 8)].view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(words), bitorder="little").view(np.uint64)
+
+
 def within(a: str, b: str, most: int) -> bool:
     """Whether the edit distance is most or less: what both begin and end with goes, Myers' bit vectors tell the rest."""
     if abs(len(a) - len(b)) > most:
@@ -111,7 +145,7 @@ def lines(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(only)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, passed = WordHash(), sent.value
+        passed = sent.value
 
         def rows(found: dict[bytes, list[tuple[int, int]]]) -> Iterator[dict]:
             every = list(found)
@@ -122,7 +156,7 @@ def lines(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
                 if full:
                     keep = np.flatnonzero(probed(passed, h))
                     bodies, h = [bodies[i] for i in keep], h[keep]
-                sims = simhashes([b.split() for b in bodies], words).view(np.int64).tolist()
+                sims = simhashes(bodies).view(np.int64).tolist()
                 for b, line, sim in zip(bodies, h.view(np.int64).tolist(), sims, strict=True):
                     places, text = found[b], b.decode("utf-8", "replace")
                     doc, no = min(places)
@@ -164,13 +198,15 @@ def meetings(distinct: DataFrame, n: int, parts: int) -> DataFrame:
     m = blocks_for(n)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(parts)
+        packer = Packer(parts, positions=True)
 
         def rows() -> Iterator[dict]:
             for b in it:
-                k = keys(b.column("sim").to_numpy().view(np.uint64), m)
-                for line, key in zip(b.column("line").to_pylist(), k, strict=True):
-                    if packer.add(line, key):
+                sims = b.column("sim").to_numpy().view(np.uint64)
+                # halves folded together differ in no more bits than the whole
+                folded = (sims ^ (sims >> np.uint64(32))).astype(np.uint32)
+                for line, key, fold in zip(b.column("line").to_pylist(), keys(sims, m), folded, strict=True):
+                    if packer.add(line, key, np.full(len(key), fold)):
                         yield from packer.rows()
             yield from packer.rows()
 
@@ -182,7 +218,7 @@ def meetings(distinct: DataFrame, n: int, parts: int) -> DataFrame:
                 own = np.frombuffer(own, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(tok, np.int64)), pa.array(own), pa.array(np.zeros(len(own)))], ["bucket", "id", "first"])
 
-    return shared_tokens(distinct.select("line", "sim").mapInArrow(run, PACKED), parts).mapInArrow(unpack, "bucket long, id long, first double").distinct()
+    return shared_tokens(distinct.select("line", "sim").mapInArrow(run, PACKED), parts, True, BITS_APART).mapInArrow(unpack, "bucket long, id long, first double").distinct()
 
 
 #: What linked lines fulfil; the rest is up to the distance.
@@ -245,7 +281,7 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
             body, sizes, drops = [], [], []
             for t, nos in zip(texts(b, text), b.column("_nos").to_pylist(), strict=True):
                 all_ = [] if t is None else t.split(b"\n")
-                go = {*(nos or ())}
+                go = {i for i in nos or () if i < len(all_)}
                 sizes.append(len(all_))
                 drops.append(len(go))
                 body.append(t if not go else b"\n".join(x for i, x in enumerate(all_) if i not in go))

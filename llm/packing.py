@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from llm.common import saved, texts
+from llm.common import saved, small, texts
 
 CAPACITY, END = 2048, 1
 _TOKENIZERS: dict[str, object] = {}
@@ -74,7 +74,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, task, seen = encoder(vocabulary), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for b in it:
+        for b in small(it):
             out = []
             for doc, text in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
                 ids = np.array([*ids_of((text or b"").decode("utf-8", "replace")), END], "<u4")

@@ -317,7 +317,7 @@ def cleaned(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     flags = saved(flags.join(first, "doc_id"), "flags")
     # only texts with shared anchors travel; the filter has a bound, so it may let others through, which the join drops
     named = F.xxhash64("doc_id")
-    likely = may_hold(spark, docs.where("doc_id is not null"), named, bloom(flags, named)).where("hit").select("doc_id", "text")
+    likely = may_hold(spark, docs.where("doc_id is not null"), named, bloom(flags, named)).where("_hit").select("doc_id", "text")
     likely = likely.withColumn("digest", F.sha2("text", 256)).join(flags, ["doc_id", "digest"]).dropDuplicates(["doc_id"])
     flagged = saved(likely.select("doc_id", "digest", "text", "pos", "hot"), "flagged")
     runs = repeated(regions(flagged, parts), parts).groupBy("frag").applyInArrow(gathered, "doc_id long, start binary, stop binary")

@@ -75,17 +75,17 @@ def probed(words: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 
 def may_hold(spark: SparkSession, urls: DataFrame, h: Column, words: np.ndarray) -> DataFrame:
-    """urls with a boolean column hit: whether the filter may hold the hash h."""
+    """urls with a boolean column _hit: whether the filter may hold the hash h."""
     sent = spark.sparkContext.broadcast(words)
 
     def probe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            hit = probed(sent.value, b.column("hash").to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "hash"), pa.array(hit)], [*(c for c in b.schema.names if c != "hash"), "hit"])
+            hit = probed(sent.value, b.column("_hash").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "_hash"), pa.array(hit)], [*(c for c in b.schema.names if c != "_hash"), "_hit"])
 
-    hashed = urls.withColumn("hash", h)
+    hashed = urls.withColumn("_hash", h)
     kinds = ", ".join(f"`{n}` {t}" for n, t in urls.dtypes)
-    return hashed.mapInArrow(probe, f"{kinds}, hit boolean")
+    return hashed.mapInArrow(probe, f"{kinds}, _hit boolean")
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -96,13 +96,13 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, s
     p = p.withColumn("canon", canonical(F.col("host"), F.col("path"))).withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     p = p.select("page_id", "host", "path", "canon", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("verdict"))
     p = may_hold(spark, p, hash_of("canon"), bloom(listed, hash_of("canon")))
-    hits = p.where("hit and canon is not null and verdict is null")
+    hits = p.where("_hit and canon is not null and verdict is null")
     # distinct possible hits meet the list; what is confirmed meets the hits again, salted
     salts = 16
     real = hits.select("canon").distinct().join(listed.hint("shuffle_hash"), "canon").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     hits = hits.withColumn("salt", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(salts)).cast("int"))
     found = hits.join(real.withColumn("listed", F.lit(True)), ["canon", "salt"], "left").select("page_id", "host", "path", "canon", "rule", "verdict", F.coalesce("listed", F.lit(False)).alias("listed"))
-    rest = p.where("not (hit and canon is not null and verdict is null)").select("page_id", "host", "path", "canon", "rule", "verdict", F.lit(False).alias("listed"))
+    rest = p.where("not (_hit and canon is not null and verdict is null)").select("page_id", "host", "path", "canon", "rule", "verdict", F.lit(False).alias("listed"))
     both = rest.union(found)
     return both.withColumn("verdict", F.coalesce("verdict", F.when(F.col("listed"), "block").otherwise("allow")))
 

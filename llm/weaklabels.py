@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import saved, texts
+from llm.common import saved, small, texts
 
 TRAIN, WIDTH = 4000, 1 << 18
 #: Insults of the toxicity labeller.
@@ -80,7 +80,7 @@ def voted(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) to (doc_id, pattern): the votes as one number."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in small(it):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([code_of(votes(t or b"")) for t in texts(b)], pa.int32())], ["doc_id", "pattern"])
 
     return docs.mapInArrow(run, "doc_id long, pattern int")
@@ -154,7 +154,7 @@ def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, f = sent.value, Features()
-        for b in it:
+        for b in small(it):
             z = [float(w[x].sum(dtype=np.float64)) / len(x) ** 0.5 if len(x := f.of(t or b"")) else 0.0 for t in texts(b)]
             p = 1 / (1 + np.exp(-np.clip(np.array(z) + float(w[-1]), -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([code_of(votes(t or b"")) for t in texts(b)], pa.int32()), pa.array(p)], ["doc_id", "pattern", "score"])
@@ -178,7 +178,7 @@ def classify(docs: DataFrame, train: int = TRAIN) -> DataFrame:
 
     def features(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Features()
-        for b in it:
+        for b in small(it):
             found = [(d, f.of(t or b"").astype(np.int32).tobytes()) for d, t in zip(b.column("doc_id").to_pylist(), texts(b), strict=True) if d in chosen]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], ["doc_id", "at"])
