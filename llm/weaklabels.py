@@ -94,13 +94,13 @@ def maximised(pattern: np.ndarray, count: np.ndarray, rounds: int = 200) -> tupl
     post = 1 / (1 + np.exp(np.where((v == 0).any(1), 4.0, -4.0)))
     w = count.astype(float)
     for _ in range(rounds):
-        share = float((w @ post + SHARE * w.sum()) / max(2 * w.sum(), 1e-9))
+        share = float((w @ post + SHARE * w.sum()) / max(2 * w.sum(), 1e-9)) or SHARE
         rate = np.zeros((k, 2, 3))
         for i in range(k):
             for z in range(3):
                 rate[i, 1, z] = (w * post)[v[:, i] == z].sum() + 1.0
                 rate[i, 0, z] = (w * (1 - post))[v[:, i] == z].sum() + 1.0
-        rate = rate + PRIOR * w.sum()
+        rate = rate + PRIOR * max(w.sum(), 1)
         rate /= rate.sum(2, keepdims=True)
         good = np.log(share) + sum(np.log(rate[i, 1, v[:, i]]) for i in range(k))
         bad = np.log(1 - share) + sum(np.log(rate[i, 0, v[:, i]]) for i in range(k))
@@ -134,7 +134,7 @@ class Features(dict):
 
 def fitted(rows: list[np.ndarray], target: np.ndarray, rounds: int = 150, l2: float = 3e-5) -> np.ndarray:
     """Weights and bias (last) of logistic regression on features of unit length, by full-batch steps scaled as in Adam."""
-    size = np.array([len(r) for r in rows])
+    size = np.array([len(r) for r in rows], np.int64)
     at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(rows)), size)
     scale = 1 / np.sqrt(np.maximum(size, 1))
