@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A packed row holds at most so many tokens; a chunk that reaches it is sent on.
@@ -51,7 +51,11 @@ def dropped(df: DataFrame) -> None:
 
 
 def shipped(spark: SparkSession) -> None:
-    """Sends this subpackage to the Python workers, once a context: they need not find it on their own path."""
+    """Sends this subpackage to the Python workers, once a context: they need not find it on their own path.
+
+    Batches between the JVM and Python hold 1,000 rows, as rows are whole texts or packed arrays.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     context = spark.sparkContext
     if getattr(context, "_llm_shipped", False):
         return
@@ -245,25 +249,28 @@ def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def shared_tokens(packed: DataFrame, parts: int, positions: bool = False, apart: int | None = None) -> DataFrame:
+def shared_tokens(packed: DataFrame, parts: int, positions: bool = False, apart: int | None = None, plain: bool = False) -> DataFrame:
     """Of packed (owner, token, position): the entries of tokens with two entries of different owners or positions.
 
     One group is one fragment of the token order. The rows that come back are packed by the owners' buckets; mark is
     the token's number of entries, 255 at most, and 255 for tokens that were hot in some chunk, wherever they are.
-    apart: positions are bits; a token's only two entries go if theirs differ in more.
+    apart: positions are bits; a token's only two entries go if theirs differ in more. plain: rows (bucket, id) instead,
+    token and owner.
     """
 
     def fragment(table: pa.Table) -> pa.Table:
         if table.column("frag")[0].as_py() < 0:
+            if plain:
+                return pa.table({"bucket": joined(table.column("tok"), np.int64), "id": joined(table.column("owners"), np.int64)})
             out = table.select(["owners", "tok", "pos", "idx"]).rename_columns(["owners", "tok", "pos", "mark"])
             return out.add_column(0, "frag", pa.array([-1 - f for f in table.column("frag").to_pylist()], pa.int32())).cast(BY_OWNER_ARROW)
-        plain = table.filter(pa.compute.invert(table.column("hot")))
+        cold = table.filter(pa.compute.invert(table.column("hot")))
         none = [np.zeros(0, np.uint64)]
         marks = np.unique(np.concatenate(none + [decoded(x) for x in table.filter(table.column("hot")).column("tok").to_pylist()]))
-        tok = np.concatenate(none + [decoded(x) for x in plain.column("tok").to_pylist()])
-        own = [np.frombuffer(o, np.int64)[np.frombuffer(i, np.uint16)] for o, i in zip(plain.column("owners").to_pylist(), plain.column("idx").to_pylist(), strict=True)]
+        tok = np.concatenate(none + [decoded(x) for x in cold.column("tok").to_pylist()])
+        own = [np.frombuffer(o, np.int64)[np.frombuffer(i, np.uint16)] for o, i in zip(cold.column("owners").to_pylist(), cold.column("idx").to_pylist(), strict=True)]
         own = np.concatenate(own) if own else np.zeros(0, np.int64)
-        pos = joined(plain.column("pos"), np.uint32) if positions else np.zeros(len(tok), np.uint32)
+        pos = joined(cold.column("pos"), np.uint32) if positions else np.zeros(len(tok), np.uint32)
         order = np.argsort(tok, kind="stable")
         tok, own, pos = tok[order], own[order], pos[order]
         runs = same(tok)
@@ -285,10 +292,12 @@ def shared_tokens(packed: DataFrame, parts: int, positions: bool = False, apart:
             keep[two] = np.bitwise_count(pos[runs[two]] ^ pos[runs[two] + 1]) <= apart
         mark = np.repeat(np.where(hot, 255, np.minimum(size, 254)).astype(np.uint8), size)
         few = np.repeat(keep, size)
+        if plain:
+            return pa.table({"bucket": tok[few].view(np.int64), "id": own[few]})
         rows = owner_rows(own[few], tok[few], pos[few] if positions else None, mark[few], parts)
         return pa.Table.from_pylist(list(rows), BY_OWNER_ARROW)
 
-    return packed.groupBy("frag").applyInArrow(fragment, BY_OWNER)
+    return packed.groupBy("frag").applyInArrow(fragment, "bucket long, id long" if plain else BY_OWNER)
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -319,7 +328,7 @@ def with_neighbours(members: DataFrame, near: str, name: str) -> DataFrame:
     return saved(members.alias("x").join(members.alias("y"), condition, "left_semi"), f"{name}-members")
 
 
-def bucket_links(members: DataFrame, near: str, linked: Callable[[DataFrame], DataFrame], name: str, stars: int = 2, trim: bool = True, sharp: tuple[DataFrame, str] | None = None) -> DataFrame:
+def bucket_links(members: DataFrame, near: str, linked: Callable[[DataFrame], DataFrame], name: str, stars: int = 2, trim: bool = True, sharp: tuple[DataFrame, str] | None = None, rank: list[str] | None = None) -> DataFrame:
     """Links that join whatever any two linked members of one bucket would join: (a, b).
 
     members: (bucket, id long, first double, others); near: SQL over members {a} and {b}, which linked ones fulfil;
@@ -327,7 +336,8 @@ def bucket_links(members: DataFrame, near: str, linked: Callable[[DataFrame], Da
     first (trim). Then, in some rounds, every bucket's first member (by first, id) is held against the others, which settles
     groups of copies with one pair a member. What is then left in one bucket but apart is held against each other,
     if near: no link between different components is lost. sharp: a table by id and a condition over its columns that
-    linked members fulfil too; it is too wide for all members and narrows the last step.
+    linked members fulfil too; it is too wide for all members and narrows the last step. rank: for each round an SQL
+    expression; members next to each other by it are held against each other as well.
     """
     more = [c for c in members.columns if c not in ("bucket", "id", "first")]
     both = near.format(a="x", b="y")
@@ -338,7 +348,14 @@ def bucket_links(members: DataFrame, near: str, linked: Callable[[DataFrame], Da
     for turn in range(stars):
         lead = left.groupBy("bucket").agg(F.min(F.struct("first", "id", "comp", *more)).alias("l")).select("bucket", "l.*")
         pairs = left.alias("x").join(lead.alias("y"), F.expr(f"x.bucket = y.bucket and x.id <> y.id and x.comp <> y.comp and {both}"))
-        new = saved(linked(pairs.selectExpr("y.id as a", "x.id as b").distinct()), f"{name}-links")
+        pairs = pairs.selectExpr("y.id as a", "x.id as b")
+        if rank:
+            w = Window.partitionBy("bucket").orderBy(F.expr(rank[turn % len(rank)]), "id")
+            for step in (1, 2):
+                beside = left.withColumn("y", F.lag(F.struct("id", "comp", *more), step).over(w)).alias("x")
+                pairs = pairs.union(beside.where(F.expr(f"x.id <> y.id and x.comp <> y.comp and {both}")).selectExpr("y.id as a", "x.id as b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = saved(linked(pairs), f"{name}-links")
         links = new if links is None else links.union(new)
         comps = components(links, name)
         placed = members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))

@@ -2,7 +2,7 @@
 
 A line's normal form has lower-case ASCII letters, 0 for digits and single spaces for all other ASCII. Two normal
 forms link when they are equal, or when their 64-bit SimHashes (over words of more than three bytes) differ in at most BITS_APART bits and their
-edit similarity (1 - distance / longer length) is 0.9 or more. SimHashes that close agree in m - BITS_APART of m blocks,
+edit similarity (1 - distance / longer length) is 0.75 or more. SimHashes that close agree in m - BITS_APART of m blocks,
 so lines meet by every choice of so many blocks; m grows with the number of lines so that keys stay rare, which changes
 the cost but never a result. Of each connected group the occurrence with the smallest (doc_id, line number) stays.
 
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from llm.common import PACKED, PACKED_ARROW, Packer, batches, bucket_links, components, fragments, mixed, saved, shared_tokens, small, texts, with_neighbours
 from llm.urls import bloom, probed
 
-MIN_WORDS, BITS_APART, NOT_ALIKE = 3, 3, 10  # distance * NOT_ALIKE <= longer length
+MIN_WORDS, BITS_APART, NOT_ALIKE = 3, 3, 4  # distance * NOT_ALIKE <= longer length
+FEATURES = 8
 LAST = (1 << 63) - 1
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else 32 for c in range(256))
 
@@ -57,7 +58,7 @@ def word_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
 
 def simhashes(bodies: list[bytes]) -> np.ndarray:
     """64-bit SimHash of each normal form: bit by bit what most words of more than three bytes have, which very common
-    words would else outweigh; of all words where there is none."""
+    words would else outweigh; of all words where there are fewer than FEATURES."""
     out, at = np.zeros(len(bodies), np.uint64), 0
     while at < len(bodies):
         end, n = at, 0
@@ -75,7 +76,7 @@ def _simhash(bodies: list[bytes]) -> np.ndarray:
     start = np.r_[0, stop[:-1] + 1]
     line = np.r_[0, np.cumsum(b[stop[:-1]] == 10)]
     use = stop - start > 3
-    bare = np.bincount(line[use], minlength=len(bodies)) == 0
+    bare = np.bincount(line[use], minlength=len(bodies)) < FEATURES
     use |= bare[line]
     start, stop, line = start[use], stop[use], line[use]
     bits = _SPREAD[word_hashes(b, start, stop).view(np.uint8).reshape(-1, 8)]
@@ -90,7 +91,8 @@ def _simhash(bodies: list[bytes]) -> np.ndarray:
 def _long(body: bytes) -> np.ndarray:
     """The same of one very long line, stretch by stretch; a word that is longer than a stretch counts by its start."""
     words = body.split(b" ")
-    words, ones = [w for w in words if len(w) > 3] or words, np.zeros(64, np.int64)
+    long = [w for w in words if len(w) > 3]
+    words, ones = long if len(long) >= FEATURES else words, np.zeros(64, np.int64)
     for i in range(0, len(words), 1000):
         part = [w[: _STRETCH // 1001] for w in words[i : i + 1000]]
         b = np.frombuffer(b" ".join(part) + b" ", np.uint8)
@@ -212,13 +214,7 @@ def meetings(distinct: DataFrame, n: int, parts: int) -> DataFrame:
 
         yield from batches(rows(), PACKED_ARROW)
 
-    def unpack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for own, tok in zip(b.column("owners").to_pylist(), b.column("tok").to_pylist(), strict=True):
-                own = np.frombuffer(own, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(tok, np.int64)), pa.array(own), pa.array(np.zeros(len(own)))], ["bucket", "id", "first"])
-
-    return shared_tokens(distinct.select("line", "sim").mapInArrow(run, PACKED), parts, True, BITS_APART).mapInArrow(unpack, "bucket long, id long, first double").distinct()
+    return shared_tokens(distinct.select("line", "sim").mapInArrow(run, PACKED), parts, True, BITS_APART, plain=True).distinct().withColumn("first", F.lit(0.0))
 
 
 #: What linked lines fulfil; the rest is up to the distance.
@@ -250,7 +246,7 @@ def removals(docs: DataFrame) -> DataFrame:
     wanted = distinct.where("n > 1").select("line").union(lone).distinct()
     held = saved(lines(docs, bloom(wanted, F.col("line"))), "held")
     forms = saved(held.groupBy("line").agg(F.min("body").alias("body")).join(lone, "line"), "forms")
-    links = bucket_links(met, NEAR, lambda p: alike(p, forms), "lines", 1, trim=False)
+    links = bucket_links(met, NEAR, lambda p: alike(p, forms), "lines", 2, trim=False, rank=["sim", "shiftrightunsigned(sim, 32) | shiftleft(sim, 32)"])
     comps = components(links, "lines")
     first = held.groupBy("line").agg(F.min(F.struct("doc", "no")).alias("f"), F.sum("n").alias("n")).join(comps.withColumnRenamed("id", "line"), "line", "left").withColumn("comp", F.coalesce("comp", "line"))
     top = first.groupBy("comp").agg(F.min("f").alias("keep"), F.sum("n").alias("total")).where("total > 1")
@@ -258,11 +254,12 @@ def removals(docs: DataFrame) -> DataFrame:
 
     def others(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
+            gone = []
             for docs_, nos, kd, kn in zip(*(b.column(c).to_pylist() for c in ("docs", "nos", "keep_doc", "keep_no")), strict=True):
                 d, n = np.frombuffer(docs_, np.int64), np.frombuffer(nos, np.int32)
                 go = (d != kd) | (n != kn)
-                if go.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(d[go]), pa.array(n[go])], ["doc", "no"])
+                gone.append((d[go], n[go]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in gone])) for i in (0, 1)], ["doc", "no"])
 
     gone = held.join(judged, "line").select("docs", "nos", "keep_doc", "keep_no").mapInArrow(others, "doc long, no int")
     return gone.groupBy("doc").agg(F.sort_array(F.collect_set("no")).alias("nos"))
@@ -274,7 +271,7 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     names = docs.columns
     kinds = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
     keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    both = keyed.join(gone.select(F.col("doc").alias("_doc"), F.col("nos").alias("_nos")), "_doc", "left").select(*names, "_nos")
+    both = keyed.join(gone.select(F.col("doc").alias("_doc"), F.col("nos").alias("_nos")).hint("shuffle_hash"), "_doc", "left").select(*names, "_nos")
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(it):
