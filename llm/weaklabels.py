@@ -163,7 +163,7 @@ def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def classify(docs: DataFrame, train: int = TRAIN) -> DataFrame:
-    """docs (doc_id, text) to (doc_id, posterior, score, label): label 1 where the scorer finds a document good."""
+    """docs (doc_id, text) to (doc_id, posterior, score, label, kept): label 1, and kept, where the scorer finds a document good."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ballot = saved(voted(docs), "votes")
@@ -187,7 +187,7 @@ def classify(docs: DataFrame, train: int = TRAIN) -> DataFrame:
     target = np.array([chosen[d] for d, _ in rows])
     weights = fitted([np.frombuffer(x, np.int32).astype(np.int64) for _, x in rows], target)
     weights[-1] += odds(float(post @ n / max(n.sum(), 1))) - odds(float(target.mean()) if len(rows) else 0.5)  # the sample's share of good ones isn't the corpus's
-    return scored(docs, weights).join(known, "pattern").select("doc_id", "posterior", "score", (F.col("score") >= 0.5).cast("int").alias("label"))
+    return scored(docs, weights).join(known, "pattern").select("doc_id", "posterior", "score", (F.col("score") >= 0.5).cast("int").alias("label"), (F.col("score") >= 0.5).alias("kept"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
