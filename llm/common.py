@@ -53,9 +53,10 @@ def dropped(df: DataFrame) -> None:
 def shipped(spark: SparkSession) -> None:
     """Sends this subpackage to the Python workers, once a context: they need not find it on their own path.
 
-    Batches between the JVM and Python hold 1,000 rows, as rows are whole texts or packed arrays.
+    Batches between the JVM and Python hold 1,000 rows and 4 MB, as rows are whole texts, pairs of them or packed arrays.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     context = spark.sparkContext
     if getattr(context, "_llm_shipped", False):
         return

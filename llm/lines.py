@@ -22,6 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ from llm.urls import bloom, probed
 MIN_WORDS, BITS_APART, NOT_ALIKE = 3, 3, 4  # distance * NOT_ALIKE <= longer length
 FEATURES = 8
 LAST = (1 << 63) - 1
-_NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else 32 for c in range(256))
+#: Line ends stay, so that a whole text can be put in normal form at once.
+_NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 or c == 10 else 48 if 48 <= c <= 57 else 32 for c in range(256))
 
 
 def normal(line: bytes) -> list[bytes]:
@@ -149,32 +151,44 @@ def lines(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed = sent.value
 
-        def rows(found: dict[bytes, list[tuple[int, int]]]) -> Iterator[dict]:
-            every = list(found)
+        def rows(found: dict[bytes, list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+            every, full = list(found), passed is not None
             for at in range(0, len(every), 2000):
                 bodies = every[at : at + 2000]
                 h = np.fromiter(map(xxhash.xxh3_64_intdigest, bodies), np.uint64, len(bodies))
-                full = passed is not None
                 if full:
                     keep = np.flatnonzero(probed(passed, h))
                     bodies, h = [bodies[i] for i in keep], h[keep]
-                sims = simhashes(bodies).view(np.int64).tolist()
-                for b, line, sim in zip(bodies, h.view(np.int64).tolist(), sims, strict=True):
-                    places, text = found[b], b.decode("utf-8", "replace")
-                    doc, no = min(places)
-                    yield {"line": line, "sim": sim, "size": len(text), "n": len(places), "doc": doc, "no": no, "docs": np.array([p[0] for p in places], np.int64).tobytes() if full else b"", "nos": np.array([p[1] for p in places], np.int32).tobytes() if full else b"", "body": text if full else ""}
+                if not bodies:
+                    continue
+                text = pa.array(bodies, pa.binary()).cast(pa.string())
+                places = [found[b] for b in bodies]
+                first = [min(p) for p in places]
+                none = [b""] * len(bodies)
+                cols = [
+                    pa.array(h.view(np.int64)),
+                    pa.array(simhashes(bodies).view(np.int64)),
+                    pa.compute.utf8_length(text),
+                    pa.array([len(p) for p in places], pa.int64()),
+                    pa.array([p[0] for p in first], pa.int64()),
+                    pa.array([p[1] for p in first], pa.int32()),
+                    pa.array([np.array([x[0] for x in p], np.int64).tobytes() for p in places] if full else none, pa.binary()),
+                    pa.array([np.array([x[1] for x in p], np.int32).tobytes() for p in places] if full else none, pa.binary()),
+                    text if full else pa.array([""] * len(bodies)),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, schema=LINES_ARROW)
 
         found: dict[bytes, list[tuple[int, int]]] = {}
         for b in small(it):
             for doc, text in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
-                for no, line in enumerate((text or b"").split(b"\n")):
-                    w = normal(line)
+                for no, line in enumerate((text or b"").translate(_NORMAL).split(b"\n")):
+                    w = line.split()
                     if len(w) >= MIN_WORDS:
                         found.setdefault(b" ".join(w), []).append((LAST if doc is None else doc, no))
                 if len(found) > 20_000:
-                    yield from batches(rows(found), LINES_ARROW)
+                    yield from rows(found)
                     found = {}
-        yield from batches(rows(found), LINES_ARROW)
+        yield from rows(found)
 
     return docs.mapInArrow(run, LINES)
 
@@ -277,11 +291,11 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
         for b in small(it):
             body, sizes, drops = [], [], []
             for t, nos in zip(texts(b, text), b.column("_nos").to_pylist(), strict=True):
-                all_ = [] if t is None else t.split(b"\n")
-                go = {i for i in nos or () if i < len(all_)}
-                sizes.append(len(all_))
+                n = 0 if t is None else t.count(b"\n") + 1
+                go = {i for i in nos or () if i < n}
+                sizes.append(n)
                 drops.append(len(go))
-                body.append(t if not go else b"\n".join(x for i, x in enumerate(all_) if i not in go))
+                body.append(t if not go else b"\n".join(x for i, x in enumerate(t.split(b"\n")) if i not in go))
             out = {c: b.column(c) for c in names} | {text: pa.array(body, pa.binary()).cast(pa.string())}
             yield pa.RecordBatch.from_arrays([*out.values(), pa.array(sizes, pa.int64()), pa.array(drops, pa.int64())], [*names, "n_lines", "n_removed"])
 
