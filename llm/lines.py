@@ -6,7 +6,8 @@ edit similarity (1 - distance / longer length) is 0.75 or more. SimHashes that c
 so lines meet by every choice of so many blocks; m grows with the number of lines so that keys stay rare, which changes
 the cost but never a result. Of each connected group the occurrence with the smallest (doc_id, line number) stays.
 
-Lines with fewer than MIN_WORDS words are never judged. Equal lines are summed up in each task before anything moves,
+Every line with a word is judged for equality, links between unequal ones need FUZZY_CHARS characters in both. Words of
+more than LONG bytes, as in scripts without spaces, count by their runs of GRAM bytes that begin with a character. Equal lines are summed up in each task before anything moves,
 so a line that a third of the documents hold is one row a task. Only lines that are repeated or meet another line
 travel with their text.
 
@@ -30,8 +31,11 @@ from pyspark.sql import functions as F
 from llm.common import PACKED, PACKED_ARROW, Packer, batches, bucket_links, components, fragments, mixed, saved, shared_tokens, small, texts, with_neighbours
 from llm.urls import bloom, probed
 
-MIN_WORDS, BITS_APART, NOT_ALIKE = 3, 3, 4  # distance * NOT_ALIKE <= longer length
+MIN_WORDS, BITS_APART, NOT_ALIKE = 1, 3, 4  # distance * NOT_ALIKE <= longer length
 FEATURES = 8
+#: Characters that unequal lines need to link: three words have as many at least.
+FUZZY_CHARS = 5
+LONG, GRAM = 32, 9
 LAST = (1 << 63) - 1
 #: Line ends stay, so that a whole text can be put in normal form at once.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 or c == 10 else 48 if 48 <= c <= 57 else 32 for c in range(256))
@@ -72,11 +76,25 @@ def simhashes(bodies: list[bytes]) -> np.ndarray:
     return out
 
 
+def grams(b: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """Where a long word's runs of GRAM bytes start: at each character with as many bytes left."""
+    return start + np.flatnonzero((b[start : stop - GRAM + 1] & 0xC0) != 0x80)
+
+
 def _simhash(bodies: list[bytes]) -> np.ndarray:
     b = np.frombuffer(b"\n".join(bodies) + b"\n", np.uint8)
     stop = np.flatnonzero((b == 32) | (b == 10))
     start = np.r_[0, stop[:-1] + 1]
     line = np.r_[0, np.cumsum(b[stop[:-1]] == 10)]
+    long = np.flatnonzero(stop - start > LONG)
+    if len(long):
+        first = [grams(b, start[i], stop[i]) for i in long]
+        size = [len(x) for x in first]
+        rest = np.flatnonzero(stop - start <= LONG)
+        first, owner = np.concatenate(first), np.repeat(line[long], size)
+        line = np.r_[line[rest], owner]
+        order = np.argsort(line, kind="stable")
+        start, stop, line = np.r_[start[rest], first][order], np.r_[stop[rest], first + GRAM][order], line[order]
     use = stop - start > 3
     bare = np.bincount(line[use], minlength=len(bodies)) < FEATURES
     use |= bare[line]
@@ -91,12 +109,14 @@ def _simhash(bodies: list[bytes]) -> np.ndarray:
 
 
 def _long(body: bytes) -> np.ndarray:
-    """The same of one very long line, stretch by stretch; a word that is longer than a stretch counts by its start."""
-    words = body.split(b" ")
+    """The same of one very long line, stretch by stretch."""
+    words = []
+    for w in body.split(b" "):
+        words += [w] if len(w) <= LONG else [w[i : i + GRAM] for i in grams(np.frombuffer(w, np.uint8), 0, len(w)).tolist()]
     long = [w for w in words if len(w) > 3]
     words, ones = long if len(long) >= FEATURES else words, np.zeros(64, np.int64)
     for i in range(0, len(words), 1000):
-        part = [w[: _STRETCH // 1001] for w in words[i : i + 1000]]
+        part = words[i : i + 1000]
         b = np.frombuffer(b" ".join(part) + b" ", np.uint8)
         stop = np.cumsum([len(w) + 1 for w in part]) - 1
         ones += _SPREAD[word_hashes(b, np.r_[0, stop[:-1] + 1], stop).view(np.uint8).reshape(-1, 8)].view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64)
@@ -232,7 +252,7 @@ def meetings(distinct: DataFrame, n: int, parts: int) -> DataFrame:
 
 
 #: What linked lines fulfil; the rest is up to the distance.
-NEAR = f"bit_count({{a}}.sim ^ {{b}}.sim) <= {BITS_APART} and abs({{a}}.size - {{b}}.size) * {NOT_ALIKE} <= greatest({{a}}.size, {{b}}.size)"
+NEAR = f"bit_count({{a}}.sim ^ {{b}}.sim) <= {BITS_APART} and least({{a}}.size, {{b}}.size) >= {FUZZY_CHARS} and abs({{a}}.size - {{b}}.size) * {NOT_ALIKE} <= greatest({{a}}.size, {{b}}.size)"
 
 
 def alike(pairs: DataFrame, forms: DataFrame) -> DataFrame:

@@ -144,6 +144,24 @@ def test_lines(docs, empty):
     assert lines.deduplicated(empty).isEmpty()
 
 
+def test_short_and_unspaced_lines(spark):
+    """Equal lines go however short, and near copies of lines without spaces link."""
+    base = "".join(chr(0x4E00 + 37 * i % 2000) for i in range(300))
+    near = base[:150] + "\u4e00" + base[151:]
+    rows = [(1, f"Home\nRead more\n\u6625\n{base}"), (2, f"home\nread  more\n\u6625\n{base}"), (3, f"{near}\nHomes\n\n\u590f")]
+    got = {r.doc_id: (r.n_lines, r.text) for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (4, rows[0][1]), 2: (4, ""), 3: (4, "Homes\n\n\u590f")}
+
+
+def test_long_unspaced_lines_have_simhashes():
+    body = "".join(chr(0x4E00 + i * i % 20_000) for i in range(1000)) * 200
+    near = body[:1000] + "\u4e00" * 500 + body[1500:]
+    a, b, c = lines.simhashes([x.encode() for x in (body, near, body[::-1])])
+    assert int(a ^ b).bit_count() <= 3 < int(a ^ c).bit_count()
+    long = body[: lines._STRETCH // 4].encode()
+    assert lines._long(long)[0] == lines.simhashes([long])[0]
+
+
 def test_long_lines_have_simhashes():
     long = b" ".join(b"word%d" % i for i in range(200_000))
     near = long.replace(b"word7 ", b"werd7 ")
