@@ -1,14 +1,18 @@
 """License scans: phrases at their places, and an exact set-similarity join of text blocks with license templates.
 
-Blocks are lines; a block's and a template's tokens are their distinct pairs of neighbouring words. Tokens are in
-order of their frequency in the whole corpus, rare ones first, which Spark counts in a pass of its own. A template
+Blocks are lines, paragraphs, and windows of as many words as a template has, which slide across all line ends; the
+words that only mark comments (PREFIXES) are left out. A block's and a template's tokens are their distinct pairs of
+neighbouring words. Tokens are in order of their frequency in lines over the whole corpus, rare ones first, which Spark counts in a pass of its own. A template
 meets a block at least at containment |block and template| >= threshold * |template|, so the block holds one of the
 first |template| - need + 1 template tokens (prefix filter), has need tokens at least (length filter), and at each
 match enough of both orders is left (positional filter). Templates are few and fixed, so their index goes to every
 task; documents are never shuffled.
 
-A null or empty text has no words, no labels and score 0. Words never join across documents; phrases run over line
-ends, blocks don't. Repeated rows come back each; extra columns are ignored.
+Paragraphs and windows come from one sweep over the words: a template's containment in a window is kept as the window
+slides, only in texts that hold enough of its tokens.
+
+A null or empty text has no words, no labels and score 0. Words never join across documents; phrases, paragraphs and
+windows run over line ends. Repeated rows come back each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ TEMPLATES = (
     ("proprietary", "All rights reserved. No part of this publication may be reproduced"),
 )
 THRESHOLD = 0.75
+#: Words that mark comment lines; other marks are no words.
+PREFIXES = frozenset((b"rem", b"dnl"))
 
 #: Lower-cases A-Z; ASCII but letters, digits and line ends becomes a space.
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 or c == 10 else 32 for c in range(256))
@@ -48,6 +54,21 @@ def pairs(words: Sequence[bytes]) -> list[tuple[bytes, bytes]]:
     return list(zip(words, words[1:], strict=False))
 
 
+def unwrapped(clean: bytes) -> tuple[list[bytes], list[int]]:
+    """The words of a cleaned text without comment words at the starts of lines, and where its paragraphs end."""
+    words: list[bytes] = []
+    ends: list[int] = []
+    for line in clean.split(b"\n"):
+        x = line.split()
+        if x and x[0] in PREFIXES:
+            del x[0]
+        if x:
+            words += x
+        elif words and (not ends or ends[-1] < len(words)):
+            ends.append(len(words))
+    return words, ends + [len(words)]
+
+
 def frequencies(docs: DataFrame, tokens: set[tuple[bytes, bytes]]) -> dict[tuple[bytes, bytes], int]:
     """How many blocks hold each template token; one row a token and task."""
     names = sorted(tokens)
@@ -77,6 +98,7 @@ class Index:
         self.threshold = threshold
         self.templates = []
         sets = [(label, {*pairs(text.encode().translate(_CLEAN).split())}) for label, text in templates]
+        self.lengths = [len(text.encode().translate(_CLEAN).split()) for _, text in templates]
         every = sorted({t for _, s in sets for t in s}, key=lambda t: (frequency.get(t, 0), t))
         self.order = {t: i for i, t in enumerate(every)}
         self.prefix = defaultdict(list)
@@ -88,6 +110,35 @@ class Index:
                 self.prefix[every[t]].append((len(self.templates) - 1, place))
         self.firsts = {t[0] for t in self.prefix}
 
+    def spread(self, words: list[bytes], ends: list[int]) -> Iterator[tuple[str, float]]:
+        """Label and containment of each template that a paragraph or a window of its length meets. ends: where paragraphs end."""
+        ranks_at = [(i, r) for i, t in enumerate(pairs(words)) if (r := self.order.get(t)) is not None]
+        held = {r for _, r in ranks_at}
+        for k, (label, ranks, need) in enumerate(self.templates):
+            mine = set(ranks)
+            if len(held & mine) < need:
+                continue
+            at = [(i, r) for i, r in ranks_at if r in mine]
+            best, low, inside = 0, 0, defaultdict(int)
+            for i, r in at:
+                inside[r] += 1
+                while at[low][0] <= i - (self.lengths[k] - 1):  # the window's first pair
+                    gone = at[low][1]
+                    inside[gone] -= 1
+                    if not inside[gone]:
+                        del inside[gone]
+                    low += 1
+                best = max(best, len(inside))
+            block, end = set(), 0
+            for i, r in at:
+                while end < len(ends) and i + 1 >= ends[end]:
+                    block, end = set(), end + 1
+                if not end or i >= ends[end - 1]:
+                    block.add(r)
+                best = max(best, len(block))
+            if best >= need:
+                yield label, best / len(ranks)
+
     def matches(self, words: list[bytes]) -> Iterator[tuple[str, float]]:
         """Label and containment of each template that the block meets."""
         tokens = {*pairs(words)}
@@ -144,6 +195,9 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, template
                         for label, part in index.matches(line.split()):
                             labels.add(label)
                             score = max(score, part)
+                    for label, part in index.spread(*unwrapped(clean)):
+                        labels.add(label)
+                        score = max(score, part)
                 out.append((len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
             cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)]

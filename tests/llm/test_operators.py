@@ -467,3 +467,44 @@ def test_licenses(spark, docs, empty):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(tuple(r) for r in licenses.scan(df).collect()) == sorted(((i, *licenses_brute(t)) for i, t in enumerate(texts)), key=lambda r: r[0])
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).isEmpty()
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "REM ", "dnl "])
+def test_wrapped_and_commented_licenses(spark, mark):
+    import textwrap
+
+    def wrapped(t, width):
+        return "\n".join(mark + x for x in ["Some words before.", *textwrap.wrap(t, width), "More words after."])
+
+    cases = [(label, wrapped(t, width)) for label, t in licenses.TEMPLATES for width in (30, 60, 80)]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: (r.labels.split(","), r.score) for r in licenses.scan(df).collect()}
+    assert all(label in got[i][0] and got[i][1] == 1.0 for i, (label, _) in enumerate(cases))
+
+
+def test_paragraphs_and_windows_against_all_blocks():
+    """Containment in every paragraph and every window of a template's length, plainly counted."""
+    import random
+
+    r = random.Random(8)
+    index = licenses.Index(licenses.TEMPLATES, {}, licenses.THRESHOLD)
+    clean = lambda t: t.encode().translate(licenses._CLEAN)
+    met = 0
+    for _ in range(400):
+        label, t = r.choice(licenses.TEMPLATES)
+        w = [x for x in t.split() for _ in range(r.choice([1] * 12 + [2])) if r.random() > 0.04]
+        for _ in range(r.randrange(4)):
+            w.insert(r.randrange(len(w) + 1), r.choice(["the", "license", "foo bar", "under"]))
+        text = clean("".join(x + r.choice([" "] * 6 + ["\n", "\n\n"]) for x in ["of", "the", *w, "the", "work"]))
+        words, ends = licenses.unwrapped(text)
+        want = set()
+        for name, template in licenses.TEMPLATES:
+            y = clean(template).split()
+            own = {*licenses.pairs(y)}
+            blocks = [words[a:b] for a, b in zip([0, *ends], ends, strict=False)] + [words[i : i + len(y)] for i in range(len(words))]
+            best = max(len(own & {*licenses.pairs(b)}) for b in blocks)
+            if best >= licenses.THRESHOLD * len(own):
+                want.add((name, best / len(own)))
+        assert set(index.spread(words, ends)) == want
+        met += bool(want)
+    assert 50 < met < 400
