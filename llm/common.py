@@ -21,9 +21,12 @@ LOCAL_HOT = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder for intermediate tables: spark.checkpoint.dir; where that is unset, a folder of our own, for sessions in
+    one process only, as other machines would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/corpus-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -250,55 +253,82 @@ def joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def shared_tokens(packed: DataFrame, parts: int, positions: bool = False, apart: int | None = None, plain: bool = False) -> DataFrame:
+def token_entries(table: pa.Table, positions: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one fragment's packed rows the entries (token, owner, position) of tokens with two or more, sorted, each once,
+    and whether the token was hot in some chunk."""
+    cold = table.filter(pa.compute.invert(table.column("hot")))
+    none = [np.zeros(0, np.uint64)]
+    marks = np.unique(np.concatenate(none + [decoded(x) for x in table.filter(table.column("hot")).column("tok").to_pylist()]))
+    tok = np.concatenate(none + [decoded(x) for x in cold.column("tok").to_pylist()])
+    own = [np.frombuffer(o, np.int64)[np.frombuffer(i, np.uint16)] for o, i in zip(cold.column("owners").to_pylist(), cold.column("idx").to_pylist(), strict=True)]
+    own = np.concatenate(own) if own else np.zeros(0, np.int64)
+    pos = joined(cold.column("pos"), np.uint32) if positions else np.zeros(len(tok), np.uint32)
+    order = np.argsort(tok, kind="stable")
+    tok, own, pos = tok[order], own[order], pos[order]
+    runs = same(tok)
+    size = np.diff(np.r_[runs, len(tok)])
+    few = np.repeat((size > 1) | np.isin(tok[runs], marks), size)
+    tok, own, pos = tok[few], own[few], pos[few]
+    # copies of one owner count once
+    order = np.lexsort((pos, own, tok))
+    tok, own, pos = tok[order], own[order], pos[order]
+    new = np.r_[True, (tok[1:] != tok[:-1]) | (own[1:] != own[:-1]) | (pos[1:] != pos[:-1])] if len(tok) else np.zeros(0, bool)
+    tok, own, pos = tok[new], own[new], pos[new]
+    return tok, own, pos, np.isin(tok, marks)
+
+
+def shared_tokens(packed: DataFrame, parts: int, positions: bool = False) -> DataFrame:
     """Of packed (owner, token, position): the entries of tokens with two entries of different owners or positions.
 
     One group is one fragment of the token order. The rows that come back are packed by the owners' buckets; mark is
     the token's number of entries, 255 at most, and 255 for tokens that were hot in some chunk, wherever they are.
-    apart: positions are bits; a token's only two entries go if theirs differ in more. plain: rows (bucket, id) instead,
-    token and owner.
     """
 
     def fragment(table: pa.Table) -> pa.Table:
         if table.column("frag")[0].as_py() < 0:
-            if plain:
-                return pa.table({"bucket": joined(table.column("tok"), np.int64), "id": joined(table.column("owners"), np.int64)})
             out = table.select(["owners", "tok", "pos", "idx"]).rename_columns(["owners", "tok", "pos", "mark"])
             return out.add_column(0, "frag", pa.array([-1 - f for f in table.column("frag").to_pylist()], pa.int32())).cast(BY_OWNER_ARROW)
-        cold = table.filter(pa.compute.invert(table.column("hot")))
-        none = [np.zeros(0, np.uint64)]
-        marks = np.unique(np.concatenate(none + [decoded(x) for x in table.filter(table.column("hot")).column("tok").to_pylist()]))
-        tok = np.concatenate(none + [decoded(x) for x in cold.column("tok").to_pylist()])
-        own = [np.frombuffer(o, np.int64)[np.frombuffer(i, np.uint16)] for o, i in zip(cold.column("owners").to_pylist(), cold.column("idx").to_pylist(), strict=True)]
-        own = np.concatenate(own) if own else np.zeros(0, np.int64)
-        pos = joined(cold.column("pos"), np.uint32) if positions else np.zeros(len(tok), np.uint32)
-        order = np.argsort(tok, kind="stable")
-        tok, own, pos = tok[order], own[order], pos[order]
-        runs = same(tok)
-        size = np.diff(np.r_[runs, len(tok)])
-        hot = np.isin(tok[runs], marks)
-        few = np.repeat((size > 1) | hot, size)
-        tok, own, pos = tok[few], own[few], pos[few]
-        # copies of one owner count once
-        order = np.lexsort((pos, own, tok))
-        tok, own, pos = tok[order], own[order], pos[order]
-        new = np.r_[True, (tok[1:] != tok[:-1]) | (own[1:] != own[:-1]) | (pos[1:] != pos[:-1])] if len(tok) else np.zeros(0, bool)
-        tok, own, pos = tok[new], own[new], pos[new]
+        tok, own, pos, hot = token_entries(table, positions)
         runs = same(tok)
         size = np.diff(np.r_[runs, len(tok)])
-        hot = np.isin(tok[runs], marks)
-        keep = (size > 1) | hot
-        if apart is not None:
-            two = np.flatnonzero((size == 2) & ~hot)
-            keep[two] = np.bitwise_count(pos[runs[two]] ^ pos[runs[two] + 1]) <= apart
-        mark = np.repeat(np.where(hot, 255, np.minimum(size, 254)).astype(np.uint8), size)
-        few = np.repeat(keep, size)
-        if plain:
-            return pa.table({"bucket": tok[few].view(np.int64), "id": own[few]})
+        mark = np.repeat(np.where(hot[runs], 255, np.minimum(size, 254)).astype(np.uint8), size)
+        few = np.repeat((size > 1) | hot[runs], size)
         rows = owner_rows(own[few], tok[few], pos[few] if positions else None, mark[few], parts)
         return pa.Table.from_pylist(list(rows), BY_OWNER_ARROW)
 
-    return packed.groupBy("frag").applyInArrow(fragment, "bucket long, id long" if plain else BY_OWNER)
+    return packed.groupBy("frag").applyInArrow(fragment, BY_OWNER)
+
+
+#: Owners of one token are paired in its fragment if they are so few; of others the token and owner come back.
+PAIRED = 8
+
+
+def token_pairs(packed: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Of packed (owner, token, position): (bucket, id, other). Tokens of PAIRED owners or fewer give their pairs (id < other)
+    whose positions are near, with bucket null; tokens of more give (token, owner) with other null."""
+
+    def fragment(table: pa.Table) -> pa.Table:
+        if table.column("frag")[0].as_py() < 0:
+            own = joined(table.column("owners"), np.int64)
+            return pa.table({"bucket": joined(table.column("tok"), np.int64), "id": own, "other": pa.nulls(len(own), pa.int64())})
+        tok, own, pos, hot = token_entries(table, True)
+        runs = same(tok)
+        size = np.diff(np.r_[runs, len(tok)])
+        large = np.repeat((size > PAIRED) | hot[runs], size) if len(tok) else np.zeros(0, bool)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for step in range(1, PAIRED):
+            i = np.flatnonzero((tok[:-step] == tok[step:]) & ~large[step:])
+            i = i[(own[i] != own[i + step]) & near(pos[i], pos[i + step])]
+            left.append(own[i])
+            right.append(own[i + step])
+        a, b = np.concatenate(left), np.concatenate(right)
+        return pa.table({
+            "bucket": pa.array(np.r_[tok[large].view(np.int64), np.zeros(len(a), np.int64)], mask=np.r_[np.zeros(int(large.sum()), bool), np.ones(len(a), bool)]),
+            "id": np.r_[own[large], np.minimum(a, b)],
+            "other": pa.array(np.r_[np.zeros(int(large.sum()), np.int64), np.maximum(a, b)], mask=np.r_[np.ones(int(large.sum()), bool), np.zeros(len(a), bool)]),
+        })
+
+    return packed.groupBy("frag").applyInArrow(fragment, "bucket long, id long, other long").distinct()
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -329,34 +359,31 @@ def with_neighbours(members: DataFrame, near: str, name: str) -> DataFrame:
     return saved(members.alias("x").join(members.alias("y"), condition, "left_semi"), f"{name}-members")
 
 
-def bucket_links(members: DataFrame, near: str, linked: Callable[[DataFrame], DataFrame], name: str, stars: int = 2, trim: bool = True, sharp: tuple[DataFrame, str] | None = None, rank: list[str] | None = None) -> DataFrame:
+def bucket_links(members: DataFrame, near: str, linked: Callable[[DataFrame], DataFrame], name: str, stars: int = 2, trim: bool = True, sharp: tuple[DataFrame, str] | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Links that join whatever any two linked members of one bucket would join: (a, b).
 
     members: (bucket, id long, first double, others); near: SQL over members {a} and {b}, which linked ones fulfil;
-    linked: of candidate pairs (a, b), a <> b, those that are linked. Members without anyone near in their bucket go
+    linked: of candidate pairs (a, b), a < b, those that are linked. Members without anyone near in their bucket go
     first (trim). Then, in some rounds, every bucket's first member (by first, id) is held against the others, which settles
     groups of copies with one pair a member. What is then left in one bucket but apart is held against each other,
     if near: no link between different components is lost. sharp: a table by id and a condition over its columns that
-    linked members fulfil too; it is too wide for all members and narrows the last step. rank: for each round an SQL
-    expression; members next to each other by it are held against each other as well.
+    linked members fulfil too; it is too wide for all members and narrows the last step. pairs: more candidates (a, b),
+    held against each other in the first round.
     """
     more = [c for c in members.columns if c not in ("bucket", "id", "first")]
     both = near.format(a="x", b="y")
+    members = saved(members, f"{name}-members")
     if trim:
-        members = with_neighbours(saved(members, f"{name}-members"), near, name)
+        members = with_neighbours(members, near, name)
     left = members.withColumn("comp", F.col("id"))
     links: DataFrame | None = None
     for turn in range(stars):
         lead = left.groupBy("bucket").agg(F.min(F.struct("first", "id", "comp", *more)).alias("l")).select("bucket", "l.*")
-        pairs = left.alias("x").join(lead.alias("y"), F.expr(f"x.bucket = y.bucket and x.id <> y.id and x.comp <> y.comp and {both}"))
-        pairs = pairs.selectExpr("y.id as a", "x.id as b")
-        if rank:
-            w = Window.partitionBy("bucket").orderBy(F.expr(rank[turn % len(rank)]), "id")
-            for step in (1, 2):
-                beside = left.withColumn("y", F.lag(F.struct("id", "comp", *more), step).over(w)).alias("x")
-                pairs = pairs.union(beside.where(F.expr(f"x.id <> y.id and x.comp <> y.comp and {both}")).selectExpr("y.id as a", "x.id as b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = saved(linked(pairs), f"{name}-links")
+        found = left.alias("x").join(lead.alias("y"), F.expr(f"x.bucket = y.bucket and x.id <> y.id and x.comp <> y.comp and {both}"))
+        found = found.selectExpr("least(x.id, y.id) as a", "greatest(x.id, y.id) as b")
+        if pairs is not None and links is None:
+            found = found.union(pairs)
+        new = saved(linked(found.distinct()), f"{name}-links")
         links = new if links is None else links.union(new)
         comps = components(links, name)
         placed = members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -367,5 +394,19 @@ def bucket_links(members: DataFrame, near: str, linked: Callable[[DataFrame], Da
             return links
     if sharp:
         left, both = left.join(sharp[0], "id"), f"{both} and {sharp[1].format(a='x', b='y')}"
-    pairs = left.alias("x").join(left.alias("y"), F.expr(f"x.bucket = y.bucket and x.comp < y.comp and {both}"))
-    return links.union(saved(linked(pairs.selectExpr("x.id as a", "y.id as b").distinct()), f"{name}-links"))
+    rest = left.alias("x").join(left.alias("y"), F.expr(f"x.bucket = y.bucket and x.comp < y.comp and {both}"))
+    return links.union(saved(linked(rest.selectExpr("least(x.id, y.id) as a", "greatest(x.id, y.id) as b").distinct()), f"{name}-links"))
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like name that none of taken has, in any case."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def positional(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with its columns named c0, c1 ..., so that no column of the operator's own can clash, and those names."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), names

@@ -1,19 +1,23 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence a connected group.
 
-A line's normal form has lower-case ASCII letters, 0 for digits and single spaces for all other ASCII. Two normal
-forms link when they are equal, or when their 64-bit SimHashes (over words of more than three bytes) differ in at most BITS_APART bits and their
-edit similarity (1 - distance / longer length) is 0.75 or more. SimHashes that close agree in m - BITS_APART of m blocks,
-so lines meet by every choice of so many blocks; m grows with the number of lines so that keys stay rare, which changes
-the cost but never a result. Of each connected group the occurrence with the smallest (doc_id, line number) stays.
-
-Every line with a word is judged for equality, links between unequal ones need FUZZY_CHARS characters in both. Words of
-more than LONG bytes, as in scripts without spaces, count by their runs of GRAM bytes that begin with a character. Equal lines are summed up in each task before anything moves,
-so a line that a third of the documents hold is one row a task. Only lines that are repeated or meet another line
-travel with their text.
+A line's normal form has lower-case ASCII letters, 0 for digits and single spaces for all other ASCII. Its SimHash has
+BLOCKS blocks of 24 bits; a word's hash names the block whose bits it votes on, so that a changed word disturbs two
+blocks at most and leaves the others bit for bit. Words of up to three bytes have no vote where FEATURES longer ones
+are there; words of more than LONG bytes, as in scripts without spaces, count by their runs of GRAM bytes that begin
+with a character. Two normal forms link when they are equal, or when two blocks that hold two words or more agree and their edit
+similarity (1 - distance / longer length) is 0.75 or more, both having FUZZY_CHARS characters. By the pigeonhole
+principle lines that differ in BLOCKS - 2 blocks at most meet in one of the 15 keys of two blocks, 48 bits each.
+Of each connected group the occurrence with the smallest (doc_id, text digest, line number) stays.
+
+Every line with a word is judged, whatever its length. Equal lines are told by 128 bits of digests. They are summed up
+in each task before anything moves, so a line that a third of the documents hold is one row a task. Keys of few lines
+give their pairs at once; in others the first line is held against the rest, and only what stays apart meets pairwise.
+Only lines that are repeated or meet another line travel with their text.
 
 A null text stays null and has no lines; an empty text is one empty line, which stays. A null doc_id is last in order.
-Repeated rows of a doc_id get the same verdict line by line. Extra columns pass through deduplicated() and are ignored
-by the query. An empty table gives an empty result.
+Rows are told apart by doc_id and a digest of the text, so different texts under one doc_id, or none, are documents of
+their own; rows that are equal in both get the same verdict line by line. Extra columns pass through deduplicated(),
+whatever their names, and are ignored by the query. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,15 +32,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import PACKED, PACKED_ARROW, Packer, batches, bucket_links, components, fragments, mixed, saved, shared_tokens, small, texts, with_neighbours
+from llm.common import PACKED, PACKED_ARROW, Packer, batches, bucket_links, components, fragments, fresh, mixed, positional, same, saved, small, texts, token_pairs
 from llm.urls import bloom, probed
 
-MIN_WORDS, BITS_APART, NOT_ALIKE = 1, 3, 4  # distance * NOT_ALIKE <= longer length
+BLOCKS, NOT_ALIKE = 6, 4  # distance * NOT_ALIKE <= longer length
 FEATURES = 8
-#: Characters that unequal lines need to link: three words have as many at least.
+#: Characters that unequal lines need to link.
 FUZZY_CHARS = 5
 LONG, GRAM = 32, 9
 LAST = (1 << 63) - 1
+#: Lines are sent on when so many bytes of them are held.
+HELD = 16 << 20
 #: Line ends stay, so that a whole text can be put in normal form at once.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 or c == 10 else 48 if 48 <= c <= 57 else 32 for c in range(256))
 
@@ -56,24 +62,32 @@ _INVERSE = np.multiply.accumulate(np.r_[np.uint64(1), np.full(_STRETCH, pow(_ODD
 _VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def word_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each word b[start:end], of at most _STRETCH bytes in all: what a polynomial adds up to between its ends."""
-    total = np.r_[np.uint64(0), np.cumsum(_VALUE[b] * _POWER[: len(b)], dtype=np.uint64)]
-    return mixed((total[end] - total[start]) * _INVERSE[start])
+def word_hashes(b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of each word b[start:stop], of LONG bytes at most: what a polynomial adds up to between its ends."""
+    out, at = np.empty(len(start), np.uint64), 0
+    while at < len(start):
+        lo = start[at]
+        end = max(int(np.searchsorted(stop, lo + _STRETCH)), at + 1)
+        part = b[lo : stop[end - 1]]
+        total = np.r_[np.uint64(0), np.cumsum(_VALUE[part] * _POWER[: len(part)], dtype=np.uint64)]
+        x, y = start[at:end] - lo, stop[at:end] - lo
+        out[at:end] = mixed((total[y] - total[x]) * _INVERSE[x])
+        at = end
+    return out
 
 
-def simhashes(bodies: list[bytes]) -> np.ndarray:
-    """64-bit SimHash of each normal form: bit by bit what most words of more than three bytes have, which very common
-    words would else outweigh; of all words where there are fewer than FEATURES."""
-    out, at = np.zeros(len(bodies), np.uint64), 0
+def simhashes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each normal form the blocks of its SimHash, bit by bit what most words of the block have, and their numbers of words."""
+    values, words = np.zeros((len(bodies), BLOCKS), np.uint32), np.zeros((len(bodies), BLOCKS), np.int64)
+    at = 0
     while at < len(bodies):
         end, n = at, 0
-        while end < len(bodies) and (n + len(bodies[end]) < _STRETCH - 1 or end == at):
+        while end < len(bodies) and (n < _STRETCH or end == at):
             n += len(bodies[end]) + 1
             end += 1
-        out[at:end] = _simhash(bodies[at:end]) if n < _STRETCH else _long(bodies[at])
+        values[at:end], words[at:end] = _simhashes(bodies[at:end])
         at = end
-    return out
+    return values, words
 
 
 def grams(b: np.ndarray, start: int, stop: int) -> np.ndarray:
@@ -81,7 +95,7 @@ def grams(b: np.ndarray, start: int, stop: int) -> np.ndarray:
     return start + np.flatnonzero((b[start : stop - GRAM + 1] & 0xC0) != 0x80)
 
 
-def _simhash(bodies: list[bytes]) -> np.ndarray:
+def _simhashes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     b = np.frombuffer(b"\n".join(bodies) + b"\n", np.uint8)
     stop = np.flatnonzero((b == 32) | (b == 10))
     start = np.r_[0, stop[:-1] + 1]
@@ -89,38 +103,42 @@ def _simhash(bodies: list[bytes]) -> np.ndarray:
     long = np.flatnonzero(stop - start > LONG)
     if len(long):
         first = [grams(b, start[i], stop[i]) for i in long]
-        size = [len(x) for x in first]
+        owner = np.repeat(line[long], [len(x) for x in first])
         rest = np.flatnonzero(stop - start <= LONG)
-        first, owner = np.concatenate(first), np.repeat(line[long], size)
-        line = np.r_[line[rest], owner]
-        order = np.argsort(line, kind="stable")
-        start, stop, line = np.r_[start[rest], first][order], np.r_[stop[rest], first + GRAM][order], line[order]
+        first = np.concatenate(first)
+        start, stop, line = np.r_[start[rest], first], np.r_[stop[rest], first + GRAM], np.r_[line[rest], owner]
+        order = np.argsort(start)
+        start, stop, line = start[order], stop[order], line[order]
     use = stop - start > 3
-    bare = np.bincount(line[use], minlength=len(bodies)) < FEATURES
-    use |= bare[line]
+    use |= (np.bincount(line[use], minlength=len(bodies)) < FEATURES)[line]
     start, stop, line = start[use], stop[use], line[use]
-    bits = _SPREAD[word_hashes(b, start, stop).view(np.uint8).reshape(-1, 8)]
-    cut = np.searchsorted(line, np.arange(len(bodies)))
-    size = np.diff(np.r_[cut, len(line)])
-    ones = np.add.reduceat(bits, cut, axis=0).view(np.uint8).reshape(-1, 64).astype(np.int32)  # eight counters in each 64 bits
+    h = word_hashes(b, start, stop)
+    key = line * BLOCKS + ((h >> np.uint64(40)) % np.uint64(BLOCKS)).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    bits = _SPREAD[h[order].view(np.uint8).reshape(-1, 8)[:, :3]]
+    cut = same(key)
+    size = np.diff(np.r_[cut, len(key)])
+    ones = np.add.reduceat(bits, cut, axis=0).view(np.uint8).reshape(-1, 24).astype(np.int32)  # eight counters in each 64 bits
     for i in np.flatnonzero(size > 255):
-        ones[i] = bits[cut[i] : cut[i] + size[i]].view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int32)
-    return np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+        ones[i] = bits[cut[i] : cut[i] + size[i]].view(np.uint8).reshape(-1, 24).sum(0, dtype=np.int32)
+    won = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").astype(np.uint32)
+    values, words = np.zeros(len(bodies) * BLOCKS, np.uint32), np.zeros(len(bodies) * BLOCKS, np.int64)
+    values[key[cut]] = won[:, 0] | won[:, 1] << 8 | won[:, 2] << 16
+    words[key[cut]] = size
+    return values.reshape(-1, BLOCKS), words.reshape(-1, BLOCKS)
+
+
+def sim_columns(values: np.ndarray, words: np.ndarray) -> list[pa.Array]:
+    """Two blocks and their numbers of words, 100 at most, in each of three longs."""
+    w = np.minimum(words, 100)
+    return [pa.array(values[:, i].astype(np.int64) | values[:, i + 1].astype(np.int64) << 24 | w[:, i] << 48 | w[:, i + 1] << 55) for i in (0, 2, 4)]
 
 
-def _long(body: bytes) -> np.ndarray:
-    """The same of one very long line, stretch by stretch."""
-    words = []
-    for w in body.split(b" "):
-        words += [w] if len(w) <= LONG else [w[i : i + GRAM] for i in grams(np.frombuffer(w, np.uint8), 0, len(w)).tolist()]
-    long = [w for w in words if len(w) > 3]
-    words, ones = long if len(long) >= FEATURES else words, np.zeros(64, np.int64)
-    for i in range(0, len(words), 1000):
-        part = words[i : i + 1000]
-        b = np.frombuffer(b" ".join(part) + b" ", np.uint8)
-        stop = np.cumsum([len(w) + 1 for w in part]) - 1
-        ones += _SPREAD[word_hashes(b, np.r_[0, stop[:-1] + 1], stop).view(np.uint8).reshape(-1, 8)].view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(words), bitorder="little").view(np.uint64)
+def sim_blocks(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    values = [x >> s & 0xFFFFFF for x in columns for s in (0, 24)]
+    words = [x >> s & 0x7F for x in columns for s in (48, 55)]
+    return np.stack(values, 1).astype(np.uint64), np.stack(words, 1)
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -157,24 +175,30 @@ def within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
-LINES = "line long, sim long, size int, n long, doc long, no int, docs binary, nos binary, body string"
-LINES_ARROW = pa.schema([("line", pa.int64()), ("sim", pa.int64()), ("size", pa.int32()), ("n", pa.int64()), ("doc", pa.int64()), ("no", pa.int32()), ("docs", pa.binary()), ("nos", pa.binary()), ("body", pa.string())])
+LINES = "line long, twin long, s0 long, s1 long, s2 long, size int, n long, doc long, dig long, no int, docs binary, digs binary, nos binary, body string"
+LINES_ARROW = pa.schema([("line", pa.int64()), ("twin", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("size", pa.int32()), ("n", pa.int64()), ("doc", pa.int64()), ("dig", pa.int64()), ("no", pa.int32()), ("docs", pa.binary()), ("digs", pa.binary()), ("nos", pa.binary()), ("body", pa.string())])
 
 
 def lines(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
-    """docs (doc_id, text) to one row a task and distinct judged line: hash, SimHash, count, first occurrence.
+    """docs (doc, dig, text) to one row a task and distinct line: its two hashes, SimHash, size, count, first occurrence.
 
-    only: a filter of line hashes; then their occurrences and normal forms come along, else neither.
+    only: a filter of line hashes; then their occurrences and normal forms come along instead of the SimHash.
     """
     sent = docs.sparkSession.sparkContext.broadcast(only)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed = sent.value
-
-        def rows(found: dict[bytes, list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
-            every, full = list(found), passed is not None
-            for at in range(0, len(every), 2000):
-                bodies = every[at : at + 2000]
+        full = passed is not None
+
+        def rows(found: dict[bytes, list[tuple[int, int, int]]]) -> Iterator[pa.RecordBatch]:
+            every = list(found)
+            at = 0
+            while at < len(every):
+                end, n = at, 0
+                while end < len(every) and end - at < 2000 and (n < 4 << 20 or end == at):
+                    n += len(every[end]) + (20 * len(found[every[end]]) if full else 0)
+                    end += 1
+                bodies, at = every[at:end], end
                 h = np.fromiter(map(xxhash.xxh3_64_intdigest, bodies), np.uint64, len(bodies))
                 if full:
                     keep = np.flatnonzero(probed(passed, h))
@@ -185,74 +209,79 @@ def lines(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
                 places = [found[b] for b in bodies]
                 first = [min(p) for p in places]
                 none = [b""] * len(bodies)
+                zero = pa.array(np.zeros(len(bodies), np.int64))
+                packed = [pa.array([np.array([x[i] for x in p], t).tobytes() for p in places] if full else none, pa.binary()) for i, t in ((0, np.int64), (1, np.int64), (2, np.int32))]
                 cols = [
                     pa.array(h.view(np.int64)),
-                    pa.array(simhashes(bodies).view(np.int64)),
+                    pa.array(np.fromiter(map(xxhash.xxh64_intdigest, bodies), np.uint64, len(bodies)).view(np.int64)),
+                    *([zero] * 3 if full else sim_columns(*simhashes(bodies))),
                     pa.compute.utf8_length(text),
                     pa.array([len(p) for p in places], pa.int64()),
-                    pa.array([p[0] for p in first], pa.int64()),
-                    pa.array([p[1] for p in first], pa.int32()),
-                    pa.array([np.array([x[0] for x in p], np.int64).tobytes() for p in places] if full else none, pa.binary()),
-                    pa.array([np.array([x[1] for x in p], np.int32).tobytes() for p in places] if full else none, pa.binary()),
+                    *(pa.array([p[i] for p in first], t) for i, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int32()))),
+                    *packed,
                     text if full else pa.array([""] * len(bodies)),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, schema=LINES_ARROW)
 
-        found: dict[bytes, list[tuple[int, int]]] = {}
+        found: dict[bytes, list[tuple[int, int, int]]] = {}
+        held = 0
         for b in small(it):
-            for doc, text in zip(b.column("doc_id").to_pylist(), texts(b), strict=True):
+            for doc, dig, text in zip(b.column("doc").to_pylist(), b.column("dig").to_pylist(), texts(b), strict=True):
                 for no, line in enumerate((text or b"").translate(_NORMAL).split(b"\n")):
                     w = line.split()
-                    if len(w) >= MIN_WORDS:
-                        found.setdefault(b" ".join(w), []).append((LAST if doc is None else doc, no))
-                if len(found) > 20_000:
+                    if w:
+                        body = b" ".join(w)
+                        if (at := found.get(body)) is None:
+                            found[body] = [(doc, dig, no)]
+                            held += len(body) + 300
+                        else:
+                            at.append((doc, dig, no))
+                            held += 100
+                if held > HELD:
                     yield from rows(found)
-                    found = {}
+                    found, held = {}, 0
         yield from rows(found)
 
     return docs.mapInArrow(run, LINES)
 
 
-def blocks_for(n: int) -> int:
-    """Blocks of a SimHash, so that the agreeing ones have some bits more than the number of lines."""
-    m = BITS_APART + 2
-    while 64 * (m - BITS_APART) // m < n.bit_length() + 4 and m < 8:
-        m += 1
-    return m
+_PAIRS = list(combinations(range(BLOCKS), 2))
+
+
+def keys(values: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each SimHash a key for every choice of two blocks, and whether these hold two words or more."""
+    both = [mixed((values[:, i] | values[:, j] << np.uint64(24)) ^ mixed(np.array([k + 1], np.uint64))) for k, (i, j) in enumerate(_PAIRS)]
+    return np.stack(both, 1), np.stack([words[:, i] + words[:, j] > 1 for i, j in _PAIRS], 1)
 
 
-def keys(sims: np.ndarray, m: int) -> np.ndarray:
-    """For each SimHash a key for every choice of m - BITS_APART blocks (rows: SimHashes)."""
-    edge = [64 * i // m for i in range(m + 1)]
-    mask = [((1 << edge[i + 1]) - 1) ^ ((1 << edge[i]) - 1) for i in range(m)]
-    chosen = [sum(mask[i] for i in c) for c in combinations(range(m), m - BITS_APART)]
-    return np.stack([mixed((sims & np.uint64(c)) ^ mixed(np.array([i + 1], np.uint64))) for i, c in enumerate(chosen)], 1)
+def similar_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    return (np.minimum(a, b) >= FUZZY_CHARS) & (np.abs(a - b) * NOT_ALIKE <= np.maximum(a, b))
 
 
-def meetings(distinct: DataFrame, n: int, parts: int) -> DataFrame:
-    """(bucket, id, first) of lines that share a key with another line."""
-    m = blocks_for(n)
+def meetings(distinct: DataFrame, parts: int) -> DataFrame:
+    """(bucket, id, other): pairs of lines that share a key, or lines and their key where many share it."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(parts, positions=True)
 
         def rows() -> Iterator[dict]:
             for b in it:
-                sims = b.column("sim").to_numpy().view(np.uint64)
-                # halves folded together differ in no more bits than the whole
-                folded = (sims ^ (sims >> np.uint64(32))).astype(np.uint32)
-                for line, key, fold in zip(b.column("line").to_pylist(), keys(sims, m), folded, strict=True):
-                    if packer.add(line, key, np.full(len(key), fold)):
+                key, ok = keys(*sim_blocks([b.column(c).to_numpy() for c in ("s0", "s1", "s2")]))
+                cut = np.cumsum(ok.sum(1))[:-1]
+                size = np.repeat(b.column("size").to_numpy().astype(np.uint32), ok.sum(1))
+                for line, k, s in zip(b.column("line").to_pylist(), np.split(key[ok], cut), np.split(size, cut), strict=True):
+                    if len(k) and packer.add(line, k, s):
                         yield from packer.rows()
             yield from packer.rows()
 
         yield from batches(rows(), PACKED_ARROW)
 
-    return shared_tokens(distinct.select("line", "sim").mapInArrow(run, PACKED), parts, True, BITS_APART, plain=True).distinct().withColumn("first", F.lit(0.0))
+    return token_pairs(distinct.where(f"size >= {FUZZY_CHARS}").select("line", "s0", "s1", "s2", "size").mapInArrow(run, PACKED), similar_sizes)
 
 
-#: What linked lines fulfil; the rest is up to the distance.
-NEAR = f"bit_count({{a}}.sim ^ {{b}}.sim) <= {BITS_APART} and least({{a}}.size, {{b}}.size) >= {FUZZY_CHARS} and abs({{a}}.size - {{b}}.size) * {NOT_ALIKE} <= greatest({{a}}.size, {{b}}.size)"
+#: What linked lines of one key fulfil; the rest is up to the distance.
+NEAR = f"abs({{a}}.size - {{b}}.size) * {NOT_ALIKE} <= greatest({{a}}.size, {{b}}.size)"
 
 
 def alike(pairs: DataFrame, forms: DataFrame) -> DataFrame:
@@ -268,58 +297,69 @@ def alike(pairs: DataFrame, forms: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) to (doc, nos array<int>): the lines that go, numbered from 0; a null doc_id has the name LAST."""
+    """docs (doc, dig, text) to (doc, dig, nos array<int>): the lines that go, numbered from 0."""
     spark = docs.sparkSession
     parts = fragments(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    distinct = saved(lines(docs).groupBy("line", "sim", "size").agg(F.sum("n").alias("n")), "lines")
-    met = meetings(distinct, distinct.count(), parts).join(distinct.select(F.col("line").alias("id"), "sim", "size"), "id")
-    met = saved(met, "meetings")
-    met = with_neighbours(met, NEAR, "lines")
-    lone = met.select(F.col("id").alias("line")).distinct()
+    distinct = saved(lines(docs).groupBy("line", "twin").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("s0", "s1", "s2", "size"))), "lines")
+    met = saved(meetings(distinct, parts), "meetings")
+    pairs = met.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+    members = met.where("other is null").select("bucket", "id").distinct().join(distinct.groupBy(F.col("line").alias("id")).agg(F.max("size").alias("size")), "id")
+    lone = saved(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).union(members.select("id")).distinct(), "met")
     wanted = distinct.where("n > 1").select("line").union(lone).distinct()
     held = saved(lines(docs, bloom(wanted, F.col("line"))), "held")
-    forms = saved(held.groupBy("line").agg(F.min("body").alias("body")).join(lone, "line"), "forms")
-    links = bucket_links(met, NEAR, lambda p: alike(p, forms), "lines", 2, trim=False, rank=["sim", "shiftrightunsigned(sim, 32) | shiftleft(sim, 32)"])
+    forms = saved(held.join(lone, "line", "left_semi").groupBy("line").agg(F.min("body").alias("body")), "forms")
+    members = members.select("bucket", "id", F.xxhash64("id", F.lit(1)).cast("double").alias("first"), "size")
+    links = bucket_links(members, NEAR, lambda p: alike(p, forms), "lines", trim=False, pairs=pairs)
     comps = components(links, "lines")
-    first = held.groupBy("line").agg(F.min(F.struct("doc", "no")).alias("f"), F.sum("n").alias("n")).join(comps.withColumnRenamed("id", "line"), "line", "left").withColumn("comp", F.coalesce("comp", "line"))
-    top = first.groupBy("comp").agg(F.min("f").alias("keep"), F.sum("n").alias("total")).where("total > 1")
-    judged = first.join(top, "comp").select("line", F.col("keep.doc").alias("keep_doc"), F.col("keep.no").alias("keep_no"))
+    first = held.groupBy("line", "twin").agg(F.min(F.struct("doc", "dig", "no")).alias("f"), F.sum("n").alias("n"))
+    first = first.join(comps.withColumnRenamed("id", "line"), "line", "left")
+    # lines without links are groups of their own, told by both hashes
+    first = first.withColumn("other", F.when(F.col("comp").isNull(), F.col("twin")).otherwise(F.lit(0))).withColumn("comp", F.coalesce("comp", "line"))
+    top = first.groupBy("comp", "other").agg(F.min("f").alias("keep"), F.sum("n").alias("total")).where("total > 1")
+    judged = first.join(top, ["comp", "other"]).select("line", "twin", *(F.col(f"keep.{c}").alias(f"keep_{c}") for c in ("doc", "dig", "no")))
 
     def others(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            gone = []
-            for docs_, nos, kd, kn in zip(*(b.column(c).to_pylist() for c in ("docs", "nos", "keep_doc", "keep_no")), strict=True):
-                d, n = np.frombuffer(docs_, np.int64), np.frombuffer(nos, np.int32)
-                go = (d != kd) | (n != kn)
-                gone.append((d[go], n[go]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in gone])) for i in (0, 1)], ["doc", "no"])
+            gone = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]]
+            for docs_, digs, nos, kd, kg, kn in zip(*(b.column(c).to_pylist() for c in ("docs", "digs", "nos", "keep_doc", "keep_dig", "keep_no")), strict=True):
+                d, g, n = np.frombuffer(docs_, np.int64), np.frombuffer(digs, np.int64), np.frombuffer(nos, np.int32)
+                go = (d != kd) | (g != kg) | (n != kn)
+                for x, y in zip(gone, (d, g, n), strict=True):
+                    x.append(y[go])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in gone], ["doc", "dig", "no"])
+
+    gone = held.join(judged, ["line", "twin"]).select("docs", "digs", "nos", "keep_doc", "keep_dig", "keep_no").mapInArrow(others, "doc long, dig long, no int")
+    return gone.groupBy("doc", "dig").agg(F.sort_array(F.collect_set("no")).alias("nos"))
+
 
-    gone = held.join(judged, "line").select("docs", "nos", "keep_doc", "keep_no").mapInArrow(others, "doc long, no int")
-    return gone.groupBy("doc").agg(F.sort_array(F.collect_set("no")).alias("nos"))
+def counts_of(columns: list[str]) -> tuple[str, str]:
+    """What deduplicated() calls its two counts: n_lines and n_removed, or longer names where columns have these."""
+    return fresh("n_lines", columns), fresh("n_removed", columns)
 
 
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with their remaining lines as text, and n_lines and n_removed added; a document may end up empty."""
-    gone = removals(docs.select("doc_id", F.col(text).alias("text")))
-    names = docs.columns
-    kinds = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
-    both = keyed.join(gone.select(F.col("doc").alias("_doc"), F.col("nos").alias("_nos")).hint("shuffle_hash"), "_doc", "left").select(*names, "_nos")
+    """docs with their remaining lines as text, and their numbers of lines and of removed ones added under the names of
+    counts_of(); a document may end up empty."""
+    plain, names = positional(docs)
+    body = names[docs.columns.index(text)]
+    keyed = plain.withColumn("doc", F.coalesce(F.col(names[docs.columns.index("doc_id")]).cast("long"), F.lit(LAST))).withColumn("dig", F.xxhash64(body))
+    gone = removals(keyed.select("doc", "dig", F.col(body).alias("text")))
+    both = keyed.join(gone.hint("shuffle_hash"), ["doc", "dig"], "left").select(*names, "nos")
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(it):
-            body, sizes, drops = [], [], []
-            for t, nos in zip(texts(b, text), b.column("_nos").to_pylist(), strict=True):
+            left, sizes, drops = [], [], []
+            for t, nos in zip(texts(b, body), b.column("nos").to_pylist(), strict=True):
                 n = 0 if t is None else t.count(b"\n") + 1
-                go = {i for i in nos or () if i < n}
+                go = set(nos or ())
                 sizes.append(n)
                 drops.append(len(go))
-                body.append(t if not go else b"\n".join(x for i, x in enumerate(t.split(b"\n")) if i not in go))
-            out = {c: b.column(c) for c in names} | {text: pa.array(body, pa.binary()).cast(pa.string())}
+                left.append(t if not go else b"\n".join(x for i, x in enumerate(t.split(b"\n")) if i not in go))
+            out = {c: b.column(c) for c in names} | {body: pa.array(left, pa.binary()).cast(pa.string())}
             yield pa.RecordBatch.from_arrays([*out.values(), pa.array(sizes, pa.int64()), pa.array(drops, pa.int64())], [*names, "n_lines", "n_removed"])
 
-    return both.mapInArrow(cut, f"{kinds}, n_lines long, n_removed long")
+    kinds = ", ".join(f"{c} {k}" for c, k in plain.dtypes)
+    return both.mapInArrow(cut, f"{kinds}, n_lines long, n_removed long").toDF(*docs.columns, *counts_of(docs.columns))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
