@@ -29,8 +29,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that occur earlier; one that loses all its lines goes."""
     shipped(spark)
-    left = lines.deduplicated(docs).where("n_lines = 0 or n_removed < n_lines")
-    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    n_lines, n_removed = lines.counts_of(docs.columns)
+    left = lines.deduplicated(docs).where(F.expr(f"{n_lines} = 0 or {n_removed} < {n_lines}"))
+    return left.withColumn("n_chars", F.when(F.col(n_removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
