@@ -331,13 +331,49 @@ def token_pairs(packed: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.n
     return packed.groupBy("frag").applyInArrow(fragment, "bucket long, id long, other long").distinct()
 
 
+#: Links that a task holds at a time to make a forest of them.
+FOREST = 1_000_000
+
+
+def forest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) to fewer with the same components: in every chunk each id and the smallest it reaches there."""
+
+    def trees(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        ids, at = np.unique(np.r_[a, b], return_inverse=True)
+        x, y = at[: len(a)], at[len(a) :]
+        root = np.arange(len(ids))
+        while True:
+            low = np.minimum(root[x], root[y])
+            new = root.copy()
+            np.minimum.at(new, root[x], low)
+            np.minimum.at(new, root[y], low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        far = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[root[far]])], ["a", "b"])
+
+    held, n = [], 0
+    for batch in it:
+        held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+        n += batch.num_rows
+        if n >= FOREST:
+            yield trees(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held, n = [], 0
+    if held:
+        yield trees(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """edges (a long, b long) to (id, comp): each id's smallest reachable id. Self-links and repeats do no harm.
 
-    Labels spread along the links and then jump to their label's label, until nothing changes; each round's labels
-    are a written table, so no lineage grows and nothing is collected but a count.
+    Tasks make forests of the links they hold, as they lie and then by id, which leaves short ways. Labels spread along
+    these and then jump to their label's label, until nothing changes; each round's labels are a written table, so no
+    lineage grows and nothing is collected but a count.
     """
-    both = saved(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), f"{name}-edges")
+    short = edges.select("a", "b").where("a <> b").mapInArrow(forest, "a long, b long").repartition("a").mapInArrow(forest, "a long, b long")
+    both = saved(short.select("a", "b").union(short.select("b", "a")).distinct(), f"{name}-edges")
     labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")), f"{name}-labels")
     while True:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("comp").alias("m"))
@@ -353,6 +389,20 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
             return labels
 
 
+def merged(comps: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
+    """comps (id, comp) with more links (a, b): only what these join is looked at again."""
+    if comps is None:
+        return components(links, name)
+    if links.isEmpty():
+        return comps
+    ends = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+    every = comps.union(ends.join(comps, "id", "left_anti").select("id", F.col("id").alias("comp")))
+    x, y = (comps.select(F.col("id").alias(s), F.col("comp").alias(f"comp_{s}")) for s in "ab")
+    between = links.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
+    joins = components(between, name).select(F.col("id").alias("comp"), F.col("comp").alias("top"))
+    return saved(every.join(joins, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp")), f"{name}-comps")
+
+
 def with_neighbours(members: DataFrame, near: str, name: str) -> DataFrame:
     """Of members (bucket, id, others) those with another one near in their bucket."""
     condition = F.expr(f"x.bucket = y.bucket and x.id <> y.id and {near.format(a='x', b='y')}")
@@ -360,7 +410,7 @@ def with_neighbours(members: DataFrame, near: str, name: str) -> DataFrame:
 
 
 def bucket_links(members: DataFrame, near: str, linked: Callable[[DataFrame], DataFrame], name: str, stars: int = 2, trim: bool = True, sharp: tuple[DataFrame, str] | None = None, pairs: DataFrame | None = None) -> DataFrame:
-    """Links that join whatever any two linked members of one bucket would join: (a, b).
+    """(id, comp) of whatever links between members of one bucket join; comp is the smallest id reached.
 
     members: (bucket, id long, first double, others); near: SQL over members {a} and {b}, which linked ones fulfil;
     linked: of candidate pairs (a, b), a < b, those that are linked. Members without anyone near in their bucket go
@@ -376,26 +426,24 @@ def bucket_links(members: DataFrame, near: str, linked: Callable[[DataFrame], Da
     if trim:
         members = with_neighbours(members, near, name)
     left = members.withColumn("comp", F.col("id"))
-    links: DataFrame | None = None
+    comps: DataFrame | None = None
     for turn in range(stars):
         lead = left.groupBy("bucket").agg(F.min(F.struct("first", "id", "comp", *more)).alias("l")).select("bucket", "l.*")
         found = left.alias("x").join(lead.alias("y"), F.expr(f"x.bucket = y.bucket and x.id <> y.id and x.comp <> y.comp and {both}"))
         found = found.selectExpr("least(x.id, y.id) as a", "greatest(x.id, y.id) as b")
-        if pairs is not None and links is None:
+        if pairs is not None and comps is None:
             found = found.union(pairs)
-        new = saved(linked(found.distinct()), f"{name}-links")
-        links = new if links is None else links.union(new)
-        comps = components(links, name)
+        comps = merged(comps, saved(linked(found.distinct()), f"{name}-links"), name)
         placed = members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         spread = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
         left = placed.join(spread, "bucket").withColumn("first", F.col("first") * (-1) ** (turn + 1))  # another leader than before
         left = saved(left.select("bucket", "id", "first", *more, "comp"), f"{name}-left")
         if left.isEmpty():
-            return links
+            return comps
     if sharp:
         left, both = left.join(sharp[0], "id"), f"{both} and {sharp[1].format(a='x', b='y')}"
     rest = left.alias("x").join(left.alias("y"), F.expr(f"x.bucket = y.bucket and x.comp < y.comp and {both}"))
-    return links.union(saved(linked(rest.selectExpr("least(x.id, y.id) as a", "greatest(x.id, y.id) as b").distinct()), f"{name}-links"))
+    return merged(comps, saved(linked(rest.selectExpr("least(x.id, y.id) as a", "greatest(x.id, y.id) as b").distinct()), f"{name}-links"), name)
 
 
 def fresh(name: str, taken: list[str]) -> str:

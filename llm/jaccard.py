@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import BY_OWNER, BY_OWNER_ARROW, PACKED, PACKED_ARROW, Packer, WordHash, batches, bucket_links, components, fragments, joined, owner_rows, same, saved, shared_tokens, shingle_set, small, texts
+from llm.common import BY_OWNER, BY_OWNER_ARROW, PACKED, PACKED_ARROW, Packer, WordHash, batches, bucket_links, fragments, joined, owner_rows, same, saved, shared_tokens, shingle_set, small, texts
 from llm.urls import bloom, may_hold
 
 #: Overlaps of a pair are counted in so many vertical fragments.
@@ -147,8 +147,7 @@ def groups(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
     apart = " + ".join(f"bit_count({{a}}.b{i} ^ {{b}}.b{i})" for i in range(BITMAP))
     bitmaps = live.select("id", "own", *(F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITMAP)))
     sharp = f"({apart} + {{a}}.own + {{b}}.own) * {100 + percent} <= ({{a}}.n + {{b}}.n) * {100 - percent}"
-    links = bucket_links(members, "{a}.n between {b}.lo and {b}.hi and {b}.n between {a}.lo and {a}.hi", lambda p: overlaps(p, live, percent), "jaccard", sharp=(bitmaps, sharp))
-    comps = components(links, "jaccard")
+    comps = bucket_links(members, "{a}.n between {b}.lo and {b}.hi and {b}.n between {a}.lo and {a}.hi", lambda p: overlaps(p, live, percent), "jaccard", sharp=(bitmaps, sharp))
     named = comps.join(sizes.select(F.col("class").alias("id"), "least"), "id")
     least = named.groupBy("comp").agg(F.min("least").alias("top"))
     tops = named.join(least, "comp").select(F.col("id").alias("class"), "top")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import PACKED, PACKED_ARROW, Packer, batches, bucket_links, components, fragments, fresh, mixed, positional, same, saved, small, texts, token_pairs
+from llm.common import PACKED, PACKED_ARROW, Packer, batches, bucket_links, fragments, fresh, mixed, positional, same, saved, small, texts, token_pairs
 from llm.urls import bloom, probed
 
 BLOCKS, NOT_ALIKE = 6, 4  # distance * NOT_ALIKE <= longer length
@@ -141,26 +141,54 @@ def sim_blocks(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(values, 1).astype(np.uint64), np.stack(words, 1)
 
 
+def aligned(a: str, b: str, most: int) -> bool:
+    """Whether a simple edit script of most edits or fewer is at hand: words in common stay, what lies between is replaced."""
+    x, y, i, j, cost = a.split(" "), b.split(" "), 0, 0, 0
+    n, m = len(x), len(y)
+    while i < n and j < m:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        at = next(((u, d - u) for d in range(1, 9) for u in range(d + 1) if i + u < n and j + d - u < m and x[i + u] == y[j + d - u]), None)
+        if at is None:
+            break
+        u, v = at
+        cost += max(sum(map(len, x[i : i + u])) + u, sum(map(len, y[j : j + v])) + v)
+        if cost > most:
+            return False
+        i, j = i + u, j + v
+    return cost + max(sum(map(len, x[i:])) + n - i, sum(map(len, y[j:])) + m - j) <= most
+
+
+def distant(a: str, b: str, most: int) -> bool:
+    """Whether runs of three characters tell that the edit distance is above most: an edit disturbs three of them."""
+    n: dict[str, int] = {}
+    for i in range(len(a) - 2):
+        g = a[i : i + 3]
+        n[g] = n.get(g, 0) + 1
+    gone = 0
+    for i in range(len(b) - 2):
+        g = b[i : i + 3]
+        k = n.get(g, 0)
+        if k:
+            n[g] = k - 1
+        else:
+            gone += 1
+    return max(gone, gone + len(a) - len(b)) > 3 * most
+
+
 def within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance is most or less: what both begin and end with goes, Myers' bit vectors tell the rest."""
+    """Whether the edit distance is most or less: quick answers where there are some, else Myers' bit vectors."""
     if abs(len(a) - len(b)) > most:
         return False
-    n, lo, hi = min(len(a), len(b)), 0, min(len(a), len(b))
-    while lo < hi:  # the longest common start
-        mid = (lo + hi + 1) // 2
-        lo, hi = (mid, hi) if a[:mid] == b[:mid] else (lo, mid - 1)
-    a, b, n = a[lo:], b[lo:], n - lo
-    lo, hi = 0, n
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        lo, hi = (mid, hi) if a[len(a) - mid :] == b[len(b) - mid :] else (lo, mid - 1)
-    a, b = a[: len(a) - lo], b[: len(b) - lo]
-    if not a or not b:
-        return len(a) + len(b) <= most
+    if aligned(a, b, most):
+        return True
+    if distant(a, b, most):
+        return False
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
-    full, last, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    full, last, score = (1 << len(a)) - 1, 1 << (len(a) - 1) if a else 0, len(a)
     up, down = full, 0
     for j, c in enumerate(b):
         eq = where.get(c, 0)
@@ -293,7 +321,9 @@ def alike(pairs: DataFrame, forms: DataFrame) -> DataFrame:
             ok = [within(s, t, max(len(s), len(t)) // NOT_ALIKE) for s, t in zip(b.column("body_a").to_pylist(), b.column("body_b").to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "body_a", "body_b").mapInArrow(check, "a long, b long")
+    # many small tasks: what costs is the distances, not the bytes that partitions would be made from
+    parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.sparkSession.sparkContext.defaultParallelism)
+    return pairs.join(x, "a").repartition(parts, "b").join(y, "b").select("a", "b", "body_a", "body_b").mapInArrow(check, "a long, b long")
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -309,8 +339,7 @@ def removals(docs: DataFrame) -> DataFrame:
     held = saved(lines(docs, bloom(wanted, F.col("line"))), "held")
     forms = saved(held.join(lone, "line", "left_semi").groupBy("line").agg(F.min("body").alias("body")), "forms")
     members = members.select("bucket", "id", F.xxhash64("id", F.lit(1)).cast("double").alias("first"), "size")
-    links = bucket_links(members, NEAR, lambda p: alike(p, forms), "lines", trim=False, pairs=pairs)
-    comps = components(links, "lines")
+    comps = bucket_links(members, NEAR, lambda p: alike(p, forms), "lines", trim=False, pairs=pairs)
     first = held.groupBy("line", "twin").agg(F.min(F.struct("doc", "dig", "no")).alias("f"), F.sum("n").alias("n"))
     first = first.join(comps.withColumnRenamed("id", "line"), "line", "left")
     # lines without links are groups of their own, told by both hashes
