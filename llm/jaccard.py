@@ -12,7 +12,7 @@ the same n-gram are then held against each other (bucket_links), and of these on
 differ in more places than the sets may. N-grams that many texts of one chunk share don't
 gather in their fragment: a marker goes there, the entries return to their texts.
 
-n-grams are 64-bit hashes. A null or empty text, or one without words, has an empty set and links with nothing. A null
+n-grams and classes are 64-bit hashes. A null or empty text, or one without words, has an empty set and links with nothing. A null
 doc_id is never a component's name unless its text has no other. Repeated rows share their component; an empty table
 gives an empty result; extra columns are ignored.
 """
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import BY_OWNER, BY_OWNER_ARROW, PACKED, PACKED_ARROW, Packer, WordHash, batches, bucket_links, fragments, joined, owner_rows, same, saved, shared_tokens, shingle_set, small, texts
+from llm.common import BY_OWNER, BY_OWNER_ARROW, PACKED, PACKED_ARROW, Packer, WordHash, batches, bucket_links, fragments, joined, owner_rows, positional, same, saved, shared_tokens, shingle_set, small, texts
 from llm.urls import bloom, may_hold
 
 #: Overlaps of a pair are counted in so many vertical fragments.
@@ -44,7 +44,7 @@ def _sets(b: pa.RecordBatch, words: WordHash, size: int) -> Iterator[tuple[np.nd
 
 
 def classes(docs: DataFrame, size: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, class): texts with equal sets share the class, an empty set has none."""
+    """docs (doc_id, dig, text) to (doc_id, dig, n_shingles, class): texts with equal sets share the class, an empty set has none."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
@@ -53,9 +53,9 @@ def classes(docs: DataFrame, size: int = 5) -> DataFrame:
             for s, k in _sets(b, words, size):
                 n.append(len(s))
                 c.append(k)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(c, pa.int64())], ["doc_id", "n_shingles", "class"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("dig"), pa.array(n, pa.int64()), pa.array(c, pa.int64())], ["doc_id", "dig", "n_shingles", "class"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, class long")
+    return docs.mapInArrow(run, "doc_id long, dig long, n_shingles long, class long")
 
 
 def packed(docs: DataFrame, parts: int, size: int = 5) -> DataFrame:
@@ -131,15 +131,13 @@ def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return total.where(f"100 * o >= {percent} * (n_a + n_b - o)").select("a", "b")
 
 
-def groups(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
-    """docs (doc_id, text) to (doc_id, n_shingles, component_id)."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = fragments(spark)
+def joined_classes(docs: DataFrame, percent: int = 75, size: int = 5) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, dig, text) to (doc_id, dig, n_shingles, class) and, of classes that link with others, (id, comp)."""
+    parts = fragments(docs.sparkSession)
     per_doc = saved(classes(docs, size), "classes")
-    sizes = per_doc.where("class is not null").groupBy("class").agg(F.max("n_shingles").alias("n"), F.min("doc_id").alias("least"))
+    sizes = per_doc.where("class is not null").groupBy("class").agg(F.max("n_shingles").alias("n"))
     shared = shared_tokens(packed(docs, parts, size), parts)
-    live = saved(survivors(shared, sizes.select("class", "n"), parts, percent), "survivors")
+    live = saved(survivors(shared, sizes, parts, percent), "survivors")
     # 100 * (n - own) >= percent * (n + m - (n - own)) bounds a partner's size m
     most = F.floor((F.col("n") - F.col("own")) * (100 + percent) / percent).cast("long") - F.col("n")
     members = live.select(F.explode("prefix").alias("bucket"), "id", (F.col("own") / F.col("n")).alias("first"), "n", F.ceil(F.col("n") * percent / 100).cast("long").alias("lo"), most.alias("hi"))
@@ -148,28 +146,38 @@ def groups(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
     bitmaps = live.select("id", "own", *(F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITMAP)))
     sharp = f"({apart} + {{a}}.own + {{b}}.own) * {100 + percent} <= ({{a}}.n + {{b}}.n) * {100 - percent}"
     comps = bucket_links(members, "{a}.n between {b}.lo and {b}.hi and {b}.n between {a}.lo and {a}.hi", lambda p: overlaps(p, live, percent), "jaccard", sharp=(bitmaps, sharp))
-    named = comps.join(sizes.select(F.col("class").alias("id"), "least"), "id")
-    least = named.groupBy("comp").agg(F.min("least").alias("top"))
-    tops = named.join(least, "comp").select(F.col("id").alias("class"), "top")
-    tops = sizes.select("class", "least").join(tops, "class", "left").select("class", F.coalesce("top", "least").alias("component_id"))
+    return per_doc, comps
+
+
+def groups(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
+    """docs (doc_id, text) to (doc_id, n_shingles, component_id)."""
+    per_doc, comps = joined_classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("dig"), "text"), percent, size)
+    least = per_doc.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")).join(comps.withColumnRenamed("id", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    tops = least.join(least.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("class", "component_id")
     empty = per_doc.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return per_doc.where("class is not null").join(tops, "class").select("doc_id", "n_shingles", "component_id").union(empty)
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """docs without those whose group has a smaller doc_id; of repeated rows of a doc_id one stays, rows with a null doc_id all do.
+    """docs without those whose group has an earlier one, by doc_id (null last) and digest of the text.
 
-    Only rows that a bounded filter takes for members of groups are shuffled with their text.
+    Rows are told apart by both, so different texts under one doc_id, or none, are documents of their own; of rows equal
+    in both one stays, unless the text has no words. Columns may have any names. Only rows that a bounded filter takes
+    for members of groups are shuffled with their text.
     """
-    spark = docs.sparkSession
-    found = saved(groups(docs).where("doc_id is not null"), "groups")
-    several = found.groupBy("component_id").agg(F.count("*").alias("k")).where("k > 1").select("component_id")
-    members = saved(found.join(several, "component_id").groupBy(F.col("doc_id").alias("_doc")).agg((F.min("component_id") == F.col("_doc")).alias("_first")), "members")
-    named = F.xxhash64(F.col("doc_id").cast("long"))
-    marked = may_hold(spark, docs, named, bloom(members, F.xxhash64("_doc")))
-    hits = marked.where("_hit and doc_id is not null").join(members, F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    lead = hits.where("_first").dropDuplicates(["doc_id"])
-    return marked.where("not (_hit and doc_id is not null)").select(docs.columns).union(hits.where("_first is null").select(docs.columns)).union(lead.select(docs.columns))
+    plain, names = positional(docs)
+    doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    keyed = plain.withColumn("doc", F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))).withColumn("dig", F.xxhash64(text))
+    per_doc, comps = joined_classes(keyed.select(F.col("doc").alias("doc_id"), "dig", F.col(text).alias("text")))
+    placed = saved(per_doc.where("class is not null").join(comps.withColumnRenamed("id", "class"), "class", "left").select(F.col("doc_id").alias("doc"), "dig", F.coalesce("comp", "class").alias("comp")), "groups")
+    leads = placed.groupBy("comp").agg(F.count("*").alias("k"), F.min(F.struct("doc", "dig")).alias("lead")).where("k > 1").select("comp", "lead")
+    members = saved(placed.join(leads, "comp").select("doc", "dig", (F.struct("doc", "dig") == F.col("lead")).alias("first")).distinct(), "members")
+    named = F.xxhash64("doc", "dig")
+    marked = may_hold(docs.sparkSession, keyed, named, bloom(members, named))
+    hits = marked.where("_hit").join(members, ["doc", "dig"], "left")
+    lead = hits.where("first").dropDuplicates(["doc", "dig"])
+    out = marked.where("not _hit").select(names).union(hits.where("first is null").select(names)).union(lead.select(names))
+    return out.toDF(*docs.columns)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, native.
 
-Every document gets the key -ln(u) / w: u comes from a digest of doc_id and the seed, w is the document's quality
+Every document gets the key -ln(u) / w: u comes from a digest of doc_id (of the text where it is null) and the seed, w is the document's quality
 weight. Within a source documents are taken in the order of their keys. A source's target is met by as many complete
 epochs as fit, then by whole documents in that order while their prefix sum stays within the rest of the target; the
 last one enters if it brings the sum nearer. No source repeats its documents more than max_epochs times.
@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from llm.common import saved
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
@@ -46,15 +48,18 @@ def targets(sources: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs
     return s.select("skey", "source_size", F.least("cap", F.col("w") * F.coalesce("level", F.lit(0.0))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs: int = 3, seed: int = 42, bands: int | None = None) -> DataFrame:
-    """docs (doc_id, text, source) to (doc_id, skey, size, source_size, target, taken); bands: bands of keys for each power of e."""
+def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs: int = 3, seed: int = 42, bands: int | None = None, rows: bool = False) -> DataFrame:
+    """docs (doc_id, text, source) to (doc_id, skey, size, source_size, target, taken); bands: bands of keys for each power
+    of e; rows: also a column row, the struct of all of docs' columns."""
     spark = docs.sparkSession
     bands = bands or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    text = F.coalesce("text", F.lit(""))
-    u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"-{seed}")).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    d = docs.select("doc_id", F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1")).alias("skey"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), text.alias("text"))
-    d = d.select("doc_id", "skey", "size", (-F.log(u) / quality(F.col("text"), F.col("size"))).alias("key"))
+    text, kept = F.coalesce("text", F.lit("")), ["row"] if rows else []
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if rows else []
+    u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.md5(text.cast("binary"))), F.lit(f"-{seed}")).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    d = docs.select("doc_id", F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1")).alias("skey"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), text.alias("text"), u.alias("u"), *row)
+    d = d.select("doc_id", "skey", "size", *kept, (-F.log("u") / quality(F.col("text"), F.col("size"))).alias("key"))
     d = d.withColumn("band", F.floor(F.log("key") * bands))
+    d = saved(d, "keyed")
     sums = d.groupBy("skey", "band").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("skey").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
     per_source = targets(sums.groupBy("skey").agg(F.sum("n").alias("source_size")), weights, max_epochs)
@@ -64,7 +69,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_epochs: int =
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     d = d.withColumn("epochs", epochs)
     part = F.col("start") + F.col("size") / 2.0 <= F.col("target") - F.col("epochs") * F.col("source_size")
-    return d.select("doc_id", "skey", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.when(part, 1).otherwise(0))).cast("long").alias("taken"))
+    return d.select(*kept, "doc_id", "skey", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.when(part, 1).otherwise(0))).cast("long").alias("taken"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +82,7 @@ WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')) AS symbols,
-         (CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '-42'), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+         (CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || '-42'), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM documents
 ), k AS (
   SELECT doc_id, skey, size, -ln(u) / greatest(0.05::DOUBLE, 1.0::DOUBLE - symbols / greatest(size, 1)::DOUBLE) AS key FROM d

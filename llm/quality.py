@@ -1,39 +1,46 @@
 """Quality rules: plain counts, and perplexity bands of a modified Kneser-Ney n-gram model for each language.
 
-The model has n-grams of ORDER characters. Spark counts characters, then n-grams, over all whole texts; every task
-sums up before the shuffle. Letters are folded to lower case; a language has the 30 commonest folded characters, one
-class for all others and one for the text's start, so a language has at most 32 ** ORDER n-grams whatever the corpus
-holds: what is collected and broadcast is bounded. The most frequent languages have models of their own, all others
-share one. Discounts follow from the counts of counts. The model is stored in sorted arrays of n-gram hashes with
-their log probabilities and back-off weights; a worker looks all n-grams up once, by binary search, in a table.
+The model has n-grams of ORDER code points, folded to lower case, digits to 0, white space to a space. Tasks count the
+n-grams of their whole texts, Spark sums them up for each language, derives the lower orders as distinct left
+extensions, the discounts from the counts of counts, and interpolates order by order with joins. Neither characters nor
+languages nor n-grams have a limit: the model grows with the corpus and nothing of it is pruned. What it says of each
+n-gram of the highest order is kept in arrays sorted by hash and cut into shards by hash. A shard has SHARD n-grams, so
+no more than that is at the driver, broadcast or in a worker at a time; every shard is passed to all documents, whose
+partial sums are added up. Each n-gram of the documents is in some shard, as the model was counted on them.
 
 A document's perplexity is per character. A language's bands lie around the median of the log perplexities of the
-documents that pass the plain rules, at multiples of the median deviation to either side; both medians are taken over
-the whole corpus. Documents outside are rejected: above is noise, below is repetition.
+documents that pass the plain rules, at multiples of the median deviation to either side; both medians are exact to
+four digits over the whole corpus. Documents outside are rejected: above is noise, below is repetition.
 
-A null text counts as empty: no words, base_failed. Languages may be null. A text without characters has no perplexity
-and isn't judged by it. Repeated rows come back each; an empty table gives an empty result; extra columns are ignored.
+A null text counts as empty: no words, base_failed. A null language is a language of its own. A text without characters
+has no perplexity and isn't judged by it. Repeated rows come back each; an empty table gives an empty result; extra
+columns are ignored by the query and pass through filtered(), whatever their names.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import saved, small, texts
+from llm.common import mixed, positional, same, saved, small, texts
 
-ORDER, BITS, LANGUAGES = 4, 5, 15
-OTHER, START, LETTERS = 30, 31, 30
-SIZE = 1 << BITS * ORDER
+ORDER = 5
+#: n-grams of a shard: 12 bytes each at the driver and in workers.
+SHARD = 4_000_000
 #: Bands: median deviations below and above the median of the log perplexity.
-BELOW, ABOVE = 16.0, 12.0
+BELOW, ABOVE = 10.0, 6.0
+#: n-grams that a task holds before it sums them up and sends them on.
+HELD = 1_500_000
 _SPACE, _TAILS, _SYMBOLS = b" \t\n\x0b\x0c\r", bytes(range(0x80, 0xC0)), b"#*$%&|<>"
-_LOADED: dict[str, dict] = {}
+_BITS = 21
+_POINT, _TWO = (1 << _BITS) - 1, (1 << 2 * _BITS) - 1
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def base_counts(text: bytes) -> tuple[int, int, int, int, int, bool]:
@@ -60,229 +67,236 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int, bool]:
     return n, len(text.translate(None, _SPACE + _TAILS)), len(text) - len(text.translate(None, _SYMBOLS)), len(lines) - len(set(lines)), repeats, failed
 
 
-def folded(codes: np.ndarray) -> np.ndarray:
-    """Code points beyond the basic plane count as its last one."""
-    return np.minimum(codes, 0xFFFF).astype(np.uint16)
+def fold(c: int) -> int:
+    """Character to the one that stands for it: lower case, white space as a space, digits as 0."""
+    s = chr(c)
+    return 32 if s.isspace() or c < 32 else 48 if s.isdigit() else ord(s.lower()[0]) if len(s.lower()) == 1 else c
+
+
+@lru_cache(1)
+def folds() -> np.ndarray:
+    """Of each code point of the basic plane the one that stands for it."""
+    return np.array([fold(c) if not 0xD800 <= c < 0xE000 else c for c in range(1 << 16)], np.int64)
 
 
 def points(text: bytes) -> np.ndarray:
-    return folded(np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32))
+    """Folded code points, ORDER - 1 zeros ahead of them."""
+    c = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    return np.r_[np.zeros(ORDER - 1, np.int64), np.where(c < 1 << 16, folds()[np.minimum(c, 0xFFFF)], c)]
 
 
-def fold(c: int) -> int:
-    """Character to the one that stands for it: lower case, white space as a space, digits as 0."""
-    s = chr(c)
-    return 32 if s.isspace() or c < 32 else 48 if s.isdigit() else ord(s.lower()[0]) if len(s.lower()) == 1 else c
+def hashes(x: np.ndarray, language: str | None) -> np.ndarray:
+    """Of padded code points the hash of the n-gram that ends at each, with its language."""
+    n = len(x) - ORDER + 1
+    h = np.full(n, xxhash.xxh3_64_intdigest(("" if language is None else f"={language}").encode()), np.uint64)
+    u = x.astype(np.uint64)
+    for i in range(ORDER):
+        h = (h ^ (h >> np.uint64(29))) * _STEP + u[i : i + n]
+    return mixed(h)
 
 
-def named(docs: DataFrame, column: str = "model") -> DataFrame:
-    """docs with a column, the name of their model: the language, or * for those beyond the most frequent and for null."""
-    top = [r.lang for r in docs.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    return docs.withColumn(column, F.when(F.col("lang").isin(top), F.col("lang")).otherwise("*") if top else F.lit("*"))
+COUNTED = "lang string, h long, a long, b long, n long"
+COUNTED_ARROW = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
-def alphabets(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Of each model the class of every character, from character counts over the corpus."""
+def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(h, a, b, n) with each h once."""
+    h, a, b, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    cut = same(h)
+    first = order[cut]
+    return h[cut], a[first], b[first], np.add.reduceat(n[order], cut) if len(cut) else n
 
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, np.ndarray] = {}
-        for b in small(it):
-            for m, text in zip(b.column("model").to_pylist(), texts(b), strict=True):
-                if m not in seen:
-                    seen[m] = np.zeros(1 << 16, np.int64)
-                c = points(text or b"")
-                if len(c) > 20_000:
-                    seen[m] += np.bincount(c, minlength=1 << 16)
-                else:
-                    k, n = np.unique(c, return_counts=True)
-                    seen[m][k] += n
-        for m, n in seen.items():
-            k = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict({"model": [m] * len(k), "c": k, "n": n[k]}, pa.schema([("model", pa.string()), ("c", pa.int32()), ("n", pa.int64())]))
-
-    rows = docs.select("model", "text").mapInArrow(count, "model string, c int, n long").groupBy("model", "c").agg(F.sum("n").alias("n")).collect()
-    out = {}
-    for m in {r.model for r in rows}:
-        total: dict[int, int] = {}
-        for r in rows:
-            if r.model == m:
-                total[fold(r.c)] = total.get(fold(r.c), 0) + r.n
-        class_of = {c: i for i, c in enumerate(sorted(total, key=lambda c: (-total[c], c))[:LETTERS])}
-        table = np.full(1 << 16, OTHER, np.uint8)
-        for r in rows:
-            if r.model == m:
-                table[r.c] = class_of.get(fold(r.c), OTHER)
-        out[m] = table
-    return out
-
-
-def ngrams(text: bytes, table: np.ndarray) -> np.ndarray:
-    """Codes of the n-grams that end at each character; START stands before the first."""
-    x = table[points(text)]
-    n = len(x)
-    x = np.concatenate([np.full(ORDER - 1, START, np.int32), x.astype(np.int32)])
-    code = x[:n].copy()
-    for i in range(1, ORDER):
-        code = code << BITS | x[i : i + n]
-    return code
-
-
-def counted(docs: DataFrame, tables: dict[str, np.ndarray]) -> DataFrame:
-    """(model, code, n) over all texts."""
-    sent = docs.sparkSession.sparkContext.broadcast(tables)
 
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, np.ndarray] = {}
-        for b in small(it):
-            for m in set(names := b.column("model").to_pylist()):
-                codes = [ngrams(t, sent.value[m]) for t, k in zip(texts(b), names, strict=True) if k == m and t]
-                if codes:
-                    n = np.bincount(np.concatenate(codes), minlength=SIZE)
-                    seen[m] = seen[m] + n if m in seen else n
-        for m, n in seen.items():
-            k = np.flatnonzero(n)
-            for at in range(0, len(k), 50_000):
-                part = k[at : at + 50_000]
-                yield pa.RecordBatch.from_pydict({"model": [m] * len(part), "code": part, "n": n[part]}, pa.schema([("model", pa.string()), ("code", pa.int32()), ("n", pa.int64())]))
-
-    return docs.select("model", "text").mapInArrow(count, "model string, code int, n long").groupBy("model", "code").agg(F.sum("n").alias("n"))
-
-
-def hashed(order: int, code: np.ndarray) -> np.ndarray:
-    return (code.astype(np.uint64) << np.uint64(3) | np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15)
-
-
-def kneser_ney(codes: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Interpolated modified Kneser-Ney as sorted arrays: hash, log probability of the n-gram, log back-off weight of it as a context."""
-    c = np.zeros(SIZE, np.float64)
-    c[codes] = counts
-    orders = [c.reshape([1 << BITS] * ORDER)]
-    for _ in range(ORDER - 1):
-        orders.append((orders[-1] > 0).sum(0).astype(np.float64))  # continuation counts
-    orders.reverse()
-    lower, keys, probs, backs = np.full((), 1 / (1 << BITS)), [], [], []
-    for k, n in enumerate(orders, 1):
-        n1, n2, n3, n4 = ((n == i).sum() for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.0
-        d = [0.0, *(min(max(i - (i + 1) * y * b / a, 0.0), float(i)) if a else 0.5 * min(i, 1) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))]
-        took = np.select([n >= 3, n == 2, n == 1], d[:0:-1], 0.0)
-        total = n.sum(-1, keepdims=True)
-        gamma = np.where(total > 0, took.sum(-1, keepdims=True) / np.maximum(total, 1), 1.0)
-        p = np.where(total > 0, (n - took) / np.maximum(total, 1), 0.0) + gamma * lower
-        at = np.flatnonzero(n)
-        keys.append(hashed(k, at))
-        probs.append(np.log(np.maximum(p.ravel()[at], 1e-12)))
-        ctx = np.flatnonzero(total)
-        keys.append(hashed(k - 1, ctx) ^ np.uint64(1 << 63))  # contexts have keys of their own
-        probs.append(np.log(np.maximum(gamma.ravel()[ctx], 1e-12)))
-        lower = p
-    key, value = np.concatenate(keys), np.concatenate(probs).astype(np.float32)
-    order = np.argsort(key)
-    return {"key": key[order], "value": value[order]}
-
-
-def lookup(model: dict[str, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each key is there, and its value (0 if not)."""
-    at = np.minimum(np.searchsorted(model["key"], key), len(model["key"]) - 1)
-    found = model["key"][at] == key
-    return found, np.where(found, model["value"][at], 0)
-
-
-def every(model: dict[str, np.ndarray]) -> np.ndarray:
-    """Log probabilities of all 32 ** ORDER n-grams, backing off from the hash arrays."""
-    code = np.arange(SIZE, dtype=np.int64)
-    out, weight, open_ = np.zeros(SIZE), np.zeros(SIZE), np.ones(SIZE, bool)
-    for k in range(ORDER, 0, -1):
-        low = code & ((1 << BITS * k) - 1)
-        found, value = lookup(model, hashed(k, low))
-        hit = open_ & found
-        out[hit] = value[hit] + weight[hit]
-        open_ &= ~found
-        weight += np.where(open_, lookup(model, hashed(k - 1, low >> BITS) ^ np.uint64(1 << 63))[1], 0)
-    out[open_] = weight[open_] - BITS * np.log(2)
-    return out.astype(np.float32)
-
-
-def train(docs: DataFrame) -> dict[str, dict]:
-    """Of each model the characters' classes and the sorted hash arrays."""
-    tables = alphabets(docs)
-    rows = counted(docs, tables).toArrow()
-    names, code, n = np.array(rows.column("model").to_pylist(), object), rows.column("code").to_numpy(), rows.column("n").to_numpy()
-    return {m: {"table": tables[m], **kneser_ney(code[names == m], n[names == m])} for m in tables if (names == m).any()}
-
-
-SCORED = "doc_id long, model string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_ppl double"
-
-
-def score(docs: DataFrame, models: dict[str, dict]) -> DataFrame:
-    """docs (doc_id, text, model) to SCORED."""
-    from uuid import uuid4
-
-    sent, name = docs.sparkSession.sparkContext.broadcast(pickle.dumps(models)), uuid4().hex
+def ngrams(xs: list[np.ndarray], language: str | None) -> tuple[np.ndarray, ...]:
+    """(h, a, b, n) of some texts' n-grams: hash, the first two code points, the last three, count."""
+    h = np.concatenate([hashes(x, language) for x in xs])
+    a = np.concatenate([x[:-4] << _BITS | x[1:-3] for x in xs])
+    b = np.concatenate([(x[2:-2] << _BITS | x[3:-1]) << _BITS | x[4:] for x in xs])
+    return summed([(h, a, b, np.ones(len(h), np.int64))])
+
 
+def counted(docs: DataFrame) -> DataFrame:
+    """docs (lang, text) to COUNTED over all texts."""
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str | None, list] = {}
+        size = 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for m, parts in held.items():
+                h, a, b, n = summed(parts)
+                for at in range(0, len(h), 50_000):
+                    cut = slice(at, at + 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array([m] * len(h[cut]), pa.string()), *(pa.array(x) for x in (h[cut].view(np.int64), a[cut], b[cut], n[cut]))], schema=COUNTED_ARROW)
+
+        for batch in small(it, 256):
+            body = texts(batch)
+            names = batch.column("lang").to_pylist()
+            for m in set(names):
+                xs = [points(t) for t, k in zip(body, names, strict=True) if k == m and t]
+                if xs:
+                    parts = held.setdefault(m, [])
+                    parts.append(ngrams(xs, m))
+                    size += len(parts[-1][0])
+                    if len(parts) > 16:
+                        size -= sum(len(p[0]) for p in parts)
+                        parts[:] = [summed(parts)]
+                        size += len(parts[0][0])
+            if size > HELD:
+                yield from rows()
+                held.clear()
+                size = 0
+        yield from rows()
+
+    return docs.select("lang", "text").mapInArrow(count, COUNTED).groupBy("lang", "a", "b").agg(F.first("h").alias("h"), F.sum("n").alias("n"))
+
+
+def kneser_ney(grams: DataFrame) -> DataFrame:
+    """(lang, h, a, b, n) to (h, logp): interpolated modified Kneser-Ney probabilities of the n-grams of the highest order.
+
+    Code points lie right-aligned in (a, b), two and three; lower orders have zeros ahead.
+    """
+    lang = F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))
+    orders = [grams.select(lang.alias("m"), "a", "b", "h", F.col("n").alias("c"))]
+    cut = [(F.col("a").bitwiseAND(F.lit(_POINT)), F.col("b")), (F.lit(0).cast("long"), F.col("b")), (F.lit(0).cast("long"), F.col("b").bitwiseAND(F.lit(_TWO))), (F.lit(0).cast("long"), F.col("b").bitwiseAND(F.lit(_POINT)))]
+    for a, b in cut:
+        orders.append(orders[-1].groupBy("m", a.alias("a"), b.alias("b")).agg(F.count("*").alias("c")))
+    before_a = F.shiftright("a", _BITS)
+    before_b = F.shiftleft(F.col("a").bitwiseAND(F.lit(_POINT)), 2 * _BITS).bitwiseOR(F.shiftright("b", _BITS))
+    # below the lowest order all characters are as likely
+    lower = orders[-1].groupBy("m").agg((1.0 / F.count("*")).alias("q"))
+    c = F.col("c")
+    for i in range(ORDER - 1, -1, -1):  # orders[i] has n-grams of ORDER - i
+        of = orders[i].withColumn("ca", before_a).withColumn("cb", before_b)
+        d = orders[i].groupBy("m").agg(*(F.count_if(c == j).cast("double").alias(f"n{j}") for j in (1, 2, 3, 4)))
+        y = F.when(F.col("n1") + F.col("n2") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.0)
+        d = d.select("m", *(_discount(j, y).alias(f"d{j}") for j in (1, 2, 3)))
+        of = of.join(d, "m").withColumn("took", F.when(c >= 3, F.col("d3")).when(c == 2, F.col("d2")).otherwise(F.col("d1")))
+        context = of.groupBy("m", "ca", "cb").agg(F.sum("c").cast("double").alias("total"), F.sum("took").alias("gamma"))
+        p = of.join(context, ["m", "ca", "cb"])
+        if i == ORDER - 1:
+            p = p.join(lower, "m")
+        else:
+            low = lower.select("m", F.col("a").alias("sa"), F.col("b").alias("sb"), "q")
+            p = p.withColumn("sa", cut[i][0]).withColumn("sb", cut[i][1]).join(low, ["m", "sa", "sb"])
+        lower = p.select("m", "a", "b", *(["h"] if i == 0 else []), ((c - F.col("took") + F.col("gamma") * F.col("q")) / F.col("total")).alias("q"))
+        if i == 1:
+            lower = saved(lower, "lower")
+    return lower.select("h", F.log(F.greatest("q", F.lit(1e-12))).cast("float").alias("logp"))
+
+
+def _discount(i: int, y: Column) -> Column:
+    """i - (i + 1) y n[i + 1] / n[i], between 0 and i; 0.5 where n[i] is 0."""
+    a, b = F.col(f"n{i}"), F.col(f"n{i + 1}")
+    return F.when(a > 0, F.least(F.greatest(i - (i + 1) * y * b / a, F.lit(0.0)), F.lit(float(i)))).otherwise(0.5)
+
+
+class Shard:
+    """n-grams of a range of hashes: sorted hashes and their log probabilities. Hashes are even, so a hash's leading bits tell where to look."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray, low: int, width: int) -> None:
+        order = np.argsort(key)
+        self.key, self.value = key[order], value[order]
+        self.low, self.width = np.uint64(low), width
+        bits = max(len(key), 1).bit_length()
+        self.shift = np.uint64(max(width - bits, 0))
+        slot = ((self.key - self.low) >> self.shift).astype(np.int64)
+        slots = 1 << min(bits, width)
+        self.start = np.searchsorted(slot, np.arange(slots + 1)).astype(np.int32)
+        self.most = int(np.diff(self.start).max(initial=0))
+
+    def sums(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Sums of the log probabilities of those of h that are here, from each start to the next."""
+        out = np.zeros(len(h))
+        d = h - self.low
+        ok = np.ones(len(h), bool) if self.width == 64 else d < np.uint64(1) << np.uint64(self.width)
+        here = np.flatnonzero(ok)
+        if len(here) and len(self.key):
+            at = self.start[(d[here] >> self.shift).astype(np.int64)]
+            left = here
+            for i in range(self.most):
+                k = np.minimum(at + i, len(self.key) - 1)
+                hit = self.key[k] == h[left]
+                out[left[hit]] = self.value[k[hit]]
+                left, at = left[~hit], at[~hit]
+        return np.add.reduceat(out, starts) if len(starts) else np.zeros(0)
+
+
+SCORED = "doc_id long, dig long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_points long, logp double"
+
+
+def score(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """docs (doc_id, dig, lang, text) and a model (h, logp) to SCORED: plain counts and the sum of log probabilities, of rows told apart by all four."""
+    spark = docs.sparkSession
+    bits = max(model.count() // SHARD, 0).bit_length()
+    done = None
+    for i in range(1 << bits):
+        # hashes as unsigned numbers: shard i has those with the leading bits i
+        rows = model.where(F.shiftrightunsigned("h", 64 - bits) == i) if bits else model
+        rows = rows.toArrow()
+        shard = Shard(rows.column("h").to_numpy().view(np.uint64), rows.column("logp").to_numpy(), i << (64 - bits), 64 - bits)
+        part = saved(_scored(docs, spark.sparkContext.broadcast(shard), i == 0), "scored")
+        if done is None:
+            done = part
+        else:
+            key = ["doc_id", "dig", "lang"]
+            more = part.groupBy(*key).agg(F.max("logp").alias("more"))
+            same_row = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in key]
+            done = saved(done.alias("x").join(more.alias("y"), same_row[0] & same_row[1] & same_row[2]).select(*(F.col(f"x.{c}") for c in done.columns if c != "logp"), (F.col("x.logp") + F.col("y.more")).alias("logp")), "scored")
+    return done
+
+
+def _scored(docs: DataFrame, sent, first: bool) -> DataFrame:  # noqa: ANN001
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _LOADED:
-            _LOADED.clear()
-            _LOADED[name] = {m: (x["table"], every(x)) for m, x in pickle.loads(sent.value).items()}
-        loaded = _LOADED[name]
-        for b in small(it):
-            out = []
-            for m, text in zip(b.column("model").to_pylist(), texts(b), strict=True):
-                ppl = None
-                if text and m in loaded:
-                    table, logp = loaded[m]
-                    ppl = -float(logp[ngrams(text, table)].mean(dtype=np.float64))
-                out.append((*base_counts(text or b""), ppl))
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64()]
-            names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ppl"]
-            cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("model"), *cols], ["doc_id", "model", *names])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "model").mapInArrow(run, SCORED)
+        shard = sent.value
+        for b in small(it, 128):
+            body = [t or b"" for t in texts(b)]
+            names = b.column("lang").to_pylist()
+            found = [hashes(points(t), m) for t, m in zip(body, names, strict=True) if t]
+            size = np.array([len(x) for x in found], np.int64)
+            logp = np.zeros(len(body))
+            n = np.zeros(len(body), np.int64)
+            if found:
+                full = [i for i, t in enumerate(body) if t]
+                logp[full] = shard.sums(np.concatenate(found), np.cumsum(size) - size)
+                n[full] = size
+            counts = [base_counts(t) if first else (0, 0, 0, 0, 0, True) for t in body]
+            cols = [pa.array(c, k) for c, k in zip(zip(*counts, strict=True), [pa.int64()] * 5 + [pa.bool_()], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("dig"), b.column("lang"), *cols, pa.array(n), pa.array(logp)], ["doc_id", "dig", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_points", "logp"])
+
+    return docs.select("doc_id", "dig", "lang", "text").mapInArrow(run, SCORED)
 
 
 def bands(scored: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
-    """(model, low, high) in log perplexity: one row a model."""
-    good = scored.where("not base_failed and log_ppl is not null")
-    middle = good.groupBy("model").agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("mid"))
-    away = good.join(F.broadcast(middle), "model").groupBy("model", "mid").agg(F.percentile_approx(F.abs(F.col("log_ppl") - F.col("mid")), 0.5, 10_000).alias("dev"))
-    return away.select("model", (F.col("mid") - below * F.greatest("dev", F.lit(0.002))).alias("low"), (F.col("mid") + above * F.greatest("dev", F.lit(0.002))).alias("high"))
+    """(m, low, high) in log perplexity: one row a language."""
+    good = scored.where("not base_failed and log_ppl is not null").select("m", F.round("log_ppl", 4).alias("x"))
+    middle = good.groupBy("m").agg(F.percentile("x", 0.5).alias("mid"))
+    away = good.join(middle, "m").groupBy("m", "mid").agg(F.percentile(F.round(F.abs(F.col("x") - F.col("mid")), 4), 0.5).alias("dev"))
+    dev = F.greatest("dev", F.lit(0.002))
+    return away.select("m", (F.col("mid") - below * dev).alias("low"), (F.col("mid") + above * dev).alias("high"))
 
 
 def assess(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang) to SCORED and kept: neither the plain rules nor the bands reject."""
-    docs = named(docs.select("doc_id", "text", "lang"))
-    scored = saved(score(docs, train(docs)), "scored")
-    limits = F.broadcast(bands(scored))  # a row a model, LANGUAGES + 1 at most
-    within = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))
-    return scored.join(limits, "model", "left").withColumn("kept", ~F.col("base_failed") & within)
+    """docs (doc_id, text, lang, and dig if at hand) to SCORED with log_ppl and kept: neither the plain rules nor the bands reject."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("dig") if "dig" in docs.columns else F.xxhash64("text").alias("dig"), F.col("lang").cast("string").alias("lang"), "text")
+    scored = score(docs, saved(kneser_ney(saved(counted(docs), "ngrams")), "model"))
+    scored = scored.withColumn("m", F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))).withColumn("log_ppl", F.when(F.col("n_points") > 0, -F.col("logp") / F.col("n_points")))
+    within = F.coalesce(F.round("log_ppl", 4).between(F.col("low"), F.col("high")), F.lit(True))
+    return scored.join(bands(scored), "m", "left").withColumn("kept", ~F.col("base_failed") & within)
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang and others) without those that assess() rejects: decided where each row lies, nothing is shuffled."""
-    plain = named(docs.select("doc_id", "text", "lang"))
-    models = train(plain)
-    limits = {r.model: (r.low, r.high) for r in bands(saved(score(plain, models), "scored")).collect()}  # a row a model
-    sent = docs.sparkSession.sparkContext.broadcast((pickle.dumps(models), limits))
-    names = docs.columns
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, limits = sent.value
-        loaded = {m: (x["table"], every(x)) for m, x in pickle.loads(models).items()}
-        for b in small(it):
-            keep = []
-            for m, text in zip(b.column("_model").to_pylist(), texts(b), strict=True):
-                ok = bool(text) and not base_counts(text)[-1]
-                if ok and m in loaded and m in limits:
-                    table, logp = loaded[m]
-                    ok = limits[m][0] <= -float(logp[ngrams(text, table)].mean(dtype=np.float64)) <= limits[m][1]
-                keep.append(ok)
-            yield b.select(names).filter(pa.array(keep, pa.bool_()))
-
-    kinds = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
-    return named(docs, "_model").mapInArrow(run, kinds)
+    """docs (doc_id, text, lang and others) without those that assess() rejects."""
+    plain, names = positional(docs)
+    doc_id, text, lang = (names[docs.columns.index(c)] for c in ("doc_id", "text", "lang"))
+    key = [F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(text).alias("dig"), F.coalesce(F.concat(F.lit("="), F.col(lang).cast("string")), F.lit("")).alias("m")]
+    keyed = plain.select(*names, *key)
+    bad = assess(keyed.select(F.col("doc").alias("doc_id"), "dig", F.col(lang).alias("lang"), F.col(text).alias("text"))).where("not kept").select(F.col("doc_id").alias("doc"), "dig", "m").distinct()
+    return keyed.join(bad, ["doc", "dig", "m"], "left_anti").select(names).toDF(*docs.columns)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = assess(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = assess(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl")
