@@ -41,11 +41,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
+    """Each row as many times as the mix takes it."""
     shipped(spark)
-    taken = mixing.mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("_doc")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    both = docs.join(taken, docs.doc_id.eqNullSafe(taken["_doc"]))
-    return both.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    taken = mixing.mix(docs, rows=True).where("taken > 0").select("row", (F.col("taken") / F.col("size")).cast("int").alias("times"))
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
