@@ -102,7 +102,7 @@ COUNTED_ARROW = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("a", pa.in
 def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """(h, a, b, n) with each h once."""
     h, a, b, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h = h[order]
     cut = same(h)
     first = order[cut]
@@ -111,10 +111,18 @@ def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 
 def ngrams(xs: list[np.ndarray], language: str | None) -> tuple[np.ndarray, ...]:
     """(h, a, b, n) of some texts' n-grams: hash, the first two code points, the last three, count."""
-    h = np.concatenate([hashes(x, language) for x in xs])
-    a = np.concatenate([x[:-4] << _BITS | x[1:-3] for x in xs])
-    b = np.concatenate([(x[2:-2] << _BITS | x[3:-1]) << _BITS | x[4:] for x in xs])
-    return summed([(h, a, b, np.ones(len(h), np.int64))])
+    x = np.concatenate(xs)
+    size = np.array([len(t) for t in xs])
+    inside = np.ones(len(x), bool)
+    for i in range(1, ORDER):
+        inside[np.cumsum(size) - i] = False
+    at = np.flatnonzero(inside)
+    h = hashes(x, language)[at]
+    order = np.argsort(h)
+    h = h[order]
+    cut = same(h)
+    f = at[order[cut]]
+    return h[cut], x[f] << _BITS | x[f + 1], (x[f + 2] << _BITS | x[f + 3]) << _BITS | x[f + 4], np.diff(np.r_[cut, len(h)])
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -162,7 +170,7 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
     orders = [grams.select(lang.alias("m"), "a", "b", "h", F.col("n").alias("c"))]
     cut = [(F.col("a").bitwiseAND(F.lit(_POINT)), F.col("b")), (F.lit(0).cast("long"), F.col("b")), (F.lit(0).cast("long"), F.col("b").bitwiseAND(F.lit(_TWO))), (F.lit(0).cast("long"), F.col("b").bitwiseAND(F.lit(_POINT)))]
     for a, b in cut:
-        orders.append(orders[-1].groupBy("m", a.alias("a"), b.alias("b")).agg(F.count("*").alias("c")))
+        orders.append(saved(orders[-1].groupBy("m", a.alias("a"), b.alias("b")).agg(F.count("*").alias("c")), "order"))
     before_a = F.shiftright("a", _BITS)
     before_b = F.shiftleft(F.col("a").bitwiseAND(F.lit(_POINT)), 2 * _BITS).bitwiseOR(F.shiftright("b", _BITS))
     # below the lowest order all characters are as likely
@@ -183,7 +191,7 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
             p = p.withColumn("sa", cut[i][0]).withColumn("sb", cut[i][1]).join(low, ["m", "sa", "sb"])
         lower = p.select("m", "a", "b", *(["h"] if i == 0 else []), ((c - F.col("took") + F.col("gamma") * F.col("q")) / F.col("total")).alias("q"))
         if i == 1:
-            lower = saved(lower, "lower")
+            lower = saved(lower, "lower")  # what the highest order is built on
     return lower.select("h", F.log(F.greatest("q", F.lit(1e-12))).cast("float").alias("logp"))
 
 

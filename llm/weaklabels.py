@@ -63,10 +63,10 @@ def votes(text: bytes) -> tuple[int, ...]:
 
 
 LABELLERS = ("length", "symbols", "capitals", "repeated_lines", "vocabulary", "word_length", "sentence_ends", "insults", "exclamations")
-#: Pseudo-counts for each document, of votes for bad, nothing and good, on bad and on good documents: a vote for bad
-#: is rare on good ones, and a vote for good, which few labellers cast, tells little. SHARE: as many for the share of good ones.
-_ONE_SIDED, _TWO_SIDED = [[0.12, 0.8799, 0.0001], [0.0005, 0.9994, 0.0001]], [[0.15, 0.2, 0.65], [0.01, 0.2, 0.79]]
-SHARE, PRIOR = 0.7, 4.0 * np.array([_TWO_SIDED if x in ("length", "sentence_ends") else _ONE_SIDED for x in LABELLERS])
+#: What is presumed of the labellers: no more than this share of good documents gets a vote for bad (the share of those
+#: that also vote for good comes second), and a vote for good is no likelier on a bad document than on a good one.
+FALSE_ALARMS, FALSE_ALARMS_TWO_SIDED = 0.005, 0.02
+_CAP = np.array([FALSE_ALARMS_TWO_SIDED if x in ("length", "sentence_ends") else FALSE_ALARMS for x in LABELLERS])
 
 
 def code_of(v: tuple[int, ...]) -> int:
@@ -86,29 +86,39 @@ def voted(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, pattern int")
 
 
-def maximised(pattern: np.ndarray, count: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
+def maximised(pattern: np.ndarray, count: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray, float]:
     """Expectation-maximisation over patterns: each pattern's posterior of good, each labeller's rates
-    [labeller, bad or good, vote], and the share of good documents. Starts from the votes for bad."""
+    [labeller, bad or good, vote], and the share of good documents. Starts from the votes for bad.
+
+    Each rate has one pseudo-count whatever the number of documents; estimates are kept within what FALSE_ALARMS presumes,
+    which tells the two classes apart, as kinds of junk that different labellers see would else pass for chance votes.
+    """
     k = len(LABELLERS)
     v = np.stack([pattern // 3 ** (k - 1 - i) % 3 for i in range(k)], 1)  # 0 bad, 1 nothing, 2 good
+    cast = (v[:, :, None] == np.arange(3)).astype(float)
     post = 1 / (1 + np.exp(np.where((v == 0).any(1), 4.0, -4.0)))
     w = count.astype(float)
+
+    def held(rate: np.ndarray, vote: int, most: np.ndarray) -> np.ndarray:
+        rate = rate.copy()
+        now = np.minimum(rate[:, vote], most)
+        rest = [z for z in range(3) if z != vote]
+        rate[:, rest] *= ((1 - now) / np.maximum(1 - rate[:, vote], 1e-12))[:, None]
+        rate[:, vote] = now
+        return rate
+
     for _ in range(rounds):
-        share = float((w @ post + SHARE * w.sum()) / max(2 * w.sum(), 1e-9)) or SHARE
-        rate = np.zeros((k, 2, 3))
-        for i in range(k):
-            for z in range(3):
-                rate[i, 1, z] = (w * post)[v[:, i] == z].sum() + 1.0
-                rate[i, 0, z] = (w * (1 - post))[v[:, i] == z].sum() + 1.0
-        rate = rate + PRIOR * max(w.sum(), 1)
-        rate /= rate.sum(2, keepdims=True)
-        good = np.log(share) + sum(np.log(rate[i, 1, v[:, i]]) for i in range(k))
-        bad = np.log(1 - share) + sum(np.log(rate[i, 0, v[:, i]]) for i in range(k))
-        new = 1 / (1 + np.exp(np.clip(bad - good, -50, 50)))
+        share = float((w @ post + 1) / (w.sum() + 2))
+        bad, good = (np.einsum("n,nkz->kz", w * p, cast) + 1 for p in (1 - post, post))
+        bad, good = bad / bad.sum(1, keepdims=True), good / good.sum(1, keepdims=True)
+        good = held(good, 0, _CAP)
+        bad = held(bad, 2, good[:, 2])
+        gap = np.log(1 - share) - np.log(share) + np.einsum("nkz,kz->n", cast, np.log(bad) - np.log(good))
+        new = 1 / (1 + np.exp(np.clip(gap, -50, 50)))
         if np.abs(new - post).max(initial=0) < 1e-9:
             break
         post = new
-    return post, rate, share
+    return post, np.stack([bad, good], 1), share
 
 
 def odds(share: float) -> float:
