@@ -79,8 +79,8 @@ def assertion_kinds(code: Name) -> Column:
     return F.struct(*(count_of(code, p).alias(k) for k, p in KINDS.items()))
 
 
-def pattern_metrics(code: Name, patch: Name, fail_to_pass: Name, words: Sequence[str] = EDGE_WORDS, literals: str = LITERALS) -> Column:
-    """Struct of a test's counts: functions, assertions, strict and permissive ones, edge words, literals, lines."""
+def pattern_metrics(code: Name, patch: Name, fail_to_pass: Name, pass_to_pass: Name | None = None, words: Sequence[str] = EDGE_WORDS, literals: str = LITERALS) -> Column:
+    """Struct of a test's counts: functions, assertions, their kinds, strict and permissive ones, edge words, literals, lines, tests."""
     kinds, low = assertion_kinds(code), F.lower(F.coalesce(col(code), F.lit("")))
     strict = kinds["assertEqual"] + kinds["assertRaises"] + kinds["assertAlmostEqual"]
     loose = kinds["assertTrue"] + kinds["assertFalse"] + kinds["bare_assert"]
@@ -93,12 +93,14 @@ def pattern_metrics(code: Name, patch: Name, fail_to_pass: Name, words: Sequence
         total.alias("n_assertions"),
         strict.alias("n_strict"),
         loose.alias("n_permissive"),
-        F.round(loose.cast("double") / F.greatest(total, F.lit(1)), 3).alias("permissive_ratio"),
+        F.bround(loose.cast("double") / F.greatest(strict + loose, F.lit(1)), 3).alias("permissive_ratio"),
         edge.alias("has_edge"),
         count_of(code, literals).alias("n_literals"),
         F.size(_lines(F.coalesce(col(code), F.lit("")))).alias("test_lines"),
         F.size(_lines(F.coalesce(col(patch), F.lit("")))).alias("patch_lines"),
         F.size(col(fail_to_pass)).alias("n_fail_to_pass"),
+        (F.lit(0) if pass_to_pass is None else F.size(col(pass_to_pass))).alias("n_pass_to_pass"),
+        kinds.alias("kinds"),
     )
 
 
@@ -127,16 +129,20 @@ def json_in(text: Name) -> Column:
 
 
 def judgment(text: Name) -> Column:
-    """Struct (verdict, confidence, conclusion) of a judge's response: JSON fields, else what its wording says."""
+    """Struct (verdict, confidence, premises, trace, conclusion) of a judge's response: JSON fields, else (also where the JSON
+    is empty) what its wording says."""
     x, v = col(text), json_in(text)
-    word = F.lower(F.trim(F.try_variant_get(v, "$.verdict", "string")))
+    field = lambda n: F.coalesce(F.try_variant_get(v, f"$.{n}", "string"), F.lit(""))
+    word = F.lower(F.trim(field("verdict")))
     known = F.when(word.isin("correct", "partial", "incorrect"), word).otherwise("uncertain")
     sure = F.least(F.greatest(F.coalesce(F.try_variant_get(v, "$.confidence", "double"), F.lit(0.5)), F.lit(0.0)), F.lit(1.0))
     low = F.lower(x)
     said = F.lit("uncertain")
     for word in ("partial", "incorrect", "correct"):  # the last has the first say
         said = F.when(low.contains(f"the patch is {word}") | low.contains(f"verdict: {word}"), word).otherwise(said)
-    return F.when(v.isNotNull(), F.struct(known.alias("verdict"), sure.alias("confidence"), F.coalesce(F.try_variant_get(v, "$.conclusion", "string"), F.lit("")).alias("conclusion"))).otherwise(F.struct(said.alias("verdict"), F.lit(0.4).alias("confidence"), F.substring(F.coalesce(x, F.lit("")), 1, 500).alias("conclusion")))
+    failed = F.lit("(failed to parse structured response)")
+    parsed = v.isNotNull() & ~F.to_json(v).isin("{}", "[]", "null", "false", "0", '""')
+    return F.when(parsed, F.struct(known.alias("verdict"), sure.alias("confidence"), field("premises").alias("premises"), field("trace").alias("trace"), field("conclusion").alias("conclusion"))).otherwise(F.struct(said.alias("verdict"), F.lit(0.4).alias("confidence"), failed.alias("premises"), failed.alias("trace"), F.substring(F.coalesce(x, F.lit("")), 1, 500).alias("conclusion")))
 
 
 STRATEGY_FIELDS = "array<struct<name: string, category: string, description: string, confidence: int, reasoning: string, exploit_patch: string>>"

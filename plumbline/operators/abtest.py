@@ -43,8 +43,8 @@ def changes(pairs: DataFrame) -> DataFrame:
 
 def paired_interval(pairs: DataFrame, replicates: int = 10_000, seed: int = 42) -> DataFrame:
     """(delta, lo, hi): mean of b - a with its bootstrap interval; zeros for no pairs."""
-    d = pairs.select("task_id", (F.col("b") - F.col("a")).cast("double").alias("d"))
-    ci = linear_interval(bootstrap_means(d, "d", ["task_id"], replicates, seed))
+    d = pairs.select((F.col("b") - F.col("a")).cast("double").alias("d"))
+    ci = linear_interval(bootstrap_means(d, "d", replicates, seed))
     zero = F.lit(0.0)
     return d.agg(F.coalesce(F.avg("d"), zero).alias("delta")).crossJoin(ci.select(F.coalesce("lo", zero).alias("lo"), F.coalesce("hi", zero).alias("hi")))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.numbers import rounded
 from plumbline.functions.text import file_key
 
 
@@ -44,8 +45,6 @@ def with_results(candidates: DataFrame, source: str | None = None) -> DataFrame:
 
 def confident(phase1: DataFrame, least: int = 7, most: int = 3) -> DataFrame:
     """The first strategies of each task with that confidence, in their order, with their index."""
-    from pyspark.sql import Window
-
     s = strategy_rows(phase1).where(F.col("confidence") >= least)
     return s.withColumn("place", F.row_number().over(Window.partitionBy("instance_id").orderBy("strategy_idx"))).where(F.col("place") <= most)
 
@@ -63,15 +62,26 @@ def exploit_rates(results: DataFrame) -> DataFrame:
 def category_success(strategies: DataFrame, candidates: DataFrame) -> DataFrame:
     """(category, attempts, verified, rate, examples): strategies (instance_id, patch_id, category) with candidates' results;
     examples are the first three tasks that an exploit of the category passed, comma-joined. Most verified first."""
-    from plumbline.functions.numbers import rounded
-
     both = strategies.select("instance_id", "patch_id", "category").join(candidates.select("instance_id", "patch_id", "verifier_pass"), ["instance_id", "patch_id"], "left")
     passed = F.coalesce(F.col("verifier_pass"), F.lit(False))
     # one row a task and category first, so that no set holds more than the tasks that passed
     per_task = both.groupBy("category", "instance_id").agg(F.count("verifier_pass").alias("attempts"), F.count_if(passed).alias("verified"))
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy("category", F.col("verified") > 0).orderBy("instance_id"))
-    shown = F.when((F.col("verified") > 0) & (F.col("place") <= 3), F.col("instance_id").cast("string"))
-    t = per_task.withColumn("place", first).groupBy("category").agg(F.sum("attempts").alias("attempts"), F.sum("verified").alias("verified"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(shown.isNotNull(), F.struct("place", shown.alias("i"))))), lambda s: s["i"]), ",").alias("examples"))
+    # the three least tasks by ranks within pieces of a category, then of the pieces' few: no category lies in one task
+    least = None
+    for by in ("piece", None):
+        w = Window.partitionBy("category", *([by] if by else [])).orderBy("instance_id")
+        least = (per_task.where("verified > 0").select("category", "instance_id", (F.pmod(F.xxhash64("instance_id"), F.lit(64))).alias("piece")) if least is None else least).withColumn("place", F.row_number().over(w)).where("place <= 3")
+    examples = least.groupBy("category").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", F.col("instance_id").cast("string").alias("i")))), lambda s: s["i"]), ",").alias("examples"))
+    t = per_task.groupBy("category").agg(F.sum("attempts").alias("attempts"), F.sum("verified").alias("verified")).join(examples, "category", "left").withColumn("examples", F.coalesce("examples", F.lit("")))
     return t.select("category", "attempts", "verified", rounded(F.col("verified") / F.greatest("attempts", F.lit(1)).cast("double")).alias("rate"), "examples").orderBy(F.desc("verified"), "category")
+
+
+def to_fix(tasks: DataFrame, verdicts: DataFrame, passed: DataFrame) -> DataFrame:
+    """Tasks with the verdict FIX that have test data and an exploit that passed, one row an exploit: tasks (instance_id and
+    others), verdicts (instance_id, eqs, verdict), passed (instance_id, patch_id and others). Tasks that lack either are left out."""
+    return verdicts.where("verdict = 'FIX'").select("instance_id", "eqs").join(tasks, "instance_id").join(passed, "instance_id")
+
+
+def first_tasks(df: DataFrame, n: int, key: str = "instance_id") -> DataFrame:
+    """All rows of the first n tasks in the order of their ids; a limit that the caller asks for."""
+    return df.join(df.select(key).distinct().orderBy(key).limit(n), key, "left_semi")

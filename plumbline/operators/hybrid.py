@@ -15,12 +15,13 @@ def settled(candidates: DataFrame) -> DataFrame:
 
 
 def cells(candidates: DataFrame, judgments: DataFrame, key: str = "instance_id") -> DataFrame:
-    """(key, patch_id, cell, cost_usd): tp, fp, fn, tn, or skipped where the verifier's result or a clear verdict is missing."""
-    j = judgments.select(key, "patch_id", "verdict", "cost_usd")
+    """(key, patch_id, cell): tp, fp, fn, tn, or skipped where the verifier's result or a clear verdict is missing. Of several
+    judgments of a patch the last verdict by name counts."""
+    j = judgments.groupBy(key, "patch_id").agg(F.max("verdict").alias("verdict"))
     both = candidates.select(key, "patch_id", "verifier_pass").join(j, [key, "patch_id"], "left")
     right = F.col("verdict").isin("correct", "partial")
     cell = F.when(F.col("verifier_pass").isNull() | F.coalesce(F.col("verdict"), F.lit("uncertain")).isin("uncertain"), "skipped").when(F.col("verifier_pass"), F.when(right, "tp").otherwise("fp")).otherwise(F.when(right, "fn").otherwise("tn"))
-    return both.select(key, "patch_id", cell.alias("cell"), F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd"))
+    return both.select(key, "patch_id", cell.alias("cell"))
 
 
 def rates() -> list[Column]:
@@ -31,9 +32,10 @@ def rates() -> list[Column]:
 
 
 def confusion(candidates: DataFrame, judgments: DataFrame, key: str = "instance_id") -> DataFrame:
-    """One row a task: counts, rates, judged and skipped, cost of all its judgments."""
-    c = cells(candidates, judgments, key)
-    t = c.groupBy(key).agg(*(F.count_if(F.col("cell") == x).alias(x) for x in ("tp", "fp", "fn", "tn")), F.count_if(F.col("cell") == "skipped").alias("n_skipped"), F.sum("cost_usd").alias("cost_usd"))
+    """One row a task that has candidates: counts, rates, judged and skipped, cost of all its judgments, of whatever patch."""
+    c = cells(candidates, judgments, key).select(key, "cell", F.lit(None).cast("double").alias("cost_usd"))
+    both = c.unionByName(judgments.select(key, F.lit(None).cast("string").alias("cell"), F.col("cost_usd").cast("double").alias("cost_usd")))
+    t = both.groupBy(key).agg(F.count("cell").alias("rows"), *(F.count_if(F.col("cell") == x).alias(x) for x in ("tp", "fp", "fn", "tn")), F.count_if(F.col("cell") == "skipped").alias("n_skipped"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd")).where("rows > 0")
     return t.select(key, "tp", "fp", "fn", "tn", *rates(), (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n_judged"), "n_skipped", rounded("cost_usd", 6).alias("cost_usd"))
 
 

@@ -37,6 +37,7 @@ def optimized(tasks: DataFrame, boost: DataFrame, iterations: int = MOST_ITERATI
     driver sees one row an iteration.
     """
     spark, state, rows = tasks.sparkSession, materialized(tasks.select("instance_id", "eqs"), "fix"), []
+    boost = materialized(boost, "boosts")
     for i in range(1, iterations + 1):
         open_ = state.where(F.col("eqs") < KEEP)
         s = materialized(step(open_, boost.where(F.col("iteration") == i).drop("iteration")), "step")

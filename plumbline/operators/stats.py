@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import normal_cdf, rounded
 from plumbline.operators.verifier import sensitivity
+from plumbline.session import materialized
 
 #: Weight configurations of the sensitivity analysis.
 CONFIGURATIONS = {
     "default": {"discrimination": 0.40, "spearman": 0.20, "mae": 0.15, "completeness": 0.25},
-    "equal": {"discrimination": 0.25, "spearman": 0.25, "mae": 0.25, "completeness": 0.25},
-    "discrimination_heavy": {"discrimination": 0.60, "spearman": 0.15, "mae": 0.10, "completeness": 0.15},
+    "discrimination_heavy": {"discrimination": 0.70, "spearman": 0.10, "mae": 0.10, "completeness": 0.10},
+    "balanced": {"discrimination": 0.25, "spearman": 0.25, "mae": 0.25, "completeness": 0.25},
     "completeness_heavy": {"discrimination": 0.20, "spearman": 0.15, "mae": 0.15, "completeness": 0.50},
-    "correlation_heavy": {"discrimination": 0.20, "spearman": 0.50, "mae": 0.15, "completeness": 0.15},
+    "spearman_heavy": {"discrimination": 0.20, "spearman": 0.50, "mae": 0.15, "completeness": 0.15},
 }
-PIECES = 64
+#: Bootstrap replicates are drawn from the histogram of values; it goes to every task while it has so many values at most.
+VALUES = 200_000
 
 
 def histogram(df: DataFrame, value: str, positive: Column, by: list[str] | None = None) -> DataFrame:
@@ -30,11 +34,12 @@ def histogram(df: DataFrame, value: str, positive: Column, by: list[str] | None
 def running(h: DataFrame, counts: list[str], by: list[str] | None = None, value: str = "value") -> DataFrame:
     """h with before_<count>: the sum of count at smaller values within by.
 
-    Values fall into PIECES ranges at approximate quantiles; ranges are summed on their own and shifted by the sums of
+    Values fall into ranges, as many as shuffle partitions and 64 at least, at approximate quantiles; ranges are summed on their own and shifted by the sums of
     the ranges before, so neither one value order nor one group lies in one task.
     """
     by = by or []
-    cuts = h.agg(F.percentile_approx(value, [i / PIECES for i in range(1, PIECES)], 1000).alias("c")).first().c or []
+    pieces = max(64, int(h.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = h.agg(F.percentile_approx(value, [i / pieces for i in range(1, pieces)], 10 * pieces).alias("c")).first().c or []
     cuts = sorted(set(cuts))
     piece = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0)
     h = h.withColumn("_piece", piece)
@@ -73,33 +78,51 @@ def best_threshold(h: DataFrame) -> DataFrame:
     return best.select(*(F.coalesce(c, F.lit(d)).alias(n) for n, c, d in (("threshold", -F.col("b.m"), 0.5), ("youden", F.col("b.youden"), 0.0), ("sensitivity", F.col("b.sens"), 0.0), ("specificity", F.col("b.spec"), 0.0))))
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "i") -> DataFrame:
-    """df with the 0-based place of each row by order; places are summed up over ranges of a digest-free numeric first key."""
-    h = df.groupBy(F.col(order[0]).cast("double").alias("value")).agg(F.count("*").alias("k"))
-    r = running(h, ["k"]).select(F.col("value").alias("_v"), F.col("before_k").alias("_before"))
-    inner = F.row_number().over(Window.partitionBy(order[0]).orderBy(*order[1:] or [order[0]])) - 1
-    return df.withColumn("_v", F.col(order[0]).cast("double")).withColumn("_r", inner).join(r, "_v").withColumn(name, F.col("_before") + F.col("_r")).drop("_v", "_r", "_before")
+def bootstrap_means(df: DataFrame, value: str, replicates: int = 10_000, seed: int = 42) -> DataFrame:
+    """(replicate, mean) of value resampled with replacement; nulls are left out, no rows give no replicates, one row itself.
 
-
-def draws(spark, n: int, replicates: int, seed: int) -> DataFrame:  # noqa: ANN001
-    """(replicate, i): n draws with replacement from 0..n-1 for each replicate, from digests, the same everywhere."""
-    d = spark.range(replicates * n).select(F.expr(f"id div {max(n, 1)}").alias("replicate"), (F.col("id") % max(n, 1)).alias("draw"))
-    key = F.concat_ws("-", F.col("replicate").cast("string"), F.col("draw").cast("string"), F.lit(str(seed)))
-    return d.select("replicate", (F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") % max(n, 1)).alias("i"))
-
-
-def bootstrap_means(df: DataFrame, value: str, order: list[str], replicates: int = 10_000, seed: int = 42) -> DataFrame:
-    """(replicate, mean) of value over rows numbered by order."""
-    v = numbered(df.where(F.col(value).isNotNull()).select(*dict.fromkeys([*order, value])), order)
-    n = v.count()
-    return draws(df.sparkSession, n, replicates, seed).join(v.select("i", value), "i").groupBy("replicate").agg((F.sum(F.col(value).cast("double")) / n).alias("mean"))
+    A resample of n rows is a multinomial draw over the histogram of values, so its cost hangs on the number of distinct
+    values and not on that of rows. Beyond VALUES distinct values every value is drawn a Poisson number of times where
+    it lies and partial sums meet per replicate. Draws follow from (seed, replicate) or (seed, value).
+    """
+    spark = df.sparkSession
+    h = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("value")).agg(F.count("*").alias("k"))
+    few = h.limit(VALUES + 1).toArrow()
+    if few.num_rows <= VALUES:
+        x, k = few.column("value").to_numpy(), few.column("k").to_numpy()
+        order = np.argsort(x)
+        sent = spark.sparkContext.broadcast((x[order], k[order]))
+
+        def multinomial(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            x, k = sent.value
+            n = k.sum()
+            for b in it:
+                r = b.column("replicate").to_pylist() if n else []
+                means = [float(np.random.default_rng([seed, i]).multinomial(n, k / n) @ x / n) for i in r]
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(means, pa.float64())], ["replicate", "mean"])
+
+        tasks = min(replicates, max(1, min(spark.sparkContext.defaultParallelism, replicates * max(few.num_rows, 1) // 1_000_000)))
+        return spark.range(0, replicates, 1, tasks).select(F.col("id").alias("replicate")).mapInArrow(multinomial, "replicate long, mean double")
+
+    def poisson(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, weight = np.zeros(replicates), np.zeros(replicates)
+        for b in it:
+            for x, k in zip(b.column("value").to_pylist(), b.column("k").to_pylist(), strict=True):
+                w = np.random.default_rng([seed, np.float64(x).view(np.uint64)]).poisson(k, replicates)
+                total += w * x
+                weight += w
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), pa.array(total), pa.array(weight)], ["replicate", "total", "weight"])
+
+    sums = h.mapInArrow(poisson, "replicate long, total double, weight double").groupBy("replicate").agg(F.sum("total").alias("t"), F.sum("weight").alias("w"))
+    return sums.select("replicate", (F.col("t") / F.greatest("w", F.lit(1.0))).alias("mean"))
 
 
 def interval(means: DataFrame, replicates: int, alpha: float = 0.05) -> DataFrame:
-    """(lo, hi): means at the floors of replicates alpha / 2 and replicates (1 - alpha / 2) in order; replicates are few by design."""
+    """(lo, hi): means at the floors of replicates alpha / 2 and replicates (1 - alpha / 2) in order; replicates are few by
+    design. Zeros where there are none."""
     a, b = int(replicates * alpha / 2), min(int(replicates * (1 - alpha / 2)), replicates - 1)
     s = means.agg(F.sort_array(F.collect_list("mean")).alias("s"))
-    return s.select(F.get("s", F.lit(a)).alias("lo"), F.get("s", F.lit(b)).alias("hi"))
+    return s.select(*(F.coalesce(F.get("s", F.lit(i)), F.lit(0.0)).alias(n) for i, n in ((a, "lo"), (b, "hi"))))
 
 
 def linear_interval(means: DataFrame, alpha: float = 0.05) -> DataFrame:
@@ -107,21 +130,24 @@ def linear_interval(means: DataFrame, alpha: float = 0.05) -> DataFrame:
     return means.agg(F.percentile("mean", alpha / 2).alias("lo"), F.percentile("mean", 1 - alpha / 2).alias("hi"))
 
 
-def separation(scores: DataFrame, value: str = "composite", positive: str = "hackable", order: list[str] | None = None, replicates: int = 10_000, seed: int = 42) -> DataFrame:
-    """One row: means of both groups, their difference, rank-sum test, effect, best threshold, bootstrap intervals."""
-    order = order or ["instance_id"]
+def separation(scores: DataFrame, value: str = "composite", positive: str = "hackable", replicates: int | None = 10_000, seed: int = 42) -> DataFrame:
+    """One row: means of both groups, their difference, rank-sum test, effect, best threshold, and bootstrap intervals
+    unless replicates is None. Scores are written once and read by every part."""
+    scores = materialized(scores.select(value, positive), "separation")
     h = histogram(scores, value, F.col(positive))
     means = scores.agg(F.coalesce(F.avg(F.when(F.col(positive), F.col(value))), F.lit(0.0)).alias("mean_x"), F.coalesce(F.avg(F.when(~F.col(positive), F.col(value))), F.lit(0.0)).alias("mean_y"))
     out = rank_sum(h).crossJoin(best_threshold(h)).crossJoin(means)
-    for side, part in (("x", scores.where(F.col(positive))), ("y", scores.where(~F.col(positive)))):
-        ci = interval(bootstrap_means(part, value, order, replicates, seed), replicates)
+    for i, (side, part) in enumerate((("x", scores.where(F.col(positive))), ("y", scores.where(~F.col(positive))))):
+        if replicates is None:
+            break
+        ci = interval(bootstrap_means(part, value, replicates, seed + i), replicates)
         out = out.crossJoin(ci.select(F.col("lo").alias(f"lo_{side}"), F.col("hi").alias(f"hi_{side}")))
-    return out.select("n_x", "n_y", *(rounded(c).alias(c) for c in ("mean_x", "mean_y")), rounded(F.col("mean_y") - F.col("mean_x")).alias("delta"), "u", rounded("p", 6).alias("p"), rounded("effect").alias("effect"), (F.col("p") < 0.05).alias("significant"), *(rounded(c).alias(c) for c in ("threshold", "youden", "sensitivity", "specificity", "lo_x", "hi_x", "lo_y", "hi_y")))
+    return out.select("n_x", "n_y", *(rounded(c).alias(c) for c in ("mean_x", "mean_y")), rounded(F.col("mean_y") - F.col("mean_x")).alias("delta"), "u", rounded("p", 6).alias("p"), rounded("effect").alias("effect"), (F.col("p") < 0.05).alias("significant"), *(rounded(c).alias(c) for c in ("threshold", "youden", "sensitivity", "specificity", *([] if replicates is None else ["lo_x", "hi_x", "lo_y", "hi_y"]))))
 
 
 def weight_sensitivity(candidates: DataFrame, configurations: Mapping[str, Mapping[str, float]] = CONFIGURATIONS, key: str = "instance_id") -> DataFrame:
-    """(configuration, n_x, n_y, mean_x, mean_y, p, significant) of hackable tasks against the others under each weighting."""
+    """(configuration, n_x, n_y, mean_x, mean_y, delta, p, significant) of hackable tasks against the others under each weighting."""
     s = sensitivity(candidates, configurations, key)
     tests = rank_sum(histogram(s, "composite", F.col("hackable"), ["configuration"]), ["configuration"])
     means = s.groupBy("configuration").agg(*(rounded(F.coalesce(F.avg(F.when(c, F.col("composite"))), F.lit(0.0))).alias(n) for n, c in (("mean_x", F.col("hackable")), ("mean_y", ~F.col("hackable")))))
-    return tests.join(means, "configuration").select("configuration", "n_x", "n_y", "mean_x", "mean_y", rounded("p", 6).alias("p"), (F.col("p") < 0.05).alias("significant"))
+    return tests.join(means, "configuration").select("configuration", "n_x", "n_y", "mean_x", "mean_y", rounded(F.col("mean_y") - F.col("mean_x")).alias("delta"), rounded("p", 6).alias("p"), (F.col("p") < 0.05).alias("significant"))

@@ -14,7 +14,6 @@ from plumbline.operators import abtest, attack, candidates, composite, costs, da
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-REPLICATES, GROUP_REPLICATES = 400, 50
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -192,8 +191,8 @@ def difficulty_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 SPREAD = "rate AS (SELECT l_partkey AS instance_id, avg((l_quantity > p_size)::INT) AS solve_rate FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_partkey)"
 
 
-def spread_rates(spark: SparkSession, sf_dir: str, parts: str = "true") -> DataFrame:
-    p = table(spark, sf_dir, "part").where(parts).select(F.col("p_partkey").alias("l_partkey"), "p_size")
+def spread_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
     return table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity").join(p, "l_partkey").groupBy(F.col("l_partkey").alias("instance_id")).agg(F.avg((F.col("l_quantity") > F.col("p_size")).cast("int")).alias("solve_rate"))
 
 
@@ -208,10 +207,10 @@ def pass_rate_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return difficulty.bands(spread_rates(spark, sf_dir).withColumnRenamed("solve_rate", "pass_rate"))
 
 
-@query(f"WITH {SPREAD} SELECT p_partkey AS task_id, solve_rate IS NULL AS unprofiled FROM part LEFT JOIN (SELECT rate.* FROM rate JOIN part ON p_partkey = instance_id WHERE p_size <= 40) ON instance_id = p_partkey WHERE solve_rate IS NULL OR solve_rate BETWEEN 0.3 AND 0.7")
+@query(f"WITH {SPREAD} SELECT p_partkey AS task_id, solve_rate IS NULL AS unprofiled FROM part LEFT JOIN rate ON instance_id = p_partkey WHERE solve_rate IS NULL OR solve_rate BETWEEN 0.3 AND 0.7")
 def learnable_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("task_id"))
-    profile = spread_rates(spark, sf_dir, "p_size <= 40").select(F.col("instance_id").alias("task_id"), F.col("solve_rate").alias("pass_rate"))
+    profile = spread_rates(spark, sf_dir).select(F.col("instance_id").alias("task_id"), F.col("solve_rate").alias("pass_rate"))
     return dataset.learnable(parts, profile).select("task_id", F.col("pass_rate").isNull().alias("unprofiled"))
 
 
@@ -224,21 +223,20 @@ def rollout_pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four sources, each of parts of other sizes, so that no task has all and some have few."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
-    c = lines(spark, sf_dir).join(p, "l_partkey").withColumn("instance_id", F.col("l_partkey"))
-    v = verifier.verifier_scores(c.where("p_size <= 25")).select("instance_id", F.col("composite").alias("v_score"), F.col("fpr").alias("v_fpr"), F.col("fnr").alias("v_fnr"))
-    e = candidates.exploit_rates(c.where("p_size >= 10 and source = 'exploit'").select("instance_id", F.col("verifier_pass").alias("passed")))
-    h = hybrid.confusion(c.where("p_size <= 40"), c.select("instance_id", "patch_id", "verdict", "cost_usd")).select("instance_id", F.col("f1").alias("h_f1"), F.col("fpr").alias("h_fpr"), F.col("fnr").alias("h_fnr"))
-    d = difficulty.profiled(spread_rates(spark, sf_dir, "p_size >= 5")).select("instance_id", "gradient_signal", "difficulty_tier")
+    """Four sources, each over all parts; which of them a part has is up to its order lines."""
+    c = lines(spark, sf_dir).withColumn("instance_id", F.col("l_partkey"))
+    v = verifier.verifier_scores(c).select("instance_id", F.col("composite").alias("v_score"), F.col("fpr").alias("v_fpr"), F.col("fnr").alias("v_fnr"))
+    e = candidates.exploit_rates(c.where("source = 'exploit'").select("instance_id", F.col("verifier_pass").alias("passed")))
+    h = hybrid.confusion(c, c.select("instance_id", "patch_id", "verdict", "cost_usd")).select("instance_id", F.col("f1").alias("h_f1"), F.col("fpr").alias("h_fpr"), F.col("fnr").alias("h_fnr"))
+    d = difficulty.profiled(spread_rates(spark, sf_dir)).select("instance_id", "gradient_signal", "difficulty_tier")
     return composite.joined(v, e, h, d)
 
 
-SOURCES = f"""{LINES}, sized AS (SELECT cand.*, p_size FROM cand JOIN part ON p_partkey = l_partkey), low AS (SELECT * FROM sized WHERE p_size <= 25), {scores_sql('l_partkey', 'low')},
+SOURCES = f"""{LINES}, {scores_sql('l_partkey')},
 sv AS (SELECT k AS instance_id, round(composite + 1e-9::DOUBLE, 4) AS v_score, round(fpr + 1e-9::DOUBLE, 4) AS v_fpr, round(fnr + 1e-9::DOUBLE, 4) AS v_fnr FROM v),
-se AS (SELECT l_partkey AS instance_id, avg(verifier_pass::INT) AS exploit_rate FROM sized WHERE p_size >= 10 AND source = 'exploit' AND verifier_pass IS NOT NULL GROUP BY ALL),
-{confusion_sql('l_partkey')}, rates AS (SELECT k, {RATES_SQL} FROM conf JOIN part ON p_partkey = k WHERE p_size <= 40), sh AS (SELECT k AS instance_id, f1 AS h_f1, fpr AS h_fpr, fnr AS h_fnr FROM rates),
-{SPREAD}, sd AS (SELECT instance_id, round(solve_rate * (1 - solve_rate) + 1e-9::DOUBLE, 4) AS gradient_signal, {TIER} AS difficulty_tier FROM rate JOIN part ON p_partkey = instance_id WHERE p_size >= 5),
+se AS (SELECT l_partkey AS instance_id, avg(verifier_pass::INT) AS exploit_rate FROM cand WHERE source = 'exploit' AND verifier_pass IS NOT NULL GROUP BY ALL),
+{confusion_sql('l_partkey')}, rates AS (SELECT k, {RATES_SQL} FROM conf), sh AS (SELECT k AS instance_id, f1 AS h_f1, fpr AS h_fpr, fnr AS h_fnr FROM rates),
+{SPREAD}, sd AS (SELECT instance_id, round(solve_rate * (1 - solve_rate) + 1e-9::DOUBLE, 4) AS gradient_signal, {TIER} AS difficulty_tier FROM rate),
 src AS (SELECT * FROM sv FULL JOIN se USING (instance_id) FULL JOIN sh USING (instance_id) FULL JOIN sd USING (instance_id)),
 dims AS (SELECT *, v_score AS dv, 1 - exploit_rate AS de, h_f1 AS dh, CASE WHEN gradient_signal IS NOT NULL THEN least(gradient_signal / 0.25::DOUBLE, 1) END AS dd FROM src),
 eq AS (SELECT *, round(coalesce((coalesce(dv * 0.35::DOUBLE, 0) + coalesce(de * 0.30::DOUBLE, 0) + coalesce(dh * 0.20::DOUBLE, 0) + coalesce(dd * 0.15::DOUBLE, 0))
@@ -343,21 +341,23 @@ def youden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(*(rounded(c).alias(c) for c in ("threshold", "youden", "sensitivity", "specificity")))
 
 
-def boot_sql(source: str, name: str, replicates: int = REPLICATES) -> str:
-    """From source (k, v): means of draws by digest, and the interval at floor indexes."""
-    a, b = int(replicates * 0.025), min(int(replicates * 0.975), replicates - 1)
-    return f"""{name}_i AS (SELECT row_number() OVER (ORDER BY k) - 1 AS i, v, count(*) OVER () AS n FROM {source}),
-{name}_d AS (SELECT r, ('0x' || substr(md5(r::VARCHAR || '-' || d::VARCHAR || '-42'), 1, 8))::BIGINT % (SELECT count(*) FROM {source}) AS i FROM range({replicates}) a(r), range((SELECT count(*) FROM {source})) b(d)),
-{name}_m AS (SELECT r, sum(v) / any_value(n) AS m FROM {name}_d JOIN {name}_i USING (i) GROUP BY r),
-{name} AS (SELECT list_sort(list(m))[{a + 1}] AS lo, list_sort(list(m))[{b + 1}] AS hi FROM {name}_m)"""
+@query(f"WITH {LINES}, {scores_sql('instance_id')}, s AS (SELECT k, n_false_positives > 0 AS x, round(composite + 1e-9::DOUBLE, 4) AS v FROM v), {mwu_sql('s')}, {YOUDEN}, mm AS (SELECT avg(v) FILTER (x) AS mean_x, avg(v) FILTER (NOT x) AS mean_y FROM s) SELECT n_x, n_y, {r4('mean_x', 'mean_y')}, round(mean_y - mean_x + 1e-9::DOUBLE, 4) AS delta, u, round(p + 1e-9::DOUBLE, 6) AS p, {r4('effect')}, p < 0.05 AS significant, {r4('threshold', 'youden', 'sensitivity', 'specificity')} FROM mw, yj, mm")
+def separation_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of separation has no draws."""
+    return stats.separation(hackable(spark, sf_dir), replicates=None)
 
 
-@query(f"WITH {LINES}, {scores_sql('instance_id')}, s AS (SELECT k, n_false_positives > 0 AS x, round(composite + 1e-9::DOUBLE, 4) AS v FROM v), bx AS (SELECT k, v FROM s WHERE x), byy AS (SELECT k, v FROM s WHERE NOT x), {mwu_sql('s')}, {YOUDEN}, {boot_sql('bx', 'ix', GROUP_REPLICATES)}, {boot_sql('byy', 'iy', GROUP_REPLICATES)}, mm AS (SELECT avg(v) FILTER (x) AS mean_x, avg(v) FILTER (NOT x) AS mean_y FROM s) SELECT n_x, n_y, {r4('mean_x', 'mean_y')}, round(mean_y - mean_x + 1e-9::DOUBLE, 4) AS delta, u, round(p + 1e-9::DOUBLE, 6) AS p, {r4('effect')}, p < 0.05 AS significant, {r4('threshold', 'youden', 'sensitivity', 'specificity')}, round(ix.lo + 1e-9::DOUBLE, 4) AS lo_x, round(ix.hi + 1e-9::DOUBLE, 4) AS hi_x, round(iy.lo + 1e-9::DOUBLE, 4) AS lo_y, round(iy.hi + 1e-9::DOUBLE, 4) AS hi_y FROM mw, yj, ix, iy, mm")
+@query()
 def separation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.separation(hackable(spark, sf_dir), replicates=GROUP_REPLICATES)
+    """With intervals of 10,000 multinomial draws, which SQL has none of; tests hold them against draws of rows."""
+    return stats.separation(hackable(spark, sf_dir))
+
 
+#: The weights of each configuration in SQL: discrimination, spearman, mae, completeness.
+WEIGHTED = (("default", (0.40, 0.20, 0.15, 0.25)), ("discrimination_heavy", (0.70, 0.10, 0.10, 0.10)), ("balanced", (0.25, 0.25, 0.25, 0.25)), ("completeness_heavy", (0.20, 0.15, 0.15, 0.50)), ("spearman_heavy", (0.20, 0.50, 0.15, 0.15)))
 
-@query(f"WITH {LINES}, " + ", ".join(scores_sql("instance_id", name=f"c{i}", weights=tuple(w.values())) for i, w in enumerate(stats.CONFIGURATIONS.values())) + ", s AS (" + " UNION ALL ".join(f"SELECT '{n}' AS configuration, n_false_positives > 0 AS x, round(composite + 1e-9::DOUBLE, 4) AS v FROM c{i}" for i, n in enumerate(stats.CONFIGURATIONS)) + f"), {mwu_sql('s', 'configuration')}, mm AS (SELECT configuration, round(avg(v) FILTER (x) + 1e-9::DOUBLE, 4) AS mean_x, round(avg(v) FILTER (NOT x) + 1e-9::DOUBLE, 4) AS mean_y FROM s GROUP BY ALL) SELECT configuration, n_x, n_y, mean_x, mean_y, round(p + 1e-9::DOUBLE, 6) AS p, p < 0.05 AS significant FROM mw JOIN mm ON g = configuration")
+
+@query(f"WITH {LINES}, " + ", ".join(scores_sql("instance_id", name=f"c{i}", weights=w) for i, (_, w) in enumerate(WEIGHTED)) + ", s AS (" + " UNION ALL ".join(f"SELECT '{n}' AS configuration, n_false_positives > 0 AS x, round(composite + 1e-9::DOUBLE, 4) AS v FROM c{i}" for i, (n, _) in enumerate(WEIGHTED)) + f"), {mwu_sql('s', 'configuration')}, mm AS (SELECT configuration, round(avg(v) FILTER (x) + 1e-9::DOUBLE, 4) AS mean_x, round(avg(v) FILTER (NOT x) + 1e-9::DOUBLE, 4) AS mean_y FROM s GROUP BY ALL) SELECT configuration, n_x, n_y, mean_x, mean_y, round(mean_y - mean_x + 1e-9::DOUBLE, 4) AS delta, round(p + 1e-9::DOUBLE, 6) AS p, p < 0.05 AS significant FROM mw JOIN mm ON g = configuration")
 def weight_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.weight_sensitivity(lines(spark, sf_dir))
 
@@ -380,17 +380,14 @@ def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abtest.mcnemar(abtest.aligned(*runs(spark, sf_dir))).withColumn("p", rounded("p", 6))
 
 
-DELTAS = f"{PAIRS}, dl AS (SELECT task_id AS k, (b - a)::DOUBLE AS v FROM pairs), {boot_sql('dl', 'bi')}, ci AS (SELECT quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bi_m), dm AS (SELECT avg(v) AS delta FROM dl)"
-
-
-@query(f"WITH {DELTAS} SELECT {r4('delta', 'lo', 'hi')} FROM ci, dm")
+@query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abtest.paired_interval(abtest.aligned(*runs(spark, sf_dir)), REPLICATES).select(*(rounded(c).alias(c) for c in ("delta", "lo", "hi")))
+    return abtest.paired_interval(abtest.aligned(*runs(spark, sf_dir))).select(*(rounded(c).alias(c) for c in ("delta", "lo", "hi")))
 
 
-@query(f"WITH {DELTAS}, {MCNEMAR}, pm AS (SELECT count(*) AS n, avg(a) AS pass_a, avg(b) AS pass_b FROM pairs) SELECT n, {r4('pass_a', 'pass_b', 'delta', 'lo', 'hi')}, round(p + 1e-9::DOUBLE, 6) AS p, b AS n_fixed, c AS n_regressed, CASE WHEN p < 0.05 AND lo > 0 THEN 'VALIDATED' WHEN lo <= 0 AND hi >= 0 THEN 'INCONCLUSIVE' ELSE 'NOT VALIDATED' END AS verdict FROM ci, dm, mp, pm")
+@query()
 def ab_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abtest.compared(*runs(spark, sf_dir), REPLICATES)
+    return abtest.compared(*runs(spark, sf_dir))
 
 
 @query(f"WITH {PAIRS} SELECT task_id, CASE WHEN b = 1 THEN 'fixed' ELSE 'regressed' END AS change FROM pairs WHERE a <> b")

@@ -22,7 +22,11 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage of iterative plans so that lost executors cost no recomputation; goes with the session's JVM.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/plumbline-checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/plumbline-checkpoints"
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)

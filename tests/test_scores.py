@@ -165,14 +165,30 @@ def test_youden(spark):
     assert tuple(run([(0.3, True)])) == (0.5, 0, 0, 0)
 
 
-def test_bootstrap(spark):
-    same = spark.createDataFrame([(i, 0.5) for i in range(10)], "i int, v double")
-    assert tuple(stats.interval(stats.bootstrap_means(same, "v", ["i"], 100), 100).first()) == (0.5, 0.5)
-    df = spark.createDataFrame([(i, float(i)) for i in range(400)], "i int, v double")
-    got = [r.mean for r in stats.bootstrap_means(df, "v", ["i"], 200).collect()]
-    mean = sum(got) / len(got)
-    spread = (sum((x - mean) ** 2 for x in got) / len(got)) ** 0.5
-    assert len(got) == 200 and 4.5 < spread < 7.2  # theory: 115.47 / 20
+def test_bootstrap(spark, monkeypatch):
+    """Means over the histogram are spread as means of drawn rows are, by either way of drawing; text ids do no harm."""
+    import random
+
+    same = spark.createDataFrame([(0.5,)] * 5, "v double")
+    assert tuple(stats.interval(stats.bootstrap_means(same, "v", 100), 100).first()) == (0.5, 0.5)
+    none = stats.interval(stats.bootstrap_means(same.limit(0), "v", 100), 100).first()
+    one = stats.interval(stats.bootstrap_means(spark.createDataFrame([(0.3,)], "v double"), "v", 100), 100).first()
+    assert tuple(none) == (0.0, 0.0) and tuple(one) == (0.3, 0.3)
+    r = random.Random(1)
+    x = [round(r.random() ** 2, 2) for _ in range(60)]
+    want = sorted(sum(r.choice(x) for _ in x) / len(x) for _ in range(4000))
+    df = spark.createDataFrame([(v,) for v in [*x, None]], "v double")
+    for most in (stats.VALUES, 5):
+        monkeypatch.setattr(stats, "VALUES", most)
+        got = stats.interval(stats.bootstrap_means(df, "v", 4000), 4000).first()
+        assert abs(got.lo - want[100]) < 0.01 and abs(got.hi - want[3900]) < 0.01
+        assert got == stats.interval(stats.bootstrap_means(df, "v", 4000), 4000).first()
+
+
+def test_separation_with_text_ids(spark):
+    rows = [(f"django__django-{i}", i % 10 / 10, i % 3 == 0) for i in range(60)]
+    out = stats.separation(spark.createDataFrame(rows, "instance_id string, composite double, hackable boolean"), replicates=500).first()
+    assert out.lo_x <= out.mean_x <= out.hi_x and out.lo_y <= out.mean_y <= out.hi_y
 
 
 def runs(spark, a, b):
@@ -262,3 +278,21 @@ def test_streaming_counts_match_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("confusion").collect())) == sorted(map(tuple, confusion_counts(df).collect()))
+
+
+def test_confusion_costs_all_judgments(spark):
+    """Judgments without a candidate cost as well; several of one patch don't multiply candidates."""
+    c = spark.createDataFrame([("t", "a", True), ("t", "b", None)], "instance_id string, patch_id string, verifier_pass boolean")
+    j = spark.createDataFrame([("t", "a", "correct", 0.5), ("t", "z", "correct", 2.0), ("t", "a", "correct", 0.25), ("u", "q", "correct", 1.0)], "instance_id string, patch_id string, verdict string, cost_usd double")
+    got = hybrid.confusion(c, j).collect()
+    assert [(r.instance_id, r.tp, r.n_skipped, r.cost_usd) for r in got] == [("t", 1, 1, 2.75)]
+
+
+def test_composite_with_missing_sources(spark):
+    """A task may lack any of the four sources: weights are shared among those it has."""
+    v = spark.createDataFrame([("a", 0.9, 0.0, 0.0)], "instance_id string, v_score double, v_fpr double, v_fnr double")
+    e = spark.createDataFrame([("b", 0.2)], "instance_id string, exploit_rate double")
+    h = spark.createDataFrame([("b", 0.5, 0.0, 0.0)], "instance_id string, h_f1 double, h_fpr double, h_fnr double")
+    d = spark.createDataFrame([("c", 0.25, "medium")], "instance_id string, gradient_signal double, difficulty_tier string")
+    got = {r.instance_id: (r.eqs, r.verdict) for r in composite.scored(composite.joined(v, e, h, d)).collect()}
+    assert got == {"a": (0.9, "KEEP"), "b": (round((0.8 * 0.30 + 0.5 * 0.20) / 0.5, 4), "FIX"), "c": (1.0, "KEEP")}
