@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from plumbline.plans import records  # noqa: F401
 from plumbline.plans.audit import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -44,5 +45,5 @@ def test_query(spark, duck, name):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
-def test_all_have_sql():
-    assert set(QUERIES) == set(ORACLES)
+def test_all_have_sql_but_draws():
+    assert set(QUERIES) - set(ORACLES) == {"separation", "bootstrap_ci", "ab_compare"}

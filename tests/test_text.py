@@ -64,6 +64,7 @@ def test_judgment(spark):
     assert (r.verdict, r.confidence, r.conclusion) == ("correct", 1.0, "fine")
     assert one(spark, '{"verdict": "dunno"}', T.judgment)[:2] == ("uncertain", 0.5)
     assert one(spark, "I think the patch is INCORRECT", T.judgment)[:2] == ("incorrect", 0.4)
+    assert one(spark, "{} so the patch is correct", T.judgment)[:2] == ("correct", 0.4)
     assert one(spark, "Verdict: partial", T.judgment).verdict == "partial" and one(spark, "?", T.judgment).verdict == "uncertain"
 
 
