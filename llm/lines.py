@@ -177,10 +177,29 @@ def distant(a: str, b: str, most: int) -> bool:
     return max(gone, gone + len(a) - len(b)) > 3 * most
 
 
-def within(a: str, b: str, most: int) -> bool:
+class Runs(dict):
+    """Text to its distinct runs of three characters; emptied when large, so that memory stays bounded."""
+
+    size = 0
+
+    def __missing__(self, text: str) -> frozenset[str]:
+        if self.size > 1_000_000:
+            self.clear()
+            self.size = 0
+        self.size += len(text)
+        out = self[text] = frozenset(text[i : i + 3] for i in range(len(text) - 2))
+        return out
+
+
+def within(a: str, b: str, most: int, runs: Runs | None = None) -> bool:
     """Whether the edit distance is most or less: quick answers where there are some, else Myers' bit vectors."""
     if abs(len(a) - len(b)) > most:
         return False
+    if runs is not None:
+        x, y = runs[a], runs[b]
+        both = len(x & y)
+        if max(len(x), len(y)) - both > 3 * most:  # an edit takes three runs away and brings three
+            return False
     if aligned(a, b, most):
         return True
     if distant(a, b, most):
@@ -317,8 +336,9 @@ def alike(pairs: DataFrame, forms: DataFrame) -> DataFrame:
     x, y = (forms.select(F.col("line").alias(s), F.col("body").alias(f"body_{s}")) for s in "ab")
 
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = Runs()
         for b in it:
-            ok = [within(s, t, max(len(s), len(t)) // NOT_ALIKE) for s, t in zip(b.column("body_a").to_pylist(), b.column("body_b").to_pylist(), strict=True)]
+            ok = [within(s, t, max(len(s), len(t)) // NOT_ALIKE, runs) for s, t in zip(b.column("body_a").to_pylist(), b.column("body_b").to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     # many small tasks: what costs is the distances, not the bytes that partitions would be made from
