@@ -203,6 +203,92 @@ def within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
+#: Shorter lines of at most so many characters have their distances computed side by side, in words of 64 bits.
+BESIDE = 256
+#: Pairs that are compared at a time.
+BATCH = 10_000
+#: Columns after which pairs that are known to be apart are left out.
+STEP = 8
+
+
+def units(lines: list[str]) -> np.ndarray:
+    """The lines' characters one after another, as numbers of as few bytes as hold them all."""
+    u = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    top = int(u.max(initial=0))
+    return u.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
+
+
+def table(u: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """Lines of these sizes as rows of width characters, with zeros behind."""
+    out = np.zeros((len(size), width), u.dtype)
+    out[np.arange(width) < size[:, None]] = u
+    return out
+
+
+def beside(short: list[str], long: list[str], most: np.ndarray) -> np.ndarray:
+    """For each pair, whether its edit distance is most or less: Myers' bit vectors, one row a pair and 64 of its
+    characters, all pairs column by column. The shorter lines of all pairs fill equally many words of 64 bits."""
+    m, n = np.array([len(x) for x in short]), np.array([len(x) for x in long])
+    width = -(-int(m.max()) // 64)
+    order = np.argsort(-n, kind="stable")  # lines that have ended are the last ones
+    both = units([short[i] for i in order] + [long[i] for i in order])
+    m, n, most = m[order], n[order], most[order]
+    x, y = table(both[: m.sum()], m, 64 * width), table(both[m.sum() :], n, int(n[0])).T.copy()
+    one, top = np.uint64(1), np.uint64(63)
+    last = one << ((m - 1) % 64).astype(np.uint64)
+    up, down = np.full((width, len(m)), ~np.uint64(0)), np.zeros((width, len(m)), np.uint64)
+    score, at, ok = m.copy(), np.arange(len(m)), np.zeros(len(m), bool)
+    for j in range(int(n[0])):
+        if j % STEP == 0:
+            stay = score - np.maximum(n - j, 0) <= most
+            ended = n <= j
+            ok[at[ended & stay]] = True
+            stay &= ~ended
+            if not stay.any():
+                return ok[np.argsort(order)]
+            if not stay.all():
+                x, y, m, n, most, last, score, at = x[stay], y[:, stay], m[stay], n[stay], most[stay], last[stay], score[stay], at[stay]
+                up, down = up[:, stay], down[:, stay]
+        k = int(np.searchsorted(-n, -j, "left"))  # pairs whose longer line has a character here
+        eqs = np.packbits((x[:k] == y[j, :k, None]).ravel(), bitorder="little").view(np.uint64).reshape(k, width)
+        more, less = np.full(k, one), np.zeros(k, np.uint64)
+        for w in range(width):
+            eq, u, d = eqs[:, w], up[w, :k], down[w, :k]
+            v = eq | d
+            eq = eq | less
+            h = (((eq & u) + u) ^ u) | eq
+            h_up, h_down = d | ~(h | u), u & h
+            if w == width - 1:
+                score[:k] += ((h_up & last[:k]) != 0).astype(np.int64) - ((h_down & last[:k]) != 0)
+            h_up, more = h_up << one | more, h_up >> top
+            h_down, less = h_down << one | less, h_down >> top
+            up[w, :k], down[w, :k] = h_down | ~(v | h_up), h_up & v
+    ok[at] = score <= most
+    return ok[np.argsort(order)]
+
+
+def within_all(a: list[str], b: list[str]) -> np.ndarray:
+    """For each pair of lines, whether it has the edit similarity that links them."""
+    m, n = np.array([len(s) for s in a], np.int64), np.array([len(s) for s in b], np.int64)
+    least, most = np.minimum(m, n), np.maximum(m, n) // NOT_ALIKE
+    ok = np.zeros(len(a), bool)
+    near = np.abs(m - n) <= most
+    ok[near & (least == 0)] = True
+    words = -(-least // 64)
+    # where distances cost more, an edit script that is at hand first
+    for i in np.flatnonzero(near & (words > 1) & (words <= BESIDE // 64)).tolist():
+        ok[i] = aligned(a[i], b[i], int(most[i]))
+    near &= ~ok
+    for w in range(1, BESIDE // 64 + 1):
+        at = np.flatnonzero(near & (words == w))
+        if len(at):
+            pairs = [(a[i], b[i]) if m[i] <= n[i] else (b[i], a[i]) for i in at.tolist()]
+            ok[at] = beside([s for s, _ in pairs], [t for _, t in pairs], most[at])
+    for i in np.flatnonzero(near & (words > BESIDE // 64)).tolist():
+        ok[i] = within(a[i], b[i], int(most[i]))
+    return ok
+
+
 LINES = "line long, twin long, s0 long, s1 long, s2 long, size int, n long, doc long, dig long, no int, docs binary, digs binary, nos binary, body string"
 LINES_ARROW = pa.schema([("line", pa.int64()), ("twin", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("size", pa.int32()), ("n", pa.int64()), ("doc", pa.int64()), ("dig", pa.int64()), ("no", pa.int32()), ("docs", pa.binary()), ("digs", pa.binary()), ("nos", pa.binary()), ("body", pa.string())])
 
@@ -317,9 +403,21 @@ def alike(pairs: DataFrame, forms: DataFrame) -> DataFrame:
     x, y = (forms.select(F.col("line").alias(s), F.col("body").alias(f"body_{s}")) for s in "ab")
 
     def check(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def linked(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            s, t = ([x for b in held for x in b.column(c).to_pylist()] for c in ("body_a", "body_b"))
+            ok, at = within_all(s, t), 0
+            for b in held:
+                yield b.select(["a", "b"]).filter(pa.array(ok[at : at + b.num_rows], pa.bool_()))
+                at += b.num_rows
+
+        held, rows, size = [], 0, 0
         for b in it:
-            ok = [within(s, t, max(len(s), len(t)) // NOT_ALIKE) for s, t in zip(b.column("body_a").to_pylist(), b.column("body_b").to_pylist(), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            held.append(b)
+            rows, size = rows + b.num_rows, size + b.nbytes
+            if rows >= BATCH or size >= 4 << 20:
+                yield from linked(held)
+                held, rows, size = [], 0, 0
+        yield from linked(held)
 
     # many small tasks: what costs is the distances, not the bytes that partitions would be made from
     parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.sparkSession.sparkContext.defaultParallelism)

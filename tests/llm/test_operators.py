@@ -193,6 +193,36 @@ def test_line_columns_may_have_any_name(spark):
     assert order(tuple(r) for r in out.collect()) == order([(1, "same old line here", *"abcdefgh", 1, 0), (2, "", *"ijklmnop", 1, 1)])
 
 
+def test_distances_side_by_side():
+    """Verdicts on many pairs at once against the plain table of distances: empty, short, long, wide characters."""
+    import random
+
+    def distance(a, b):
+        above = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            row = [i]
+            for j, d in enumerate(b, 1):
+                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (c != d)))
+            above = row
+        return above[-1]
+
+    r = random.Random(3)
+    pairs = []
+    for _ in range(600):
+        letters = r.choice(["ab", "abcdefgh ", "ä中文ab😀 "])
+        a = "".join(r.choice(letters) for _ in range(r.choice([0, 1, 5, 30, 63, 64, 65, 127, 128, 129, 256, 257])))
+        b = list(a)
+        for _ in range(r.randrange(max(2, len(a)))):
+            i = r.randrange(len(b) + 1)
+            b[i : i + r.randrange(2)] = r.choice(["", r.choice(letters)])
+        pairs.append((a, "".join(b)) if r.random() < 0.5 else ("".join(b), a))
+    expected = [distance(a, b) * 4 <= max(len(a), len(b)) for a, b in pairs]
+    assert 100 < sum(expected) < 500
+    assert lines.within_all([a for a, _ in pairs], [b for _, b in pairs]).tolist() == expected
+    assert [lines.within(a, b, max(len(a), len(b)) // 4) for a, b in pairs] == expected
+    assert lines.within_all([], []).tolist() == []
+
+
 def test_lines_find_edited_copies():
     """Of pairs with edit similarity 0.75 or more, as all pairs tell, nine in ten or more link: one to four words of a line replaced, dropped or added."""
     import random
