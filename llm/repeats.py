@@ -1,17 +1,18 @@
 """Suffix-array dedup: removes every byte that a long string, seen earlier, covers, by bucket-pointer refinement.
 
-Positions start in buckets of GRAM bytes and are refined by the bucket identifiers of later offsets: identifiers of
-2, 4, 8, 16 and 32 bytes follow from those of half the length, reused in place, and those of LENGTH bytes from the
-identifiers of 64 bytes at the start and at a later offset. Identifiers are 64-bit hashes, so that buckets agree
-across tasks without a common sort.
+Bucket-pointer refinement puts the positions of a fragment of the corpus in order: they are sorted into buckets of their
+first Q bytes, a position's pointer is where its bucket begins, and buckets of two positions or more are refined by
+sorting their positions on the pointers at a later offset. Each round reuses the pointers that the one before updated,
+at offsets of 8, 16 and 32 bytes and then 36, after which positions share a bucket if and only if LENGTH bytes are
+equal, byte by byte. Positions alone in their bucket are settled and never sorted again.
 
-Only what may repeat is refined. In every window of LENGTH bytes the GRAM-byte bucket with the least identifier is the
+Fragments bring together whatever may be equal. In every window of LENGTH bytes the GRAM bytes with the least hash are the
 window's anchor; equal windows have equal anchors at equal offsets. Anchors are counted over the corpus, in packed
 fragments; a window whose anchor stands alone is unique and goes no further. Of the others, runs of windows travel
-with their text to the fragment of their anchor, where windows are put in buckets of LENGTH bytes and sorted by
-(doc_id, start): all but the first of a bucket repeat. Anchors that many documents share would gather in one fragment,
-so their windows are dealt by the windows' own identifiers and merged in each task before: a task sends one entry a
-bucket, however many documents of it hold the passage.
+with their text to the fragment of their anchor, where windows in one bucket are sorted by (doc_id, start): all but the
+first repeat. Anchors that many documents share would gather in one fragment, so their windows are dealt by hashes of
+their own, 128 bits that stand for their bytes, and merged in each task before: a task sends one entry a bucket, however
+many documents of it hold the passage.
 
 Whole copies of an earlier text are settled by a digest of the text. Texts never join across documents. A null or
 empty text has no bytes, nothing is removed from texts shorter than LENGTH. Rows with a null doc_id take no part:
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 from llm.common import PACKED, PACKED_ARROW, Packer, batches, bucket_of, fragments, joined, mixed, same, saved, shared_tokens, small, spans, texts
 from llm.urls import bloom, may_hold
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM, Q = 100, 32, 8
+#: Fragments of windows for each one of anchors, as windows take more memory.
+FINER = 4
 #: Texts are scanned in stretches of so many bytes.
 STRETCH = 1 << 18
 #: Anchors with so many entries are dealt by their windows.
@@ -41,8 +44,8 @@ _STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x16566
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def buckets(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Identifiers of the GRAM bytes and of the LENGTH bytes at every position that has them."""
+def hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the GRAM bytes and of the LENGTH bytes at every position that has them."""
     if len(b) < LENGTH:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     h, size = _BYTES[b], 1
@@ -57,6 +60,49 @@ def buckets(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return gram, mixed(h[: len(h) - later] * _STEPS[6] + h[later:])
 
 
+def second(gram: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Other hashes of the LENGTH bytes at some positions."""
+    h = gram[at + LENGTH - GRAM]
+    for i, step in ((2, _STEPS[0]), (1, _STEPS[1]), (0, _STEPS[2])):
+        h = mixed(h * step + gram[at + i * GRAM])
+    return h
+
+
+def pointers(b: np.ndarray) -> np.ndarray:
+    """Bucket pointers of every position that has LENGTH bytes: equal where these are equal."""
+    n = len(b) - Q + 1
+    if len(b) < LENGTH:
+        return np.zeros(0, np.uint32)
+    key = np.zeros(n, np.uint64)
+    for i in range(Q):
+        key = key << np.uint64(8) | b[i : i + n]
+    live = np.argsort(key).astype(np.uint32)
+    key = key[live]
+    begin = same(key)
+    size = np.diff(np.r_[begin, n])
+    pointer = np.empty(n, np.uint32)
+    pointer[live] = np.repeat(begin, size).astype(np.uint32)
+    live, depth = live[np.repeat(size > 1, size)], Q
+    while depth < LENGTH:
+        offset = min(depth, LENGTH - depth)
+        depth += offset
+        n = len(b) - depth + 1
+        pointer, later_ones = pointer[:n], pointer[offset:]
+        live = live[live < n]
+        key = pointer[live].astype(np.uint64) << np.uint64(32) | later_ones[live]
+        order = np.argsort(key)
+        live, key = live[order], key[order]
+        cut = same(key)
+        size = np.diff(np.r_[cut, len(key)])
+        bucket = (key[cut] >> np.uint64(32)).astype(np.int64)
+        whole = same(bucket)
+        before = cut - np.repeat(cut[whole], np.diff(np.r_[whole, len(cut)]))
+        pointer = pointer.copy()
+        pointer[live] = np.repeat(bucket + before, size).astype(np.uint32)
+        live = live[np.repeat(size > 1, size)]
+    return pointer
+
+
 def anchors(gram: np.ndarray) -> np.ndarray:
     """For each window of LENGTH bytes the position of its least GRAM-byte identifier, the leftmost of equals."""
     width, reach = LENGTH - GRAM + 1, 1
@@ -103,7 +149,7 @@ def anchored(docs: DataFrame, parts: int) -> DataFrame:
         def rows() -> Iterator[dict]:
             for docs in _documents(it):
                 for b, whole, number, starts in stretches(docs):
-                    gram, _ = buckets(b)
+                    gram, _ = hashes(b)
                     if not len(gram):
                         continue
                     ok = np.flatnonzero(whole)
@@ -153,6 +199,15 @@ def runs_of(own: np.ndarray, pos: np.ndarray, parts: int) -> Iterator[dict]:
         yield {"frag": int(b[a]), "owners": own[a:z].tobytes(), "start": start[a:z].astype(np.uint32).tobytes(), "stop": stop[a:z].astype(np.uint32).tobytes()}
 
 
+def classes(key: np.ndarray, twin: np.ndarray) -> np.ndarray:
+    """Numbers that are equal where both hashes are."""
+    order = np.lexsort((twin, key))
+    k, t = key[order], twin[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])][: len(key)])
+    return out
+
+
 def later(key: np.ndarray, own: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the entries that are not the first of their bucket by (owner, position), and of those that are."""
     order = np.argsort(key, kind="stable")
@@ -168,25 +223,24 @@ def later(key: np.ndarray, own: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray
 
 
 def regions(flagged: DataFrame, parts: int) -> DataFrame:
-    """Windows that may repeat: REGIONS rows by their anchor's fragment; sizes empty for windows dealt by their own identifier
-    (body: identifiers), and body empty for windows that are known to repeat (frag is -1 less the owner's bucket)."""
-    shift = np.uint64(64 - (parts.bit_length() - 1))
+    """Windows that may repeat: REGIONS rows by their anchor's fragment; sizes empty for windows dealt by their own hash (body:
+    their hashes, then their second ones), and body empty for windows that are known to repeat (frag is -1 less the owner's bucket)."""
+    shift = np.uint64(64 - ((parts * FINER).bit_length() - 1))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def known(own: np.ndarray, pos: np.ndarray) -> Iterator[dict]:
             for r in runs_of(own, pos, parts):
                 yield {"frag": -1 - r["frag"], "owners": r["owners"], "pos": r["start"], "sizes": r["stop"], "body": b""}
 
-        def hot_rows(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[dict]:
-            key, own, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            again, first = later(key, own, pos)
+        def hot_rows(held: list[tuple[np.ndarray, ...]]) -> Iterator[dict]:
+            key, twin, own, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            again, first = later(classes(key, twin), own, pos)
             yield from known(own[again], pos[again])
-            key, own, pos = key[first], own[first], pos[first]
-            order = np.argsort(key)
-            key, own, pos = key[order], own[order], pos[order]
+            first = first[np.argsort(key[first])]
+            key, twin, own, pos = key[first], twin[first], own[first], pos[first]
             f = (key >> shift).astype(np.int64)
             for a, z in spans(f):
-                yield {"frag": int(f[a]), "owners": own[a:z].tobytes(), "pos": pos[a:z].astype(np.uint32).tobytes(), "sizes": b"", "body": key[a:z].tobytes()}
+                yield {"frag": int(f[a]), "owners": own[a:z].tobytes(), "pos": pos[a:z].astype(np.uint32).tobytes(), "sizes": b"", "body": key[a:z].tobytes() + twin[a:z].tobytes()}
 
         def region_rows(held: dict[int, list]) -> Iterator[dict]:
             for f, found in held.items():
@@ -206,7 +260,7 @@ def regions(flagged: DataFrame, parts: int) -> DataFrame:
                 docs = list(zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True))
                 marks = [(np.frombuffer(p, np.uint32).astype(np.int64), np.frombuffer(h, np.uint8)) for p, h in zip(batch.column("pos").to_pylist(), batch.column("hot").to_pylist(), strict=True)]
                 for b, whole, number, starts in stretches(docs):
-                    gram, full = buckets(b)
+                    gram, full = hashes(b)
                     if not len(gram):
                         continue
                     # 1: an anchor that others share, 2: one that very many share
@@ -221,7 +275,7 @@ def regions(flagged: DataFrame, parts: int) -> DataFrame:
                     own = np.array([d for d, _ in docs], np.int64)[number]
                     hot = np.flatnonzero(kind == 2)
                     if len(hot):
-                        hot_held.append((full[hot], own[hot], hot - starts[hot]))
+                        hot_held.append((full[hot], second(gram, hot), own[hot], hot - starts[hot]))
                         hot_size += len(hot)
                         if hot_size >= 600_000:
                             yield from hot_rows(hot_held)
@@ -251,29 +305,30 @@ def regions(flagged: DataFrame, parts: int) -> DataFrame:
 def repeated(sent: DataFrame, parts: int) -> DataFrame:
     """RUNS of the windows that are not the first of their bucket."""
 
+    def packed(rows: list[dict], name: str, kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join([r[name] for r in rows]), kind)
+
     def fragment(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         if rows[0]["frag"] < 0:
             return pa.Table.from_pylist([{"frag": -1 - r["frag"], "owners": r["owners"], "start": r["pos"], "stop": r["sizes"]} for r in rows], RUNS_ARROW)
-        keys, owns, poss = [], [], []
-        for r in rows:
-            own, pos = np.frombuffer(r["owners"], np.int64), np.frombuffer(r["pos"], np.uint32).astype(np.int64)
-            if not r["sizes"]:
-                keys.append(np.frombuffer(r["body"], np.uint64))
-                owns.append(own)
-                poss.append(pos)
-                continue
-            n = np.frombuffer(r["sizes"], np.uint32).astype(np.int64)
-            body = np.frombuffer(r["body"], np.uint8)
-            _, full = buckets(body)
+        hot, cold = [r for r in rows if not r["sizes"]], [r for r in rows if r["sizes"]]
+        found = []
+        if hot:
+            key, twin = np.concatenate([np.frombuffer(r["body"], np.uint64).reshape(2, -1) for r in hot], axis=1)
+            own, pos = packed(hot, "owners", np.int64), packed(hot, "pos", np.uint32).astype(np.int64)
+            again, _ = later(classes(key, twin), own, pos)
+            found += runs_of(own[again], pos[again], parts)
+        if cold:
+            n = packed(cold, "sizes", np.uint32).astype(np.int64)
+            body = packed(cold, "body", np.uint8)
             start = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            keys.append(full[np.repeat(start, n) + step])
-            owns.append(np.repeat(own, n))
-            poss.append(np.repeat(pos, n) + step)
-        key, own, pos = np.concatenate(keys), np.concatenate(owns), np.concatenate(poss)
-        again, _ = later(key, own, pos)
-        return pa.Table.from_pylist(list(runs_of(own[again], pos[again], parts)), RUNS_ARROW)
+            key = pointers(body)[np.repeat(start, n) + step]
+            own, pos = np.repeat(packed(cold, "owners", np.int64), n), np.repeat(packed(cold, "pos", np.uint32).astype(np.int64), n) + step
+            again, _ = later(key, own, pos)
+            found += runs_of(own[again], pos[again], parts)
+        return pa.Table.from_pylist(found, RUNS_ARROW)
 
     return sent.groupBy("frag").applyInArrow(fragment, RUNS)
 

@@ -392,6 +392,21 @@ def test_classifier(spark, docs, empty):
 # 5
 
 
+def test_bucket_pointers():
+    """Positions share a pointer where 100 bytes are equal, and pointers are in the order of the bytes, as sorting all tells."""
+    rng = np.random.default_rng(0)
+    for letters, n in ((2, 3000), (1, 700), (256, 5000), (3, 100), (3, 99), (3, 0)):
+        b = rng.integers(0, letters, n).astype(np.uint8)
+        if n > 1000:
+            b[2000:2400], b[700:950] = b[100:500], b[100:350]
+        strings = [b[i : i + repeats.LENGTH].tobytes() for i in range(max(n - repeats.LENGTH + 1, 0))]
+        pointer = repeats.pointers(b)
+        assert len(pointer) == len(strings)
+        assert len(set(zip(strings, pointer.tolist(), strict=True))) == len(set(strings)) == len(set(pointer.tolist()))
+        inorder = [int(pointer[i]) for i in sorted(range(len(strings)), key=strings.__getitem__)]
+        assert inorder == sorted(inorder)
+
+
 def test_repeats(spark, docs, empty, monkeypatch):
     rows = [(d, t) for d, t in dict(corpus()).items() if d is not None]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
