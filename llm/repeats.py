@@ -3,7 +3,7 @@
 Bucket-pointer refinement puts the positions of a fragment of the corpus in order: they are sorted into buckets of their
 first Q bytes, a position's pointer is where its bucket begins, and buckets of two positions or more are refined by
 sorting their positions on the pointers at a later offset. Each round reuses the pointers that the one before updated,
-at offsets of 8, 16 and 32 bytes and then 36, after which positions share a bucket if and only if LENGTH bytes are
+at offsets of 4, 8, 16 and 32 bytes and then 36, after which positions share a bucket if and only if LENGTH bytes are
 equal, byte by byte. Positions alone in their bucket are settled and never sorted again.
 
 Fragments bring together whatever may be equal. In every window of LENGTH bytes the GRAM bytes with the least hash are the
@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from llm.common import PACKED, PACKED_ARROW, Packer, batches, bucket_of, fragments, joined, mixed, same, saved, shared_tokens, small, spans, texts
 from llm.urls import bloom, may_hold
 
-LENGTH, GRAM, Q = 100, 32, 8
+LENGTH, GRAM, Q = 100, 32, 4
 #: Fragments of windows for each one of anchors, as windows take more memory.
-FINER = 4
+FINER = 8
 #: Texts are scanned in stretches of so many bytes.
 STRETCH = 1 << 18
 #: Anchors with so many entries are dealt by their windows.
@@ -76,8 +76,10 @@ def pointers(b: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(Q):
         key = key << np.uint64(8) | b[i : i + n]
-    live = np.argsort(key).astype(np.uint32)
-    key = key[live]
+    # positions are sorted along with their keys where both fit in 64 bits, which is faster than sorting numbers of keys
+    half, bits = np.uint64(32), np.uint64(len(b).bit_length())
+    key = np.sort(key << half | np.arange(n, dtype=np.uint64))
+    live, key = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32), key >> half
     begin = same(key)
     size = np.diff(np.r_[begin, n])
     pointer = np.empty(n, np.uint32)
@@ -89,12 +91,17 @@ def pointers(b: np.ndarray) -> np.ndarray:
         n = len(b) - depth + 1
         pointer, later_ones = pointer[:n], pointer[offset:]
         live = live[live < n]
-        key = pointer[live].astype(np.uint64) << np.uint64(32) | later_ones[live]
-        order = np.argsort(key)
-        live, key = live[order], key[order]
+        if 3 * bits <= 64:
+            key = np.sort((pointer[live].astype(np.uint64) << bits | later_ones[live]) << bits | live)
+            live, key = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.uint32), key >> bits
+        else:
+            bits = half
+            key = pointer[live].astype(np.uint64) << bits | later_ones[live]
+            order = np.argsort(key)
+            live, key = live[order], key[order]
         cut = same(key)
         size = np.diff(np.r_[cut, len(key)])
-        bucket = (key[cut] >> np.uint64(32)).astype(np.int64)
+        bucket = (key[cut] >> bits).astype(np.int64)
         whole = same(bucket)
         before = cut - np.repeat(cut[whole], np.diff(np.r_[whole, len(cut)]))
         pointer = pointer.copy()
