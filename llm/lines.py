@@ -4,8 +4,10 @@ A line's normal form has lower-case ASCII letters, 0 for digits and single space
 BLOCKS blocks of 24 bits; a word's hash names the block whose bits it votes on, so that a changed word disturbs two
 blocks at most and leaves the others bit for bit. Words of up to three bytes have no vote where FEATURES longer ones
 are there; words of more than LONG bytes, as in scripts without spaces, count by their runs of GRAM bytes that begin
-with a character. Two normal forms link when they are equal, or when two blocks that hold two words or more agree and their edit
-similarity (1 - distance / longer length) is 0.75 or more, both having FUZZY_CHARS characters. By the pigeonhole
+with a character. A block's weight is what its distinct words weigh, WORD each or as many as they have bytes, if fewer. Two normal
+forms link when they are equal, or when two blocks of weight enough (see keys) agree and their edit similarity (1 - distance /
+longer length) is 0.75 or more, both having FUZZY_CHARS characters. A word that a line repeats weighs once, so what two lines
+have in common is never one frequent word and an empty block. By the pigeonhole
 principle lines that differ in BLOCKS - 2 blocks at most meet in one of the 15 keys of two blocks, 48 bits each.
 Of each connected group the occurrence with the smallest (doc_id, text digest, line number) stays.
 
@@ -40,6 +42,8 @@ FEATURES = 8
 #: Characters that unequal lines need to link.
 FUZZY_CHARS = 5
 LONG, GRAM = 32, 9
+#: A word's weight, at most; that of a key's two blocks: WEIGHT, or two thirds of a light line's, but never one word's.
+WORD, WEIGHT = 4, 8
 LAST = (1 << 63) - 1
 #: Lines are sent on when so many bytes of them are held.
 HELD = 16 << 20
@@ -77,17 +81,17 @@ def word_hashes(b: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarra
 
 
 def simhashes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each normal form the blocks of its SimHash, bit by bit what most words of the block have, and their numbers of words."""
-    values, words = np.zeros((len(bodies), BLOCKS), np.uint32), np.zeros((len(bodies), BLOCKS), np.int64)
+    """Of each normal form the blocks of its SimHash, bit by bit what most words of the block have, and their weights."""
+    values, weights = np.zeros((len(bodies), BLOCKS), np.uint32), np.zeros((len(bodies), BLOCKS), np.int64)
     at = 0
     while at < len(bodies):
         end, n = at, 0
         while end < len(bodies) and (n < _STRETCH or end == at):
             n += len(bodies[end]) + 1
             end += 1
-        values[at:end], words[at:end] = _simhashes(bodies[at:end])
+        values[at:end], weights[at:end] = _simhashes(bodies[at:end])
         at = end
-    return values, words
+    return values, weights
 
 
 def grams(b: np.ndarray, start: int, stop: int) -> np.ndarray:
@@ -114,8 +118,9 @@ def _simhashes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start, stop, line = start[use], stop[use], line[use]
     h = word_hashes(b, start, stop)
     key = line * BLOCKS + ((h >> np.uint64(40)) % np.uint64(BLOCKS)).astype(np.int64)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
+    apart = key.astype(np.uint64) << np.uint64(40) | h & np.uint64((1 << 40) - 1)
+    order = np.argsort(apart)
+    key, first = key[order], same(apart[order])
     bits = _SPREAD[h[order].view(np.uint8).reshape(-1, 8)[:, :3]]
     cut = same(key)
     size = np.diff(np.r_[cut, len(key)])
@@ -123,22 +128,22 @@ def _simhashes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for i in np.flatnonzero(size > 255):
         ones[i] = bits[cut[i] : cut[i] + size[i]].view(np.uint8).reshape(-1, 24).sum(0, dtype=np.int32)
     won = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").astype(np.uint32)
-    values, words = np.zeros(len(bodies) * BLOCKS, np.uint32), np.zeros(len(bodies) * BLOCKS, np.int64)
+    values = np.zeros(len(bodies) * BLOCKS, np.uint32)
+    weights = np.bincount(key[first], np.minimum(stop - start, WORD)[order[first]], len(values)).astype(np.int64)
     values[key[cut]] = won[:, 0] | won[:, 1] << 8 | won[:, 2] << 16
-    words[key[cut]] = size
-    return values.reshape(-1, BLOCKS), words.reshape(-1, BLOCKS)
+    return values.reshape(-1, BLOCKS), weights.reshape(-1, BLOCKS)
 
 
-def sim_columns(values: np.ndarray, words: np.ndarray) -> list[pa.Array]:
-    """Two blocks and their numbers of words, 100 at most, in each of three longs."""
-    w = np.minimum(words, 100)
+def sim_columns(values: np.ndarray, weights: np.ndarray) -> list[pa.Array]:
+    """Two blocks and their weights, 100 at most, in each of three longs."""
+    w = np.minimum(weights, 100)
     return [pa.array(values[:, i].astype(np.int64) | values[:, i + 1].astype(np.int64) << 24 | w[:, i] << 48 | w[:, i + 1] << 55) for i in (0, 2, 4)]
 
 
 def sim_blocks(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     values = [x >> s & 0xFFFFFF for x in columns for s in (0, 24)]
-    words = [x >> s & 0x7F for x in columns for s in (48, 55)]
-    return np.stack(values, 1).astype(np.uint64), np.stack(words, 1)
+    weights = [x >> s & 0x7F for x in columns for s in (48, 55)]
+    return np.stack(values, 1).astype(np.uint64), np.stack(weights, 1)
 
 
 def aligned(a: str, b: str, most: int) -> bool:
@@ -362,10 +367,12 @@ def lines(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
 _PAIRS = list(combinations(range(BLOCKS), 2))
 
 
-def keys(values: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each SimHash a key for every choice of two blocks, and whether these hold two words or more."""
+def keys(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each SimHash a key for every choice of two blocks, and whether these weigh enough: WEIGHT, or two thirds of the
+    whole line if that is less, but more than one word."""
+    least = np.clip(-(-2 * weights.sum(1) // 3), WORD + 1, WEIGHT)
     both = [mixed((values[:, i] | values[:, j] << np.uint64(24)) ^ mixed(np.array([k + 1], np.uint64))) for k, (i, j) in enumerate(_PAIRS)]
-    return np.stack(both, 1), np.stack([words[:, i] + words[:, j] > 1 for i, j in _PAIRS], 1)
+    return np.stack(both, 1), np.stack([weights[:, i] + weights[:, j] >= least for i, j in _PAIRS], 1)
 
 
 def similar_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:

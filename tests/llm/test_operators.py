@@ -1,6 +1,7 @@
 """Each operator against a plain version on a small corpus with nulls, copies, ties and odd texts, and on no rows at all."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -121,28 +122,29 @@ def plain_normal(line):
 
 
 def plain_simhash(words):
-    """Votes of each word's hash on the 24 bits of the block that it names."""
+    """Votes of each word's hash on the 24 bits of the block that it names; a block's distinct words weigh their bytes, four at most."""
     feats = []
     for w in words:
         raw = w.encode()
         feats += [raw] if len(raw) <= lines.LONG else [raw[i : i + lines.GRAM] for i in range(len(raw) - lines.GRAM + 1) if raw[i] & 0xC0 != 0x80]
     long = [f for f in feats if len(f) > 3]
     votes = [[0] * 24 for _ in range(lines.BLOCKS)]
-    count = [0] * lines.BLOCKS
+    held = [set() for _ in range(lines.BLOCKS)]
     for f in long if len(long) >= lines.FEATURES else feats:
         h = int(lines.word_hashes(np.frombuffer(f, np.uint8), np.array([0]), np.array([len(f)]))[0])
         k = (h >> 40) % lines.BLOCKS
-        count[k] += 1
+        held[k].add(f)
         for i in range(24):
             votes[k][i] += 1 if h >> i & 1 else -1
-    return [sum((v > 0) << i for i, v in enumerate(b)) for b in votes], count
+    return [sum((v > 0) << i for i, v in enumerate(b)) for b in votes], [sum(min(len(f), 4) for f in s) for s in held]
 
 
 def linked_forms(x, y):
     """By the definition, of normal forms with their SimHashes."""
     (a, (va, ca)), (b, (vb, cb)) = x, y
     agree = [k for k in range(lines.BLOCKS) if va[k] == vb[k]]
-    met = any(ca[i] + ca[j] > 1 and cb[i] + cb[j] > 1 for i in agree for j in agree if i < j)
+    need = [min(8, max(5, math.ceil(sum(min(n, 100) for n in c) * 2 / 3))) for c in (ca, cb)]
+    met = any(ca[i] + ca[j] >= need[0] and cb[i] + cb[j] >= need[1] for i in agree for j in agree if i < j)
     most = max(len(a), len(b)) // lines.NOT_ALIKE
     return met and min(len(a), len(b)) >= lines.FUZZY_CHARS and abs(len(a) - len(b)) <= most and distance(a, b) <= most
 
@@ -260,7 +262,8 @@ def test_long_lines_have_whole_simhashes():
     values, count = lines.simhashes([b"a b c", long, b"a b c"])
     assert (values[0] == values[2]).all() and count[0].sum() == 3
     feats = long.split()
-    assert count[1].sum() == sum(len(f) > 3 and len(f) <= lines.LONG for f in feats) + 600_000 - lines.GRAM + 1
+    grams = {f[i : i + lines.GRAM] for f in feats if len(f) > lines.LONG for i in range(len(f) - lines.GRAM + 1)}
+    assert count[1].sum() == 4 * len(grams | {f for f in feats if 3 < len(f) <= lines.LONG})
     small = long[:40_000]
     assert [x.tolist() for x in lines.simhashes([small])[0]] == [plain_simhash(small.decode().split())[0]]
 
