@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import jaccard, licenses, lines, mixing, packing, quality, repeats, topk, urls, weaklabels
+from llm import chats, codes, jaccard, licenses, lines, mixing, packing, periods, quality, repeats, topk, urls, weaklabels
 from llm.common import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,9 @@ QUERIES: dict[str, Query] = {
         "op8_url_filters": urls.op8,
         "op9_packing": packing.op9,
         "op10_license_scan": licenses.op10,
+        "op11_vector_codes": codes.op11,
+        "op12_periodic_runs": periods.op12,
+        "op13_chat_format": chats.op13,
     }.items()
 }
 
@@ -43,4 +46,6 @@ ORACLES: dict[str, str] = {
     "op6_source_mixing": mixing.ORACLE,
     "op7_exact_topk": topk.ORACLE,
     "op8_url_filters": urls.ORACLE,
+    "op11_vector_codes": codes.ORACLE,
+    "op13_chat_format": chats.ORACLE,
 }
