@@ -29,38 +29,38 @@ def flags(m: Column) -> Column:
     return F.filter(made, lambda x: x.isNotNull())
 
 
-def issues(flagged: Column, strategies: Column) -> Column:
-    """Array of (type, severity, message, confidence) of flags and strategies."""
-    of_flags = F.transform(flagged, lambda f: F.struct(f["id"].alias("type"), F.lower(f["severity"]).alias("severity"), f["message"].alias("message"), F.lit(0.95).alias("confidence")))
+def issues(flagged: Column, strategies: Column, agent: str = "attacker") -> Column:
+    """Array of (type, severity, message, confidence, agent_source, exploit_patch) of flags and strategies."""
+    patch = F.lit(None).cast("string")
+    of_flags = F.transform(flagged, lambda f: F.struct(f["id"].alias("type"), F.lower(f["severity"]).alias("severity"), f["message"].alias("message"), F.lit(0.95).alias("confidence"), F.lit(agent).alias("agent_source"), patch.alias("exploit_patch")))
 
     def one(s: Column) -> Column:
         level = F.when(s["confidence"] >= 8, "critical").when(s["confidence"] >= 6, "high").otherwise("medium")
-        return F.struct(F.concat(F.lit("exploit_"), s["category"]).alias("type"), level.alias("severity"), F.concat(s["name"], F.lit(": "), s["description"]).alias("message"), (s["confidence"] / F.lit(10.0)).alias("confidence"))
+        message = F.concat(F.lit("["), s["name"], F.lit("] "), s["description"])
+        return F.struct(F.concat(F.lit("exploit_"), s["category"]).alias("type"), level.alias("severity"), message.alias("message"), (s["confidence"] / F.lit(10.0)).alias("confidence"), F.lit(agent).alias("agent_source"), s["exploit_patch"].alias("exploit_patch"))
 
     return F.concat(of_flags, F.transform(strategies, one))
 
 
 def judged(flagged: Column, confidences: Column) -> Column:
-    """Struct (verdict, score, confidence) of a task's flags and its strategies' confidences (array of int)."""
+    """Struct (verdict, score, confidence) of a task's flags and its strategies' confidences (array of int).
+
+    The confidence hangs on the strategies alone: 0.9 if one reaches 8, 0.7 if there are any, else 0.5."""
+    confidences = F.coalesce(confidences, F.array().cast("array<int>"))
     top = F.coalesce(F.array_max(confidences), F.lit(0)).cast("double")
     sevens = F.size(F.filter(confidences, lambda c: c >= 7))
-    n, high = F.size(flagged), F.size(F.filter(flagged, lambda f: f["severity"] == "HIGH"))
-    made = lambda v, s, c: F.struct(F.lit(v).alias("verdict"), rounded(s).alias("score"), F.lit(c).alias("confidence"))
+    n, high = F.size(flagged), F.size(F.filter(flagged, lambda f: f["severity"].isin("HIGH", "CRITICAL")))
+    sure = F.when(top >= 8, 0.9).when(F.size(confidences) > 0, 0.7).otherwise(0.5)
+    made = lambda v, s: F.struct(F.lit(v).alias("verdict"), rounded(s, 3).alias("score"), sure.alias("confidence"))
     rest = F.lit(0.1) * (10 - top) / 10
     return (
-        F.when((top >= 8) | (sevens >= 2), made("FAIL", F.lit(0.1) + rest, 0.9))
-        .when((top >= 6) | (high >= 2), made("WARNING", F.lit(0.4) + rest, 0.7))
-        .when((n >= 3) | (top >= 4), made("WARNING", F.lit(0.6), 0.5))
-        .otherwise(made("PASS", F.lit(0.8) + F.lit(0.2) * (1 - n / F.greatest(n + 3, F.lit(1)).cast("double")), 0.7))
+        F.when((top >= 8) | (sevens >= 2), made("FAIL", F.lit(0.1) + rest))
+        .when((top >= 6) | (high >= 2), made("WARNING", F.lit(0.4) + rest))
+        .when((n >= 3) | (top >= 4), made("WARNING", F.lit(0.6)))
+        .otherwise(made("PASS", F.lit(0.8) + F.lit(0.2) * (1 - n / F.greatest(n + 3, F.lit(1)).cast("double"))))
     )
 
 
-def failed_results(rows: DataFrame, error: str = "error") -> DataFrame:
-    """rows whose analysis failed get the verdict ERROR, score and confidence 0."""
-    bad = F.col(error).isNotNull()
-    return rows.withColumns({"verdict": F.when(bad, "ERROR").otherwise(F.col("verdict")), "score": F.when(bad, 0.0).otherwise(F.col("score")), "confidence": F.when(bad, 0.0).otherwise(F.col("confidence"))})
-
-
 def second_round(results: DataFrame) -> DataFrame:
     """(instance_id, run_round2): round two is left out where there are results and all passed."""
     return results.groupBy("instance_id").agg((~F.bool_and(F.coalesce("passed", F.lit(False)))).alias("run_round2"))

@@ -6,10 +6,11 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import normal_cdf, rounded
+from plumbline.operators.order import cumulated, positioned
 from plumbline.operators.verifier import sensitivity
 from plumbline.session import materialized
 
@@ -21,8 +22,8 @@ CONFIGURATIONS = {
     "completeness_heavy": {"discrimination": 0.20, "spearman": 0.15, "mae": 0.15, "completeness": 0.50},
     "spearman_heavy": {"discrimination": 0.20, "spearman": 0.50, "mae": 0.15, "completeness": 0.15},
 }
-#: Bootstrap replicates are drawn from the histogram of values; it goes to every task while it has so many values at most.
-VALUES = 200_000
+#: Bootstrap: distinct values in a leaf, replicates in a block.
+LEAF, BLOCK = 4096, 500
 
 
 def histogram(df: DataFrame, value: str, positive: Column, by: list[str] | None = None) -> DataFrame:
@@ -32,23 +33,8 @@ def histogram(df: DataFrame, value: str, positive: Column, by: list[str] | None
 
 
 def running(h: DataFrame, counts: list[str], by: list[str] | None = None, value: str = "value") -> DataFrame:
-    """h with before_<count>: the sum of count at smaller values within by.
-
-    Values fall into ranges, as many as shuffle partitions and 64 at least, at approximate quantiles; ranges are summed on their own and shifted by the sums of
-    the ranges before, so neither one value order nor one group lies in one task.
-    """
-    by = by or []
-    pieces = max(64, int(h.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = h.agg(F.percentile_approx(value, [i / pieces for i in range(1, pieces)], 10 * pieces).alias("c")).first().c or []
-    cuts = sorted(set(cuts))
-    piece = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: c < F.col(value))) if cuts else F.lit(0)
-    h = h.withColumn("_piece", piece)
-    within = Window.partitionBy(*by, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    sums = h.groupBy(*by, "_piece").agg(*(F.sum(c).alias(f"_{c}") for c in counts))
-    sums = sums.select(*by, "_piece", *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in counts))
-    h = h.join(sums, [*by, "_piece"])
-    return h.select(*by, value, *counts, *((F.col(f"_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(f"before_{c}") for c in counts))
+    """h with before_<count>: the sum of count at smaller values within by."""
+    return cumulated(h.select(*(by or []), value, *counts), {f"before_{c}": F.col(c) for c in counts}, [value], by or [])
 
 
 def rank_sum(h: DataFrame, by: list[str] | None = None, exact_cdf: bool = False) -> DataFrame:
@@ -78,43 +64,48 @@ def best_threshold(h: DataFrame) -> DataFrame:
     return best.select(*(F.coalesce(c, F.lit(d)).alias(n) for n, c, d in (("threshold", -F.col("b.m"), 0.5), ("youden", F.col("b.youden"), 0.0), ("sensitivity", F.col("b.sens"), 0.0), ("specificity", F.col("b.spec"), 0.0))))
 
 
-def bootstrap_means(df: DataFrame, value: str, replicates: int = 10_000, seed: int = 42) -> DataFrame:
+def bootstrap_means(df: DataFrame, value: str, replicates: int = 10_000, seed: int = 42, leaf: int = LEAF) -> DataFrame:
     """(replicate, mean) of value resampled with replacement; nulls are left out, no rows give no replicates, one row itself.
 
-    A resample of n rows is a multinomial draw over the histogram of values, so its cost hangs on the number of distinct
-    values and not on that of rows. Beyond VALUES distinct values every value is drawn a Poisson number of times where
-    it lies and partial sums meet per replicate. Draws follow from (seed, replicate) or (seed, value).
+    A resample of n rows is a multinomial draw over the histogram of values, in whatever order it is split up. Distinct
+    values in order make leaves of so many; leaves make a binary tree. Of a node's draws the left half of its leaves gets
+    a binomial share, so any leaf can find out its own number of draws by going down from the root, and draws its values
+    from that number alone: leaves work apart, at any number of values, and one leaf is just the case without a tree. Draws
+    follow from the seed, the replicates' block, and the node or leaf; nothing depends on how rows or tasks lie.
     """
     spark = df.sparkSession
     h = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("value")).agg(F.count("*").alias("k"))
-    few = h.limit(VALUES + 1).toArrow()
-    if few.num_rows <= VALUES:
-        x, k = few.column("value").to_numpy(), few.column("k").to_numpy()
-        order = np.argsort(x)
-        sent = spark.sparkContext.broadcast((x[order], k[order]))
-
-        def multinomial(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            x, k = sent.value
-            n = k.sum()
-            for b in it:
-                r = b.column("replicate").to_pylist() if n else []
-                means = [float(np.random.default_rng([seed, i]).multinomial(n, k / n) @ x / n) for i in r]
-                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(means, pa.float64())], ["replicate", "mean"])
-
-        tasks = min(replicates, max(1, min(spark.sparkContext.defaultParallelism, replicates * max(few.num_rows, 1) // 1_000_000)))
-        return spark.range(0, replicates, 1, tasks).select(F.col("id").alias("replicate")).mapInArrow(multinomial, "replicate long, mean double")
-
-    def poisson(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, weight = np.zeros(replicates), np.zeros(replicates)
+    leaves = positioned(h, ["value"]).groupBy(F.floor(F.col("position") / leaf).alias("leaf")).agg(F.sort_array(F.collect_list(F.struct("value", "k"))).alias("values"), F.sum("k").alias("total"))
+    leaves = materialized(leaves, "leaves")  # at most so many values a row
+    depth = max(0, (leaves.count() - 1).bit_length())
+    up = lambda l: F.call_function("shiftright", F.col("leaf"), l)
+    levels = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")
+    nodes = leaves.select("leaf", "total", levels).groupBy("level", up(F.col("level")).alias("node")).agg(F.sum("total").alias("draws"))
+    # from the root down: how many rows lie below the left and below the right child
+    pairs = nodes.where(F.col("level") < depth).groupBy((F.col("level") + 1).alias("level"), F.call_function("shiftright", F.col("node"), F.lit(1)).alias("node"))
+    pairs = pairs.agg(F.sum(F.when(F.col("node") % 2 == 0, F.col("draws")).otherwise(0)).alias("left"), F.sum(F.when(F.col("node") % 2 == 1, F.col("draws")).otherwise(0)).alias("right"))
+    paths = leaves.select("leaf", levels).select("leaf", "level", up(F.col("level")).alias("node")).join(pairs, ["level", "node"]).groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct((-F.col("level")).alias("level"), "node", "left", "right"))).alias("path"))
+    whole = leaves.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // BLOCK))).alias("block")
+    work = leaves.join(paths, "leaf", "left").crossJoin(F.broadcast(whole)).select("leaf", "values", "path", "n", blocks)  # whole: one row
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def draw(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for x, k in zip(b.column("value").to_pylist(), b.column("k").to_pylist(), strict=True):
-                w = np.random.default_rng([seed, np.float64(x).view(np.uint64)]).poisson(k, replicates)
-                total += w * x
-                weight += w
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), pa.array(total), pa.array(weight)], ["replicate", "total", "weight"])
-
-    sums = h.mapInArrow(poisson, "replicate long, total double, weight double").groupBy("replicate").agg(F.sum("total").alias("t"), F.sum("weight").alias("w"))
-    return sums.select("replicate", (F.col("t") / F.greatest("w", F.lit(1.0))).alias("mean"))
+            for r in b.to_pylist():
+                first = r["block"] * BLOCK
+                size = min(BLOCK, replicates - first)
+                left = np.full(size, r["n"], np.int64)
+                for step in r["path"] or []:
+                    level, share = -step["level"], step["left"] / (step["left"] + step["right"])
+                    to_left = np.random.default_rng([seed, 1, r["block"], level, step["node"]]).binomial(left, share)
+                    left = left - to_left if r["leaf"] >> level - 1 & 1 else to_left
+                x, k = (np.array([v[c] for v in r["values"]], t) for c, t in (("value", float), ("k", np.int64)))
+                drawn = np.random.default_rng([seed, 2, r["block"], r["leaf"]]).multinomial(left, k / k.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + size)), pa.array(drawn @ x), pa.array(left)], ["replicate", "total", "weight"])
+
+    drawn = work.repartition(tasks, "leaf", "block").mapInArrow(draw, "replicate long, total double, weight long")
+    return drawn.groupBy("replicate").agg(F.sum("total").alias("t"), F.sum("weight").alias("w")).select("replicate", (F.col("t") / F.col("w")).alias("mean"))
 
 
 def interval(means: DataFrame, replicates: int, alpha: float = 0.05) -> DataFrame:
@@ -146,8 +137,11 @@ def separation(scores: DataFrame, value: str = "composite", positive: str = "hac
 
 
 def weight_sensitivity(candidates: DataFrame, configurations: Mapping[str, Mapping[str, float]] = CONFIGURATIONS, key: str = "instance_id") -> DataFrame:
-    """(configuration, n_x, n_y, mean_x, mean_y, delta, p, significant) of hackable tasks against the others under each weighting."""
-    s = sensitivity(candidates, configurations, key)
-    tests = rank_sum(histogram(s, "composite", F.col("hackable"), ["configuration"]), ["configuration"])
-    means = s.groupBy("configuration").agg(*(rounded(F.coalesce(F.avg(F.when(c, F.col("composite"))), F.lit(0.0))).alias(n) for n, c in (("mean_x", F.col("hackable")), ("mean_y", ~F.col("hackable")))))
-    return tests.join(means, "configuration").select("configuration", "n_x", "n_y", "mean_x", "mean_y", rounded(F.col("mean_y") - F.col("mean_x")).alias("delta"), rounded("p", 6).alias("p"), (F.col("p") < 0.05).alias("significant"))
+    """(configuration, n_x, n_y, mean_x, mean_y, delta, p, significant) of hackable tasks against the others under each weighting.
+
+    One pass counts how many tasks of either kind have each score under each weighting; all the rest follows from that."""
+    h = materialized(histogram(sensitivity(candidates, configurations, key), "composite", F.col("hackable"), ["configuration"]), "weighted")
+    tests = rank_sum(h, ["configuration"])
+    mean = lambda n: rounded(F.sum(F.col("value") * F.col(n)) / F.greatest(F.sum(n), F.lit(1)))
+    means = h.groupBy("configuration").agg(mean("x").alias("mean_x"), mean("y").alias("mean_y"))
+    return tests.join(F.broadcast(means), "configuration").select("configuration", "n_x", "n_y", "mean_x", "mean_y", rounded(F.col("mean_y") - F.col("mean_x")).alias("delta"), rounded("p", 6).alias("p"), (F.col("p") < 0.05).alias("significant"))  # means: a row a configuration

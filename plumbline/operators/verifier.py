@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import ratio, rounded
+from plumbline.operators.order import mean_ranks
 
 #: Weights of detection, ranking, error and completeness.
 WEIGHTS = {"discrimination": 0.40, "spearman": 0.20, "mae": 0.15, "completeness": 0.25}
@@ -15,7 +16,8 @@ WEIGHTS = {"discrimination": 0.40, "spearman": 0.20, "mae": 0.15, "completeness"
 
 def average_rank(df: DataFrame, value: str, rank: str, by: list[str] | None = None) -> DataFrame:
     """df with the 1-based rank of value within by; ties get their mean rank."""
-    by = by or []
+    if not by:
+        return mean_ranks(df, value, rank)
     w = Window.partitionBy(*by).orderBy(value)
     return df.withColumn(rank, F.rank().over(w) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / F.lit(2.0))
 

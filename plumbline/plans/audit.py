@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.functions.numbers import rounded
 from plumbline.operators import abtest, attack, candidates, composite, costs, dataset, difficulty, hybrid, optimize, stats, verifier
+from plumbline.session import materialized
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,6 +107,12 @@ def verifier_score_all_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("instance_id", "n_candidates", rounded("mae").alias("mae"), rounded("composite").alias("composite"))
 
 
+@query("SELECT o_orderkey, rank() OVER (ORDER BY o_orderdate) + (count(*) OVER (PARTITION BY o_orderdate) - 1) / 2.0::DOUBLE AS mean_rank FROM orders")
+def global_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks among all orders, with many ties."""
+    return verifier.average_rank(table(spark, sf_dir, "orders"), "o_orderdate", "mean_rank").select("o_orderkey", "mean_rank")
+
+
 # Judgments
 
 RATES = "{p} AS precision, {r} AS recall"
@@ -131,6 +138,19 @@ def hybrid_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid.confusion(lines(spark, sf_dir), judgments(spark, sf_dir))
 
 
+@query(f"""WITH {LINES}, j AS (SELECT instance_id, patch_id, 1 AS n, verdict FROM cand UNION ALL SELECT instance_id, patch_id, 2, CASE l_suppkey % 3 WHEN 0 THEN 'correct' WHEN 1 THEN 'incorrect' ELSE 'uncertain' END FROM cand WHERE l_partkey % 2 = 0),
+last AS (SELECT instance_id, patch_id, arg_max(verdict, n || verdict) AS verdict FROM j GROUP BY ALL), cells AS (SELECT instance_id, CASE WHEN c.verifier_pass IS NULL OR last.verdict = 'uncertain' THEN 'skipped' WHEN c.verifier_pass THEN CASE WHEN last.verdict IN ('correct', 'partial') THEN 'tp' ELSE 'fp' END WHEN last.verdict IN ('correct', 'partial') THEN 'fn' ELSE 'tn' END AS cell FROM cand c JOIN last USING (instance_id, patch_id))
+SELECT instance_id, count(*) FILTER (cell = 'tp') AS tp, count(*) FILTER (cell = 'fp') AS fp, count(*) FILTER (cell = 'fn') AS fn, count(*) FILTER (cell = 'tn') AS tn, count(*) FILTER (cell = 'skipped') AS n_skipped FROM cells GROUP BY instance_id""")
+def repeated_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches of even parts are judged twice; the later judgment holds."""
+    c = lines(spark, sf_dir)
+    later = F.when(F.col("l_suppkey") % 3 == 0, "correct").when(F.col("l_suppkey") % 3 == 1, "incorrect").otherwise("uncertain")
+    one = lambda n, v: F.struct(F.lit(n).alias("n"), v.alias("verdict"))
+    j = c.select("instance_id", "patch_id", "l_partkey", F.explode(F.array(one(2, later), one(1, F.col("verdict")))).alias("j"), F.lit(0.0).alias("cost_usd")).where("j.n = 1 or l_partkey % 2 = 0")
+    t = hybrid.confusion(c, j.select("instance_id", "patch_id", "j.n", "j.verdict", "cost_usd"), order=["n", "verdict"])
+    return t.select("instance_id", "tp", "fp", "fn", "tn", "n_skipped")
+
+
 @query(f"WITH {LINES}, {confusion_sql()}, g AS (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(tn)::BIGINT AS tn, count(*) FILTER (fp > 0) AS tasks_with_fp, count(*) FILTER (fn > 0) AS tasks_with_fn FROM conf) SELECT tp, fp, fn, tn, {RATES_SQL}, tasks_with_fp, tasks_with_fn FROM g")
 def hybrid_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid.overall(hybrid.confusion(lines(spark, sf_dir), judgments(spark, sf_dir)))
@@ -159,6 +179,18 @@ def judge_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid.voted(s, ["user_id"], ["ts", "event_id"]).select("user_id", "verdict", "confidence", "n_samples")
 
 
+@query("""WITH s AS (SELECT user_id, event_id, event_type AS verdict, least(abs(value) / 100, 1) AS confidence, abs(value) AS latency FROM events),
+v AS (SELECT user_id, verdict, count(*) AS votes, min(event_id) AS seen FROM s GROUP BY ALL),
+w AS (SELECT user_id, verdict FROM v QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, seen) = 1),
+b AS (SELECT user_id, verdict, 'because of ' || event_id AS trace, 'so ' || event_id AS conclusion FROM s JOIN w USING (user_id, verdict) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, event_id) = 1)
+SELECT user_id, verdict, trace, conclusion, latency_seconds FROM b JOIN (SELECT user_id, round(sum(latency) + 1e-9::DOUBLE, 3) AS latency_seconds FROM s GROUP BY ALL) USING (user_id)""")
+def vote_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vote's reasons are those of the winner's most confident sample, its latency that of all samples."""
+    e = table(spark, sf_dir, "events")
+    s = e.select("user_id", "event_id", F.col("event_type").alias("verdict"), F.least(F.abs("value") / 100, F.lit(1)).alias("confidence"), F.lit(0.001).alias("cost_usd"), F.abs("value").alias("latency_seconds"), F.concat(F.lit("because of "), F.col("event_id").cast("string")).alias("trace"), F.concat(F.lit("so "), F.col("event_id").cast("string")).alias("conclusion"))
+    return hybrid.voted(s, ["user_id"], ["event_id"]).select("user_id", "verdict", "trace", "conclusion", rounded("latency_seconds", 3).alias("latency_seconds"))
+
+
 # Difficulty
 
 
@@ -380,6 +412,14 @@ def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abtest.mcnemar(abtest.aligned(*runs(spark, sf_dir))).withColumn("p", rounded("p", 6))
 
 
+@query("""WITH g AS (SELECT l_suppkey, count(*) FILTER (l_returnflag = 'A') AS b, count(*) FILTER (l_returnflag = 'R') AS c FROM lineitem GROUP BY ALL)
+SELECT l_suppkey, b, c, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) FROM range(least(b, c)::BIGINT + 1) r(i))) END + 1e-9::DOUBLE, 6) AS p FROM g""")
+def exact_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An exact test for each supplier."""
+    g = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "A").alias("b"), F.count_if(F.col("l_returnflag") == "R").alias("c"))
+    return g.withColumn("p", rounded(abtest.binomial_p(F.least("b", "c"), F.col("b") + F.col("c")), 6))
+
+
 @query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abtest.paired_interval(abtest.aligned(*runs(spark, sf_dir))).select(*(rounded(c).alias(c) for c in ("delta", "lo", "hi")))
@@ -434,27 +474,39 @@ def key_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Improvement, summaries, costs
 
-AUGMENT = """aug AS (SELECT instance_id, (i % 3 + 1)::INT AS iteration, t, least(c, 1) AS confidence FROM (SELECT l_partkey AS instance_id, l_linenumber AS i, l_suppkey % 4 AS t, l_quantity / 50 AS c FROM lineitem)),
-bo AS (SELECT instance_id, iteration, 0.15::DOUBLE * least(count(DISTINCT t) / 4.0::DOUBLE, 1) * avg(confidence) AS boost, count(*) AS n FROM aug GROUP BY ALL)"""
+AUGMENT = """aug AS (SELECT instance_id, (i % 3 + 1)::INT AS iteration, t, least(c, 1) AS confidence, q FROM (SELECT l_partkey AS instance_id, l_linenumber AS i, l_suppkey % 4 AS t, l_quantity / 50 AS c, l_quantity * 0.01::DOUBLE AS q FROM lineitem)),
+bo AS (SELECT instance_id, iteration, 0.15::DOUBLE * least(count(DISTINCT t) / 4.0::DOUBLE, 1) * avg(confidence) AS boost, count(*) AS n, sum(q) AS cost FROM aug GROUP BY ALL)"""
 
 
 def fix_tasks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    s = scored(spark, sf_dir).where("verdict = 'FIX'").select("instance_id", "eqs")
+    """Tasks to fix, written once as both the loop and the boosts read them, and the boosts."""
+    s = materialized(scored(spark, sf_dir).where("verdict = 'FIX'").select("instance_id", "eqs"), "scores")
     li = table(spark, sf_dir, "lineitem")
-    a = li.select(F.col("l_partkey").alias("instance_id"), (F.col("l_linenumber") % 3 + 1).alias("iteration"), F.array((F.col("l_suppkey") % 4).cast("string")).alias("targets"), F.least(F.col("l_quantity") / 50, F.lit(1)).alias("confidence"))
-    e = s.select("instance_id", F.lit(4).alias("n_exploits"))
-    return s, optimize.boosts(a, e)
+    a = li.select(F.col("l_partkey").alias("instance_id"), (F.col("l_linenumber") % 3 + 1).alias("iteration"), F.array((F.col("l_suppkey") % 4).cast("string")).alias("targets"), F.least(F.col("l_quantity") / 50, F.lit(1)).alias("confidence"), (F.col("l_quantity") * 0.01).alias("cost_usd"))
+    return s, optimize.boosts(a, s.select("instance_id", F.lit(4).alias("n_exploits")))
 
 
 def _step(i: int) -> str:
-    return f"""s{i} AS (SELECT instance_id, eqs AS before, round(least(eqs + coalesce(boost, 0), 1) + 1e-9::DOUBLE, 4) AS after, coalesce(n, 0) AS n FROM t{i - 1} LEFT JOIN (SELECT * FROM bo WHERE iteration = {i}) USING (instance_id) WHERE eqs < 0.70),
-g{i} AS (SELECT {i} AS iteration, count(*) AS n_tasks, avg(before) AS mb, avg(after) AS ma, count(*) FILTER (after > before) AS n_improved, count(*) FILTER (after >= 0.70) AS n_upgraded, sum(n)::BIGINT AS n_augmentations FROM s{i}),
-t{i} AS (SELECT instance_id, after AS eqs FROM s{i})"""
+    return f"""s{i} AS (SELECT instance_id, eqs AS before, least(eqs + coalesce(boost, 0), 1) AS raw, round(least(eqs + coalesce(boost, 0), 1) + 1e-9::DOUBLE, 4) AS after, coalesce(n, 0) AS n, coalesce(cost, 0) AS cost FROM t{i - 1} LEFT JOIN (SELECT * FROM bo WHERE iteration = {i}) USING (instance_id) WHERE still),
+t{i} AS (SELECT t.instance_id, coalesce(s.after, t.eqs) AS eqs, s.instance_id IS NOT NULL AND NOT (s.raw >= 0.70 AND s.before < 0.70) AS still FROM t{i - 1} t LEFT JOIN s{i} s USING (instance_id)),
+g{i} AS (SELECT {i} AS iteration, count(*) AS n_tasks, avg(before) AS mb, avg(after) AS ma, count(*) FILTER (raw > before) AS n_improved, count(*) FILTER (raw >= 0.70 AND before < 0.70) AS n_upgraded, sum(n)::BIGINT AS n_augmentations, sum(cost) AS cost, (SELECT avg(eqs) FROM t{i}) AS mean FROM s{i})"""
+
 
+LOOP = f"""{{sources}}, {AUGMENT}, t0 AS (SELECT instance_id, eqs, true AS still FROM sc WHERE verdict = 'FIX'), {_step(1)}, {_step(2)}, {_step(3)}, g AS (SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3),
+r AS (SELECT *, round(ma - mb + 1e-9::DOUBLE, 4) AS improvement FROM g WHERE n_tasks > 0), it AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM r p WHERE p.iteration < r.iteration AND p.improvement < 0.01))"""
 
-@query(f"WITH {SOURCES}, {AUGMENT}, t0 AS (SELECT instance_id, eqs FROM sc WHERE verdict = 'FIX'), {_step(1)}, {_step(2)}, {_step(3)}, g AS (SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3) SELECT iteration, n_tasks, round(mb + 1e-9::DOUBLE, 4) AS mean_before, round(ma + 1e-9::DOUBLE, 4) AS mean_after, n_improved, n_upgraded, n_augmentations FROM g WHERE n_tasks > 0 AND NOT EXISTS (SELECT 1 FROM g p WHERE p.iteration < g.iteration AND p.ma - p.mb < 0.01)")
+
+@query(f"WITH {LOOP.format(sources=SOURCES)} SELECT iteration, n_tasks, round(mb + 1e-9::DOUBLE, 4) AS mean_before, round(ma + 1e-9::DOUBLE, 4) AS mean_after, improvement, n_improved, n_upgraded, n_augmentations, round(cost + 1e-9::DOUBLE, 4) AS cost_usd FROM it")
 def optimization_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return optimize.optimized(*fix_tasks(spark, sf_dir))[0]
+    return optimize.optimized(*fix_tasks(spark, sf_dir)).iterations
+
+
+@query(f"""WITH {LOOP.format(sources=SOURCES)}, z AS (SELECT avg(eqs) AS first FROM t0), e AS (SELECT count(*) AS k, max_by(mean, iteration) AS last, sum(round(cost + 1e-9::DOUBLE, 4)) AS cost, sum(n_upgraded)::BIGINT AS up, max_by(n_tasks - n_upgraded, iteration) AS remain, string_agg(format('{{:.3f}}', mean), ',' ORDER BY iteration) AS c FROM it)
+SELECT k::INT AS total_iterations, k < 3 OR remain = 0 AS converged, round(first + 1e-9::DOUBLE, 4) AS initial_mean, round(last + 1e-9::DOUBLE, 4) AS final_mean, round(last - first + 1e-9::DOUBLE, 4) AS total_improvement, round(cost, 3) AS total_cost_usd, up AS n_upgraded, format('{{:.3f}}', first) || ',' || c AS curve FROM z, e""")
+def optimization_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = optimize.optimized(*fix_tasks(spark, sf_dir)).totals
+    curve = F.array_join(F.transform("convergence_curve", lambda x: F.format_string("%.3f", x)), ",")
+    return t.select("total_iterations", "converged", "initial_mean", "final_mean", "total_improvement", F.round("total_cost_usd", 3).alias("total_cost_usd"), "n_upgraded", curve.alias("curve"))
 
 
 @query("""SELECT p_brand AS model, count(*) AS n, sum(CAST(l_quantity AS BIGINT))::BIGINT AS input_tokens, round(sum((CAST(l_quantity AS BIGINT) * CASE WHEN p_brand = 'Brand#12' THEN 0.8::DOUBLE ELSE 3.0::DOUBLE END + CAST(floor(l_extendedprice) AS BIGINT) * CASE WHEN p_brand = 'Brand#12' THEN 4.0::DOUBLE ELSE 15.0::DOUBLE END) / 1e6::DOUBLE) + 1e-9::DOUBLE, 4) AS cost_usd FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL""")
@@ -466,6 +518,17 @@ def cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("model", "n", "input_tokens", rounded("c").alias("cost_usd"))
 
 
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, (round(l_quantity) * 3.0::DOUBLE + floor(l_extendedprice) * 15.0::DOUBLE) / 1e6::DOUBLE AS cost FROM lineitem)
+SELECT l_orderkey, l_linenumber, count(*) OVER w AS calls_so_far, round(sum(cost) OVER w + 1e-9::DOUBLE, 4) AS cost_so_far FROM c WINDOW w AS (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS UNBOUNDED PRECEDING)""")
+def running_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and cost up to each order line, over all lines."""
+    keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    r = table(spark, sf_dir, "lineitem").select(*keys, F.lit("x").alias("model"), F.round("l_quantity").cast("long").alias("input_tokens"), F.floor("l_extendedprice").alias("output_tokens"))
+    prices = spark.createDataFrame([], "model string, price_in double, price_out double")
+    t = costs.running_totals(costs.priced(r, prices), keys)
+    return t.select("l_orderkey", "l_linenumber", "calls_so_far", rounded("cost_so_far").alias("cost_so_far"))
+
+
 @query(f"""WITH {LINES}, t AS (SELECT instance_id, count(*) AS n, count(*) FILTER (verifier_pass) AS v, count(*) FILTER (verdict = 'uncertain') AS e FROM cand GROUP BY ALL),
 s AS (SELECT count(*) AS total_tasks, count(*) FILTER (v > 0) AS tasks_hackable, sum(n)::BIGINT AS total_exploits, sum(v)::BIGINT AS exploits_verified, sum(e)::BIGINT AS errors FROM t)
 SELECT *, round(tasks_hackable / greatest(total_tasks, 1)::DOUBLE + 1e-9::DOUBLE, 3) AS hackability_rate, round(exploits_verified / greatest(total_exploits, 1)::DOUBLE + 1e-9::DOUBLE, 3) AS exploit_success_rate,

@@ -43,19 +43,26 @@ def rule_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("instance_id", F.array_join(F.transform(attack.flags(F.col("m")), lambda f: f["id"]), ",").alias("flags"))
 
 
-@query(f"""WITH {NUMBERS}, {FLAGS}, v AS (SELECT *, greatest(c1, c2) AS top, len(flags) AS k, (c1 >= 7)::INT + (c2 >= 7)::INT AS sevens FROM f), w AS (SELECT *, top >= 8 OR sevens >= 2 AS bad, top >= 6 OR high >= 2 AS doubt, k >= 3 OR top >= 4 AS few FROM v)
-SELECT instance_id, CASE WHEN bad THEN 'FAIL' WHEN doubt OR few THEN 'WARNING' ELSE 'PASS' END AS verdict,
-  round(CASE WHEN bad THEN 0.1::DOUBLE + 0.1::DOUBLE * (10 - top) / 10 WHEN doubt THEN 0.4::DOUBLE + 0.1::DOUBLE * (10 - top) / 10 WHEN few THEN 0.6::DOUBLE ELSE 0.8::DOUBLE + 0.2::DOUBLE * (1 - k / greatest(k + 3, 1)::DOUBLE) END + 1e-9::DOUBLE, 4) AS score,
-  CASE WHEN bad THEN 0.9::DOUBLE WHEN doubt THEN 0.7::DOUBLE WHEN few THEN 0.5::DOUBLE ELSE 0.7::DOUBLE END AS confidence,
-  (k + 2)::INT AS n_issues, ((c1 >= 8)::INT + (c2 >= 8)::INT)::INT AS n_critical FROM w""")
+#: A part has none, one or two strategies: the number and their confidences.
+STRATEGIES = "v AS (SELECT *, len(flags) AS k, (p_size % 3)::INT AS n, CASE WHEN p_size % 3 = 0 THEN []::INT[] WHEN p_size % 3 = 1 THEN [c1] ELSE [c1, c2] END AS cs FROM f)"
+
+
+@query(f"""WITH {NUMBERS}, {FLAGS}, {STRATEGIES}, w AS (SELECT *, coalesce(list_max(cs), 0) AS top, len(list_filter(cs, lambda c: c >= 7)) AS sevens FROM v)
+SELECT instance_id, CASE WHEN top >= 8 OR sevens >= 2 THEN 'FAIL' WHEN top >= 6 OR high >= 2 OR k >= 3 OR top >= 4 THEN 'WARNING' ELSE 'PASS' END AS verdict,
+  round(CASE WHEN top >= 8 OR sevens >= 2 THEN 0.1::DOUBLE + 0.1::DOUBLE * (10 - top) / 10 WHEN top >= 6 OR high >= 2 THEN 0.4::DOUBLE + 0.1::DOUBLE * (10 - top) / 10 WHEN k >= 3 OR top >= 4 THEN 0.6::DOUBLE ELSE 0.8::DOUBLE + 0.2::DOUBLE * (1 - k / greatest(k + 3, 1)::DOUBLE) END + 1e-9::DOUBLE, 3) AS score,
+  CASE WHEN top >= 8 THEN 0.9::DOUBLE WHEN n > 0 THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS confidence,
+  (k + n)::INT AS n_issues, len(list_filter(cs, lambda c: c >= 8))::INT AS n_critical,
+  array_to_string(list_transform(range(n), lambda i: '[s' || i || '] d' || p_size || ' <patch ' || i || '>'), ',') AS messages FROM w""")
 def attack_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def strategy(mod: int):  # noqa: ANN202
-        return F.struct(F.lit("hard-coding").alias("category"), F.lit("s").alias("name"), F.lit("d").alias("description"), (F.col("p_size") % mod).cast("int").alias("confidence"))
+    def strategy(i: int, mod: int):  # noqa: ANN202
+        return F.struct(F.lit("hard-coding").alias("category"), F.lit(f"s{i}").alias("name"), F.concat(F.lit("d"), F.col("p_size").cast("string")).alias("description"), (F.col("p_size") % mod).cast("int").alias("confidence"), F.lit(f"patch {i}").alias("exploit_patch"))
 
-    m = measured(spark, sf_dir).withColumn("s", F.array(strategy(11), strategy(7))).withColumn("f", attack.flags(F.col("m")))
+    some = F.slice(F.array(strategy(0, 11), strategy(1, 7)), F.lit(1), (F.col("p_size") % 3).cast("int"))
+    m = measured(spark, sf_dir).withColumn("s", some).withColumn("f", attack.flags(F.col("m")))
     made = attack.issues(F.col("f"), F.col("s"))
     m = m.select("instance_id", attack.judged(F.col("f"), F.transform("s", lambda s: s["confidence"])).alias("j"), made.alias("i"))
-    return m.select("instance_id", "j.verdict", "j.score", "j.confidence", F.size("i").alias("n_issues"), F.size(F.filter("i", lambda x: x["severity"] == "critical")).alias("n_critical"))
+    found = F.transform(F.filter("i", lambda x: x["exploit_patch"].isNotNull()), lambda x: F.concat(x["message"], F.lit(" <"), x["exploit_patch"], F.lit(">")))
+    return m.select("instance_id", "j.verdict", "j.score", "j.confidence", F.size("i").alias("n_issues"), F.size(F.filter("i", lambda x: x["severity"] == "critical")).alias("n_critical"), F.array_join(found, ",").alias("messages"))
 
 
 DIFF = "concat_ws(chr(10), 'diff --git a/t b/t', 'index 1..2', '--- a/t', '+++ b/t', '@@ -1 +1 @@', ' old', '-gone', concat('+new ', p_name), 'diff --git a/u b/u', ' not in a hunk')"

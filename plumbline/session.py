@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -16,19 +18,37 @@ def session(name: str = "plumbline", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that spark.checkpoint.dir names (one of our own where unset) and read again.
+def shipped(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a context: they need not find it on their own path."""
+    context = spark.sparkContext
+    if not getattr(context, "_plumbline_shipped", False):
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "plumbline"), "zip", os.path.dirname(package), os.path.basename(package))
+        context.addPyFile(archive)
+        context._plumbline_shipped = True
 
-    Cuts the lineage of iterative plans so that lost executors cost no recomputation; goes with the session's JVM.
-    """
-    spark = df.sparkSession
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names (one of our own where unset); goes with the session's JVM."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/plumbline-checkpoints"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(jpath)  # what isn't there can't be marked
+    files.deleteOnExit(jpath)
+    return f"{folder}/data"
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """df written to scratch() and read again.
+
+    Cuts the lineage of iterative plans so that lost executors cost no recomputation; goes with the session's JVM.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
     df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 import pytest
 
 from plumbline.functions.numbers import normal_cdf
-from plumbline.operators import abtest, attack, candidates, composite, costs, dataset, difficulty, hybrid, optimize, stats, verifier
+from plumbline.operators import abtest, attack, candidates, composite, costs, dataset, difficulty, hybrid, optimize, order, stats, verifier
 
 CAND = "instance_id string, patch_id string, source string, verifier_pass boolean, true_quality int"
 
@@ -65,6 +65,77 @@ def test_confusion(spark):
     assert (r.fp, r.fn, r.n_skipped, r.n_judged, r.f1) == (1, 2, 3, 3, 0) and r.cost_usd == 2.5
 
 
+def test_later_judgments_hold(spark):
+    c = spark.createDataFrame([("t", "p", True)] * 2 + [("t", "q", True), ("t", "r", None)], "instance_id string, patch_id string, verifier_pass boolean")
+    j = spark.createDataFrame([("t", "p", "uncertain", 1, 0.5), ("t", "p", "correct", 2, 0.5), ("t", "q", "correct", 1, 0.5), ("t", "q", "incorrect", 2, 0.5), ("t", "z", "correct", 1, 0.5), ("u", "z", "correct", 1, 9.0)], "instance_id string, patch_id string, verdict string, n int, cost_usd double")
+    r = hybrid.confusion(c, j, order=["n"]).collect()
+    assert [(x.tp, x.fp, x.n_skipped, x.cost_usd) for x in r] == [(2, 1, 1, 2.5)]
+    assert sorted(x.cell for x in hybrid.cells(c, j, order=["n"]).collect()) == ["fp", "skipped", "tp", "tp"]
+
+
+def test_vote_keeps_the_best_reasons(spark):
+    rows = [("a", "correct", 0.6, 0.1, 0, "first", 2.0), ("a", "correct", 0.8, 0.1, 1, "second", 1.0), ("a", "correct", 0.8, 0.1, 2, "third", 0.5), ("a", "incorrect", 0.9, 0.1, 3, "other", 4.0)]
+    df = spark.createDataFrame(rows, "p string, verdict string, confidence double, cost_usd double, k int, conclusion string, latency_seconds double")
+    v = hybrid.voted(df, ["p"], ["k"])
+    assert v.select("verdict", "conclusion", "confidence", "latency_seconds").first() == ("correct", "second", 0.6, 7.5)
+    z = hybrid.judged_all(spark.createDataFrame([("z",)], "p string"), v, ["p"]).first()
+    assert (z.verdict, z.conclusion, z.latency_seconds) == ("uncertain", "No judgment samples available", 0.0)
+
+
+def test_order(spark):
+    """Sums before each row, in and across ranges, with nulls and ties, against plain Python."""
+    rows = [(i, [None, "a", "b"][i % 3], i * 7919 % 1000 if i % 50 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i int, g string, v int").repartition(5)
+    key = lambda r: (r[2] is not None, r[2] or 0, r[0])
+    got = {r.i: r.position for r in order.positioned(df, ["v", "i"]).collect()}
+    assert got == {r[0]: n for n, r in enumerate(sorted(rows, key=key))}
+    got, want = {r.i: r.s for r in order.cumulated(df, {"s": F.col("i").cast("long")}, ["v", "i"], ["g"]).collect()}, {}
+    for g in (None, "a", "b"):
+        total = 0
+        for r in sorted((r for r in rows if r[1] == g), key=key):
+            want[r[0]], total = total, total + r[0]
+    assert got == want
+    ranks = {r.i: r.r for r in order.mean_ranks(df, "v", "r").collect()}
+    values = sorted((r[2] is not None, r[2] or 0) for r in rows)
+    first = {v: n for n, v in reversed(list(enumerate(values)))}
+    assert all(ranks[i] == first[v is not None, v or 0] + (values.count((v is not None, v or 0)) + 1) / 2 for i, _, v in rows)
+    assert order.mean_ranks(df.limit(0), "v", "r").isEmpty()
+
+
+def test_binomial_tail(spark):
+    """Against exact fractions, and for a billion against sums of 60 digits."""
+    import math
+    from decimal import Decimal, localcontext
+    from fractions import Fraction
+
+    def plain(k, n):
+        return float(min(Fraction(1), Fraction(2 * sum(math.comb(n, i) for i in range(k + 1)), 2**n)))
+
+    def large(k, n):
+        with localcontext() as c:
+            c.prec = 60
+            pi = Decimal("3.14159265358979323846264338327950288419716939937510582097494")
+            log = lambda x: (x + Decimal("0.5")) * x.ln() - x + (2 * pi).ln() / 2 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+            total = term = (log(Decimal(n)) - log(Decimal(k)) - log(Decimal(n - k)) - n * Decimal(2).ln()).exp()
+            i = k
+            while term > total * Decimal("1e-20"):
+                term = term * i / (n - i + 1)
+                total, i = total + term, i - 1
+            return float(2 * total)
+
+    cases = {(k, n): plain(k, n) for n in (0, 1, 2, 5, 10, 21, 40, 333) for k in range(0, n // 2 + 1, max(1, n // 20))}
+    cases[499_990_000, 1_000_000_000] = large(499_990_000, 1_000_000_000)
+    cases[30_000, 100_000] = 0.0
+    df = spark.createDataFrame([*cases, (None, 5)], "k long, n long")
+    for r in df.select("k", "n", abtest.binomial_p(F.col("k"), F.col("n")).alias("p")).collect():
+        assert r.p is None if r.k is None else abs(r.p - cases[r.k, r.n]) <= 1e-9 * max(cases[r.k, r.n], 1e-300)
+
+
+def test_running_totals(spark):
+    calls = spark.createDataFrame([(3, 0.5), (1, 0.25), (2, None)], "k int, cost_usd double")
+    assert [tuple(r)[-2:] for r in costs.running_totals(calls, ["k"]).orderBy("k").collect()] == [(1, 0.25), (2, 0.25), (3, 0.75)]
+
+
 def test_upgrade(spark):
     rows = [("gold", False, "incorrect", 0), ("trivial", True, "correct", 2), ("exploit", True, "incorrect", 0), ("exploit", True, "correct", 1), ("exploit", False, "partial", 0), ("exploit", True, "uncertain", 1), ("exploit", False, "incorrect", 1)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, s string, p boolean, v string, q int")
@@ -165,8 +236,8 @@ def test_youden(spark):
     assert tuple(run([(0.3, True)])) == (0.5, 0, 0, 0)
 
 
-def test_bootstrap(spark, monkeypatch):
-    """Means over the histogram are spread as means of drawn rows are, by either way of drawing; text ids do no harm."""
+def test_bootstrap(spark):
+    """Means over the histogram are spread as means of drawn rows are, with any number of leaves, however rows lie."""
     import random
 
     same = spark.createDataFrame([(0.5,)] * 5, "v double")
@@ -178,11 +249,10 @@ def test_bootstrap(spark, monkeypatch):
     x = [round(r.random() ** 2, 2) for _ in range(60)]
     want = sorted(sum(r.choice(x) for _ in x) / len(x) for _ in range(4000))
     df = spark.createDataFrame([(v,) for v in [*x, None]], "v double")
-    for most in (stats.VALUES, 5):
-        monkeypatch.setattr(stats, "VALUES", most)
-        got = stats.interval(stats.bootstrap_means(df, "v", 4000), 4000).first()
+    for leaf in (stats.LEAF, 5, 1):
+        got = stats.interval(stats.bootstrap_means(df, "v", 4000, leaf=leaf), 4000).first()
         assert abs(got.lo - want[100]) < 0.01 and abs(got.hi - want[3900]) < 0.01
-        assert got == stats.interval(stats.bootstrap_means(df, "v", 4000), 4000).first()
+        assert got == stats.interval(stats.bootstrap_means(df.repartition(3), "v", 4000, leaf=leaf), 4000).first()
 
 
 def test_separation_with_text_ids(spark):
@@ -232,12 +302,18 @@ def test_optimization(spark):
     ex = spark.createDataFrame([("a", 2), ("b", 2)], "instance_id string, n_exploits int")
     b = optimize.boosts(aug, ex)
     assert abs(b.first().boost - 0.1425) < 1e-9
-    rows, state = optimize.optimized(tasks, b)
-    got = rows.collect()
+    out = optimize.optimized(tasks, b)
+    got = out.iterations.collect()
     assert got[0].n_upgraded == 1 and len(got) == 2 and got[1].n_tasks == 1 and got[1].n_improved == 0
-    assert {r.instance_id: r.eqs for r in state.collect()} == {"a": 0.7925, "b": 0.5}
-    assert optimize.optimized(tasks.limit(0), b)[0].isEmpty()
-    assert optimize.optimized(tasks, b.limit(0))[0].count() == 1
+    assert {r.instance_id: r.eqs for r in out.state.collect()} == {"a": 0.7925, "b": 0.5}
+    assert [s.count() for s in out.steps] == [2, 1]
+    t = out.totals.first()
+    assert (t.total_iterations, t.converged, t.n_upgraded, t.convergence_curve) == (2, True, 1, [0.575, 0.6463, 0.6463])
+    none = optimize.optimized(tasks.limit(0), b)
+    assert none.iterations.isEmpty() and none.totals.first().converged and none.totals.first().convergence_curve == [0.0]
+    flat = optimize.optimized(tasks, b.limit(0))
+    assert flat.iterations.count() == 1 and flat.totals.first().converged
+    assert not optimize.optimized(tasks.where("instance_id = 'b'"), b.select(F.lit("b").alias("instance_id"), "iteration", "boost", "n", "cost_usd"), iterations=1).totals.first().converged
 
 
 def test_learnable_and_weak(spark):
@@ -257,8 +333,10 @@ def test_attack_verdicts(spark):
     assert one([], [6]).verdict == "WARNING" and one([("HIGH",), ("HIGH",)], []).score == 0.5
     assert one([("MEDIUM",)] * 3, []).score == 0.6 and one([], [4]).verdict == "WARNING"
     assert one([], []).verdict == "PASS" and one([], []).score == 1.0
-    bad = attack.failed_results(spark.createDataFrame([("PASS", 0.9, 0.7, "boom")], "verdict string, score double, confidence double, error string")).first()
-    assert (bad.verdict, bad.score) == ("ERROR", 0)
+    # the confidence follows from the strategies, whatever the branch
+    assert [one(*x).confidence for x in (([], [7, 7]), ([("HIGH",)] * 2, []), ([], [4]), ([], []), ([], [1]), ([], [8]), ([], None))] == [0.7, 0.5, 0.7, 0.5, 0.7, 0.9, 0.5]
+    assert one([("MEDIUM",)], []).score == 0.95 and one([("MEDIUM",)] * 2, []).score == 0.92
+
 
 
 def test_costs(spark):

@@ -1,10 +1,11 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline import schemas
 from plumbline.operators import candidates
-from plumbline.sources import readers, writers
+from plumbline.sources import files, readers, writers
 
 
 def test_tasks(spark):
@@ -65,22 +66,48 @@ def test_assembly(spark, tmp_path):
 def test_predictions(spark, tmp_path):
     p = phase1(spark, tmp_path)
     got = writers.predictions(p)
-    assert {(r.file, r.model_name_or_path) for r in got.collect()} == {("a__x_exploit_0", "exploit_n0"), ("a__x_exploit_1", "exploit_n2")}
-    assert writers.manifest(got).first().n_files == 2
-    rounds = spark.createDataFrame([("a/x", 2, 0, "p"), ("a/x", 3, 1, "  ")], "instance_id string, round int, strategy_idx int, patch_text string")
-    assert [r.file for r in writers.round_predictions(rounds).collect()] == ["a__x_r2_0"]
+    assert {(r.file, r.model_name_or_path, r.usable) for r in got.collect()} == {("a__x_exploit_0.jsonl", "exploit-0", True), ("a__x_exploit_1.jsonl", "exploit-1", True)}
+    few = p.withColumn("exploit_patches", F.array(F.lit("too short"), F.lit("p1")))
+    assert writers.manifest(writers.predictions(few)) == {"total_exploits": 0, "total_tasks": 1, "skipped_empty": 2}
+    at = f"file://{tmp_path}/set"
+    writers.write_predictions(got, at)
+    assert files.manifest(spark, at) == {"total_exploits": 2, "total_tasks": 1, "skipped_empty": 0, "files": 2}
+    line = json.loads((tmp_path / "set" / "a__x_exploit_1.jsonl").read_text())
+    assert line == {"instance_id": "a/x", "model_name_or_path": "exploit-1", "model_patch": "--- a\n+++ c 0123"}
+    assert {r.file: r.model_patch for r in writers.read_predictions(spark, at).collect()} == {r.file: r.model_patch for r in got.collect()}
+    rounds = spark.createDataFrame([("a/x", 0, "p"), ("a/x", 1, "  "), ("a/x", 2, None)], "instance_id string, idx int, patch_text string")
+    made = writers.round_predictions(rounds)
+    assert [(r.file, r.model_name_or_path) for r in made.where("usable").collect()] == [("a__x_r2r3_exploit_0.jsonl", "exploit_r2r3_a__x_exploit_0")]
     writers.rows(got, str(tmp_path / "out"), ["instance_id"])
     assert spark.read.json(str(tmp_path / "out")).count() == 2
 
 
-def test_report_round_trip(spark, tmp_path):
-    from plumbline.operators import composite
-
-    src = spark.createDataFrame([("t", 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.25, "medium"), ("u", 0.5, 0.6, 0.0, None, None, None, None, None, None)], "instance_id string, v_score double, v_fpr double, v_fnr double, exploit_rate double, h_f1 double, h_fpr double, h_fnr double, gradient_signal double, difficulty_tier string")
-    scores = composite.scored(src)
-    writers.one_document(writers.nested_report(scores), str(tmp_path / "report"))
-    back = spark.read.schema(schemas.COMPOSITE).json(str(tmp_path / "report"))
-    assert back.first().verdict_counts["KEEP"] == 1 and {r.instance_id: r.eqs for r in readers.per_task(back).collect()} == {r.instance_id: r.eqs for r in scores.collect()}
+def test_sets_of_files_are_whole_or_none(spark, tmp_path):
+    at = str(tmp_path / "set")
+    row = lambda *r: spark.createDataFrame(list(r), "file string, content string")
+    with pytest.raises(FileNotFoundError):
+        files.files(spark, at)
+    files.write_files(row(("a.jsonl", "1"), ("b.jsonl", None)), at, {"n": 2})
+    want = {"a.jsonl": "1", "b.jsonl": ""}
+    read = lambda: {r.file: r.content or "" for r in files.files(spark, at).collect()}
+    assert read() == want
+    for bad in (row(("c.jsonl", "1"), ("c.jsonl", "2")), row(("x/y", "1")), row((None, "1")), row((".hidden", "1"))):
+        with pytest.raises(Exception, match="file"):
+            files.write_files(bad.repartition(2), at)
+        assert read() == want and files.manifest(spark, at) == {"n": 2, "files": 2}
+    with pytest.raises(Exception, match="already"):
+        files.write_files(row(("d.jsonl", "1")), at, overwrite=False)
+    assert read() == want
+    # what a lost attempt left is no part of the set and goes with the next one
+    (tmp_path / "set" / "_attempts" / "lost").mkdir(parents=True)
+    (tmp_path / "set" / "_attempts" / "lost" / "z.jsonl").write_text("z")
+    files.write_files(row(("e.jsonl", "5")), at)
+    assert read() == {"e.jsonl": "5"} and sorted(x.name for x in (tmp_path / "set").iterdir()) == ["e.jsonl", "manifest.json"]
+    (tmp_path / "set" / "manifest.json").unlink()
+    with pytest.raises(FileNotFoundError):
+        files.files(spark, at)
+    files.write_files(row().limit(0), at)
+    assert read() == {} and files.manifest(spark, at) == {"files": 0}
 
 
 def test_json_lines_skips_blank(spark, tmp_path):

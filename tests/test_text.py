@@ -50,7 +50,7 @@ def test_metrics_and_flags(spark):
     r = df.select(m.alias("m"), flags(m).alias("f")).first()
     assert r.m.permissive_ratio == 1.0 and r.m.test_lines == 1 and not r.m.has_edge
     assert [f.id for f in r.f] == ["few_assertions", "permissive_assertions", "no_edge_cases", "single_test_function", "single_fail_to_pass", "low_test_coverage_ratio"]
-    got = df.select(issues(flags(m), F.array(F.struct(F.lit("n").alias("name"), F.lit("c").alias("category"), F.lit("d").alias("description"), F.lit(8).alias("confidence")))).alias("i")).first().i
+    got = df.select(issues(flags(m), F.array(F.struct(F.lit("n").alias("name"), F.lit("c").alias("category"), F.lit("d").alias("description"), F.lit(8).alias("confidence"), F.lit("x").alias("exploit_patch")))).alias("i")).first().i
     assert got[-1].type == "exploit_c" and got[-1].severity == "critical" and got[0].confidence == 0.95
 
 
