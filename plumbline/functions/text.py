@@ -179,35 +179,124 @@ def augmentations(text: Name, patch_ids: Name, cost: Name) -> Column:
 
 
 def code_block(text: Name) -> Column:
-    """Code in a model's answer: thoughts go, the first fence wins, else everything from the first line that looks like code."""
+    """(code, fenced) of a model's answer: thoughts go, the first fence wins, else everything from the first line that looks like code."""
     x = F.coalesce(col(text), F.lit(""))
     x = F.regexp_replace(x, r"(?s)<think>.*?</think>", "")
     x = F.regexp_replace(x, r"(?s)^.*?</think>", "")
+    fenced = x.rlike(r"(?s)```.*?```")
     fence = F.regexp_extract(x, r"(?s)```(?:python)?\s*\n?(.*?)```", 1)
     start = F.regexp_extract(x, r"(?ms)^((?:def |import |from |class |@).*)\z", 1)
-    return F.trim(F.when(x.rlike(r"(?s)```.*?```"), fence).when(start != "", start).otherwise(x), F.lit(" \n\t\r"))
+    return F.struct(F.trim(F.when(fenced, fence).when(start != "", start).otherwise(x), F.lit(" \n\t\r\f\x0b")).alias("code"), fenced.alias("fenced"))
 
 
-@F.pandas_udf(T.StringType())
-def parseable(code: pd.Series) -> pd.Series:
-    """Code without the trailing lines that keep it from parsing; unchanged if nothing parses."""
+def _parses(code: str) -> tuple[bool, int | None]:
+    """Whether code parses; if not, the line that the error is at, where one is given."""
     import ast
 
-    def cut(s: str) -> str:
-        lines = s.split("\n")
-        for n in range(len(lines), 0, -1):
-            try:
-                ast.parse("\n".join(lines[:n]))
-                return "\n".join(lines[:n]).rstrip()
-            except (SyntaxError, ValueError):
+    try:
+        ast.parse(code)
+    except SyntaxError as e:
+        return False, e.lineno
+    except (ValueError, MemoryError, RecursionError):  # null bytes; nesting that the parser has no stack for
+        return False, None
+    return True, None
+
+
+def longest_parseable(code: str) -> str:
+    """The most lines from the first on that parse together; code itself if not even one does.
+
+    A line that can't be the last one is never tried: one that ends in a colon or a backslash or is a decorator, or one that
+    is inside a bracket, a string or a try that nothing closes yet; one pass over the lines tells. The parser names the
+    line that it can't get past; as it reads from the start, no more lines can help, so the next try ends before that line.
+    So texts are parsed a few times, not once a line.
+    """
+    lines = code.split("\n")
+    last = _possible_ends(lines)
+    n = len(lines)
+    while n > 0:
+        if last[n - 1]:
+            good, at = _parses("\n".join(lines[:n]))
+            if good:
+                return "\n".join(lines[:n])
+            n = min(n - 1, at - 1) if at is not None and 1 <= at < n else n - 1
+        else:
+            n -= 1
+    return code
+
+
+def _possible_ends(lines: list[str]) -> list[bool]:
+    """Whether code that parses could end with each line, as far as brackets, strings, colons, decorators and tries tell.
+
+    From where quotes or brackets don't make sense as code, nothing is ruled out."""
+    import re
+
+    token = re.compile(r"""(?:[rRbBuUfFtT]{0,2})(\'\'\'|\"\"\"|\'|\")|[\[\](){}]|\#.*|[^\s\w]|\w+""")
+    out, depth, quote, tries = [], 0, "", []
+    for line in lines:
+        at, begun, code_end, first, whole = 0, not quote and not depth, "", "", line
+        if quote:
+            end = _closed(line, 0, quote)
+            if end < 0:
+                out.append(False)
                 continue
-        return s
+            at, quote, code_end = end, "", "x"
+        while m := token.search(line, at):
+            at, t = m.end(), m.group()
+            if t.startswith("#"):
+                break
+            first = first or t
+            if m.group(1):
+                end = _closed(line, at, m.group(1))
+                if end < 0:
+                    if len(m.group(1)) == 1:
+                        return out + [True] * (len(lines) - len(out))  # no string, or one that goes on by a backslash
+                    quote = m.group(1)
+                    break
+                at, code_end = end, "x"
+                continue
+            depth += (t in "([{") - (t in ")]}") if len(t) == 1 else 0
+            code_end = t
+            if depth < 0:
+                return out + [True] * (len(lines) - len(out))
+        if first and begun:
+            indent = len(whole) - len(whole.lstrip())
+            while tries and (indent < tries[-1] or indent == tries[-1] and first not in ("except", "finally")):
+                tries.pop()  # a try that ended without either is an error that the parser will name
+            if tries and indent == tries[-1]:
+                tries.pop()
+            if first == "try" and code_end == ":":
+                tries.append(indent)
+        inside = bool(quote) or depth > 0 or bool(tries)
+        out.append(not inside and not (code_end == ":" or line.endswith("\\") or first == "@" and begun))
+    return out
+
+
+def _closed(line: str, at: int, quote: str) -> int:
+    """Where a string that is open at a place ends in the line; -1 if it doesn't."""
+    while True:
+        found = line.find(quote, at)
+        if found < 0:
+            return -1
+        slashes = 0
+        while found - slashes - 1 >= 0 and line[found - slashes - 1] == "\\":
+            slashes += 1
+        if slashes % 2 == 0:
+            return found + len(quote)
+        at = found + 1
+
+
+@F.pandas_udf(T.StringType())
+def parseable(code: pd.Series, fenced: pd.Series) -> pd.Series:
+    """Code without the trailing lines that keep it from parsing; unchanged if nothing parses, or if a fence marked it off."""
+    from plumbline.functions.text import longest_parseable
 
-    return code.map(lambda s: cut(s) if s else "")
+    return pd.Series([s if f or not s else longest_parseable(s) for s, f in zip(code, fenced, strict=True)], dtype=object)
 
 
 def extracted_code(text: Name) -> Column:
-    return parseable(code_block(text))
+    """Code of a model's answer, whatever it says: no text can fail the job."""
+    block = code_block(text)
+    return parseable(block["code"], block["fenced"])
 
 
 def function_name(code: Name) -> Column:

@@ -43,6 +43,12 @@ def with_results(candidates: DataFrame, source: str | None = None) -> DataFrame:
     return candidates.join(candidates.where(seen).select("instance_id").distinct(), "instance_id", "left_semi")
 
 
+def scorable(candidates: DataFrame) -> DataFrame:
+    """Candidates of tasks with a verifier result on any candidate, or with a gold one."""
+    seen = candidates.where(F.col("verifier_pass").isNotNull() | (F.col("source") == "gold")).select("instance_id").distinct()
+    return candidates.join(seen, "instance_id", "left_semi")
+
+
 def confident(phase1: DataFrame, least: int = 7, most: int = 3) -> DataFrame:
     """The first strategies of each task with that confidence, in their order, with their index."""
     s = strategy_rows(phase1).where(F.col("confidence") >= least)

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from plumbline.plans import records  # noqa: F401
+from plumbline.plans import records, stores  # noqa: F401
 from plumbline.plans.audit import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"

@@ -47,6 +47,77 @@ def test_harness(spark):
     assert [r[0] for r in df.orderBy("i").select(readers.harness_result(F.col("r"), F.col("t"), F.col("l"))).collect()] == [True, True, True, False, True, False]
 
 
+def test_logs_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "a_exploit_0.log").write_text("Instances resolved: 1")
+    (tmp_path / "b_exploit_0.log").write_bytes(b"\xff\xfe\x00resolved")
+    (tmp_path / "empty_exploit_1.log").write_text("")
+    (tmp_path / "c.txt").write_text("no log")
+    assert {r.key: r.content for r in readers.log_files(spark, str(tmp_path)).collect()} == {"a_exploit_0": "Instances resolved: 1", "empty_exploit_1": ""}
+    assert {r.key: r.error for r in readers.log_files(spark, str(tmp_path), errors=True).collect()} == {"a_exploit_0": None, "b_exploit_0": "not UTF-8", "empty_exploit_1": None}
+    assert [tuple(r) for r in readers.skipped_logs(spark, str(tmp_path)).collect()] == [("not UTF-8", 1)]
+    assert readers.skipped_logs(spark, str(tmp_path / "none")).isEmpty()
+
+
+def test_harness_results_from_files(spark, tmp_path):
+    def put(path, text):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+
+    put("r1/r1/a/x.r1.json".replace("a/x", "a__x"), '{"resolved": ["a/x"]}')
+    put("r2/results/r2.json", '{"b": {"resolved": true}}')
+    put("r3/deep/down/x.r3.json", '{"resolved_instances": ["other"]}')
+    put("r3/logs/run.log", "c RESOLVED")
+    put("r4/r4.json", "broken")
+    put("r5/other.json", '{"resolved": ["e"]}')
+    put("r 6+/x.r 6+.json", '{"resolved": ["f"]}')
+    runs = spark.createDataFrame([("r1", "a/x"), ("r2", "b"), ("r3", "c"), ("r4", "d"), ("r5", "e"), ("r 6+", "f"), ("r7", "g")], "run_id string, instance_id string")
+    for folder in (str(tmp_path), f"file://{tmp_path}/"):
+        got = {r.instance_id: (r.resolved, r.n_files) for r in readers.harness_results(spark, folder, runs).collect()}
+        assert got == {"a/x": (True, 1), "b": (True, 1), "c": (True, 2), "d": (False, 1), "e": (False, 0), "f": (True, 1), "g": (False, 0)}
+    assert not readers.harness_results(spark, str(tmp_path / "none"), runs).where("resolved").count()
+
+
+def test_faulty_records_come_apart(spark, tmp_path):
+    (tmp_path / "t.jsonl").write_text('{"task_id": 1}\n\n{"task_id": \n{"task_id": "x"}\n{"task_id": 2}\n')
+    good, bad = readers.routed(readers.json_lines(spark, str(tmp_path / "t.jsonl"), "task_id int", errors=True))
+    assert sorted(r.task_id for r in good.collect() if r.task_id) == [1, 2] and good.columns == ["task_id"]
+    assert sorted(r.error for r in bad.collect()) == ['t.jsonl: not of the schema: {"task_id": ', 't.jsonl: not of the schema: {"task_id": "x"}']
+    (tmp_path / "a.json").write_text('[{"task_id": 1}, {"task_id": 2}]')
+    (tmp_path / "b.json").write_text('[{"task_id": 1}, {"task')
+    good, bad = readers.routed(readers.json_array(spark, str(tmp_path / "[ab].json"), "task_id int", errors=True))
+    assert sorted(r.task_id for r in good.collect()) == [1, 2] and bad.count() == 1
+    raw = spark.createDataFrame([(0, "a", "r", "p", None, "g", '["t1"]', "x", None), (1, "b", "r", "p", None, "g", None, "[]", None), (2, "c", "r", "p", None, "g", "[]", "[]", None)], schemas.TASKS_RAW)
+    assert [r.error for r in readers.tasks(raw, errors=True).orderBy("instance_id").collect()] == ["PASS_TO_PASS is no list", "FAIL_TO_PASS is no list", None]
+
+
+def test_cache_short_circuits(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    for _ in range(3):
+        assert readers.read_through(spark, f"file://{tmp_path}", "k", make).count() == 3
+    assert len(made) == 1 and sorted(x.name for x in tmp_path.iterdir() if not x.name.startswith(".")) == ["k"]
+    assert readers.read_through(spark, f"file://{tmp_path}", "other", make).count() == 3 and len(made) == 2
+
+    def late():
+        readers.read_through(spark, f"file://{tmp_path}", "race", lambda: spark.range(5))
+        return spark.range(7)
+
+    assert readers.read_through(spark, f"file://{tmp_path}", "race", late).count() == 5  # the first one's stays
+    a = spark.createDataFrame([("s1", ["t1"]), ("s2", [])], "submission string, resolved array<string>")
+    t = spark.createDataFrame([("t1",), ("t2",)], "instance_id string")
+    assert readers.fingerprint(a, t) == readers.fingerprint(a.orderBy(F.desc("submission")).repartition(2), t)
+    assert readers.fingerprint(a, t) != readers.fingerprint(a.limit(1), t) != readers.fingerprint(t, a)
+    assert readers.fingerprint(a.union(a.limit(1))) != readers.fingerprint(a)
+    for _ in range(2):
+        got = {r.instance_id: r.solve_rate for r in readers.solve_rates_through(spark, f"file://{tmp_path}/rates", a, t).collect()}
+        assert got == {"t1": 0.5, "t2": 0.0}
+    assert len([x for x in (tmp_path / "rates").iterdir() if not x.name.startswith(".")]) == 1
+
+
 def phase1(spark, tmp_path):
     s = lambda n, c: {"name": n, "category": "k", "description": "d", "confidence": c}
     docs = [{"instance_id": "a/x", "verdict": "FAIL", "max_exploit_confidence": 9, "strategies": [s("n0", 9), s("n1", 5), s("n2", 7)], "exploit_patches": ["--- a\n+++ b 0123", "p1", "--- a\n+++ c 0123", "extra"]}, {"instance_id": "b", "strategies": [], "exploit_patches": []}]

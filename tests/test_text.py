@@ -89,7 +89,40 @@ CODE = "def f(x):\n    return x"
 
 @pytest.mark.parametrize("text", [CODE, f"```python\n{CODE}\n```", f"```\n{CODE}\n```", f"<think>hm</think>\n{CODE}", f"<think>a</think>```python\n{CODE}\n```", f"Sure, here it is:\n{CODE}", f"still thinking</think>\n{CODE}", f"{CODE}\n\nThat's it, enjoy!"])
 def test_code(spark, text):
-    assert one(spark, text, T.extracted_code) == CODE
+    assert one(spark, text, T.extracted_code).rstrip("\n") == CODE
+
+
+def test_fenced_code_stays_as_it_is(spark):
+    assert one(spark, "Look:\n```python\nx = 1\nthat's it\n```\nBye", T.extracted_code) == "x = 1\nthat's it"
+
+
+def test_longest_parseable():
+    """Against dropping line after line, on soups of lines."""
+    import ast
+    import random
+
+    def plain(s):
+        lines = s.split("\n")
+        for n in range(len(lines), 0, -1):
+            try:
+                ast.parse("\n".join(lines[:n]))
+                return "\n".join(lines[:n])
+            except (SyntaxError, ValueError):
+                pass
+        return s
+
+    pool = ["def f(x):", "    return x", "x = (1,", "     2)", "if a:", "    pass", "else:", "try:", "    z()", "except E:", "finally:", "@dec", "class A:", "x = \'\'\'a", "b\'\'\'", "print 'x'", "That's it, enjoy!", "# note:", "", "x = {", "}", "x = 1 if b", "x = \\", "  1", "x: int", "don't do", "f'{x['a']}'", "try: a", "except: b", "\tpass", "match v:", "    case 1:", "        pass"]
+    r = random.Random(3)
+    for _ in range(4000):
+        s = "\n".join(r.choice(pool) for _ in range(r.randrange(1, 9)))
+        assert T.longest_parseable(s) == plain(s), s
+
+
+def test_no_text_kills_the_job(spark):
+    """Nesting that the parser has no stack for, null bytes, and texts on which parsing once a line would take hours."""
+    odd = ["-" * 200_000 + "1", "x = a" + ".b" * 100_000, "(" * 50_000, "import x\0y", "try:\n" + "    pass\n" * 20_000 + "done", "@a\n" * 20_000 + "x y", "x = [\n" + "1,\n" * 20_000 + "foo bar", "\n".join(["if x:"] * 5_000)]
+    df = spark.createDataFrame([(x,) for x in odd], "x string")
+    assert [r[0] for r in df.select(T.extracted_code("x")).collect()] == [x.strip() if i != 4 else odd[4] for i, x in enumerate(odd)]
 
 
 def test_code_empty(spark):
