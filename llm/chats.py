@@ -37,7 +37,7 @@ from llm.common import saved
 
 PART = "struct<type:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>"
 ATTACHMENT = "struct<number:bigint,kind:string,uri:string,at:bigint,tokens:bigint>"
-PIECE = f"conv_id long, turn long, role string, text string, chars long, loss_at long, loss_chars long, attachments array<{ATTACHMENT}>"
+PIECE = f"conv_id long, turn long, role string, text string, chars long, body_at long, body_chars long, attachments array<{ATTACHMENT}>"
 
 
 @dataclass(frozen=True)
@@ -112,7 +112,7 @@ class Flattener:
 
 
 def piece(role: str | None, content: str | list[dict[str, Any] | None] | None, t: Template) -> dict[str, Any]:
-    """One turn: its text with marks, and within it the span under the loss mask and the attachments."""
+    """One turn: its text with marks, and within it the span of its content and the attachments."""
     f = Flattener(t)
     for part in [{"type": "text", "text": content}] if content is None or isinstance(content, str) else content:
         if part is not None:
@@ -125,7 +125,7 @@ def piece(role: str | None, content: str | list[dict[str, Any] | None] | None, t
     else:
         before, after = f"{t.other[0]}{escaped(role or '', t)}{t.other[1]}", t.other[2]
     text = f"{before}{body}{after}"
-    return {"text": text, "chars": len(text), "loss_at": len(before), "loss_chars": len(body) if role == "assistant" else 0, "attachments": [{**a, "at": a["at"] + len(before)} for a in f.attachments]}
+    return {"text": text, "chars": len(text), "body_at": len(before), "body_chars": len(body), "attachments": [{**a, "at": a["at"] + len(before)} for a in f.attachments]}
 
 
 def parsed(text: str, t: Template) -> list[tuple[str, str]]:
@@ -153,8 +153,8 @@ def formatted(messages: DataFrame, template: Template = Template(), conv: str =
     def make(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             made = [piece(r, c, t) for r, c in zip(b.column("role").to_pylist(), b.column("content").to_pylist(), strict=True)]
-            cols = [pa.array([m[k] for m in made], kind) for k, kind in (("text", kinds[1]), ("chars", kinds[0]), ("loss_at", kinds[0]), ("loss_chars", kinds[0]), ("attachments", kinds[2]))]
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), b.column("role"), *cols], ["conv_id", "turn", "role", "text", "chars", "loss_at", "loss_chars", "attachments"])
+            cols = [pa.array([m[k] for m in made], kind) for k, kind in (("text", kinds[1]), ("chars", kinds[0]), ("body_at", kinds[0]), ("body_chars", kinds[0]), ("attachments", kinds[2]))]
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), b.column("role"), *cols], ["conv_id", "turn", "role", "text", "chars", "body_at", "body_chars", "attachments"])
 
     def number(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Places, offsets and attachments counted within the task; rows come sorted."""
@@ -172,7 +172,9 @@ def formatted(messages: DataFrame, template: Template = Template(), conv: str =
 
     given = messages.select(F.col(f"`{conv}`").cast("long").alias("conv_id"), F.col(f"`{turn}`").cast("long").alias("turn"), F.col(f"`{role}`").alias("role"), F.col(f"`{content}`").alias("content"))
     rows = saved(given.mapInArrow(make, PIECE), "pieces")
-    order = ("conv_id", F.asc_nulls_last("turn"), "role", "text")
+    # equal turns go by their texts as they were; only they are ever unescaped for that
+    said = F.regexp_replace(F.substring(F.col("text"), F.col("body_at") + 1, F.col("body_chars")), "(?s)" + re.escape(t.stroke) + "(.)", "$1")
+    order = ("conv_id", F.asc_nulls_last("turn"), "role", said)
     dealt = rows.withColumn("n", F.size("attachments").cast("long")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("task", F.spark_partition_id())
     dealt = saved(dealt.mapInArrow(number, f"{PIECE}, n long, task int, place long, start long, before long"), "numbered")
     # what tasks hold of conversations that go on in a later task: one such conversation a task at most
@@ -184,7 +186,7 @@ def formatted(messages: DataFrame, template: Template = Template(), conv: str =
     more = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     start, first = F.col("start") + more("size_before"), F.col("before") + more("n_before")
     attachments = F.transform("attachments", lambda a: a.withField("number", a["number"] + first))
-    return out.select("conv_id", (F.col("place") + more("turns_before")).alias("place"), "role", "text", "chars", start.alias("start"), (start + F.col("loss_at")).alias("loss_start"), "loss_chars", attachments.alias("attachments"))
+    return out.select("conv_id", (F.col("place") + more("turns_before")).alias("place"), "role", "text", "chars", start.alias("start"), (start + F.col("body_at")).alias("loss_start"), F.when(F.col("role") == "assistant", F.col("body_chars")).otherwise(0).alias("loss_chars"), attachments.alias("attachments"))
 
 
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, attachment_tokens long"
