@@ -9,6 +9,8 @@ compacted before the next block of dimensions. Each pair of blocks gives at most
 Vectors that are null or hold null or non-finite components take no part, nor do rows with a null id. A shorter vector
 counts as filled up with zeros. Equal scores go to the smaller id. Repeated rows of an id are candidates each, but
 never for the query of that id; a repeated query is asked once (its smallest vector). Extra columns are ignored.
+Finite components of any size are ranked by their exact products; a score beyond 64 bits shows as the largest or
+smallest number that they hold.
 """
 
 from __future__ import annotations
@@ -20,33 +22,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from llm.codes import whole
+
 ROWS, QUERIES, DIMS = 8192, 512, 16
+SCALE, LAST = 1024, (1 << 63) - 1
 _BLOCK = "n int, dims int, ids binary, vec binary"
 
 
-def scaled(vectors: DataFrame, id_: str, vector: str, scale: float = 1024.0) -> DataFrame:
-    """(id, v array<bigint>): floor(scale * x) of each component as double."""
+def usable(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
+    """(id, v array<double>) of rows with an id and a whole, finite vector."""
     v = F.col(vector).cast("array<double>")
-    whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where(F.col(id_).isNotNull() & F.col(vector).isNotNull() & whole).select(F.col(id_).cast("long").alias("id"), F.transform(v, lambda x: F.floor(F.lit(scale) * x)).alias("v"))
+    whole_ = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return vectors.where(F.col(id_).isNotNull() & F.col(vector).isNotNull() & whole_).select(F.col(id_).cast("long").alias("id"), v.alias("v"))
 
 
 def _packed(rows: int):  # noqa: ANN202
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of so many rows at most, in vertical layout."""
-        for whole in it:
-            for at in range(0, whole.num_rows, rows):
-                b = whole.slice(at, rows)
+        for batch in it:
+            for at in range(0, batch.num_rows, rows):
+                b = batch.slice(at, rows)
                 v, ids = b.column("v"), b.column("id").to_numpy()
                 sizes = v.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 dims = int(sizes.max(initial=0))
-                m = np.zeros((len(ids), dims), np.int64)
+                m = np.zeros((len(ids), dims))
                 m[np.arange(dims) < sizes[:, None]] = v.flatten().to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_pydict({"n": [len(ids)], "dims": [dims], "ids": [ids.tobytes()], "vec": [np.ascontiguousarray(m.T).tobytes()]}, pa.schema([("n", pa.int32()), ("dims", pa.int32()), ("ids", pa.binary()), ("vec", pa.binary())]))
 
     return pack
 
 
+def integers(q: np.ndarray, c: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both blocks as floor(scale * x): floats where all their products' sums are exact, 64-bit integers where these fit, else
+    Python integers of any size."""
+    most = [float(np.abs(x).max(initial=0)) * scale + 1 for x in (q, c)]
+    top = len(q) * most[0] * most[1]
+    if max(*most, top) < 2**62:
+        kind = float if top < 2**52 else np.int64
+        return np.floor(q * scale).astype(kind), np.floor(c * scale).astype(kind)
+    return tuple(np.array([[whole(x, scale) for x in row] for row in m], object).reshape(m.shape) for m in (q, c))
+
+
+def sortable(score: int) -> str:
+    """Of scores beyond 64 bits, what sorts as they do; empty for others, which sort by themselves."""
+    if -LAST - 1 < score < LAST:
+        return ""
+    digits = str(abs(score))
+    text = f"{len(digits):06d}{digits}"
+    return text if score > 0 else text.translate(str.maketrans("0123456789", "9876543210"))
+
+
 def best(q: np.ndarray, own: int, c: np.ndarray, ids: np.ndarray, rest: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and scores of the k best columns of c for q. rest: norms of each column's dimensions from block i on."""
     alive = np.flatnonzero(ids != own)
@@ -57,8 +82,12 @@ def best(q: np.ndarray, own: int, c: np.ndarray, ids: np.ndarray, rest: np.ndarr
         first = alive[np.argpartition(-part, k - 1)[:k]]
         least = (q @ c[:, first]).min()
         for i, at in enumerate(range(DIMS, dims + DIMS, DIMS), 1):
-            most = part + np.sqrt(float((q[at:].astype(float) ** 2).sum())) * rest[i, alive] * (1 + 1e-9) + 1e-6
-            keep = most >= least
+            with np.errstate(over="ignore", invalid="ignore"):
+                more = np.sqrt((q[at:].astype(float) ** 2).sum()) * rest[i, alive] * (1 + 1e-9) + 1e-6
+            if part.dtype == object:  # norms beyond what floats hold bound nothing
+                keep = np.array([not np.isfinite(m) or p + int(m) + 1 >= least for p, m in zip(part, more, strict=True)], bool)
+            else:
+                keep = part + more >= least
             alive, part = alive[keep], part[keep]
             if at >= dims:
                 break
@@ -67,10 +96,11 @@ def best(q: np.ndarray, own: int, c: np.ndarray, ids: np.ndarray, rest: np.ndarr
     return alive[order], part[order]
 
 
-def search(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
-    """queries and candidates (id, v) to (query_id, rank, vec_id, score): every query's k best, all if there are fewer."""
+def search(queries: DataFrame, candidates: DataFrame, k: int = 10, scale: int = SCALE) -> DataFrame:
+    """queries and candidates (id, v) of usable() to (query_id, rank, vec_id, score): every query's k best, all if there are fewer."""
     spark = queries.sparkSession
-    queries = queries.groupBy("id").agg(F.min("v").alias("v"))
+    floors = F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x))
+    queries = queries.groupBy("id").agg(F.min(F.struct(floors.alias("floors"), "v")).alias("m")).select("id", "m.v")
     asked = queries.count()
     parts = max(1, -(-asked // QUERIES))
     dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -83,24 +113,24 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for r in b.to_pylist():
-                qs, cs = (np.frombuffer(r[f"{x}vec"], np.int64).reshape(r[f"{x}dims"], r[f"{x}n"]) for x in ("q_", ""))
+                qs, cs = (np.frombuffer(r[f"{x}vec"], np.float64).reshape(r[f"{x}dims"], r[f"{x}n"]) for x in ("q_", ""))
                 qi, ci = (np.frombuffer(r[f"{x}ids"], np.int64) for x in ("q_", ""))
                 dims = min(len(qs), len(cs))
-                qs, cs = qs[:dims], cs[:dims]
-                if dims * float(np.abs(qs).max(initial=0)) * float(np.abs(cs).max(initial=0)) < 2**52:
-                    qs, cs = qs.astype(float), cs.astype(float)  # exact, and faster
-                rest = np.array([np.sqrt((cs[at:].astype(float) ** 2).sum(0)) for at in range(0, dims + DIMS, DIMS)])
+                qs, cs = integers(qs[:dims], cs[:dims], scale)
+                with np.errstate(over="ignore"):
+                    rest = np.array([np.sqrt((cs[at:].astype(float) ** 2).sum(0)) for at in range(0, dims + DIMS, DIMS)])
                 found = [best(qs[:, i], qi[i], cs, ci, rest, k) for i in range(len(qi))]
                 n = [len(f[0]) for f in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, n)), pa.array(ci[np.concatenate([f[0] for f in found])]), pa.array(np.concatenate([f[1] for f in found]).astype(np.int64))], ["query_id", "vec_id", "score"])
+                scores = [int(x) for f in found for x in f[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, n)), pa.array(ci[np.concatenate([f[0] for f in found])]), pa.array([max(-LAST - 1, min(LAST, x)) for x in scores], pa.int64()), pa.array([sortable(x) for x in scores], pa.string())], ["query_id", "vec_id", "score", "beyond"])
 
-    found = c.join(q, ["qb", "cb"]).select("n", "dims", "ids", "vec", "q_n", "q_dims", "q_ids", "q_vec").mapInArrow(meet, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = c.join(q, ["qb", "cb"]).select("n", "dims", "ids", "vec", "q_n", "q_dims", "q_ids", "q_vec").mapInArrow(meet, "query_id long, vec_id long, score long, beyond string")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = scaled(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    v = usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
     return search(v.where("id % 100 = 0"), v)
 
 

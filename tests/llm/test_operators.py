@@ -471,7 +471,7 @@ def test_topk(spark, monkeypatch):
     rows = [(i, r.normal(size=40).tolist()) for i in range(700)]
     rows += [(900 + i, rows[3][1]) for i in range(20)] + [(1000, None), (1100, [1.0, None]), (1200, [float("nan")] * 40), (1300, [0.5]), (None, [1.0] * 40), (1400, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("clash")).withColumn("v", F.lit(1)).repartition(3)
-    v = topk.scaled(df, "vec_id", "embedding")
+    v = topk.usable(df, "vec_id", "embedding")
     got = sorted(tuple(x) for x in topk.search(v.where("id % 100 = 0"), v).collect())
     assert got == topk_brute(rows)
     assert topk.search(v.limit(0), v).isEmpty() and topk.search(v.where("id = 100"), v.limit(0)).isEmpty()
@@ -479,6 +479,24 @@ def test_topk(spark, monkeypatch):
     assert len(few) == 4
 
 
+def test_topk_of_large_numbers(spark):
+    """Finite components of any size are ranked exactly; scores beyond 64 bits show as the last number that fits."""
+    from fractions import Fraction
+    from math import floor
+
+    r = np.random.default_rng(6)
+    rows = [(100, [1e18, 1e18]), (1, [1e18, 1e18]), (2, [-1.0, 0.0]), (3, [1e18, 1e18 + 1024]), (4, [-1e300, 1e300]), (200, [1e300, 5e-324]), (5, [1e10, -1e10]), (6, [float(2**50), 3.0]), (300, [0.25, -0.5])]
+    rows += [(10 + i, (r.normal(size=2) * 10.0 ** r.integers(-3, 200)).tolist()) for i in range(40)]
+    v = topk.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), "vec_id", "embedding")
+    got = sorted(tuple(x) for x in topk.search(v.where("id % 100 = 0"), v).collect())
+    ints = [(i, [floor(Fraction(x) * 1024) for x in v]) for i, v in rows]
+    want = []
+    for q, qv in sorted(x for x in ints if x[0] % 100 == 0):
+        scored = sorted((-sum(a * b for a, b in zip(qv, cv, strict=True)), c) for c, cv in ints if c != q)[:10]
+        want += [(q, n, c, max(-(2**63), min(2**63 - 1, -s))) for n, (s, c) in enumerate(scored, 1)]
+    assert got == want and [topk.sortable(x) for x in (0, 2**62, -(2**62))] == ["", "", ""]
+
+
 # 8
 
 
