@@ -434,9 +434,11 @@ def bucket_links(members: DataFrame, near: str, linked: Callable[[DataFrame], Da
         if pairs is not None and comps is None:
             found = found.union(pairs)
         comps = merged(comps, saved(linked(found.distinct()), f"{name}-links"), name)
-        placed = members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        # a leader is settled: it has met all of its bucket
+        others = left.drop("comp").join(lead.select("bucket", F.col("id").alias("led")), "bucket").where("id <> led").drop("led")
+        placed = others.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")).withColumn("first", -F.col("first"))  # another leader than before
         spread = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        left = placed.join(spread, "bucket").withColumn("first", F.col("first") * (-1) ** (turn + 1))  # another leader than before
+        left = placed.join(spread, "bucket")
         left = saved(left.select("bucket", "id", "first", *more, "comp"), f"{name}-left")
         if left.isEmpty():
             return comps

@@ -51,8 +51,12 @@ HELD = 16 << 20
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 or c == 10 else 48 if 48 <= c <= 57 else 32 for c in range(256))
 
 
-def normal(line: bytes) -> list[bytes]:
-    return line.translate(_NORMAL).split()
+def normal_forms(text: bytes) -> list[bytes]:
+    """The normal form of each line of a text; of lines without a word, nothing."""
+    text = text.translate(_NORMAL)
+    while b"  " in text:
+        text = text.replace(b"  ", b" ")
+    return text.replace(b" \n", b"\n").replace(b"\n ", b"\n").strip(b" ").split(b"\n")
 
 
 #: A byte's bits as bytes of a word of 64 bits.
@@ -118,10 +122,12 @@ def _simhashes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start, stop, line = start[use], stop[use], line[use]
     h = word_hashes(b, start, stop)
     key = line * BLOCKS + ((h >> np.uint64(40)) % np.uint64(BLOCKS)).astype(np.int64)
-    apart = key.astype(np.uint64) << np.uint64(40) | h & np.uint64((1 << 40) - 1)
-    order = np.argsort(apart)
-    key, first = key[order], same(apart[order])
-    bits = _SPREAD[h[order].view(np.uint8).reshape(-1, 8)[:, :3]]
+    # one sort of numbers: line and block, the word's hash, and its weight in the last bits
+    weight = (np.minimum(stop - start, WORD) - 1).astype(np.uint64)
+    apart = np.sort(key.astype(np.uint64) << np.uint64(42) | (h & np.uint64((1 << 40) - 1)) << np.uint64(2) | weight)
+    key, first, h = (apart >> np.uint64(42)).astype(np.int64), same(apart >> np.uint64(2)), apart >> np.uint64(2)
+    weight = (apart[first] & np.uint64(3)).astype(np.int64) + 1
+    bits = _SPREAD[h.view(np.uint8).reshape(-1, 8)[:, :3]]
     cut = same(key)
     size = np.diff(np.r_[cut, len(key)])
     ones = np.add.reduceat(bits, cut, axis=0).view(np.uint8).reshape(-1, 24).astype(np.int32)  # eight counters in each 64 bits
@@ -129,7 +135,7 @@ def _simhashes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ones[i] = bits[cut[i] : cut[i] + size[i]].view(np.uint8).reshape(-1, 24).sum(0, dtype=np.int32)
     won = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").astype(np.uint32)
     values = np.zeros(len(bodies) * BLOCKS, np.uint32)
-    weights = np.bincount(key[first], np.minimum(stop - start, WORD)[order[first]], len(values)).astype(np.int64)
+    weights = np.bincount(key[first], weight, len(values)).astype(np.int64)
     values[key[cut]] = won[:, 0] | won[:, 1] << 8 | won[:, 2] << 16
     return values.reshape(-1, BLOCKS), weights.reshape(-1, BLOCKS)
 
@@ -346,10 +352,8 @@ def lines(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
         held = 0
         for b in small(it):
             for doc, dig, text in zip(b.column("doc").to_pylist(), b.column("dig").to_pylist(), texts(b), strict=True):
-                for no, line in enumerate((text or b"").translate(_NORMAL).split(b"\n")):
-                    w = line.split()
-                    if w:
-                        body = b" ".join(w)
+                for no, body in enumerate(normal_forms(text or b"")):
+                    if body:
                         if (at := found.get(body)) is None:
                             found[body] = [(doc, dig, no)]
                             held += len(body) + 300
