@@ -21,18 +21,13 @@ def test_code(diff: Name) -> Column:
 
     Headers (---, +++) never count, not even in a hunk; a hunk ends at the next "diff --git" line only; other lines of
     a hunk stay as they are but for the first character of added and context lines; removed lines go.
+    Files' parts are told apart first, then each part is what follows its first hunk's head, so work grows with the lines.
     """
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, line: Column) -> Column:
-        head = line.startswith("+++") | line.startswith("---")
-        body = F.when(line.startswith("+") | line.startswith(" "), F.substring(line, 2, 1 << 30)).when(~line.startswith("-"), line)
-        inside = F.when(line.startswith("diff --git"), False).when(line.startswith("@@"), True).otherwise(acc["inside"])
-        use = acc["inside"] & ~head & ~line.startswith("diff --git") & ~line.startswith("@@") & body.isNotNull()
-        return F.struct(inside.alias("inside"), F.when(use, F.concat(acc["out"], F.array(body))).otherwise(acc["out"]).alias("out"))
-
     x = F.coalesce(col(diff), F.lit(""))
-    return F.when(x == "", "").otherwise(F.array_join(F.aggregate(_lines(x), start, step)["out"], "\n"))
+    files = F.split(x, r"\n(?=diff --git)", -1)
+    hunks = F.filter(F.transform(files, lambda part: F.regexp_extract(part, r"(?s)(?:^|\n)(@@.*)", 1)), lambda part: part != "")
+    kept = F.filter(F.flatten(F.transform(hunks, _lines)), lambda s: ~(s.startswith("+++") | s.startswith("---") | s.startswith("@@") | s.startswith("-")))
+    return F.array_join(F.transform(kept, lambda s: F.when(s.startswith("+") | s.startswith(" "), F.substring(s, 2, 1 << 30)).otherwise(s)), "\n")
 
 
 def without_headers(diff: Name) -> Column:

@@ -350,9 +350,9 @@ zz AS (SELECT *, CASE WHEN m = 0 THEN 0 ELSE (u - m / 2) / sqrt(greatest(m / 12
 mw AS (SELECT g, n_x, n_y, CASE WHEN m = 0 THEN 0 ELSE u END AS u, z, CASE WHEN m = 0 THEN 1 ELSE 2 * {CDF} END AS p, CASE WHEN m = 0 THEN 0 ELSE 1 - 2 * u / m END AS effect FROM (SELECT *, 1 / (1 + 0.3275911::DOUBLE * abs(z)) AS t5 FROM zz))"""
 
 
-@query(f"WITH s AS (SELECT o_orderstatus = 'F' AS x, o_totalprice AS v FROM orders WHERE o_orderstatus IN ('F', 'O')), {mwu_sql('s')} SELECT n_x, n_y, u, round(z + 1e-9::DOUBLE, 6) AS z, round(p + 1e-9::DOUBLE, 6) AS p, round(effect + 1e-9::DOUBLE, 6) AS effect FROM mw")
+@query(f"WITH s AS (SELECT o_orderstatus = 'F' AS x, o_totalprice AS v FROM orders), {mwu_sql('s')} SELECT n_x, n_y, u, round(z + 1e-9::DOUBLE, 6) AS z, round(p + 1e-9::DOUBLE, 6) AS p, round(effect + 1e-9::DOUBLE, 6) AS effect FROM mw")
 def mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderstatus in ('F', 'O')")
+    o = table(spark, sf_dir, "orders")
     t = stats.rank_sum(stats.histogram(o, "o_totalprice", F.col("o_orderstatus") == "F"))
     return t.select("n_x", "n_y", "u", *(rounded(c, 6).alias(c) for c in ("z", "p", "effect")))
 

@@ -74,6 +74,30 @@ def diff_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("instance_id", T.test_code("diff").alias("code"), T.without_headers("diff").alias("body"))
 
 
+#: How often a form comes is a remainder of p_size.
+FORMS = (("assertEqual", "self.assertEqual(a, 1)", 3), ("assertRaises", "self.assertRaises(E)", 4), ("raises", "with pytest.raises(E):", 2), ("assertAlmostEqual", "self.assertAlmostEqual(a, b)", 5), ("assertIn", "self.assertIn(a, b)", 6), ("assertIsInstance", "self.assertIsInstance(a, T)", 7), ("assertIsNotNone", "self.assertIsNotNone(a)", 8), ("assertTrue", "self.assertTrue(a)", 9), ("assertFalse", "self.assertFalse(a)", 10), ("bare_assert", "assert a", 11))
+
+
+@query("SELECT p_partkey AS instance_id, " + ", ".join(f"(p_size % {n}{' + p_size % 2' if k == 'assertRaises' else ''})::INT AS {k}" for k, _, n in FORMS if k != "raises") + " FROM part")
+def assertion_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All kinds of assertions, each as often as a remainder says."""
+    code = "concat(" + ", ".join(f"repeat(concat('{line}', chr(10)), cast(p_size % {n} as int))" for _, line, n in FORMS) + ")"
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("instance_id"), F.expr(code).alias("code"))
+    m = p.select("instance_id", T.pattern_metrics("code", F.lit(""), F.array().cast("array<string>")).alias("m"))
+    return m.select("instance_id", *(F.col(f"m.kinds.{k}").alias(k) for k, _, _ in FORMS if k != "raises"))
+
+
+#: A diff of several files and hunks, with lines that look like heads, and text before the first file.
+SHAPES = """concat_ws(chr(10), 'preamble @@', 'diff --git a/t b/t', '--- a/t', '+++ b/t', concat('@@ -1 +', p_size, ' @@'), ' same', concat('+one ', p_name), '--- gone', '+++ kept?', '@@ -9 +9 @@', '', concat(chr(92), ' No newline'),
+  case when p_size % 2 = 0 then concat_ws(chr(10), 'diff --git a/u b/u', 'Binary files differ') else '+more' end, 'diff --git a/v b/v', '@@@', '+two', ' + three', '-four')"""
+
+
+@query("""SELECT p_partkey AS instance_id, concat_ws(chr(10), 'same', 'one ' || p_name, '', chr(92) || ' No newline') || CASE WHEN p_size % 2 = 0 THEN '' ELSE chr(10) || 'more' END || chr(10) || 'two' || chr(10) || '+ three' AS code FROM part""")
+def diff_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("instance_id"), F.expr(SHAPES).alias("diff"))
+    return p.select("instance_id", T.test_code("diff").alias("code"))
+
+
 # Responses
 
 RESPONSE = """case event_id % 4 when 2 then 'I think the patch is INCORRECT here' when 3 then '{} but verdict: correct'
@@ -116,6 +140,25 @@ def percent_and_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("instance_id"), percent(F.col("p_size") / 50).alias("share"), T.instance_key(F.concat(F.lit("repo__t__"), F.col("p_partkey").cast("string"))).alias("name"))
 
 
+@query("SELECT p_partkey AS instance_id, round_even(p_size / 200.0::DOUBLE * 100, 0)::INT || '%' AS whole, printf('%.1f%%', round_even(p_size / 800.0::DOUBLE * 100, 1)) AS tenths FROM part")
+def percent_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Halves of a percent go to the even one."""
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("instance_id"), percent(F.col("p_size") / 200).alias("whole"), percent(F.col("p_size") / 800, 1).alias("tenths"))
+
+
+#: Answers of several shapes: fences within thoughts, two fences, a fence that never ends, prose after code, code that never parses.
+ANSWERS = """case p_size % 6 when 0 then concat('<think>```python', chr(10), 'no', chr(10), '```</think>```', chr(10), 'x = ', p_size, chr(10), '```', chr(10), '```', chr(10), 'y', chr(10), '```')
+  when 1 then concat('So:', chr(10), 'def f():', chr(10), '    s = "}"', chr(10), '    return {', chr(10), '        1: ', p_size, '}', chr(10), 'That is {all', chr(10), 'there is.') when 2 then concat('```python', chr(10), 'import os')
+  when 3 then concat('hm</think>', chr(10), 'import a', chr(10), 'try:', chr(10), '    b', chr(10), 'which fails') when 4 then concat('@dec', chr(10), 'def g', p_size, '(): pass', chr(10), '@other', chr(10), 'class of its own') else 'no code at all' end"""
+
+
+@query("""SELECT p_partkey AS instance_id, CASE p_size % 6 WHEN 0 THEN 'x = ' || p_size WHEN 1 THEN 'def f():' || chr(10) || '    s = "}"' || chr(10) || '    return {' || chr(10) || '        1: ' || p_size || '}' WHEN 2 THEN 'import os' WHEN 3 THEN 'import a' WHEN 4 THEN '@dec' || chr(10) || 'def g' || p_size || '(): pass' ELSE 'no code at all' END AS code FROM part""")
+def code_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("instance_id"), F.expr(ANSWERS).alias("x"))
+    return p.select("instance_id", T.extracted_code("x").alias("code"))
+
+
 # Attack results and candidates
 
 
