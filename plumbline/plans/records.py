@@ -112,6 +112,18 @@ def judgment_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", T.judgment("r").alias("j")).select("event_id", "j.verdict", "j.confidence", "j.trace", "j.conclusion")
 
 
+#: Responses of more shapes: braces in strings, an object within prose, a fence before another object, phrases alone, an empty object.
+SHAPED = """case p_size % 6 when 0 then '{"verdict": "correct", "conclusion": "a } b {", "confidence": 1.5}' when 1 then 'So: {"verdict": "PARTIAL ", "confidence": -3, "trace": "{}"} as said'
+  when 2 then concat('```json', chr(10), '{"verdict": "incorrect"}', chr(10), '```', chr(10), 'or {"verdict": "correct"}') when 3 then concat('Verdict: Partial, for ', p_name) when 4 then '{}' else '{"verdict": "correct"' end"""
+
+
+@query("""SELECT p_partkey AS instance_id, ['correct', 'partial', 'incorrect', 'partial', 'uncertain', 'uncertain'][p_size % 6 + 1] AS verdict, [1.0::DOUBLE, 0, 0.5, 0.4, 0.4, 0.4][p_size % 6 + 1] AS confidence,
+  CASE p_size % 6 WHEN 0 THEN 'a } b {' WHEN 1 THEN '' WHEN 2 THEN '' WHEN 3 THEN 'Verdict: Partial, for ' || p_name WHEN 4 THEN '{}' ELSE '{"verdict": "correct"' END AS conclusion FROM part""")
+def judgment_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("instance_id"), F.expr(SHAPED).alias("r"))
+    return p.select("instance_id", T.judgment("r").alias("j")).select("instance_id", "j.verdict", "j.confidence", "j.conclusion")
+
+
 @query("SELECT p_partkey AS instance_id, i::INT AS place, CASE i WHEN 0 THEN 's' || p_partkey ELSE 'unnamed' END AS name, CASE i WHEN 0 THEN 'overfit' ELSE 'unknown' END AS category, (CASE i WHEN 0 THEN least(p_size, 10) ELSE 5 END)::INT AS confidence FROM part, range(2) r(i)")
 def strategy_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = """concat('```json', chr(10), '{"strategies": [{"name": "s', p_partkey, '", "category": "overfit", "confidence": ', p_size, '}, {"description": "d"}]}', chr(10), '```')"""
