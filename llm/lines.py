@@ -4,7 +4,8 @@ A line's normal form has lower-case ASCII letters, 0 for digits and single space
 BLOCKS blocks of 24 bits; a word's hash names the block whose bits it votes on, so that a changed word disturbs two
 blocks at most and leaves the others bit for bit. Words of up to three bytes have no vote where FEATURES longer ones
 are there; words of more than LONG bytes, as in scripts without spaces, count by their runs of GRAM bytes that begin
-with a character. A block's weight is what its distinct words weigh, WORD each or as many as they have bytes, if fewer. Two normal
+with a character. A block's weight is what its distinct words weigh, WORD each; a word of
+fewer bytes as many as it has, or 1 in a line of RICH longer ones or more. Two normal
 forms link when they are equal, or when two blocks of weight enough (see keys) agree and their edit similarity (1 - distance /
 longer length) is 0.75 or more, both having FUZZY_CHARS characters. A word that a line repeats weighs once, so what two lines
 have in common is never one frequent word and an empty block. By the pigeonhole
@@ -44,6 +45,8 @@ FUZZY_CHARS = 5
 LONG, GRAM = 32, 9
 #: A word's weight, at most; that of a key's two blocks: WEIGHT, or two thirds of a light line's, but never one word's.
 WORD, WEIGHT = 4, 8
+#: Words of WORD bytes or more that make a line's shorter ones weigh 1.
+RICH = 3
 LAST = (1 << 63) - 1
 #: Lines are sent on when so many bytes of them are held.
 HELD = 16 << 20
@@ -123,7 +126,10 @@ def _simhashes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     h = word_hashes(b, start, stop)
     key = line * BLOCKS + ((h >> np.uint64(40)) % np.uint64(BLOCKS)).astype(np.int64)
     # one sort of numbers: line and block, the word's hash, and its weight in the last bits
-    weight = (np.minimum(stop - start, WORD) - 1).astype(np.uint64)
+    # where a line has some long words, short ones, which most lines have, hardly tell it from others
+    size = stop - start
+    rich = np.bincount(line[size >= WORD], minlength=len(bodies)) >= RICH
+    weight = (np.where(rich[line] & (size < WORD), 1, np.minimum(size, WORD)) - 1).astype(np.uint64)
     apart = np.sort(key.astype(np.uint64) << np.uint64(42) | (h & np.uint64((1 << 40) - 1)) << np.uint64(2) | weight)
     key, first, h = (apart >> np.uint64(42)).astype(np.int64), same(apart >> np.uint64(2)), apart >> np.uint64(2)
     weight = (apart[first] & np.uint64(3)).astype(np.int64) + 1
