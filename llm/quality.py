@@ -1,16 +1,20 @@
-"""Quality rules: plain counts, and perplexity bands of a modified Kneser-Ney n-gram model for each language.
-
-The model has n-grams of ORDER code points, folded to lower case, digits to 0, white space to a space. Tasks count the
-n-grams of their whole texts, Spark sums them up for each language, derives the lower orders as distinct left
-extensions, the discounts from the counts of counts, and interpolates order by order with joins. Neither characters nor
-languages nor n-grams have a limit: the model grows with the corpus and nothing of it is pruned. What it says of each
-n-gram of the highest order is kept in arrays sorted by hash and cut into shards by hash. A shard has SHARD n-grams, so
-no more than that is at the driver, broadcast or in a worker at a time; every shard is passed to all documents, whose
-partial sums are added up. Each n-gram of the documents is in some shard, as the model was counted on them.
+"""Quality rules: plain counts, and each language's bands of perplexity under a modified Kneser-Ney n-gram model.
+
+The model has n-grams of ORDER code points, folded to lower case, digits to 0, white space to a space. No document is
+scored by counts of its own: a digest of the text deals documents into two halves, copies into the same one, and each
+half is scored by the model of the other. Tasks count the n-grams of their whole texts for both halves, Spark sums them
+up, derives the lower orders as distinct left extensions, the discounts from the counts of counts, and interpolates
+order by order with joins; both models say something of every n-gram of the corpus, backing off where their own half
+lacks it. All languages share the models, so a passage in another language than its document's is as likely as
+elsewhere; the bands are each language's own. Neither characters nor n-grams have a limit: the models grow with the
+corpus and nothing of them is pruned. What they say of each n-gram of the highest order is kept in arrays sorted by
+hash and cut into shards by hash. A shard has SHARD n-grams, so no more than that is at the driver, broadcast or in a
+worker at a time; every shard is passed to all documents, whose partial sums are added up.
 
 A document's perplexity is per character. A language's bands lie around the median of the log perplexities of the
 documents that pass the plain rules, at multiples of the median deviation to either side; both medians are exact to
-four digits over the whole corpus. Documents outside are rejected: above is noise, below is repetition.
+four digits over the whole corpus. Documents outside are rejected: above is noise, below is repetition. BELOW and ABOVE
+were set by looking at the labels of one test table; callers give their own to assess() and filtered().
 
 A null text counts as empty: no words, base_failed. A null language is a language of its own. A text without characters
 has no perplexity and isn't judged by it. Repeated rows come back each; an empty table gives an empty result; extra
@@ -24,23 +28,25 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.common import mixed, positional, same, saved, small, texts
 
 ORDER = 5
-#: n-grams of a shard: 12 bytes each at the driver and in workers.
+#: n-grams of a shard: 16 bytes each at the driver and in workers.
 SHARD = 4_000_000
 #: Bands: median deviations below and above the median of the log perplexity.
 BELOW, ABOVE = 10.0, 6.0
+#: The least that is taken off a count.
+LEAST = 0.1
 #: n-grams that a task holds before it sums them up and sends them on.
 HELD = 1_500_000
 _SPACE, _TAILS, _SYMBOLS = b" \t\n\x0b\x0c\r", bytes(range(0x80, 0xC0)), b"#*$%&|<>"
 _BITS = 21
 _POINT, _TWO = (1 << _BITS) - 1, (1 << 2 * _BITS) - 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_SIDES = (0, 1)
 
 
 def base_counts(text: bytes) -> tuple[int, int, int, int, int, bool]:
@@ -85,128 +91,135 @@ def points(text: bytes) -> np.ndarray:
     return np.r_[np.zeros(ORDER - 1, np.int64), np.where(c < 1 << 16, folds()[np.minimum(c, 0xFFFF)], c)]
 
 
-def hashes(x: np.ndarray, language: str | None) -> np.ndarray:
-    """Of padded code points the hash of the n-gram that ends at each, with its language."""
+def hashes(x: np.ndarray) -> np.ndarray:
+    """Of padded code points the hash of the n-gram that ends at each."""
     n = len(x) - ORDER + 1
-    h = np.full(n, xxhash.xxh3_64_intdigest(("" if language is None else f"={language}").encode()), np.uint64)
+    h = np.zeros(n, np.uint64)
     u = x.astype(np.uint64)
     for i in range(ORDER):
         h = (h ^ (h >> np.uint64(29))) * _STEP + u[i : i + n]
     return mixed(h)
 
 
-COUNTED = "lang string, h long, a long, b long, n long"
-COUNTED_ARROW = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+COUNTED = "h long, a long, b long, n0 long, n1 long"
 
 
 def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """(h, a, b, n) with each h once."""
-    h, a, b, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    """(h, a, b, n0, n1) with each h once."""
+    h, a, b, *n = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(h)
     h = h[order]
     cut = same(h)
     first = order[cut]
-    return h[cut], a[first], b[first], np.add.reduceat(n[order], cut) if len(cut) else n
+    return h[cut], a[first], b[first], *(np.add.reduceat(x[order], cut) if len(cut) else x for x in n)
 
 
-def ngrams(xs: list[np.ndarray], language: str | None) -> tuple[np.ndarray, ...]:
-    """(h, a, b, n) of some texts' n-grams: hash, the first two code points, the last three, count."""
+def ngrams(xs: list[np.ndarray], half: int) -> tuple[np.ndarray, ...]:
+    """(h, a, b, n0, n1) of the n-grams of some texts of one half: hash, the first two code points, the last three, counts."""
     x = np.concatenate(xs)
     size = np.array([len(t) for t in xs])
     inside = np.ones(len(x), bool)
     for i in range(1, ORDER):
         inside[np.cumsum(size) - i] = False
     at = np.flatnonzero(inside)
-    h = hashes(x, language)[at]
+    h = hashes(x)[at]
     order = np.argsort(h)
     h = h[order]
     cut = same(h)
     f = at[order[cut]]
-    return h[cut], x[f] << _BITS | x[f + 1], (x[f + 2] << _BITS | x[f + 3]) << _BITS | x[f + 4], np.diff(np.r_[cut, len(h)])
+    n = np.diff(np.r_[cut, len(h)])
+    none = np.zeros(len(n), n.dtype)
+    return h[cut], x[f] << _BITS | x[f + 1], (x[f + 2] << _BITS | x[f + 3]) << _BITS | x[f + 4], *((none, n) if half else (n, none))
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """docs (lang, text) to COUNTED over all texts."""
+def halves(batch: pa.RecordBatch) -> np.ndarray:
+    """0 or 1: the half of each row, by its text's digest."""
+    return batch.column("dig").to_numpy(zero_copy_only=False) & 1
 
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str | None, list] = {}
-        size = 0
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            for m, parts in held.items():
-                h, a, b, n = summed(parts)
-                for at in range(0, len(h), 50_000):
-                    cut = slice(at, at + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array([m] * len(h[cut]), pa.string()), *(pa.array(x) for x in (h[cut].view(np.int64), a[cut], b[cut], n[cut]))], schema=COUNTED_ARROW)
+def counted(docs: DataFrame) -> DataFrame:
+    """docs (dig, text) to COUNTED over all texts."""
+
+    def rows(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        h, *more = summed(parts)
+        for at in range(0, len(h), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in (h.view(np.int64), *more)], ["h", "a", "b", "n0", "n1"])
 
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
         for batch in small(it, 256):
-            body = texts(batch)
-            names = batch.column("lang").to_pylist()
-            for m in set(names):
-                xs = [points(t) for t, k in zip(body, names, strict=True) if k == m and t]
+            body, side = texts(batch), halves(batch)
+            for half in _SIDES:
+                xs = [points(t) for t, k in zip(body, side, strict=True) if k == half and t]
                 if xs:
-                    parts = held.setdefault(m, [])
-                    parts.append(ngrams(xs, m))
-                    size += len(parts[-1][0])
-                    if len(parts) > 16:
-                        size -= sum(len(p[0]) for p in parts)
-                        parts[:] = [summed(parts)]
-                        size += len(parts[0][0])
-            if size > HELD:
-                yield from rows()
-                held.clear()
-                size = 0
-        yield from rows()
-
-    return docs.select("lang", "text").mapInArrow(count, COUNTED).groupBy("lang", "a", "b").agg(F.first("h").alias("h"), F.sum("n").alias("n"))
+                    parts.append(ngrams(xs, half))
+            if len(parts) > 16:
+                parts = [summed(parts)]
+            if sum(len(p[0]) for p in parts) > HELD:
+                yield from rows(parts)
+                parts = []
+        if parts:
+            yield from rows(parts)
+
+    return docs.select("dig", "text").mapInArrow(count, COUNTED).groupBy("a", "b").agg(F.first("h").alias("h"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def kneser_ney(grams: DataFrame) -> DataFrame:
-    """(lang, h, a, b, n) to (h, logp): interpolated modified Kneser-Ney probabilities of the n-grams of the highest order.
+    """COUNTED, each n-gram once, to (h, logp0, logp1): of every n-gram of the highest order the interpolated modified Kneser-Ney
+    probability for documents of either half, which is that of the other half's model: logp0 comes from n1, logp1 from n0.
 
-    Code points lie right-aligned in (a, b), two and three; lower orders have zeros ahead.
+    Code points lie right-aligned in (a, b), two and three; lower orders have zeros ahead. Where a model lacks an n-gram's
+    context, it says what it says of the next lower order; below the lowest all characters are as likely. A few numbers an
+    order come to the driver: counts of counts, and sums over the lowest order.
     """
-    lang = F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))
-    orders = [grams.select(lang.alias("m"), "a", "b", "h", F.col("n").alias("c"))]
+    orders = [grams.select("a", "b", "h", F.col("n1").alias("c0"), F.col("n0").alias("c1"))]
     cut = [(F.col("a").bitwiseAND(F.lit(_POINT)), F.col("b")), (F.lit(0).cast("long"), F.col("b")), (F.lit(0).cast("long"), F.col("b").bitwiseAND(F.lit(_TWO))), (F.lit(0).cast("long"), F.col("b").bitwiseAND(F.lit(_POINT)))]
     for a, b in cut:
-        orders.append(saved(orders[-1].groupBy("m", a.alias("a"), b.alias("b")).agg(F.count("*").alias("c")), "order"))
+        orders.append(saved(orders[-1].groupBy(a.alias("a"), b.alias("b")).agg(*(F.count_if(F.col(f"c{s}") > 0).alias(f"c{s}") for s in _SIDES)), "order"))
     before_a = F.shiftright("a", _BITS)
     before_b = F.shiftleft(F.col("a").bitwiseAND(F.lit(_POINT)), 2 * _BITS).bitwiseOR(F.shiftright("b", _BITS))
-    # below the lowest order all characters are as likely
-    lower = orders[-1].groupBy("m").agg((1.0 / F.count("*")).alias("q"))
-    c = F.col("c")
+    lower = None
     for i in range(ORDER - 1, -1, -1):  # orders[i] has n-grams of ORDER - i
-        of = orders[i].withColumn("ca", before_a).withColumn("cb", before_b)
-        d = orders[i].groupBy("m").agg(*(F.count_if(c == j).cast("double").alias(f"n{j}") for j in (1, 2, 3, 4)))
-        y = F.when(F.col("n1") + F.col("n2") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.0)
-        d = d.select("m", *(_discount(j, y).alias(f"d{j}") for j in (1, 2, 3)))
-        of = of.join(d, "m").withColumn("took", F.when(c >= 3, F.col("d3")).when(c == 2, F.col("d2")).otherwise(F.col("d1")))
-        context = of.groupBy("m", "ca", "cb").agg(F.sum("c").cast("double").alias("total"), F.sum("took").alias("gamma"))
-        p = of.join(context, ["m", "ca", "cb"])
-        if i == ORDER - 1:
-            p = p.join(lower, "m")
+        taken = discounts(orders[i])
+        of = orders[i].select("*", before_a.alias("ca"), before_b.alias("cb"), *(_took(s, taken[s]).alias(f"took{s}") for s in _SIDES))
+        sums = [x for s in _SIDES for x in (F.sum(f"c{s}").cast("double").alias(f"total{s}"), F.sum(f"took{s}").alias(f"gamma{s}"))]
+        if lower is None:  # all have the same, empty context
+            whole = of.agg(F.count("*").alias("n"), *sums).first()
+            p = of.select("*", *(F.lit(whole[f"{x}{s}"] or 0.0).alias(f"{x}{s}") for x in ("total", "gamma") for s in _SIDES), *(F.lit(1 / max(whole["n"], 1)).alias(f"q{s}") for s in _SIDES))
         else:
-            low = lower.select("m", F.col("a").alias("sa"), F.col("b").alias("sb"), "q")
-            p = p.withColumn("sa", cut[i][0]).withColumn("sb", cut[i][1]).join(low, ["m", "sa", "sb"])
-        lower = p.select("m", "a", "b", *(["h"] if i == 0 else []), ((c - F.col("took") + F.col("gamma") * F.col("q")) / F.col("total")).alias("q"))
+            p = of.join(of.groupBy("ca", "cb").agg(*sums), ["ca", "cb"]).withColumn("sa", cut[i][0]).withColumn("sb", cut[i][1])
+            p = p.join(lower.select(F.col("a").alias("sa"), F.col("b").alias("sb"), "q0", "q1"), ["sa", "sb"])
+        lower = p.select("a", "b", *(["h"] if i == 0 else []), *(F.when(F.col(f"total{s}") > 0, (F.col(f"c{s}") - F.col(f"took{s}") + F.col(f"gamma{s}") * F.col(f"q{s}")) / F.col(f"total{s}")).otherwise(F.col(f"q{s}")).alias(f"q{s}") for s in _SIDES))
         if i == 1:
             lower = saved(lower, "lower")  # what the highest order is built on
-    return lower.select("h", F.log(F.greatest("q", F.lit(1e-12))).cast("float").alias("logp"))
+    return lower.select("h", *(F.log(F.greatest(f"q{s}", F.lit(1e-12))).cast("float").alias(f"logp{s}") for s in _SIDES))
+
+
+def _took(s: int, taken: list[float]) -> Column:
+    """What is taken off a count."""
+    c = F.col(f"c{s}")
+    return F.when(c >= 3, taken[2]).when(c == 2, taken[1]).when(c == 1, taken[0]).otherwise(0.0)
 
 
-def _discount(i: int, y: Column) -> Column:
-    """i - (i + 1) y n[i + 1] / n[i], between 0 and i; 0.5 where n[i] is 0."""
-    a, b = F.col(f"n{i}"), F.col(f"n{i + 1}")
-    return F.when(a > 0, F.least(F.greatest(i - (i + 1) * y * b / a, F.lit(0.0)), F.lit(float(i)))).otherwise(0.5)
+def discounts(grams: DataFrame) -> list[list[float]]:
+    """Of n-grams (c0, c1) of one order, for c0 and c1, what counts of one, two, and three or more lose: by the counts of counts n,
+    j - (j + 1) y n[j + 1] / n[j] with y = n[1] / (n[1] + 2 n[2]), between LEAST and j; 0.5 where n[j] is 0. With LEAST,
+    n-grams that a model lacks keep some probability."""
+    row = grams.agg(*(F.count_if(F.col(f"c{s}") == j).alias(f"n{s}_{j}") for s in _SIDES for j in (1, 2, 3, 4))).first()
+    out = []
+    for s in _SIDES:
+        n = [0, *(row[f"n{s}_{j}"] for j in (1, 2, 3, 4))]
+        y = n[1] / max(n[1] + 2 * n[2], 1)
+        out.append([min(max(j - (j + 1) * y * n[j + 1] / n[j], LEAST), float(j)) if n[j] else 0.5 for j in (1, 2, 3)])
+    return out
 
 
 class Shard:
-    """n-grams of a range of hashes: sorted hashes and their log probabilities. Hashes are even, so a hash's leading bits tell where to look."""
+    """n-grams of a range of hashes: sorted hashes and their log probabilities for either half. Hashes are even, so a hash's leading bits tell where to look."""
 
     def __init__(self, key: np.ndarray, value: np.ndarray, low: int, width: int) -> None:
         order = np.argsort(key)
-        self.key, self.value = key[order], value[order]
+        self.key, self.value = key[order], value[:, order]
         self.low, self.width = np.uint64(low), width
         bits = max(len(key), 1).bit_length()
         self.shift = np.uint64(max(width - bits, 0))
@@ -215,8 +228,8 @@ class Shard:
         self.start = np.searchsorted(slot, np.arange(slots + 1)).astype(np.int32)
         self.most = int(np.diff(self.start).max(initial=0))
 
-    def sums(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Sums of the log probabilities of those of h that are here, from each start to the next."""
+    def sums(self, h: np.ndarray, side: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Sums of the log probabilities, for the half side, of those of h that are here, from each start to the next."""
         out = np.zeros(len(h))
         d = h - self.low
         ok = np.ones(len(h), bool) if self.width == 64 else d < np.uint64(1) << np.uint64(self.width)
@@ -227,7 +240,7 @@ class Shard:
             for i in range(self.most):
                 k = np.minimum(at + i, len(self.key) - 1)
                 hit = self.key[k] == h[left]
-                out[left[hit]] = self.value[k[hit]]
+                out[left[hit]] = self.value[side[left[hit]], k[hit]]
                 left, at = left[~hit], at[~hit]
         return np.add.reduceat(out, starts) if len(starts) else np.zeros(0)
 
@@ -236,7 +249,7 @@ SCORED = "doc_id long, dig long, lang string, n_words long, word_chars long, n_s
 
 
 def score(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """docs (doc_id, dig, lang, text) and a model (h, logp) to SCORED: plain counts and the sum of log probabilities, of rows told apart by all four."""
+    """docs (doc_id, dig, lang, text) and a model (h, logp0, logp1) to SCORED: plain counts and the sum of log probabilities, of rows told apart by all four."""
     spark = docs.sparkSession
     bits = max(model.count() // SHARD, 0).bit_length()
     done = None
@@ -244,7 +257,7 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
         # hashes as unsigned numbers: shard i has those with the leading bits i
         rows = model.where(F.shiftrightunsigned("h", 64 - bits) == i) if bits else model
         rows = rows.toArrow()
-        shard = Shard(rows.column("h").to_numpy().view(np.uint64), rows.column("logp").to_numpy(), i << (64 - bits), 64 - bits)
+        shard = Shard(rows.column("h").to_numpy().view(np.uint64), np.stack([rows.column(f"logp{s}").to_numpy() for s in _SIDES]), i << (64 - bits), 64 - bits)
         part = saved(_scored(docs, spark.sparkContext.broadcast(shard), i == 0), "scored")
         if done is None:
             done = part
@@ -261,14 +274,13 @@ def _scored(docs: DataFrame, sent, first: bool) -> DataFrame:  # noqa: ANN001
         shard = sent.value
         for b in small(it, 128):
             body = [t or b"" for t in texts(b)]
-            names = b.column("lang").to_pylist()
-            found = [hashes(points(t), m) for t, m in zip(body, names, strict=True) if t]
+            found = [hashes(points(t)) for t in body if t]
             size = np.array([len(x) for x in found], np.int64)
             logp = np.zeros(len(body))
             n = np.zeros(len(body), np.int64)
             if found:
                 full = [i for i, t in enumerate(body) if t]
-                logp[full] = shard.sums(np.concatenate(found), np.cumsum(size) - size)
+                logp[full] = shard.sums(np.concatenate(found), np.repeat(halves(b)[full], size), np.cumsum(size) - size)
                 n[full] = size
             counts = [base_counts(t) if first else (0, 0, 0, 0, 0, True) for t in body]
             cols = [pa.array(c, k) for c, k in zip(zip(*counts, strict=True), [pa.int64()] * 5 + [pa.bool_()], strict=True)]
@@ -286,22 +298,22 @@ def bands(scored: DataFrame, below: float = BELOW, above: float = ABOVE) -> Data
     return away.select("m", (F.col("mid") - below * dev).alias("low"), (F.col("mid") + above * dev).alias("high"))
 
 
-def assess(docs: DataFrame) -> DataFrame:
+def assess(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
     """docs (doc_id, text, lang, and dig if at hand) to SCORED with log_ppl and kept: neither the plain rules nor the bands reject."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("dig") if "dig" in docs.columns else F.xxhash64("text").alias("dig"), F.col("lang").cast("string").alias("lang"), "text")
     scored = score(docs, saved(kneser_ney(saved(counted(docs), "ngrams")), "model"))
     scored = scored.withColumn("m", F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))).withColumn("log_ppl", F.when(F.col("n_points") > 0, -F.col("logp") / F.col("n_points")))
     within = F.coalesce(F.round("log_ppl", 4).between(F.col("low"), F.col("high")), F.lit(True))
-    return scored.join(bands(scored), "m", "left").withColumn("kept", ~F.col("base_failed") & within)
+    return scored.join(bands(scored, below, above), "m", "left").withColumn("kept", ~F.col("base_failed") & within)
 
 
-def filtered(docs: DataFrame) -> DataFrame:
+def filtered(docs: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
     """docs (doc_id, text, lang and others) without those that assess() rejects."""
     plain, names = positional(docs)
     doc_id, text, lang = (names[docs.columns.index(c)] for c in ("doc_id", "text", "lang"))
     key = [F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(text).alias("dig"), F.coalesce(F.concat(F.lit("="), F.col(lang).cast("string")), F.lit("")).alias("m")]
     keyed = plain.select(*names, *key)
-    bad = assess(keyed.select(F.col("doc").alias("doc_id"), "dig", F.col(lang).alias("lang"), F.col(text).alias("text"))).where("not kept").select(F.col("doc_id").alias("doc"), "dig", "m").distinct()
+    bad = assess(keyed.select(F.col("doc").alias("doc_id"), "dig", F.col(lang).alias("lang"), F.col(text).alias("text")), below, above).where("not kept").select(F.col("doc_id").alias("doc"), "dig", "m").distinct()
     return keyed.join(bad, ["doc", "dig", "m"], "left_anti").select(names).toDF(*docs.columns)
 
 
