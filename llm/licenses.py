@@ -5,11 +5,13 @@ words that only mark comments (PREFIXES) are left out. A block's and a template'
 neighbouring words. Tokens are in order of their frequency in lines over the whole corpus, rare ones first, which Spark counts in a pass of its own. A template
 meets a block at least at containment |block and template| >= threshold * |template|, so the block holds one of the
 first |template| - need + 1 template tokens (prefix filter), has need tokens at least (length filter), and at each
-match enough of both orders is left (positional filter). Templates are few and fixed, so their index goes to every
+match enough of both orders is left (positional filter). Templates are given by the caller, so their index goes to every
 task; documents are never shuffled.
 
-Paragraphs and windows come from one sweep over the words: a template's containment in a window is kept as the window
-slides, only in texts that hold enough of its tokens.
+Lines, paragraphs and windows all go through these filters, so whole license texts, hundreds of them, cost a document
+little unless it holds rare tokens of theirs. Paragraphs and windows are looked at only around the places of prefix
+tokens; there a template's containment is kept as the window slides. A template of fewer than two words has no tokens
+and meets nothing.
 
 A null or empty text has no words, no labels and score 0. Words never join across documents; phrases, paragraphs and
 windows run over line ends. Repeated rows come back each; extra columns are ignored.
@@ -17,6 +19,7 @@ windows run over line ends. Repeated rows come back each; extra columns are igno
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
@@ -91,6 +94,28 @@ def frequencies(docs: DataFrame, tokens: set[tuple[bytes, bytes]]) -> dict[tuple
     return {names[r.token]: r.n for r in rows}
 
 
+def around(hits: list[int], width: int) -> Iterator[tuple[int, int]]:
+    """First and last place of the stretches that windows of so many pairs around ascending hits cover."""
+    low, high = hits[0] - width + 1, hits[0] + width - 1
+    for i in hits[1:]:
+        if i - width + 1 > high:
+            yield low, high
+            low = i - width + 1
+        high = i + width - 1
+    yield low, high
+
+
+def paragraphs(hits: list[int], ends: list[int]) -> Iterator[tuple[int, int]]:
+    """First and last pair of the paragraphs that hold ascending hits; a pair across an end is in none."""
+    last = -1
+    for i in hits:
+        e = bisect_right(ends, i + 1)
+        start = ends[e - 1] if e else 0
+        if e != last and i >= start:
+            last = e
+            yield start, ends[e] - 2
+
+
 class Index:
     """The templates' side of the join."""
 
@@ -102,43 +127,65 @@ class Index:
         every = sorted({t for _, s in sets for t in s}, key=lambda t: (frequency.get(t, 0), t))
         self.order = {t: i for i, t in enumerate(every)}
         self.prefix = defaultdict(list)
+        self.prefix_of_rank = defaultdict(list)
+        self.sets = []
         for label, s in sets:
             ranks = sorted(self.order[t] for t in s)
             need = -(-int(round(threshold * 1_000_000)) * len(ranks) // 1_000_000)
             self.templates.append((label, ranks, need))
+            self.sets.append(frozenset(ranks))
             for place, t in enumerate(ranks[: len(ranks) - need + 1]):
                 self.prefix[every[t]].append((len(self.templates) - 1, place))
+                self.prefix_of_rank[t].append(len(self.templates) - 1)
         self.firsts = {t[0] for t in self.prefix}
 
     def spread(self, words: list[bytes], ends: list[int]) -> Iterator[tuple[str, float]]:
         """Label and containment of each template that a paragraph or a window of its length meets. ends: where paragraphs end."""
         ranks_at = [(i, r) for i, t in enumerate(pairs(words)) if (r := self.order.get(t)) is not None]
-        held = {r for _, r in ranks_at}
-        for k, (label, ranks, need) in enumerate(self.templates):
-            mine = set(ranks)
-            if len(held & mine) < need:
+        hits = defaultdict(list)
+        for i, r in ranks_at:
+            for k in self.prefix_of_rank.get(r, ()):
+                hits[k].append(i)
+        if not hits:
+            return
+        held, at = {r for _, r in ranks_at}, [i for i, _ in ranks_at]
+        for k in sorted(hits):
+            label, ranks, need = self.templates[k]
+            if len(held & self.sets[k]) < need:
                 continue
-            at = [(i, r) for i, r in ranks_at if r in mine]
-            best, low, inside = 0, 0, defaultdict(int)
-            for i, r in at:
-                inside[r] += 1
-                while at[low][0] <= i - (self.lengths[k] - 1):  # the window's first pair
-                    gone = at[low][1]
-                    inside[gone] -= 1
-                    if not inside[gone]:
-                        del inside[gone]
-                    low += 1
-                best = max(best, len(inside))
-            block, end = set(), 0
-            for i, r in at:
-                while end < len(ends) and i + 1 >= ends[end]:
-                    block, end = set(), end + 1
-                if not end or i >= ends[end - 1]:
-                    block.add(r)
-                best = max(best, len(block))
+            best = 0
+            for low, high in around(hits[k], self.lengths[k] - 1):
+                best = max(best, self.fullest(k, ranks_at[bisect_left(at, low) : bisect_right(at, high)]))
+            for low, high in paragraphs(hits[k], ends):
+                block = ranks_at[bisect_left(at, low) : bisect_right(at, high)]
+                if self.enough(k, block):
+                    best = max(best, len({r for _, r in block} & self.sets[k]))
             if best >= need:
                 yield label, best / len(ranks)
 
+    def enough(self, k: int, block: list[tuple[int, int]]) -> bool:
+        """Length and positional filter: from the first of the template's tokens on, in the global order, the block has as many tokens as needed."""
+        tokens = {r for _, r in block}
+        first = min(tokens & self.sets[k], default=None)
+        return first is not None and sum(r >= first for r in tokens) >= self.templates[k][2]
+
+    def fullest(self, k: int, block: list[tuple[int, int]]) -> int:
+        """The most tokens of the template in any window of its length within the block, 0 if there can't be as many as needed."""
+        if not self.enough(k, block):
+            return 0
+        mine = [(i, r) for i, r in block if r in self.sets[k]]
+        best, low, inside = 0, 0, defaultdict(int)
+        for i, r in mine:
+            inside[r] += 1
+            while mine[low][0] <= i - (self.lengths[k] - 1):  # the window's first pair
+                gone = mine[low][1]
+                inside[gone] -= 1
+                if not inside[gone]:
+                    del inside[gone]
+                low += 1
+            best = max(best, len(inside))
+        return best
+
     def matches(self, words: list[bytes]) -> Iterator[tuple[str, float]]:
         """Label and containment of each template that the block meets."""
         tokens = {*pairs(words)}
