@@ -290,10 +290,10 @@ def _scored(docs: DataFrame, sent, first: bool) -> DataFrame:  # noqa: ANN001
 
 
 def bands(scored: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
-    """(m, low, high) in log perplexity: one row a language."""
-    good = scored.where("not base_failed and log_ppl is not null").select("m", F.round("log_ppl", 4).alias("x"))
-    middle = good.groupBy("m").agg(F.percentile("x", 0.5).alias("mid"))
-    away = good.join(middle, "m").groupBy("m", "mid").agg(F.percentile(F.round(F.abs(F.col("x") - F.col("mid")), 4), 0.5).alias("dev"))
+    """(m, low, high) in log perplexity: one row a language. Medians come from how many documents have each value of four digits."""
+    good = scored.where("not base_failed and log_ppl is not null").groupBy("m", F.round("log_ppl", 4).alias("x")).agg(F.count("*").alias("n"))
+    middle = good.groupBy("m").agg(F.percentile("x", 0.5, F.col("n")).alias("mid"))
+    away = good.join(middle, "m").groupBy("m", "mid").agg(F.percentile(F.round(F.abs(F.col("x") - F.col("mid")), 4), 0.5, F.col("n")).alias("dev"))
     dev = F.greatest("dev", F.lit(0.002))
     return away.select("m", (F.col("mid") - below * dev).alias("low"), (F.col("mid") + above * dev).alias("high"))
 
