@@ -1,7 +1,7 @@
 """Exact top-k inner-product search by columnar branch-and-bound.
 
 Candidates lie in blocks of vertical layout (one row of numbers for each dimension), queries in blocks of their own;
-every pair of blocks meets in one task by an equi-join on the pair's name. For each query, partial products grow
+every pair of blocks meets in one task by an equi-join on the names of their groups, which is always merged, never broadcast. For each query, partial products grow
 dimension block by dimension block; a candidate goes as soon as its partial product plus the most that the remaining
 mass allows (norm of the query's rest times norm of its own rest) is below the query's k-th best; the survivors are
 compacted before the next block of dimensions. Each pair of blocks gives at most k rows a query.
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from llm.codes import whole
 
 ROWS, QUERIES, DIMS = 8192, 512, 16
+#: So many queries at most meet a block of candidates in one task; beyond, candidates are copied once for each such group.
+GROUP = 1 << 16
 SCALE, LAST = 1024, (1 << 63) - 1
 _BLOCK = "n int, dims int, ids binary, vec binary"
 
@@ -102,13 +104,15 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 10, scale: int =
     floors = F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x))
     queries = queries.groupBy("id").agg(F.min(F.struct(floors.alias("floors"), "v")).alias("m")).select("id", "m.v")
     asked = queries.count()
-    parts = max(1, -(-asked // QUERIES))
+    parts, groups = max(1, -(-asked // QUERIES)), max(1, -(-asked // GROUP))
     dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
     q = queries.repartition(parts, "id").mapInArrow(_packed(QUERIES), _BLOCK)
-    q = q.select(F.pmod(F.xxhash64("ids"), F.lit(parts)).alias("qb"), *(F.col(x).alias(f"q_{x}") for x in ("n", "dims", "ids", "vec")))
+    q = q.select(F.pmod(F.xxhash64("ids"), F.lit(groups)).alias("qb"), *(F.col(x).alias(f"q_{x}") for x in ("n", "dims", "ids", "vec")))
     c = candidates.mapInArrow(_packed(ROWS), _BLOCK).withColumn("cb", F.pmod(F.xxhash64("ids"), F.lit(dealt)))
     q = q.withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(dealt - 1).cast("long"))))
-    c = c.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    c = c.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    # the optimizer sees the queries' size before they are copied, and would pass all copies through the driver
+    q, c = q.hint("merge"), c.hint("merge")
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:

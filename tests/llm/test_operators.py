@@ -522,6 +522,16 @@ def test_topk(spark, monkeypatch):
     assert len(few) == 4
 
 
+def test_topk_never_passes_blocks_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP", 4)
+    rows = [(i, [float((i * k) % 17 - 8) / 16 for k in range(1, 5)]) for i in range(900)]
+    v = topk.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    found = topk.search(v.where("id % 100 = 0"), v)
+    assert sorted(tuple(x) for x in found.collect()) == topk_brute(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_topk_of_large_numbers(spark):
     """Finite components of any size are ranked exactly; scores beyond 64 bits show as the last number that fits."""
     from fractions import Fraction
