@@ -181,6 +181,22 @@ def test_sets_of_files_are_whole_or_none(spark, tmp_path):
     assert read() == {} and files.manifest(spark, at) == {"files": 0}
 
 
+def test_sets_of_files_are_not_listed(spark, tmp_path):
+    at = f"file://{tmp_path}/set"
+    rows = spark.range(300).selectExpr("concat('f', id, '.jsonl') as file", "nullif(cast(id as string), '7') as content")
+    for _ in range(2):
+        files.write_files(rows, at)
+    read = files.files(spark, at)
+    assert "BinaryFile" not in read._jdf.queryExecution().executedPlan().toString() and "binaryFile" not in read._jdf.queryExecution().toString()
+    want = {f"f{i}.jsonl": "" if i == 7 else str(i) for i in range(300)}
+    assert {r.file: r.content for r in read.collect()} == want
+    assert sorted(x.name for x in tmp_path.iterdir() if not x.name.startswith(".")) == ["set", "set.names"]
+    assert files.files(spark, at, "7.jsonl").count() == 30
+    # a set that comes without its table of names is whole, too
+    (tmp_path / "set.names").rename(tmp_path / "other")
+    assert {r.file: r.content or "" for r in files.files(spark, at).collect()} == want
+
+
 def test_json_lines_skips_blank(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text('{"task_id": 1, "test_list": ["a"]}\n\n{"task_id": 2}\n')
     assert {r.task_id for r in readers.json_lines(spark, str(tmp_path / "t.jsonl")).collect() if r.task_id} == {1, 2}
