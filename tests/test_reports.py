@@ -41,6 +41,33 @@ def test_verifier_report(spark, tmp_path):
     assert reports.head_of(spark, path, "total_tasks_scored long").first()[0] == 7
 
 
+def test_large_and_small_entries_make_one_document(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reports, "MANY", 5)
+    entries = spark.range(9).selectExpr("id as key", "named_struct('n', id) as entry")
+    items = spark.range(40).selectExpr("case when id < 20 then 3 when id < 30 then 12 else id % 4 end as key", "cast(id as string) as place", "named_struct('i', id) as item")
+    for head in (None, spark.range(1).selectExpr("1 as h")):
+        d, path = document(spark, reports.Report(head, entries, items=items), tmp_path)
+        d = d if head is None else d["per_task"]
+        assert list(d) == [str(k) for k in range(9)]
+        own = {k: sorted((str(i) for i in range(40) if (3 if i < 20 else 12 if i < 30 else i % 4) == k)) for k in range(9)}
+        assert {int(k): [str(x["i"]) for x in e["items"]] for k, e in d.items()} == own
+        assert reports.items_of(spark, path, "i long").count() == 30
+
+
+def test_entries_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def one(it):
+        for b in it:
+            made.add(b.num_rows)
+            yield b
+
+    c = judged(spark)
+    scores = verifier.verifier_scores(c).repartition(1)
+    document(spark, reports.verifier_report(scores.mapInArrow(one, scores.schema), c), tmp_path)
+    assert made.value == 7
+
+
 def test_hybrid_report(spark, tmp_path):
     c = judged(spark)
     cells = hybrid.cells(c, c).join(c.select("patch_id", "verifier_pass"), "patch_id")
