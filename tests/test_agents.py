@@ -73,3 +73,9 @@ def test_attacker(spark):
     got = {x.instance_id: x for x in r.run(df).collect()}
     assert (got["a"].verdict, got["a"].score, got["a"].confidence) == ("PASS", 1.0, 0.5)
     assert (got["b"].verdict, got["b"].error) == ("ERROR", "no pattern metrics")
+
+
+def test_parts_are_dealt_to_all_cores(spark):
+    from plumbline.plans import records
+
+    assert records.measured(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
