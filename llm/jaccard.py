@@ -8,8 +8,8 @@ fragment on its own and summed per pair, which gives the exact intersection.
 
 Texts with equal sets are one class from the start. Within a prefix n-gram the class with the fewest n-grams of its
 own is held against the others, so a group of near copies costs one pair a member; only classes that stay apart in
-the same n-gram are then held against each other (bucket_links), and of these only pairs whose bitmaps don't already
-differ in more places than the sets may. N-grams that many texts of one chunk share don't
+the same n-gram are then held against each other (bucket_links), once for all n-grams of a group (met_apart), and of these only
+pairs whose bitmaps don't already differ in more places than the sets may. N-grams that many texts of one chunk share don't
 gather in their fragment: a marker goes there, the entries return to their texts.
 
 n-grams and classes are 64-bit hashes. A null or empty text, or one without words, has an empty set and links with nothing. A null
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import BY_OWNER, BY_OWNER_ARROW, PACKED, PACKED_ARROW, Packer, WordHash, batches, bucket_links, fragments, joined, owner_rows, positional, same, saved, shared_tokens, shingle_set, small, texts
+from llm.common import BY_OWNER, BY_OWNER_ARROW, PACKED, PACKED_ARROW, Alike, Packer, WordHash, batches, bucket_links, fragments, joined, owner_rows, positional, same, saved, shared_tokens, shingle_set, small, texts
 from llm.urls import bloom, may_hold
 
 #: Overlaps of a pair are counted in so many vertical fragments.
@@ -131,6 +131,22 @@ def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return total.where(f"100 * o >= {percent} * (n_a + n_b - o)").select("a", "b")
 
 
+def differing(percent: int) -> Alike:
+    """Which pairs of sets (own, n, bits) may link: sets differ at least by their own n-grams and where their bitmaps do, and the size
+    of the difference is a share of both sizes at most."""
+
+    def alike(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        own, n, bits = c["own"], c["n"], c["bits"].view(np.uint64)  # of signed numbers numpy counts the absolute value's bits
+        alone, most = own[i] + own[j], (n[i] + n[j]) * (100 - percent)
+        # without its own n-grams one set lies within the other at best
+        ok = np.maximum(alone, np.maximum(n[i] - n[j] + 2 * own[j], n[j] - n[i] + 2 * own[i])) * (100 + percent) <= most
+        at = np.flatnonzero(ok)
+        ok[at] = (np.bitwise_count(bits[i[at]] ^ bits[j[at]]).sum(axis=1, dtype=np.int64) + alone[at]) * (100 + percent) <= most[at]
+        return ok
+
+    return alike
+
+
 def joined_classes(docs: DataFrame, percent: int = 75, size: int = 5) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, dig, text) to (doc_id, dig, n_shingles, class) and, of classes that link with others, (id, comp)."""
     parts = fragments(docs.sparkSession)
@@ -141,11 +157,7 @@ def joined_classes(docs: DataFrame, percent: int = 75, size: int = 5) -> tuple[D
     # 100 * (n - own) >= percent * (n + m - (n - own)) bounds a partner's size m
     most = F.floor((F.col("n") - F.col("own")) * (100 + percent) / percent).cast("long") - F.col("n")
     members = live.select(F.explode("prefix").alias("bucket"), "id", (F.col("own") / F.col("n")).alias("first"), "n", F.ceil(F.col("n") * percent / 100).cast("long").alias("lo"), most.alias("hi"))
-    # sets differ at least where their bitmaps do, and by their own n-grams: size of the difference <= share of both sizes
-    apart = " + ".join(f"bit_count({{a}}.b{i} ^ {{b}}.b{i})" for i in range(BITMAP))
-    bitmaps = live.select("id", "own", *(F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITMAP)))
-    sharp = f"({apart} + {{a}}.own + {{b}}.own) * {100 + percent} <= ({{a}}.n + {{b}}.n) * {100 - percent}"
-    comps = bucket_links(members, "{a}.n between {b}.lo and {b}.hi and {b}.n between {a}.lo and {a}.hi", lambda p: overlaps(p, live, percent), "jaccard", sharp=(bitmaps, sharp))
+    comps = bucket_links(members, "{a}.n between {b}.lo and {b}.hi and {b}.n between {a}.lo and {a}.hi", lambda p: overlaps(p, live, percent), "jaccard", sharp=(live.select("id", "own", "n", "bits"), differing(percent)))
     return per_doc, comps
 
 

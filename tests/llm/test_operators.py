@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from llm import jaccard, licenses, lines, mixing, packing, quality, repeats, topk, urls, weaklabels
+from llm import common, jaccard, licenses, lines, mixing, packing, quality, repeats, topk, urls, weaklabels
 from llm.common import components
 
 from .conftest import corpus, words
@@ -84,6 +84,73 @@ def test_jaccard_near_copies_without_their_base(spark):
     assert sorted(got) == sorted(near_groups(rows))
 
 
+@pytest.mark.parametrize("block", [4096, 5])
+def test_members_that_stay_apart_meet_once(spark, monkeypatch, block):
+    """Pairs are those that share a bucket, and a group with many buckets in common is paired in one of them."""
+    import random
+
+    r = random.Random(5)
+    group = [(b, i, i % 7) for b in range(40) for i in range(30)]
+    odd = [(100 + b, i, 50 + i % 11) for b in range(12) for i in sorted({r.randrange(60) for _ in range(r.randrange(1, 25))})]
+    comp = {**{i: 50 + i % 11 for i in range(60)}, **{i: i % 7 for i in range(30)}}
+    rows = [(b, i, comp[i]) for b, i, _ in group + odd]
+    judged = spark.sparkContext.accumulator(0)
+
+    def alike(c, i, j):
+        judged.add(len(i))
+        assert c["bits"].shape == (len(c["v"]), 2)
+        return (np.abs(c["v"][i] - c["v"][j]) <= 9) & (c["bits"][i, 1] >= 0)
+
+    monkeypatch.setattr(common, "BLOCK", block)
+    left = spark.createDataFrame(rows, "bucket long, id long, comp long")
+    v = {i: r.randrange(60) for i in range(60)}
+    table = spark.createDataFrame([(i, v[i], [i, i]) for i in v], "id long, v long, bits array<long>")
+    got = [tuple(x) for x in common.met_apart(left, table, alike).collect()]
+    held = {}
+    for b, i, _ in rows:
+        held.setdefault(b, set()).add(i)
+    pairs = {(i, j) for h in held.values() for i in h for j in h if i < j and comp[i] != comp[j]}
+    assert sorted(got) == sorted((i, j) for i, j in pairs if abs(v[i] - v[j]) <= 9)
+    assert judged.value < 2 * len(pairs) < sum(comp[i] != comp[j] for h in held.values() for i in h for j in h if i < j) / 8
+
+
+def test_near_copies_that_stay_apart(spark, monkeypatch):
+    """Copies of a text, each with other edits, are alike and mostly not alike enough; two of them share many n-grams of their prefixes,
+    and are compared a few times, not in each."""
+    import random
+
+    judged, differing = spark.sparkContext.accumulator(0), jaccard.differing
+
+    def counted(percent):
+        alike = differing(percent)
+
+        def count(c, i, j):
+            judged.add(len(i))
+            return alike(c, i, j)
+
+        return count
+
+    monkeypatch.setattr(jaccard, "differing", counted)
+    r, base, rows = random.Random(9), [f"w{i}" for i in range(400)], []
+    for i in range(60):
+        w = base.copy()
+        for at in r.sample(range(400), 9 + i % 4):
+            w[at] = f"e{r.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    got = [tuple(x) for x in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()]
+    assert sorted(got) == sorted(near_groups(rows))
+    assert 0 < judged.value < 5 * 60 * 59 / 2
+
+
+def test_bitmaps_count_sign_bits():
+    bits = np.zeros((4, 32), np.int64)
+    bits[1, 0], bits[2, 0], bits[3, 5] = -(1 << 63) + 1, -1, 7
+    c = {"own": np.zeros(4, np.int64), "n": np.full(4, 64), "bits": bits}
+    assert jaccard.differing(75)(c, np.array([0, 0, 0, 1]), np.array([1, 2, 3, 3])).tolist() == [True, False, True, True]
+    c["own"][:] = [0, 0, 0, 20]
+    assert jaccard.differing(75)(c, np.array([0, 0]), np.array([1, 3])).tolist() == [True, False]
+
+
 def test_first_of_each(docs, empty):
     rows = digests_of(docs)
     sets = [shingles(t) for _, t, _ in rows]
