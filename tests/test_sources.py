@@ -1,10 +1,14 @@
 import json
+import os
+import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline import schemas
+from plumbline import schemas, session
 from plumbline.operators import candidates
+from plumbline.plans import stores
 from plumbline.sources import files, readers, writers
 
 
@@ -197,6 +201,44 @@ def test_sets_of_files_are_not_listed(spark, tmp_path):
     assert {r.file: r.content or "" for r in files.files(spark, at).collect()} == want
 
 
+def test_folders_of_many_files_go_without_a_list(spark, tmp_path, monkeypatch):
+    """Hadoop deletes none of them when the JVM ends, as it would list them; Python does, entry by entry and for a time."""
+    monkeypatch.setattr(session, "_MANY", [])
+    for query in (stores.round_files, stores.prediction_files, stores.prediction_manifest, stores.json_array_read, stores.log_results):
+        query(spark, "/root/testdata/sf0.001")
+    folders = session._MANY.copy()
+    assert len(folders) == 5
+    for folder in folders:
+        store, jpath = files._hadoop(spark, folder)
+        assert store.exists(jpath) and not store.cancelDeleteOnExit(jpath)
+    session._ended()
+    assert not any(os.path.exists(f) for f in folders) and not session._MANY
+    for i in range(4000):
+        (tmp_path / "set" / "data").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "set" / "data" / f"a_name_of_some_length_{i}.jsonl").touch()
+    (tmp_path / "set" / "link").symlink_to(tmp_path)
+    (tmp_path / "kept").touch()
+    assert not session._removed(str(tmp_path / "set"), time.monotonic()) and len(list((tmp_path / "set" / "data").iterdir())) == 4000
+    tracemalloc.start()
+    assert session._removed(str(tmp_path / "set"), time.monotonic() + 60)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100_000 and [x.name for x in tmp_path.iterdir()] == ["kept"]
+    assert session._removed(str(tmp_path / "set"), time.monotonic() + 60)
+
+
+def test_what_a_lost_job_moved_goes_by_tasks(spark, tmp_path, monkeypatch):
+    lost = tmp_path / "set.new-lost"
+    (lost / "set").mkdir(parents=True)
+    for i in range(50):
+        (lost / "set" / f"f{i}.jsonl").touch()
+    spark.range(60).selectExpr("concat('f', id, '.jsonl') as file", "'a' as attempt").write.parquet(str(lost / "names"))
+    delete, held = files._delete, []
+    monkeypatch.setattr(files, "_delete", lambda spark, path: (held.append(len(list((lost / "set").iterdir()))) if "new-lost" in path else None, delete(spark, path)))
+    files.write_files(spark.createDataFrame([("a.jsonl", "1")], "file string, content string"), str(tmp_path / "set"))
+    assert held == [0] and not lost.exists() and files.files(spark, str(tmp_path / "set")).count() == 1
+
+
 def test_json_lines_skips_blank(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text('{"task_id": 1, "test_list": ["a"]}\n\n{"task_id": 2}\n')
     assert {r.task_id for r in readers.json_lines(spark, str(tmp_path / "t.jsonl")).collect() if r.task_id} == {1, 2}
